@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlake.llm import bpe
-from loomlake.llm.common import table
+from loomlake.llm import bpe, langid, quality, toxicity
+from loomlake.llm.common import fold_of, table
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -28,8 +28,32 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang").withColumn("held_out", fold_of(F.col("doc_id")) == 0)
+    model = langid.train(docs, where=~F.col("held_out"))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "toxic")
+    model = toxicity.train(docs, labels, where=fold_of(F.col("doc_id")) != 0)
+    return toxicity.score(docs.withColumn("held_out", fold_of(F.col("doc_id")) == 0), model).select("doc_id", "held_out", "score", "predicted")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return quality.apply(docs, model).select("doc_id", *quality.MEASURES, "base_failed", "kept", "quality_score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe}
+    return {
+        "op1_bpe": op1_bpe,
+        "op2_langid": op2_langid,
+        "op4_toxicity": op4_toxicity,
+        "op10_quality": op10_quality,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
