@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlake.llm import bpe, chat, langid, pii, quality, token_counts, toxicity
+from loomlake.llm import bpe, chat, decontaminate, langid, pii, quality, token_counts, toxicity
 from loomlake.llm.common import fold_of, shared_dir, stored, table
 
 
@@ -50,6 +50,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(docs).select("doc_id", *[f"n_{k}" for k in pii.KINDS], "base_sha256", "spans")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return decontaminate.find(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three batches over all documents, one of them sent twice, and the totals that they leave.
 
@@ -142,6 +147,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_langid": op2_langid,
         "op4_toxicity": op4_toxicity,
         "op5_pii": op5_pii,
+        "op6_decontamination": op6_decontamination,
         "op8_token_counts": op8_token_counts,
         "op9_chat": op9_chat,
         "op10_quality": op10_quality,
