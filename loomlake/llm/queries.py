@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlake.llm import bpe, chat, decontaminate, langid, pii, quality, token_counts, toxicity
+from loomlake.llm import bpe, chat, decontaminate, jaccard, langid, pii, quality, token_counts, toxicity
 from loomlake.llm.common import fold_of, shared_dir, stored, table
 
 
@@ -55,6 +55,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three batches over all documents, one of them sent twice, and the totals that they leave.
 
@@ -148,6 +152,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op5_pii": op5_pii,
         "op6_decontamination": op6_decontamination,
+        "op7_jaccard": op7_jaccard,
         "op8_token_counts": op8_token_counts,
         "op9_chat": op9_chat,
         "op10_quality": op10_quality,
