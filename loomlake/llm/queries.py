@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlake.llm import bpe, chat, decontaminate, jaccard, langid, pii, quality, token_counts, toxicity
+from loomlake.llm import bpe, chat, decontaminate, jaccard, langid, pii, quality, suffix_tree, token_counts, toxicity
 from loomlake.llm.common import fold_of, shared_dir, stored, table
 
 
@@ -38,6 +38,13 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    held = fold_of(F.col("doc_id")) == 1
+    out = suffix_tree.score(docs, ~held)
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic")
@@ -149,6 +156,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op2_langid": op2_langid,
+        "op3_lm": op3_lm,
         "op4_toxicity": op4_toxicity,
         "op5_pii": op5_pii,
         "op6_decontamination": op6_decontamination,
