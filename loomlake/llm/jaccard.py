@@ -10,18 +10,22 @@ one shingle).  Two documents link when 100 * |A n B| >= percent * |A u B|.
    documents have come last, then by hash.  Of two sets that link, the first
    |A| - ceil(t|A|) + 1 shingles of each share one at least, so only these are
    indexed.  The order affects work, never results.
-3. *Groups.*  In each token's bucket every node points at the bucket's smallest
-   node.  Pairs that meet in enough buckets are compared exactly, and the
-   components of the links are the groups of similar documents.
-4. *Matrix.*  For each group the union of its members' probe tokens is kept as
+3. *Size groups.*  The coarse level of the matrix: nodes are grouped by size, and
+   a node counts its probe tokens in each size group's union.  Nodes for which no
+   group reaches the bound of step 5 can link with nothing and leave the index.
+4. *Groups.*  In each token's bucket every node points at the bucket's LEADERS
+   smallest nodes.  Pairs that meet in enough buckets are compared exactly, and
+   the components of the links are the groups of similar documents.
+5. *Matrix.*  For each group the union of its members' probe tokens is kept as
    rows (token, group).  A query counts its probe tokens in each other group's
    union; that count bounds the overlap with any member (see ``least_shared``).
    Groups under the bound stay closed; members of the others are compared
-   exactly.  Each pair of groups is queried from one side.
-5. The components of all links found are the classes.
+   exactly.  Each pair of groups is queried from one side, and a query that needs
+   r of its k indexed tokens in a group finds it by its k - r + 1 rarest ones.
+6. The components of all links found are the classes.
 
-A hot shingle's bucket is never expanded into pairs: step 3 makes one pair for
-each node, step 4 one for each node and group.  Links and components stay
+A hot shingle's bucket is never expanded into pairs: step 4 makes LEADERS pairs
+for each node, step 5 one for each node and group.  Links and components stay
 distributed; only the bounded list of frequent shingles reaches the driver.
 
 Null, empty and blank texts have no shingles and link with nothing; their class
@@ -50,6 +54,10 @@ from loomlake.runtime import ensure_package
 SHINGLE, PERCENT = 4, 85
 #: Frequent shingles that are ordered last: at most so many, each counted so often at least.  Bounds the broadcast; affects no result.
 FREQUENT_LIMIT, FREQUENT_AT = 1 << 20, 8
+#: Ratio of sizes within a size group.
+SIZE_STEP = 1.03
+#: Nodes of a bucket that its other nodes are compared with to form groups.
+LEADERS = 4
 #: Shingles after which a task's local counts are reduced to those seen LOCAL_AT times.
 LOCAL_SHINGLES, LOCAL_AT = 4 << 20, 3
 #: Nodes whose ids may be broadcast to fetch their texts; beyond that the fetch is a shuffle join.
@@ -105,6 +113,41 @@ def least_shared(n: Column, other: Column, percent: int) -> Column:
     return F.greatest(F.lit(1), need + 1 - F.ceil(F.greatest(n, other) * percent / F.lit(100.0) - F.lit(1e-9)))
 
 
+def qualifies(shared: Column, n: Column, low: Column, high: Column, percent: int) -> Column:
+    """Whether a set of size n with so many probe tokens in a group's union may link with a member of size low to high.
+
+    The bound is least at the ends of the member sizes that can link; one less for rounding between them.
+    """
+    smallest = F.greatest(low, F.ceil(n * percent / F.lit(100.0) - F.lit(1e-9)))
+    largest = F.least(high, F.floor(n * F.lit(100.0) / percent + F.lit(1e-9)))
+    return (smallest <= largest) & (shared >= bound(n, smallest, largest, percent))
+
+
+def bound(n: Column, smallest: Column, largest: Column, percent: int) -> Column:
+    return F.least(least_shared(n, smallest, percent), least_shared(n, largest, percent)) - 1
+
+
+def shared_only(index: DataFrame) -> DataFrame:
+    """The rows (token, node, n, k) whose token k > 1 nodes have."""
+    return index.withColumn("k", F.count("*").over(W.partitionBy("token"))).where("k > 1").select("token", "node", "n", "k")
+
+
+def can_link(index: DataFrame, percent: int) -> DataFrame:
+    """The index without the nodes that share too few probe tokens with every size group.
+
+    Adds ``need``: the fewest probe tokens that a node shares with anything it links with.
+    """
+    c = F.col
+    sized = index.withColumn("size", F.floor(F.log(c("n")) / F.log(F.lit(SIZE_STEP))))
+    matrix = sized.groupBy("token", "size").agg(F.count("*").alias("m"), F.min("n").alias("low"), F.max("n").alias("high"))
+    seen = sized.withColumnRenamed("size", "own").join(matrix, "token").where(((c("own") != c("size")) | (c("m") > 1)) & (c("n") * 100 >= c("low") * percent) & (c("high") * 100 >= c("n") * percent))
+    seen = seen.groupBy("node", "size").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    smallest = F.greatest("low", F.ceil(c("n") * percent / F.lit(100.0) - F.lit(1e-9)))
+    largest = F.least("high", F.floor(c("n") * F.lit(100.0) / percent + F.lit(1e-9)))
+    need = seen.where(qualifies(c("c"), c("n"), c("low"), c("high"), percent)).groupBy("node").agg(F.greatest(F.lit(1), F.min(bound(c("n"), smallest, largest, percent))).alias("need"))
+    return index.drop("need").join(need, "node")
+
+
 def measured(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """Rows of two kinds: (id, n, sig_a, sig_b) for documents and (token, n) for locally frequent shingles."""
     schema = "kind tinyint, id bigint, n bigint, sig_a bigint, sig_b bigint"
@@ -219,28 +262,28 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def link_nodes(index: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """(node, label) of the nodes that link with another, from the shared probe tokens (token, node, n)."""
+    """(node, label) of the nodes that link with another, from the shared probe tokens (token, node, n, k, need, leaders)."""
     compatible = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
     c = F.col
-    # 3. groups: one pair for each node of a bucket
-    stars = index.where("node <> leader").groupBy(c("node").alias("a"), c("leader").alias("b")).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("leader_n").alias("m"))
+    # 4. groups: a pair for each node and leader of a bucket
+    stars = index.select("node", "n", F.explode(F.filter("leaders", lambda x: x["node"] < c("node"))).alias("leader"))
+    stars = stars.groupBy(c("node").alias("a"), c("leader.node").alias("b")).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("leader.n").alias("m"))
     stars = stars.where(compatible(c("n"), c("m")) & (c("c") >= least_shared(c("n"), c("m"), percent))).select("a", "b")
     stars = stored(stars, "stars")
     texts = texts_of(docs, key, text, stars.select(c("a").alias("id")).unionByName(stars.select(c("b").alias("id"))))
     first = stored(verified(stars, stored(texts, "texts"), size, percent), "edges")
     groups = components(first)
-    # 4. matrix: group unions of probe tokens against queries of other groups
-    member = index.select("token", "node", "n").join(groups, "node", "left").select("token", "node", "n", F.coalesce("label", "node").alias("g"))
+    # 5. matrix: group unions of probe tokens against queries of other groups
+    rarest = F.row_number().over(W.partitionBy("node").orderBy("k", "token")) <= F.count("*").over(W.partitionBy("node")) - c("need") + 1
+    member = index.select("token", "node", "n", rarest.alias("asks")).join(groups, "node", "left").select("token", "node", "n", "asks", F.coalesce("label", "node").alias("g"))
     member = stored(member, "members")
     matrix = member.groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     span = member.groupBy("g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    open_ = member.join(matrix.select("token", c("g").alias("h"), "low", "high"), "token").where((c("h") < c("g")) & (c("n") * 100 >= c("low") * percent) & (c("high") * 100 >= c("n") * percent))
-    open_ = open_.groupBy(c("node").alias("q"), "h").agg(F.count("*").alias("c"), F.first("n").alias("n")).join(span.select(c("g").alias("h"), "low", "high"), "h")
-    # the bound is least at the ends of the member sizes that can link; one less for rounding between them
-    smallest = F.greatest(c("low"), F.ceil(c("n") * percent / F.lit(100.0) - F.lit(1e-9)))
-    largest = F.least(c("high"), F.floor(c("n") * F.lit(100.0) / percent + F.lit(1e-9)))
-    bound = F.least(least_shared(c("n"), smallest, percent), least_shared(c("n"), largest, percent)) - 1
-    open_ = stored(open_.where((smallest <= largest) & (c("c") >= bound)).select("q", "h"), "open")
+    near = (c("h") < c("g")) & (c("n") * 100 >= c("low") * percent) & (c("high") * 100 >= c("n") * percent)
+    met = member.where("asks").join(matrix.select("token", c("g").alias("h"), "low", "high"), "token").where(near).select(c("node").alias("q"), "h").distinct()
+    asked = met.join(member.select(c("node").alias("q"), "token", "n"), "q")
+    open_ = asked.join(matrix.select("token", c("g").alias("h")), ["token", "h"]).groupBy("q", "h").agg(F.count("*").alias("c"), F.first("n").alias("n")).join(span.select(c("g").alias("h"), "low", "high"), "h")
+    open_ = stored(open_.where(qualifies(c("c"), c("n"), c("low"), c("high"), percent)).select("q", "h"), "open")
     # members of the open groups that share enough probe tokens with the query themselves
     asked = member.join(open_, member["node"] == open_["q"], "inner").select("token", "q", c("n").alias("n_q"), "h")
     pairs = asked.join(member.select("token", c("g").alias("h"), c("node").alias("b"), c("n").alias("m")), ["token", "h"])
@@ -248,7 +291,7 @@ def link_nodes(index: DataFrame, docs: DataFrame, key: str, text: str, size: int
     pairs = stored(pairs.where(compatible(c("n"), c("m")) & (c("c") >= least_shared(c("n"), c("m"), percent))).select("a", "b"), "pairs")
     texts = texts_of(docs, key, text, pairs.select(c("a").alias("id")).unionByName(pairs.select(c("b").alias("id"))))
     second = verified(pairs, stored(texts, "texts"), size, percent)
-    # 5. classes: the groups and the links between them
+    # 6. classes: the groups and the links between them
     return components(first.unionByName(second))
 
 
@@ -264,10 +307,13 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     by_set = ["n", "sig_a", "sig_b"]
     nodes = sets.where("n > 0 AND id IS NOT NULL").groupBy(*by_set).agg(F.min("id").alias("node"))
     tokens = probes(given, key, text, size, percent, frequent).join(nodes.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
-    bucket = W.partitionBy("token")
     index = tokens.select(F.col("id").alias("node"), "n", F.explode("tokens").alias("token"))
-    low = F.min(F.struct("node", "n")).over(bucket)
-    index = index.withColumn("low", low).withColumn("high", F.max("node").over(bucket)).where("high <> low.node").select("token", "node", "n", F.col("low.node").alias("leader"), F.col("low.n").alias("leader_n"))
+    index = stored(shared_only(index), "index")
+    index = stored(shared_only(can_link(index, percent)), "index")
+    index = can_link(index, percent)
+    bucket = W.partitionBy("token").orderBy("node").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    leaders = F.array_compact(F.array(*[F.nth_value(F.struct("node", "n"), k + 1).over(bucket) for k in range(LEADERS)]))
+    index = index.withColumn("leaders", leaders).where(F.size("leaders") > 1)
     labels = link_nodes(stored(index, "index"), given, key, text, size, percent)
     named = sets.join(nodes, by_set, "left").join(labels, "node", "left")
     return named.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("label", "node", "id")).alias("component_id"))
