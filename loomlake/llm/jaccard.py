@@ -58,6 +58,8 @@ FREQUENT_LIMIT, FREQUENT_AT = 1 << 20, 8
 SIZE_STEP = 1.03
 #: Nodes of a bucket that its other nodes are compared with to form groups.
 LEADERS = 4
+#: Members of a group that are read together.
+BLOCK_MEMBERS = 64
 #: Shingles after which a task's local counts are reduced to those seen LOCAL_AT times.
 LOCAL_SHINGLES, LOCAL_AT = 4 << 20, 3
 #: Nodes whose ids may be broadcast to fetch their texts; beyond that the fetch is a shuffle join.
@@ -284,11 +286,13 @@ def link_nodes(index: DataFrame, docs: DataFrame, key: str, text: str, size: int
     asked = met.join(member.select(c("node").alias("q"), "token", "n"), "q")
     open_ = asked.join(matrix.select("token", c("g").alias("h")), ["token", "h"]).groupBy("q", "h").agg(F.count("*").alias("c"), F.first("n").alias("n")).join(span.select(c("g").alias("h"), "low", "high"), "h")
     open_ = stored(open_.where(qualifies(c("c"), c("n"), c("low"), c("high"), percent)).select("q", "h"), "open")
-    # members of the open groups that share enough probe tokens with the query themselves
-    asked = member.join(open_, member["node"] == open_["q"], "inner").select("token", "q", c("n").alias("n_q"), "h")
-    pairs = asked.join(member.select("token", c("g").alias("h"), c("node").alias("b"), c("n").alias("m")), ["token", "h"])
-    pairs = pairs.groupBy(c("q").alias("a"), "b").agg(F.count("*").alias("c"), F.first("n_q").alias("n"), F.first("m").alias("m"))
-    pairs = stored(pairs.where(compatible(c("n"), c("m")) & (c("c") >= least_shared(c("n"), c("m"), percent))).select("a", "b"), "pairs")
+    # open groups are read in blocks of members; members that share enough probe tokens with the query are compared
+    held = stored(member.groupBy("node", "g").agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens")), "held")
+    sizes = held.join(open_.select(c("h").alias("g")).distinct(), "g", "left_semi").groupBy("g").agg(F.ceil(F.count("*") / F.lit(BLOCK_MEMBERS)).alias("blocks"))
+    blocks = held.join(sizes, "g").groupBy(c("g").alias("h"), F.pmod(F.xxhash64("node"), c("blocks")).alias("block")).agg(F.collect_list(F.struct("node", "n", "tokens")).alias("members"))
+    asked = open_.join(held.select(c("node").alias("q"), "n", "tokens"), "q").join(blocks, "h")
+    near = lambda m: compatible(c("n"), m["n"]) & (F.size(F.array_intersect(c("tokens"), m["tokens"])) >= least_shared(c("n"), m["n"], percent))
+    pairs = stored(asked.select(c("q").alias("a"), F.explode(F.transform(F.filter("members", near), lambda m: m["node"])).alias("b")), "pairs")
     texts = texts_of(docs, key, text, pairs.select(c("a").alias("id")).unionByName(pairs.select(c("b").alias("id"))))
     second = verified(pairs, stored(texts, "texts"), size, percent)
     # 6. classes: the groups and the links between them
