@@ -1,15 +1,450 @@
-"""The registered queries of the engine and the SQL that checks them."""
+"""The registered queries of the engine and the SQL that checks them, each over its whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from loomlake.functions import text as tx
+from loomlake.operators import audit, chunking, retrieval, state, terminology
+from loomlake.plans import views
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+K = 10
+c = F.col
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+# ---------------------------------------------------------------- chunking
+
+
+@query(f"WITH {views.CHUNKS_SQL} SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, CAST(chunk_start AS INTEGER) AS chunk_start, CAST(chunk_end AS INTEGER) AS chunk_end, chunk_id, text FROM chunks WHERE text <> ''")
+def chunk_simple(spark, sf_dir):
+    return views.chunks(spark, sf_dir)
+
+
+_STRIP = r"regexp_replace({0}, '^[\s\x0b\x1c-\x1f\x85\xa0]+|[\s\x0b\x1c-\x1f\x85\xa0]+$', '', 'g')"
+_SECTIONS_SQL = views.MARKDOWN_SQL + r""",
+lines AS (
+  SELECT doc_id, unnest(string_split_regex(""" + _STRIP.format("body") + r""", '\r\n|[\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}]')) AS line,
+         generate_subscripts(string_split_regex(""" + _STRIP.format("body") + r""", '\r\n|[\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}]'), 1) AS i FROM md
+), marked AS (
+  SELECT *, regexp_matches(line, '^#{1,6}\s+') AS head, sum(CASE WHEN regexp_matches(line, '^#{1,6}\s+') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS sec FROM lines
+), secs AS (
+  SELECT doc_id, sec, coalesce(max(regexp_replace(line, '^#{1,6}\s+', '')) FILTER (head), '') AS header,
+         coalesce(max(length(regexp_extract(line, '^(#+)', 1))) FILTER (head), 0) AS level,
+         """ + _STRIP.format("coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT head), '')") + r""" AS content
+  FROM marked GROUP BY doc_id, sec
+)"""
+
+
+@query(f"WITH {_SECTIONS_SQL} SELECT doc_id, {_STRIP.format('header')} AS header, CAST(level AS INTEGER) AS level, content FROM secs WHERE header <> '' OR content <> ''")
+def chunk_markdown_sections(spark, sf_dir):
+    md = views.markdown(spark, sf_dir)
+    return md.select("doc_id", F.inline(chunking.sections(tx.strip(c("body")))))
+
+
+@query()
+def chunk_markdown_merged(spark, sf_dir):
+    return chunking.markdown_chunks(views.markdown(spark, sf_dir))
+
+
+@query(r"SELECT doc_id, regexp_matches(coalesce(text, ''), '(?m)^[ \t]*[^\s#]') OR regexp_matches(coalesce(text, ''), '(?m)^[ \t]*(#{7,}|#{1,6}[^#\s])') AS meaningful FROM documents")
+def quality_filter(spark, sf_dir):
+    return views.table(spark, sf_dir, "documents").select("doc_id", tx.has_meaningful_content(F.coalesce("text", F.lit(""))).alias("meaningful"))
+
+
+# ---------------------------------------------------------------- retrieval
+
+
+def _count(haystack: str, token: str = "tok") -> str:
+    return f"CAST((length({haystack}) - length(replace({haystack}, {token}, ''))) / length({token}) AS INTEGER)"
+
+
+_KEYWORD_SQL = views.WHOLE_SQL + f""",
+kw_tokens AS (SELECT query_id, unnest(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}_]+')) AS tok FROM q),
+kw_parts AS (
+  SELECT query_id, doc_id, sum({_count('lower(coalesce(text, $$$$))')} * 1.0::DOUBLE + {_count('lower(title)')} * 2.5::DOUBLE + {_count('lower(section_header)')} * 1.5::DOUBLE
+         + list_sum(list_transform(tags, lambda t: {_count('lower(t)')})) * 1.2::DOUBLE) AS s
+  FROM whole, kw_tokens GROUP BY ALL
+), kw_scored AS (
+  SELECT w.*, q.query_id, floor((p.s + CASE WHEN contains(lower(coalesce(text, '')), lower(query)) THEN 1.5::DOUBLE ELSE 0 END + CASE WHEN contains(lower(title), lower(query)) THEN 2.0::DOUBLE ELSE 0 END
+         + CASE WHEN contains(lower(section_header), lower(query)) THEN 1.0::DOUBLE ELSE 0 END) * 1e4::DOUBLE + 0.5::DOUBLE) / 1e4::DOUBLE AS score
+  FROM whole w JOIN kw_parts p USING (doc_id) JOIN q USING (query_id)
+), kw AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_id) AS rank FROM kw_scored WHERE score > 0
+)""".replace("$$$$", "''")
+
+
+@query(f"WITH {_KEYWORD_SQL} SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, chunk_id, score FROM kw WHERE rank <= {K}")
+def keyword_topk(spark, sf_dir):
+    hits = retrieval.keyword_search(views.whole(spark, sf_dir), views.questions(spark, sf_dir), K)
+    return hits.select("query_id", "rank", "doc_id", "chunk_id", "score")
+
+
+_VECTOR_SQL = """
+qv AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id = 0),
+vs AS (SELECT vec_id AS doc_id, CAST(vec_id AS VARCHAR) AS chunk_id, list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), qv.v) AS score FROM embeddings, qv),
+vec AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id, chunk_id) AS rank FROM vs WHERE score > 0)"""
+
+
+@query(f"WITH {_VECTOR_SQL} SELECT 1 AS query_id, CAST(rank AS INTEGER) AS rank, doc_id, chunk_id, floor(score * 1e4::DOUBLE + 0.5::DOUBLE) / 1e4::DOUBLE AS score FROM vec WHERE rank <= {K}")
+def vector_topk(spark, sf_dir):
+    asked = [q for q in views.questions(spark, sf_dir, vectors_too=True) if q.query_id == 1]
+    hits = retrieval.vector_search(views.vectors(spark, sf_dir), asked, K)
+    return hits.select("query_id", "rank", "doc_id", "chunk_id", tx.round4(c("score")).alias("score"))
+
+
+def _hybrid_sql(k: int, sources: str = "") -> str:
+    keep = f"WHERE rank <= {k}" + (f" AND {sources}" if sources else "")
+    keep_v = f"WHERE rank <= {k}" + (f" AND (SELECT any_value(source_type) FROM whole w WHERE w.chunk_id = vec.chunk_id) IN ('website')" if sources else "")
+    return _KEYWORD_SQL + "," + _VECTOR_SQL + f""",
+k1 AS (
+  SELECT kw.query_id, chunk_id, doc_id, 0.5::DOUBLE * (score / max(score) OVER (PARTITION BY kw.query_id)) + 0.175::DOUBLE
+         + floor((len(list_filter(list_distinct(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}_]+')), lambda t: contains(h, t)))
+                  / len(list_distinct(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}_]+')))::DOUBLE * 0.25::DOUBLE
+                  + CASE WHEN contains(h, lower(trim(query))) THEN 0.15::DOUBLE ELSE 0 END) * 1e4::DOUBLE + 0.5::DOUBLE) / 1e4::DOUBLE AS ks
+  FROM (SELECT *, lower(concat_ws(' ', nullif(title, ''), nullif(section_header, ''), nullif(text, ''))) AS h FROM kw) kw JOIN q USING (query_id) {keep}
+), v1 AS (
+  SELECT query_id, chunk_id, doc_id, 0.5::DOUBLE * (score / max(score) OVER (PARTITION BY query_id)) AS vs FROM vec, q {keep_v}
+), fused AS (
+  SELECT coalesce(k1.query_id, v1.query_id) AS query_id, coalesce(k1.chunk_id, v1.chunk_id) AS chunk_id, coalesce(k1.doc_id, v1.doc_id) AS doc_id,
+         floor((coalesce(ks, 0) + coalesce(vs, 0)) * 1e9::DOUBLE + 0.5::DOUBLE) / 1e9::DOUBLE AS total
+  FROM k1 FULL JOIN v1 ON k1.query_id = v1.query_id AND k1.chunk_id = v1.chunk_id
+), hybrid AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, doc_id, chunk_id) AS rank, floor(total * 1e4::DOUBLE + 0.5::DOUBLE) / 1e4::DOUBLE AS score FROM fused
+)"""
+
+
+def _hybrid(spark, sf_dir, **options):
+    return retrieval.hybrid_search(views.whole(spark, sf_dir), views.vectors(spark, sf_dir), views.questions(spark, sf_dir, vectors_too=True), **options)
+
+
+@query(f"WITH {_hybrid_sql(100)} SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, chunk_id, score FROM hybrid WHERE rank <= 100")
+def hybrid_topk(spark, sf_dir):
+    return _hybrid(spark, sf_dir).select("query_id", "rank", "doc_id", "chunk_id", "score")
+
+
+@query(f"WITH {_hybrid_sql(100, chr(115) + 'ource_type IN (' + chr(39) + 'website' + chr(39) + ')')} SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, chunk_id, score FROM hybrid WHERE rank <= 100")
+def hybrid_source_filter(spark, sf_dir):
+    return _hybrid(spark, sf_dir, sources=["web"]).select("query_id", "rank", "doc_id", "chunk_id", "score")
+
+
+_RERANK = "((doc_id * 7919 + query_id * 104729) % 1000) / 1000.0::DOUBLE"
+
+
+def _reranked(spark, sf_dir):
+    score = F.pmod(c("doc_id") * 7919 + c("query_id") * 104729, F.lit(1000)) / F.lit(1000.0)
+    rows = _hybrid(spark, sf_dir).withColumn("rerank_score", F.when(c("query_id") == 3, score / 1000).otherwise(score))
+    order = F.row_number().over(retrieval.W.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank"))
+    return rows.withColumn("rerank_rank", order)
+
+
+@query(f"""WITH {_hybrid_sql(100)}, r AS (
+  SELECT *, CASE WHEN query_id = 3 THEN {_RERANK} / 1000 ELSE {_RERANK} END AS rerank_score, count(*) OVER (PARTITION BY query_id) AS n FROM hybrid WHERE rank <= 100
+), g AS (SELECT query_id, count(*) >= 2 AND (max(rerank_score) < 0.05 OR max(rerank_score) - min(rerank_score) < 0.03) AS fallback FROM r GROUP BY query_id),
+b AS (SELECT r.*, floor((0.45::DOUBLE * rerank_score + 0.45::DOUBLE * score + 0.10::DOUBLE * greatest(0.0::DOUBLE, 1.0::DOUBLE - (rank - 1)::DOUBLE / n::DOUBLE)) * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS blend_score FROM r)
+SELECT query_id, doc_id, chunk_id, fallback, blend_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY blend_score DESC, rerank_score DESC, rank, doc_id DESC, chunk_id DESC) AS INTEGER) AS blend_rank FROM b JOIN g USING (query_id)""")
+def guardrail_blend(spark, sf_dir):
+    rows = _reranked(spark, sf_dir)
+    return retrieval.blend(rows, F.lit(False)).join(retrieval.guardrail(rows), "query_id").select("query_id", "doc_id", "chunk_id", "fallback", "blend_score", "blend_rank")
+
+
+_SECTION_SQL = r"""trim('SOURCE ' || final_rank || chr(10) || 'Title: ' || title || CASE WHEN section_header <> '' THEN chr(10) || 'Section: ' || section_header ELSE '' END || chr(10) || 'Tags: ' || array_to_string(list_filter(tags, lambda t: t <> ''), ', ') || chr(10) || chr(10) || """ + _STRIP.format("coalesce(text, '')") + ")"
+_FINAL_SQL = f"""{_hybrid_sql(100)}, f1 AS (
+  SELECT h.query_id, h.rank, h.chunk_id, w.*, row_number() OVER (PARTITION BY h.query_id, sha256(concat_ws('||', w.source_type, title, section_header, substring(coalesce(text, ''), 1, 600))) ORDER BY h.rank) AS n
+  FROM hybrid h JOIN whole w USING (chunk_id) WHERE h.rank <= 100
+), f2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS final_rank FROM f1 WHERE n = 1), final AS (SELECT * FROM f2 WHERE final_rank <= 7)
+"""
+
+
+def _final(spark, sf_dir):
+    rows = _hybrid(spark, sf_dir).drop("doc_id").join(views.whole(spark, sf_dir), "chunk_id")
+    key = retrieval.dedupe_key(c("source_type"), c("title"), c("section_header"), F.substring(F.coalesce("text", F.lit("")), 1, 600))
+    return retrieval.dedupe_backfill(rows.withColumn("key", key), c("key"))
+
+
+@query(f"WITH {_FINAL_SQL} SELECT query_id, CAST(final_rank AS INTEGER) AS final_rank, CAST(rank AS INTEGER) AS rank, doc_id FROM final")
+def dedupe_backfill(spark, sf_dir):
+    return _final(spark, sf_dir).select("query_id", "final_rank", "rank", "doc_id")
+
+
+def _context(spark, sf_dir):
+    rows = _final(spark, sf_dir)
+    tags = F.filter("tags", lambda t: t != "")
+    rows = rows.withColumns({"rank": c("final_rank"), "section": retrieval.source_section(c("final_rank"), c("title"), F.coalesce("text", F.lit("")), c("section_header"), tags)})
+    return retrieval.within_budget(rows)
+
+
+_CONTEXT_SQL = f"""{_FINAL_SQL}, ctx1 AS (SELECT *, {_STRIP.format(_SECTION_SQL)} AS section FROM final),
+ctx2 AS (SELECT *, sum(length(section) + 2) OVER (PARTITION BY query_id ORDER BY final_rank) - 2 AS used FROM ctx1), ctx AS (SELECT * FROM ctx2 WHERE used <= 8000)"""
+
+
+@query(f"WITH {_CONTEXT_SQL} SELECT query_id, CAST(final_rank AS INTEGER) AS rank, doc_id, CAST(used AS BIGINT) AS used, sha256(section) AS section_hash FROM ctx")
+def context_budget(spark, sf_dir):
+    return _context(spark, sf_dir).select("query_id", "rank", "doc_id", "used", F.sha2("section", 256).alias("section_hash"))
+
+
+@query(f"""WITH {_CONTEXT_SQL}, p AS (SELECT query_id, string_agg(section, chr(10) || chr(10) ORDER BY final_rank) AS context, CAST(count(*) AS BIGINT) AS sources, string_agg('[' || final_rank || '] ' || title, chr(10) ORDER BY final_rank) AS listed FROM ctx GROUP BY query_id)
+SELECT query_id, sha256('{retrieval.PROMPT_HEAD}' || query || chr(10) || chr(10) || 'CONTEXT' || chr(10) || coalesce(context, '{retrieval.NO_RESULTS.replace("'", "''")}') || '{retrieval.PROMPT_TAIL}') AS prompt_hash, coalesce(sources, 0) AS sources, listed FROM q LEFT JOIN p USING (query_id)""")
+def prompt_and_sources(spark, sf_dir):
+    g = _context(spark, sf_dir).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "section", "title"))).alias("s"))
+    asked = spark.createDataFrame(views.QUERIES, "query_id int, query string").join(g, "query_id", "left")
+    context = F.array_join(F.transform("s", lambda x: x["section"]), "\n\n")
+    listed = F.array_join(F.transform("s", lambda x: F.concat(F.lit("["), x["rank"].cast("string"), F.lit("] "), x["title"])), "\n")
+    return asked.select("query_id", F.sha2(retrieval.prompt(c("query"), context, F.size("s") > 0), 256).alias("prompt_hash"), F.greatest(F.lit(0), F.coalesce(F.size("s"), F.lit(0))).cast("long").alias("sources"), listed.alias("listed"))
+
+
+@query(r"""WITH a AS (SELECT conv_id, turn, regexp_replace(""" + _STRIP.format("CASE WHEN turn % 3 = 0 THEN '' WHEN turn % 3 = 1 THEN coalesce(text, '') || ' [Source ' || turn || ']' ELSE coalesce(text, '') END") + r""", '(?i)\[\s*source\s*(\d+)\s*\]', '[\1]', 'g') AS t FROM conversations)
+SELECT conv_id, turn, sha256(CASE WHEN regexp_matches(t, '\[\d+\]') THEN t ELSE CASE WHEN t = '' THEN 'Keine Antwort generiert.' ELSE t END || ' [1] [2]' END) AS answer_hash FROM a""")
+def citation_normalise(spark, sf_dir):
+    rows = views.table(spark, sf_dir, "conversations")
+    said = F.coalesce("text", F.lit(""))
+    answer = F.when(c("turn") % 3 == 0, "").when(c("turn") % 3 == 1, F.concat(said, F.lit(" [Source "), c("turn").cast("string"), F.lit("]"))).otherwise(said)
+    return rows.select("conv_id", "turn", F.sha2(retrieval.normalise_citations(answer, F.array(F.lit(2), F.lit(1), F.lit(2))), 256).alias("answer_hash"))
+
+
+# ---------------------------------------------------------------- audit
+
+_OK = "status IN ('ok', 'warning')"
+_DOCS = "CAST(count(DISTINCT CASE WHEN {} THEN document_id END) AS BIGINT)"
+_FUNNEL_SQL = views.EVENTS_SQL + f""",
+same AS (SELECT DISTINCT run_id, document_id FROM ev WHERE stage = 'filter' AND status = 'skipped' AND reason_code IN ('unchanged_incremental', 'unchanged_source')),
+f0 AS (
+  SELECT run_id, {_DOCS.format(f"stage = 'discover' AND {_OK}")} AS discovered, {_DOCS.format(f"stage = 'load' AND {_OK}")} AS loaded,
+         {_DOCS.format("stage = 'filter' AND status = 'skipped' AND reason_code IN ('unchanged_incremental', 'unchanged_source')")} AS unchanged_skipped,
+         {_DOCS.format("stage = 'filter' AND status = 'skipped' AND (run_id, document_id) NOT IN (SELECT (run_id, document_id) FROM same)")} AS filtered_skipped,
+         {_DOCS.format("stage = 'transform' AND status = 'error'")} AS transform_failed, {_DOCS.format(f"stage = 'transform' AND {_OK}")} AS transformed_ok, {_DOCS.format(f"stage = 'chunk' AND {_OK}")} AS chunked_docs,
+         CAST(coalesce(sum(chunk_count) FILTER (stage = 'chunk' AND {_OK}), 0) AS BIGINT) AS chunks_created, CAST(coalesce(sum(output_count) FILTER (stage = 'embed' AND {_OK}), 0) AS BIGINT) AS embedded_chunks,
+         CAST(coalesce(sum(output_count) FILTER (stage = 'index' AND {_OK}), 0) AS BIGINT) AS indexed_chunks
+  FROM ev GROUP BY run_id
+), f1 AS (SELECT *, greatest(0, loaded - unchanged_skipped) AS candidate_for_transform FROM f0),
+funnel AS (SELECT *, greatest(0, loaded - candidate_for_transform) AS expected_dropoff, greatest(0, candidate_for_transform - transformed_ok) AS problematic_dropoff FROM f1)"""
+_TYPES_SQL = """types AS (
+  SELECT run_id, CASE WHEN bool_or(stage = 'index') AND NOT bool_or(stage = 'transform') THEN 'index' WHEN bool_or(stage = 'embed') AND NOT bool_or(stage = 'transform') THEN 'ingest'
+                      WHEN bool_or(stage = 'transform') THEN 'transform' WHEN bool_or(stage = 'chunk') THEN 'chunk' ELSE 'mixed' END AS run_type
+  FROM ev GROUP BY run_id)"""
+
+
+@query(f"WITH {_FUNNEL_SQL} SELECT * FROM funnel")
+def audit_funnel(spark, sf_dir):
+    return audit.funnel(views.events(spark, sf_dir))
+
+
+@query(f"""WITH {_FUNNEL_SQL} SELECT run_id, 'loaded' AS from_step, 'candidate_for_transform' AS to_step, greatest(0, loaded - candidate_for_transform) AS drop_count FROM funnel
+UNION ALL SELECT run_id, 'candidate_for_transform', 'transformed_ok', greatest(0, candidate_for_transform - transformed_ok) FROM funnel
+UNION ALL SELECT run_id, 'transformed_ok', 'chunked_docs', greatest(0, transformed_ok - chunked_docs) FROM funnel""")
+def audit_dropoff(spark, sf_dir):
+    return audit.drop_offs(audit.funnel(views.events(spark, sf_dir)))
+
+
+@query(f"""WITH {_FUNNEL_SQL}, {_TYPES_SQL} SELECT run_id, run_type, candidate_for_transform, expected_dropoff, problematic_dropoff,
+CASE WHEN unchanged_skipped >= filtered_skipped + transform_failed THEN 'loaded->candidate_for_transform' ELSE 'candidate_for_transform->transformed_ok' END AS largest_loss,
+CASE WHEN run_type IN ('transform', 'chunk', 'mixed') THEN transformed_ok / greatest(1, loaded)::DOUBLE END AS transform_quote,
+CASE WHEN run_type IN ('transform', 'chunk', 'mixed') THEN chunked_docs / greatest(1, transformed_ok)::DOUBLE END AS chunk_quote,
+CASE WHEN run_type IN ('index', 'mixed') AND chunks_created > 0 THEN indexed_chunks / chunks_created::DOUBLE END AS index_quote FROM funnel JOIN types USING (run_id)""")
+def audit_quality(spark, sf_dir):
+    e = views.events(spark, sf_dir)
+    return audit.quality(audit.funnel(e), audit.run_types(e.select("run_id"), e))
+
+
+@query(f"WITH {views.EVENTS_SQL}, {_TYPES_SQL} SELECT * FROM types")
+def audit_run_types(spark, sf_dir):
+    e = views.events(spark, sf_dir)
+    return audit.run_types(e.select("run_id"), e)
+
+
+@query(f"WITH {views.EVENTS_SQL} SELECT stage, " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in audit.STATUSES) + " FROM ev GROUP BY stage")
+def audit_stage_stats(spark, sf_dir):
+    return audit.stage_stats(views.events(spark, sf_dir))
+
+
+@query(f"""WITH {views.EVENTS_SQL}, r AS (SELECT * FROM ev WHERE reason_code IS NOT NULL)
+SELECT reason_code, 'all' AS by, '' AS value, count(*) AS n FROM r GROUP BY ALL UNION ALL SELECT reason_code, 'stage', stage, count(*) FROM r GROUP BY ALL UNION ALL SELECT reason_code, 'run', run_id, count(*) FROM r GROUP BY ALL""")
+def audit_reasons(spark, sf_dir):
+    return audit.reasons(views.events(spark, sf_dir))
+
+
+@query(f"""WITH {views.EVENTS_SQL}, r AS (SELECT * FROM ev WHERE reason_code IS NOT NULL), d AS (SELECT reason_code, document_id, min((created_at, id)) AS seen_at FROM r GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY reason_code ORDER BY seen_at) AS rn FROM d), x AS (SELECT reason_code, string_agg(document_id, '|' ORDER BY rn) AS examples FROM k WHERE rn <= 5 GROUP BY reason_code)
+SELECT reason_code, n, examples FROM (SELECT reason_code, count(*) AS n FROM r GROUP BY reason_code) JOIN x USING (reason_code)""")
+def audit_reason_examples(spark, sf_dir):
+    return audit.reason_examples(views.events(spark, sf_dir))
+
+
+@query(f"""WITH {views.EVENTS_SQL} SELECT document_id, document_title AS title, stage, status, reason_code, message FROM ev
+WHERE status <> 'ok' QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY created_at DESC, id DESC) = 1""")
+def audit_problem_documents(spark, sf_dir):
+    return audit.problem_documents(views.events(spark, sf_dir))
+
+
+_DRILL_SQL = f"""WITH {views.EVENTS_SQL}, l AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY run_id, document_id ORDER BY created_at DESC, id DESC) = 1),
+m AS (SELECT run_id, document_id, arg_max(input_count, (created_at, id)) FILTER (input_count IS NOT NULL) AS raw_text_length,
+             arg_max(output_count, (created_at, id)) FILTER (stage = 'transform' AND output_count IS NOT NULL) AS transformed_text_length,
+             arg_max(chunk_count, (created_at, id)) FILTER (chunk_count IS NOT NULL) AS chunk_count,
+             CASE WHEN bool_or(reason_code = 'unsupported_macro') THEN 'unsupported_macro' END AS warning_flags,
+             CASE WHEN bool_or(coalesce(reason_code, '') = 'unchanged_incremental') THEN false END AS changed_flag FROM ev GROUP BY ALL),
+d AS (SELECT run_id, document_id, document_title AS title, stage, status, reason_code, message, changed_flag, raw_text_length, transformed_text_length, m.chunk_count, warning_flags,
+             status IN ('warning', 'error') OR (status = 'skipped' AND NOT coalesce(reason_code = 'unchanged_incremental' OR (reason_code IS NULL AND changed_flag = false), false)) AS is_problematic
+      FROM l JOIN m USING (run_id, document_id)) SELECT * FROM d"""
+
+
+@query(_DRILL_SQL)
+def audit_drilldown(spark, sf_dir):
+    return audit.drilldown(views.events(spark, sf_dir))
+
+
+@query(_DRILL_SQL + " WHERE is_problematic")
+def audit_drilldown_problematic(spark, sf_dir):
+    return audit.drilldown(views.events(spark, sf_dir), only_problematic=True)
+
+
+@query(f"WITH {views.EVENTS_SQL} SELECT DISTINCT document_id FROM ev WHERE stage = 'load' AND status = 'ok' AND document_id NOT IN (SELECT document_id FROM ev WHERE stage = 'chunk' AND {_OK})")
+def audit_loaded_not_chunked(spark, sf_dir):
+    return audit.loaded_not_chunked(views.events(spark, sf_dir))
+
+
+@query(f"WITH {views.EVENTS_SQL} SELECT id, document_id, stage, reason_code FROM ev WHERE reason_code IN ('no_chunks_created', 'no_text_after_cleanup', 'empty_after_transform') AND document_id IN (SELECT document_id FROM ev WHERE stage = 'transform' AND status = 'ok')")
+def audit_ok_but_empty(spark, sf_dir):
+    return audit.ok_but_empty(views.events(spark, sf_dir)).select("id", "document_id", "stage", "reason_code")
+
+
+# ---------------------------------------------------------------- state, dedupe, routing
+
+
+def _now(spark, sf_dir):
+    return views.table(spark, sf_dir, "documents").select(c("doc_id").alias("key"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("checksum"))
+
+
+def _before(spark, sf_dir):
+    return _now(spark, sf_dir).where("key % 7 <> 0").withColumn("checksum", F.when(c("key") % 5 == 0, "stale").otherwise(c("checksum")))
+
+
+_STATE_SQL = "n AS (SELECT doc_id AS key, sha256(coalesce(text, '')) AS checksum FROM documents), b AS (SELECT key, CASE WHEN key % 5 = 0 THEN 'stale' ELSE checksum END AS checksum FROM n WHERE key % 7 <> 0), st AS (SELECT n.key, n.checksum, CASE WHEN b.checksum IS NULL THEN 'new' WHEN b.checksum = n.checksum THEN 'unchanged' ELSE 'changed' END AS status FROM n LEFT JOIN b USING (key))"
+
+
+@query(f"WITH {_STATE_SQL} SELECT * FROM st")
+def cdc_status(spark, sf_dir):
+    return state.change_status(_now(spark, sf_dir), _before(spark, sf_dir))
+
+
+@query(f"WITH {_STATE_SQL} SELECT key, checksum FROM b WHERE key NOT IN (SELECT key FROM st WHERE status <> 'unchanged') UNION ALL SELECT key, checksum FROM st WHERE status <> 'unchanged'")
+def state_merge(spark, sf_dir):
+    changed = state.change_status(_now(spark, sf_dir), _before(spark, sf_dir)).where("status <> 'unchanged'").select("key", "checksum")
+    return state.merge_state(_before(spark, sf_dir), changed)
+
+
+@query(f"WITH {_STATE_SQL} SELECT 'run' AS run_id, count(*) AS seen, count(*) FILTER (status <> 'unchanged') AS processed, count(*) FILTER (status = 'unchanged') AS skipped, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'changed') AS changed FROM st")
+def manifest_summary(spark, sf_dir):
+    return state.manifest(state.change_status(_now(spark, sf_dir), _before(spark, sf_dir)).withColumn("run_id", F.lit("run")))
+
+
+@query("SELECT vec_id, 'v2' AS version, len(embedding) AS dims FROM embeddings WHERE vec_id % 3 = 0 UNION ALL SELECT vec_id, 'v1', len(embedding) FROM embeddings WHERE vec_id % 3 <> 0")
+def index_upsert(spark, sf_dir):
+    rows = views.table(spark, sf_dir, "embeddings").select("vec_id", F.size("embedding").alias("dims"))
+    v = lambda name: rows.select("vec_id", F.lit(name).alias("version"), "dims")
+    return state.upsert(v("v1"), v("v2").where("vec_id % 3 = 0"), "vec_id")
+
+
+_DEDUPE_SQL = "d AS (SELECT doc_id, hash, first_value(doc_id) OVER (PARTITION BY hash ORDER BY doc_id % 3, doc_id) AS kept_key FROM (SELECT doc_id, sha256(coalesce(text, '')) AS hash FROM documents))"
+
+
+def _deduped(spark, sf_dir):
+    rows = views.table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))
+    return state.dedupe_content(rows, "hash", "doc_id", [(c("doc_id") % 3).alias("priority")])
+
+
+@query(f"WITH {_DEDUPE_SQL} SELECT * FROM d")
+def content_dedupe(spark, sf_dir):
+    return _deduped(spark, sf_dir)
+
+
+@query(f"WITH {_DEDUPE_SQL} SELECT kept_key, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS aliases FROM (SELECT DISTINCT * FROM d WHERE doc_id <> kept_key) GROUP BY kept_key")
+def duplicate_aliases(spark, sf_dir):
+    return state.aliases(_deduped(spark, sf_dir), "doc_id")
+
+
+_RULES = [("/de/", "external/de"), ("example.org", "external/org")]
+
+
+@query("SELECT page_id, CASE WHEN contains(url, '/de/') THEN 'external/de' WHEN contains(url, 'example.org') THEN 'external/org' ELSE 'external/unassigned' END AS target FROM pages")
+def domain_mapping(spark, sf_dir):
+    return views.table(spark, sf_dir, "pages").select("page_id", state.first_match(c("url"), _RULES, "external/unassigned").alias("target"))
+
+
+@query("SELECT page_id, CASE WHEN url GLOB 'https://*/de/*' THEN 'a' WHEN url GLOB '*example.[on]*' THEN 'b' WHEN url GLOB '*[13579]' THEN 'c' ELSE 'none' END AS target FROM pages")
+def glob_mapping(spark, sf_dir):
+    rules = [("https://*/de/*", "a"), ("*example.[on]*", "b"), ("*[13579]", "c")]
+    return views.table(spark, sf_dir, "pages").select("page_id", state.first_match(c("url"), rules, "none", kind="glob").alias("target"))
+
+
+@query("SELECT doc_id, CASE WHEN source = 'src0' THEN 'domains/core' WHEN source = 'src1' THEN 'domains/ops' ELSE '_unmapped/wiki/' || coalesce(nullif(trim(source), ''), '_missing_space') END AS target FROM documents")
+def publish_route(spark, sf_dir):
+    rows = views.table(spark, sf_dir, "documents").select("doc_id", c("source").alias("space"))
+    return state.publish_route(rows, {"src0": "domains/core", "src1": "domains/ops"}).select("doc_id", "target")
+
+
+# ---------------------------------------------------------------- terminology
+
+_TERM = "[A-Z][a-z]{3,}"
+_CAND_SQL = f"""p AS (SELECT source, doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{_TERM}')) AS term, generate_subscripts(regexp_extract_all(coalesce(text, ''), '{_TERM}'), 1) AS pos FROM documents),
+cand AS (SELECT source, lower(term) AS norm, count(*) AS n, arg_min(term, (doc_id, pos)) AS term, min(doc_id) AS first_seen, max(doc_id) AS last_seen FROM p WHERE NOT (lower(term) LIKE 'the%') GROUP BY ALL)"""
+
+
+def _candidates(spark, sf_dir):
+    return terminology.candidates(views.table(spark, sf_dir, "documents").select("doc_id", "text", "source"), _TERM, exclude=["the*"])
+
+
+@query(f"WITH {_CAND_SQL} SELECT * FROM cand")
+def term_candidates(spark, sf_dir):
+    return _candidates(spark, sf_dir)
+
+
+@query(f"WITH {_CAND_SQL} SELECT source, norm, CASE WHEN n % 2 = 0 THEN 2 * n ELSE n END AS n, term, first_seen, last_seen FROM cand")
+def candidate_merge(spark, sf_dir):
+    new = _candidates(spark, sf_dir)
+    return terminology.merge_report(new.where("n % 2 = 0"), new)
+
+
+@query(f"WITH {_CAND_SQL} SELECT source, norm, n, k.term_id IS NOT NULL AS known, CASE WHEN k.term_id IS NOT NULL THEN 'add_alias' WHEN n >= 3 THEN 'new_term' ELSE 'needs_review' END AS action, CASE WHEN k.term_id IS NOT NULL THEN 'done' ELSE 'open' END AS state FROM cand LEFT JOIN (VALUES ('anre', 't1'), ('orin', 't2')) k(norm, term_id) USING (norm)")
+def candidate_review(spark, sf_dir):
+    known = spark.createDataFrame([("anre", "t1"), ("orin", "t2")], "norm string, term_id string")
+    return terminology.review(_candidates(spark, sf_dir), known).select("source", "norm", "n", "known", "action", "state")
+
+
+# ---------------------------------------------------------------- text functions
+
+
+@query(r"""SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(lower(url), '[^a-z0-9äöüß\-\s]', '', 'g'), '\s+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'untitled') AS slug,
+coalesce(nullif(trim(regexp_replace(regexp_replace(regexp_extract(url, '[^/]*$'), '\.[^.]*$', ''), '[\s_-]+', ' ', 'g')), ''), 'untitled') AS title, CASE WHEN page_id % 60 = 0 THEN '' ELSE '' END || array_to_string(list_filter([
+CASE WHEN s // 86400 > 0 THEN (s // 86400) || 'd' END, CASE WHEN s % 86400 // 3600 > 0 THEN (s % 86400 // 3600) || 'h' END, CASE WHEN s % 3600 // 60 > 0 THEN (s % 3600 // 60) || 'm' END, CASE WHEN s % 60 > 0 OR s = 0 THEN (s % 60) || 's' END], lambda x: x IS NOT NULL), ' ') AS duration
+FROM (SELECT *, page_id * 977 AS s FROM pages)""")
+def text_names(spark, sf_dir):
+    rows = views.table(spark, sf_dir, "pages")
+    return rows.select("page_id", tx.slug(c("url")).alias("slug"), tx.title_from_name(F.regexp_extract("url", "[^/]*$", 0)).alias("title"), tx.duration(c("page_id") * 977).alias("duration"))
+
+
+@query(r"""SELECT doc_id, trim(regexp_replace(replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(lower(substring(coalesce(text, ''), 1, 80)), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), '/', ' '), '[^a-z0-9\s_-]', '', 'g'), '[_-]', ' ', 'g'), '~', ''), '\s+', ' ', 'g')) AS property_key FROM documents""")
+def property_normalise(spark, sf_dir):
+    return views.table(spark, sf_dir, "documents").select("doc_id", tx.property_key(F.substring(F.coalesce("text", F.lit("")), 1, 80)).alias("property_key"))
