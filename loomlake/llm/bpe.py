@@ -41,7 +41,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: UTF-8 bytes of white space beyond ASCII and of the four information separators, after which no cut is used.
 WIDE_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: Fragments in each of the two generations that a worker keeps, and the longest that it keeps.
-CACHE_FRAGMENTS, CACHE_BYTES = 400_000, 64
+CACHE_FRAGMENTS, CACHE_BYTES = 150_000, 64
 
 
 def _byte_alphabet() -> dict[str, int]:

@@ -61,7 +61,7 @@ LEADERS = 4
 #: Members of a group that are read together.
 BLOCK_MEMBERS = 64
 #: Shingles after which a task's local counts are reduced to those seen LOCAL_AT times.
-LOCAL_SHINGLES, LOCAL_AT = 4 << 20, 3
+LOCAL_SHINGLES, LOCAL_AT = 2 << 20, 3
 #: Nodes whose ids may be broadcast to fetch their texts; beyond that the fetch is a shuffle join.
 BROADCAST_IDS = 1 << 20
 

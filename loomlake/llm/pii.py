@@ -187,7 +187,7 @@ def shape(word: str) -> list[str]:
 _CUES = frozenset("at dot call phone tel mobile card number no host write to (at) [at] {at} (dot) [dot] {dot} page version com org net de fr".split())
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=20_000)
 def _features(word: str) -> tuple[str, ...]:
     return tuple(shape(word))
 
