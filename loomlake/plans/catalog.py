@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomlake.functions import frontmatter
 from loomlake.functions import text as tx
-from loomlake.operators import audit, chunking, retrieval, state, terminology
+from loomlake.operators import audit, chunking, markup, retrieval, state, terminology
 from loomlake.plans import views
+from loomlake.runtime import ensure_package
+from loomlake.sources import readers
+from loomlake.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -448,3 +453,91 @@ def text_names(spark, sf_dir):
 @query(r"""SELECT doc_id, trim(regexp_replace(replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(lower(substring(coalesce(text, ''), 1, 80)), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), '/', ' '), '[^a-z0-9\s_-]', '', 'g'), '[_-]', ' ', 'g'), '~', ''), '\s+', ' ', 'g')) AS property_key FROM documents""")
 def property_normalise(spark, sf_dir):
     return views.table(spark, sf_dir, "documents").select("doc_id", tx.property_key(F.substring(F.coalesce("text", F.lit("")), 1, 80)).alias("property_key"))
+
+
+# ---------------------------------------------------------------- markup, terms in texts, front matter, housekeeping
+
+
+@query()
+def html_to_markdown(spark, sf_dir):
+    out = markup.render_pages(views.table(spark, sf_dir, "pages"), "html", "url")
+    return out.select("page_id", F.sha2("markdown", 256).alias("markdown_hash"), F.length("markdown").alias("n_chars"), F.size("tables").alias("n_tables"), "n_tasks", "error")
+
+
+_TERMS = [terminology.Term("t1", "that the", ("the and",), "a pair", priority=1, related=("t2",)), terminology.Term("t2", "and", (), "a word", priority=2), terminology.Term("t3", "idiot", (), "", annotate=False)]
+
+
+@query()
+def term_matches(spark, sf_dir):
+    """Matches, annotated length and glossary size of every document."""
+    ensure_package(spark)
+    terms = _TERMS
+
+    @F.pandas_udf("n int, first int, annotated_chars int, block_lines int")
+    def matched(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts.fillna(""):
+            found = terminology.match(t, terms)
+            rows.append((len(found), found[0][0] if found else -1, len(terminology.annotate(t, terms)), len(terminology.block(t, terms))))
+        return pd.DataFrame(rows, columns=["n", "first", "annotated_chars", "block_lines"])
+
+    return views.table(spark, sf_dir, "documents").select("doc_id", matched("text").alias("m")).select("doc_id", "m.*")
+
+
+@query(r"""WITH w AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents), p AS (SELECT doc_id, regexp_replace(t, '([^\p{L}\p{N}_])', ' \1 ', 'g') AS t FROM w)
+SELECT doc_id, CAST(len(regexp_extract_all(' ' || t || ' ', '[^\p{L}\p{N}_]and[^\p{L}\p{N}_]')) AS INTEGER) AS n FROM p""")
+def term_occurrences(spark, sf_dir):
+    """Whole-word occurrences of one term in every document, without Python."""
+    return views.table(spark, sf_dir, "documents").select("doc_id", F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(?<![\p{L}\p{N}_])and(?![\p{L}\p{N}_])")).alias("n"))
+
+
+_VALIDATION = [
+    ("a", "Alpha", ["al", "alp"], "system", "none", "never", ["wiki"], ["b"]), ("b", "Beta", ["alp"], "planet", "always", "eligible", ["moon"], ["zz"]),
+    ("c", "alpha", [], "person", "first_occurrence", "sometimes", [], []), ("c", "", [], "role", "none", "never", [], []),
+]
+
+
+@query("""SELECT * FROM (VALUES ('error', 'required_field', 'c', ''), ('error', 'duplicate_canonical', 'a', 'Alpha'), ('error', 'duplicate_canonical', 'c', 'alpha'), ('error', 'invalid_term_class', 'b', 'planet'),
+('error', 'invalid_annotate_policy', 'b', 'always'), ('error', 'invalid_block_policy', 'c', 'sometimes'), ('error', 'unknown_source_type', 'b', 'moon'), ('error', 'duplicate_alias', 'a', 'alp'), ('error', 'duplicate_alias', 'b', 'alp'),
+('error', 'invalid_relation_target', 'b', 'zz'), ('error', 'duplicate_id', 'c', 'c'), ('error', 'duplicate_id', 'c', 'c'), ('warning', 'person_annotation', 'c', 'alpha'), ('warning', 'ambiguous_shortform', 'a', 'al')) t(severity, code, term_id, detail)""")
+def term_validation(spark, sf_dir):
+    schema = "term_id string, canonical string, aliases array<string>, term_class string, annotate string, block string, applies_to array<string>, related array<string>"
+    return terminology.validate(spark.createDataFrame(_VALIDATION, schema), ["wiki", "filesystem"])
+
+
+@query("SELECT doc_id, array_to_string(list_filter(['title', 'source_type', 'source_system', 'source_key'], lambda k: k = 'source_key' OR (k = 'title' AND doc_id % 5 = 0)), ',') AS missing FROM documents")
+def front_matter_validate(spark, sf_dir):
+    title = F.when(c("doc_id") % 5 == 0, "").otherwise("t")
+    meta = F.create_map(F.lit("title"), title, F.lit("source_type"), F.lit("wiki"), F.lit("source_system"), F.lit("s"))
+    return views.table(spark, sf_dir, "documents").select("doc_id", F.array_join(frontmatter.missing_fields(meta), ",").alias("missing"))
+
+
+@query()
+def front_matter_parse(spark, sf_dir):
+    ensure_package(spark)
+    rows = views.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("---\ntitle: T\ntags: a, b\nsource_type: "), F.coalesce("lang", F.lit("")), F.lit("\n---\n\n"), F.coalesce("text", F.lit(""))).alias("page"))
+    return rows.select("doc_id", frontmatter.parse_column(c("page")).alias("p")).select("doc_id", "p.meta", F.sha2("p.body", 256).alias("body_hash"), F.array_join("p.problems", "|").alias("problems"))
+
+
+@query("SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS category, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT DISTINCT url, length(html) AS size FROM pages WHERE starts_with(url, 'https://')) GROUP BY 1")
+def reset_plan(spark, sf_dir):
+    rows = views.table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("category"), c("url").alias("path"), F.length("html").alias("size"))
+    return state.deletion_plan(rows.distinct(), ["https:/"])
+
+
+@query("SELECT extension, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes, min(rel_path) AS example FROM (SELECT url AS rel_path, lower(regexp_extract(url, '\\.([^./]*)$', 1)) AS extension, length(html) AS size FROM pages) GROUP BY extension")
+def extension_inventory(spark, sf_dir):
+    rows = views.table(spark, sf_dir, "pages").select(c("url").alias("rel_path"), F.lower(F.regexp_extract("url", r"\.([^./]*)$", 1)).alias("extension"), F.length("html").alias("size"))
+    return readers.inventory(rows)
+
+
+@query(f"WITH {views.EVENTS_SQL} SELECT date_trunc('day', created_at)::TIMESTAMP AS day, stage, status, count(*) AS n FROM ev GROUP BY ALL")
+def audit_daily(spark, sf_dir):
+    return ingest.audit_windows(views.events(spark, sf_dir).withColumn("created_at", c("created_at").cast("timestamp"))).withColumn("day", c("day").cast("timestamp_ntz"))
+
+
+@query("SELECT d.doc_id, 'own' AS a, CASE WHEN l.doc_id IS NOT NULL THEN CAST(l.quality AS VARCHAR) END AS b FROM documents d LEFT JOIN labels l USING (doc_id)")
+def document_metadata_join(spark, sf_dir):
+    chunks = views.table(spark, sf_dir, "documents").select("doc_id", F.create_map(F.lit("a"), F.lit("own")).alias("metadata"))
+    labels = views.table(spark, sf_dir, "labels").select("doc_id", F.create_map(F.lit("a"), F.lit("doc"), F.lit("b"), c("quality").cast("string")).alias("metadata"), F.lit("r").alias("source_ref"))
+    return readers.with_document_metadata(chunks, labels).select("doc_id", F.element_at("metadata", "a").alias("a"), F.element_at("metadata", "b").alias("b"))
