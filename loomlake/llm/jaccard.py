@@ -244,23 +244,20 @@ def components(edges: DataFrame) -> DataFrame:
     join, and its result is a written table, so a lost executor costs one step.
     """
 
-    def links(rows: DataFrame, u: Column, v: Column) -> DataFrame:
-        return rows.select(u.alias("u"), v.alias("v")).where("u <> v").distinct()
-
-    state, seen = stored(links(edges, F.greatest("a", "b"), F.least("a", "b")), "links"), None
+    c = F.col
+    state = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
     while True:
-        both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # done when every node points at one root and no root points on
+        roles = state.select(c("u").alias("x"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(state.select(c("v").alias("x"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+        roles = roles.groupBy("x").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+        if not roles.where("below > 1 OR (below > 0 AND above > 0)").limit(1).count():
+            return state.select(c("u").alias("node"), c("v").alias("label")).unionByName(state.select(c("v").alias("node"), c("v").alias("label")).distinct())
+        both = state.unionByName(state.select(c("v").alias("u"), c("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = links(both.join(low, "u").where("v > u"), F.col("v"), F.col("m"))
+        large = both.join(low, "u").where("v > u").select(c("v").alias("u"), c("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = links(small.select("v", "m").unionByName(small.select(F.col("u").alias("v"), "m")), F.greatest("v", "m"), F.least("v", "m"))
-        state = stored(small, "links")
-        now = tuple(state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == seen or not now[0]:
-            break
-        seen = now
-    return state.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")).unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+        small = large.join(low, "u").select("v", "m").unionByName(low.select(c("u").alias("v"), "m"))
+        state = stored(small.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u <> v").distinct(), "links")
 
 
 def link_nodes(index: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
@@ -296,7 +293,7 @@ def link_nodes(index: DataFrame, docs: DataFrame, key: str, text: str, size: int
     texts = texts_of(docs, key, text, pairs.select(c("a").alias("id")).unionByName(pairs.select(c("b").alias("id"))))
     second = verified(pairs, stored(texts, "texts"), size, percent)
     # 6. classes: the groups and the links between them
-    return components(first.unionByName(second))
+    return components(groups.where("node <> label").select(c("node").alias("a"), c("label").alias("b")).unionByName(second))
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -313,7 +310,6 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     tokens = probes(given, key, text, size, percent, frequent).join(nodes.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
     index = tokens.select(F.col("id").alias("node"), "n", F.explode("tokens").alias("token"))
     index = stored(shared_only(index), "index")
-    index = stored(shared_only(can_link(index, percent)), "index")
     index = can_link(index, percent)
     bucket = W.partitionBy("token").orderBy("node").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     leaders = F.array_compact(F.array(*[F.nth_value(F.struct("node", "n"), k + 1).over(bucket) for k in range(LEADERS)]))
