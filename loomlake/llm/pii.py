@@ -379,7 +379,7 @@ def added_spans(texts: list[str], base: list[list[Span]], crf: CRF) -> list[list
                     u = t + 1
                     while u < length and TAGS[tags[row, u]] == f"I-{tag[2:]}":
                         u += 1
-                    outside = float(node[row, t:u, 0].max())
+                    outside = float(node[row, t, 0])
                     if np.log(max(1 - outside, 1e-12) / max(outside, 1e-12)) >= LEAST_MARGIN:
                         begin, end = words[t][1], words[u - 1][2]
                         while begin < end - 1 and texts[i][begin] in _EDGE:
