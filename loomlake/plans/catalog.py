@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomlake.functions import frontmatter
 from loomlake.functions import text as tx
-from loomlake.operators import audit, chunking, markup, retrieval, state, terminology
+from loomlake.operators import answer, audit, chunking, markup, retrieval, state, terminology
 from loomlake.plans import views
 from loomlake.runtime import ensure_package
 from loomlake.sources import readers
@@ -541,3 +541,31 @@ def document_metadata_join(spark, sf_dir):
     chunks = views.table(spark, sf_dir, "documents").select("doc_id", F.create_map(F.lit("a"), F.lit("own")).alias("metadata"))
     labels = views.table(spark, sf_dir, "labels").select("doc_id", F.create_map(F.lit("a"), F.lit("doc"), F.lit("b"), c("quality").cast("string")).alias("metadata"), F.lit("r").alias("source_ref"))
     return readers.with_document_metadata(chunks, labels).select("doc_id", F.element_at("metadata", "a").alias("a"), F.element_at("metadata", "b").alias("b"))
+
+
+@query(f"WITH {_FINAL_SQL} SELECT query_id, CAST(final_rank AS INTEGER) AS source_number, doc_id, chunk_id, title, nullif(section_header, '') AS section_header, score FROM (SELECT f.*, h.score FROM final f JOIN hybrid h ON f.query_id = h.query_id AND f.chunk_id = h.chunk_id)")
+def source_objects(spark, sf_dir):
+    return answer.source_objects(_final(spark, sf_dir).withColumn("rank", c("final_rank")))
+
+
+@query("""WITH p AS (SELECT doc_id AS page, CASE WHEN doc_id % 3 = 0 THEN 'Priorität' WHEN doc_id % 3 = 1 THEN 'Modul/OFT' ELSE 'Other' END AS label, lang AS value FROM documents)
+SELECT page, CASE WHEN label = 'Priorität' THEN 'priorität' ELSE 'modul/oft' END AS name, value FROM p WHERE label <> 'Other' AND page % 2 = 0 UNION ALL SELECT page, CASE WHEN label = 'Priorität' THEN 'priorität' ELSE 'modul/oft' END, 'own' FROM p WHERE label <> 'Other' AND page % 2 = 1""")
+def property_promote(spark, sf_dir):
+    label = F.when(c("doc_id") % 3 == 0, "Priorität").when(c("doc_id") % 3 == 1, "Modul/OFT").otherwise("Other")
+    pairs = views.table(spark, sf_dir, "documents").select(c("doc_id").alias("page"), tx.property_key(label).alias("key"), c("lang").alias("value"), F.lit(1).alias("ord"))
+    rules = spark.createDataFrame([("prioritaet", "priorität"), ("prio", "priorität"), ("modul oft", "modul/oft")], "alias string, name string")
+    name = F.when(c("page") % 3 == 0, "priorität").otherwise("modul/oft")
+    existing = pairs.where("page % 2 = 1 AND page % 3 <> 2").select("page", name.alias("name"), F.lit("own").alias("value"))
+    return answer.promote(pairs, rules, existing)
+
+
+@query(f"WITH {_FUNNEL_SQL} SELECT arg_max(run_id, (expected_dropoff, run_id)) AS largest_expected, max(expected_dropoff) AS expected, arg_max(run_id, (problematic_dropoff, run_id)) AS largest_problematic, max(problematic_dropoff) AS problematic FROM funnel")
+def audit_largest_drops(spark, sf_dir):
+    f = audit.funnel(views.events(spark, sf_dir))
+    return f.agg(F.max_by("run_id", F.struct("expected_dropoff", "run_id")).alias("largest_expected"), F.max("expected_dropoff").alias("expected"), F.max_by("run_id", F.struct("problematic_dropoff", "run_id")).alias("largest_problematic"), F.max("problematic_dropoff").alias("problematic"))
+
+
+@query(r"SELECT page_id, CASE WHEN regexp_matches(title, '(?i)^log\s+\d{4}\b') THEN 'filtered_by_rule' WHEN length(html) < 400 THEN 'too_small' ELSE 'ok' END AS verdict FROM (SELECT page_id, html, CASE WHEN page_id % 5 = 0 THEN 'Log 2024 x' ELSE url END AS title FROM pages)")
+def page_filters(spark, sf_dir):
+    title = F.when(c("page_id") % 5 == 0, "Log 2024 x").otherwise(c("url"))
+    return views.table(spark, sf_dir, "pages").select("page_id", F.when(title.rlike(r"(?i)^log\s+\d{4}\b"), "filtered_by_rule").when(F.length("html") < 400, "too_small").otherwise("ok").alias("verdict"))

@@ -200,3 +200,31 @@ def test_stream_ingests_changes_once(spark, tmp_path):
     ingest.ingest_stream(source, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert sorted((r.key, r.text) for r in spark.read.parquet(str(tmp_path / "out/chunks/*")).collect()) == [("a", "x"), ("b", "changed"), ("b", "y")]
     assert ingest.current_state(spark, str(tmp_path / "out")).count() == 2
+
+
+class Echo:
+    name = "echo"
+
+    def __init__(self):
+        self.prompts = []
+
+    def generate(self, prompt):
+        self.prompts.append(prompt)
+        return "It is so [Source 1]"
+
+
+def test_ask_from_question_to_answer(spark):
+    from loomlake.operators import answer
+
+    rows = [(1, "1", "the cat sits on the mat", "Cats"), (2, "2", "the cat sits on the mat", "Cats"), (3, "3", "dogs run in the park", "Dogs"), (4, "4", None, None)]
+    chunks = spark.createDataFrame(rows, "doc_id long, chunk_id string, text string, title string")
+    embedder, echo = answer.HashEmbedder(16), Echo()
+    vectors = spark.createDataFrame([(r[0], r[1], v) for r, v in zip(rows, embedder.embed([r[2] or "" for r in rows]))], "doc_id long, chunk_id string, embedding array<double>")
+    got = answer.ask(chunks, vectors, "cat mat", embedder, answer.LexicalReranker(), echo)
+    assert got["answer"] == "It is so [1]" and [s["title"] for s in got["sources"]][:1] == ["Cats"]
+    assert sum(s["title"] == "Cats" for s in got["sources"]) == 1 and "SOURCE 1" in echo.prompts[0]
+    silent = Echo()
+    assert answer.ask(chunks, vectors, "zzz", embedder, None, silent)["answer"] is not None or silent.prompts == []
+    with pytest.raises(ValueError):
+        answer.check_index({"model": "a"}, "p", "b")
+    answer.check_index({}, "p", "b")
