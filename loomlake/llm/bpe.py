@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from loomlake.llm.common import SPACE, TextBatch
+from loomlake.llm.common import SPACE, TextBatch, map_batches
 
 #: The pre-tokenizer's pattern of the public byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -266,7 +266,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
                 arrays += [pa.array(d1, pa.string()), pa.array(d2, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return frame.mapInArrow(run, schema)
+    return map_batches(frame, run, schema)
 
 
 def decode(frame: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -282,4 +282,4 @@ def decode(frame: DataFrame, path: str, ids: str = "ids", out: str = "decoded")
             texts = [None if x is None else bpe.decode(x) for x in batch.column(where).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
 
-    return frame.select(*names).mapInArrow(run, schema)
+    return map_batches(frame.select(*names), run, schema)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomlake.llm.common import Run, TextBatch, mix, stored
+from loomlake.llm.common import Run, TextBatch, map_batches, mix, stored
 from loomlake.llm.toxicity import _MAP as WORD_BYTES
 
 SEED_WORDS = 3
@@ -215,7 +215,7 @@ def word_chances(docs: DataFrame, text: str, vocabulary: np.ndarray) -> tuple[di
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["word", "n"])
 
     # one row for each word of the block at most
-    rows = docs.select(text).mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = map_batches(docs.select(text), run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
     keys = np.unique(vocabulary)
     n = np.zeros(len(keys) + 2)
     for r in rows:
@@ -268,7 +268,7 @@ def _scan_block(docs: DataFrame, block: Block, text: str, leak_at: float, out: s
             rows = [[*b, *({"item_id": i, "similarity": s, "first_word": x, "last_word": y} for i, s, x, y in f)] for b, f in zip(before, found)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns - 2)), pa.array(rows, kind)], names=schema.names)
 
-    return frame.mapInArrow(run, schema)
+    return map_batches(frame, run, schema)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:

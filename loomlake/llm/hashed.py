@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.llm.common import Run, TextBatch
+from loomlake.llm.common import Run, TextBatch, map_batches
 
 
 @dataclass(frozen=True)
@@ -120,7 +120,7 @@ def collect_vectors(rows: DataFrame, text: str, label: str, space: Space) -> tup
 
     frame = rows.select(F.col(text).alias("text"), F.col(label).alias("label"))
     kind = dict(frame.dtypes)["label"]
-    got = frame.mapInArrow(run, f"label {kind}, idx binary, val binary").orderBy("label", "idx", "val").collect()
+    got = map_batches(frame, run, f"label {kind}, idx binary, val binary").orderBy("label", "idx", "val").collect()
     x = np.zeros((len(got), space.size), dtype=np.float32)
     for row, r in zip(x, got):
         row[np.frombuffer(r[1], np.int32)] = np.frombuffer(r[2], np.float32)

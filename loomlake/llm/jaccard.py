@@ -47,7 +47,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomlake.llm.common import FOLD, Run, TextBatch, mix, stored
+from loomlake.llm.common import FOLD, Run, TextBatch, map_batches, mix, stored
 from loomlake.llm.decontaminate import Lookup, gram_keys
 from loomlake.runtime import ensure_package
 
@@ -182,7 +182,7 @@ def measured(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
         if held:
             yield frequent()
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return map_batches(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), run, schema)
 
 
 def probes(docs: DataFrame, key: str, text: str, size: int, percent: int, frequent: np.ndarray) -> DataFrame:
@@ -206,7 +206,7 @@ def probes(docs: DataFrame, key: str, text: str, size: int, percent: int, freque
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "n", "tokens"])
 
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "id bigint, n bigint, tokens array<bigint>")
+    return map_batches(rows, run, "id bigint, n bigint, tokens array<bigint>")
 
 
 def texts_of(docs: DataFrame, key: str, text: str, ids: DataFrame) -> DataFrame:
@@ -234,7 +234,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
             mask = pa.array(hit)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint").distinct()
+    return map_batches(both.select("a", "b", "text_a", "text_b"), run, "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -306,7 +306,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     frequent = first.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_AT).orderBy(F.desc("n"), "id").limit(FREQUENT_LIMIT).select("id")
     frequent = np.sort(frequent.toPandas()["id"].to_numpy(dtype=np.int64).view(np.uint64))
     by_set = ["n", "sig_a", "sig_b"]
-    nodes = sets.where("n > 0 AND id IS NOT NULL").groupBy(*by_set).agg(F.min("id").alias("node"))
+    # stored, so that the last join has a shuffle of its own on either side and Spark splits a hot set's rows
+    nodes = stored(sets.where("n > 0 AND id IS NOT NULL").groupBy(*by_set).agg(F.min("id").alias("node")), "nodes")
     tokens = probes(given, key, text, size, percent, frequent).join(nodes.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
     index = tokens.select(F.col("id").alias("node"), "n", F.explode("tokens").alias("token"))
     index = stored(shared_only(index), "index")

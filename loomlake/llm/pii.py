@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from loomlake.llm.common import map_batches
+
 #: Kinds in the order in which they are listed.
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = r"[A-Za-z0-9._%+-]"
@@ -448,4 +450,4 @@ def detect(docs: DataFrame, text: str = "text", redacted: str | None = None) ->
                 arrays.append(pa.array(clean, pa.string()))
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return frame.mapInArrow(run, schema)
+    return map_batches(frame, run, schema)

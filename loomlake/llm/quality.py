@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomlake.llm.common import SPACE, Run, TextBatch, mix
+from loomlake.llm.common import Run, SPACE, TextBatch, map_batches, mix
 from loomlake.llm.hashed import Space, bounded_sample, collect_vectors, fit_linear, linear_scores, platt, sigmoid
 
 #: Fixed values of the base rules.
@@ -142,4 +142,4 @@ def apply(docs: DataFrame, model: Model, text: str = "text", threshold: float =
             arrays += [pa.array(failed.astype(bool)), pa.array(col["p"].astype(np.float64)), pa.array(~failed.astype(bool) & (col["p"] >= threshold))]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return frame.mapInArrow(run, schema)
+    return map_batches(frame, run, schema)
