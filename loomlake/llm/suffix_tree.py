@@ -1,36 +1,43 @@
 """Language-model scoring with a probabilistic suffix tree.
 
 A text is its words ([^\\x20\\x09-\\x0D]+, A-Z lower-cased) and one end.  The
-tree's symbols are classes of words: each of the most frequent words is a class,
-and other words are classed by their last letters; the end is a class too.
-P(text) is the product over tokens of P(class | context) * P(word | class).
-
-* Contexts of up to DEPTH classes are counted over all training texts.
-* A context stays in the tree only if it has LEAST_SHARE of all tokens, and LEAST
-  tokens, and its next-symbol distribution diverges from its suffix's
-  (count-weighted Kullback-Leibler divergence of GAIN nats or more).
+tree's symbols are words: each word with LEAST training tokens or more is a
+symbol, and words with fewer, which can never be a context of their own, are
+classed by their last two bytes; the end is a symbol too.
+P(text) is the product over tokens of P(symbol | context) * P(word | symbol).
+
+* Contexts of up to DEPTH symbols are counted over all training texts.
+* A context stays in the tree only if it has LEAST tokens and its next-symbol
+  distribution diverges from its suffix's (count-weighted Kullback-Leibler
+  divergence of GAIN nats or more).  Both are absolute: what is kept on a small
+  table is kept when other texts are added to it.
 * Distributions are smoothed by their suffix's: (count + STRENGTH * shorter) / (total + STRENGTH),
-  down to the uniform distribution.
-* The longest retained suffix of the classes before a token is its state.
-* Within its class a word has (count) / (class count + class singletons); all words
-  of a class that training has not seen share the singletons' part (Good and Turing).
+  down to the uniform distribution over the words that are symbols, all endings and the end.
+* The longest retained suffix of the symbols before a token is its state.
+* A word that is a symbol has its symbol's probability.  Within its ending another
+  word has (count) / (ending's count + ending's singletons); all words of an
+  ending that training has not seen share the singletons' part (Good and Turing).
 
 The outcomes are thus those of the base score - the known words and unknown -
-with unknown told apart by class, so the two compare.
+with unknown told apart by ending, so the two compare.
 
-Classes are bounded by the alphabet and retained contexts by 1 / LEAST_SHARE for
-each length, which bounds the broadcast whatever the corpus.  Word counts are not
-bounded and stay distributed: texts fall into blocks of a few MB, each block asks
-for the counts of its own distinct words only, and a word that is in every block
-costs one row for each.  A block is a stretch of an input partition, so the input
-must be partitioned alike whenever it is read (a table is; store anything else
-first); a block that meets a word it did not ask for fails instead of guessing.
+Neither symbols nor contexts are bounded, and both grow with the corpus, so
+word counts and tree stay distributed; only a table by ending (65,536 entries) is
+broadcast.  Texts fall into blocks of a few MB; each block asks for the counts of
+its own distinct words, then for the probabilities of its own distinct sequences
+of DEPTH + 1 symbols, and what is in every block costs one row for each.  A block
+is a stretch of an input partition, so the input must be partitioned alike whenever
+it is read (a table is; store anything else first); a block that meets a word or a
+sequence it did not ask for fails instead of guessing.
 
 Words are compared by 64-bit hash: two of n distinct words are taken for one with
-a probability of about n**2 / 2**65.
+a probability of about n**2 / 2**65.  Sequences are compared by their symbols, and
+within a block by 64-bit hash.
 
 Null and empty texts are the end alone.  With no training token counts are 0 and
-the model is uniform over classes.
+the model is uniform over symbols.
+
+``packed``, ``smooth`` and ``Tree`` are the same tree held in memory, for a closed alphabet of SYMBOLS.
 """
 
 from __future__ import annotations
@@ -46,16 +53,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomlake.llm.common import FOLD, Run, TextBatch, stored
+from loomlake.llm.common import FOLD, Run, TextBatch, mix, stored
 
 DEPTH = 3
-#: Share of all training tokens, and number, that a context must have.
-LEAST_SHARE, LEAST = 1e-5, 4
+#: Training tokens that a context, and a word that is a symbol, must have.
+LEAST = 4
 GAIN, STRENGTH = 4.0, 4.0
-#: Classes: frequent words, frequent endings, the rest; then the end of the text. BEGIN occurs in contexts only.
-FREQUENT_WORDS, ENDINGS = 30, 31
-OTHER, TEXT_END, BEGIN, SYMBOLS = FREQUENT_WORDS + ENDINGS, 62, 63, 63
-BITS = 6
+#: Symbols other than word hashes: the end of the text, what is before its first word (in contexts only), then the endings.
+TEXT_END, START, FIRST_ENDING, ENDINGS = 0, 2, 3, 1 << 16
+#: The closed alphabet of the tree in memory.
+BEGIN, SYMBOLS, BITS = 63, 63, 6
 #: Bytes of text in a block.
 BLOCK_BYTES = 8 << 20
 #: Stands for the end of the text among word hashes.
@@ -81,20 +88,28 @@ def tokens_of(run: Run) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, ends, first + np.arange(n + 1)
 
 
-@dataclass
-class Classes:
-    """Class of every token, from bounded tables of frequent words (sorted hashes) and endings."""
+def symbols_of(hashes: np.ndarray, endings: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Symbol of every token, given its word's training count."""
+    return np.where(hashes == END, TEXT_END, np.where(counts >= LEAST, hashes.view(np.int64), endings + FIRST_ENDING))
+
+
+def sequences_of(symbols: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """For each token of texts that begin at the given places: its own symbol and the DEPTH symbols before it, nearest first, as rows of DEPTH + 1."""
+    place = np.arange(len(symbols)) - np.repeat(begins, np.diff(np.append(begins, len(symbols))))
+    out = np.full((DEPTH + 1, len(symbols)), START, dtype=np.int64)
+    out[0] = symbols
+    for k in range(1, DEPTH + 1):
+        out[k, k:] = symbols[: max(0, len(symbols) - k)]
+        out[k, place < k] = START
+    return out
 
-    words: np.ndarray
-    endings: np.ndarray  # class of each of the 65,536 endings
 
-    def of(self, hashes: np.ndarray, endings: np.ndarray) -> np.ndarray:
-        out = self.endings[endings]
-        if len(self.words):
-            k = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-            hit = self.words[k] == hashes
-            out = np.where(hit, k, out)
-        return np.where(hashes == END, TEXT_END, out)
+def sequence_hashes(sequences: np.ndarray) -> np.ndarray:
+    out = np.zeros(sequences.shape[1], dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for row in sequences:
+            out = mix(out * np.uint64(3) + row.view(np.uint64))
+    return out
 
 
 def _blocks(texts: TextBatch, before: int) -> np.ndarray:
@@ -149,21 +164,11 @@ def _deal(names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
     """Puts the block in front of each row, as ``_block_words`` numbers them."""
     part, before = TaskContext.get().partitionId() << 24, 0
     for batch in batches:
-        texts = TextBatch(batch.column(1))
-        yield pa.RecordBatch.from_arrays([pa.array(_blocks(texts, before) + part), batch.column(0), batch.column(1)], names=names)
+        texts = TextBatch(batch.column(batch.num_columns - 1))
+        yield pa.RecordBatch.from_arrays([pa.array(_blocks(texts, before) + part), *batch.columns], names=names)
         before += int(texts.offsets[-1] - texts.offsets[0])
 
 
-def choose_classes(counts: DataFrame) -> Classes:
-    real = counts.where(F.col("word") != int(END))
-    words = np.sort(np.array([r[0] for r in real.orderBy(F.desc("c"), "word").limit(FREQUENT_WORDS).select("word").collect()], dtype=np.int64).view(np.uint64))
-    ends = real.groupBy("ending").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "ending").limit(ENDINGS).collect()
-    table = np.full(1 << 16, OTHER, dtype=np.int64)
-    for i, r in enumerate(ends):
-        table[r["ending"]] = FREQUENT_WORDS + i
-    return Classes(words, table)
-
-
 def packed(classes: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """For each token of texts that begin at the given places: the DEPTH classes before it and its own, packed."""
     place = np.arange(len(classes)) - np.repeat(begins, np.diff(np.append(begins, len(classes))))
@@ -176,30 +181,6 @@ def packed(classes: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return code
 
 
-def _context_counts(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the packed class sequences of a task's texts."""
-    classes: Classes = shared.value
-    keys, counts, held, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
-
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        own, n = np.unique(np.concatenate(held), return_counts=True)
-        both, where = np.unique(np.concatenate((keys, own)), return_inverse=True)
-        return both, np.bincount(where, np.concatenate((counts, n)), len(both)).astype(np.int64)
-
-    for batch in batches:
-        for run in TextBatch(batch.column(0)).runs():
-            hashes, ends, begins = tokens_of(run)
-            code = packed(classes.of(hashes, ends), begins[:-1])
-            held.append(code)
-            size += len(code)
-            if size > 4 << 20:
-                keys, counts = merged()
-                held, size = [], 0
-    if held:
-        keys, counts = merged()
-    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["code", "c"])
-
-
 @dataclass
 class Tree:
     """Next-symbol log10 probabilities of all (context, symbol) pairs of the retained contexts, by context length."""
@@ -236,35 +217,26 @@ class Tree:
         return out[where]
 
 
-def grow(counted: DataFrame) -> Tree:
-    """Prunes the counted sequences (code, c) by the divergence tests and smooths what stays."""
+def grow(sequences: DataFrame, n_symbols: int) -> DataFrame:
+    """Probability ``p`` of the last symbol of each sequence of DEPTH + 1 symbols (s3 .. s0, with c training tokens, maybe none)."""
     c = F.col
-    counted = stored(counted, "sequences")
-    total = counted.agg(F.sum("c")).first()[0] or 0
-    least = max(LEAST, LEAST_SHARE * total)
-    levels = {DEPTH: counted.withColumn("ctx", F.shiftright("code", BITS))}
-    below = counted
-    for length in range(DEPTH - 1, -1, -1):
-        mask = (1 << BITS * (length + 1)) - 1
-        below = stored(below.select(c("code").bitwiseAND(F.lit(mask)).alias("code"), "c").groupBy("code").agg(F.sum("c").alias("c")), "sequences")
-        levels[length] = below.withColumn("ctx", F.shiftright("code", BITS))
-    retained = None
-    for length, rows in levels.items():
-        totals = rows.groupBy("ctx").agg(F.sum("c").alias("n")).where(c("n") >= least)
-        rows = rows.join(totals, "ctx")
-        if length:
-            mask = (1 << BITS * length) - 1
-            short = levels[length - 1].select(c("code").alias("s_code"), c("c").alias("s_c"))
-            short_n = levels[length - 1].groupBy(c("ctx").alias("s_ctx")).agg(F.sum("c").alias("s_n"))
-            rows = rows.withColumn("s_code", c("code").bitwiseAND(F.lit(mask))).join(short, "s_code").withColumn("s_ctx", F.shiftright("s_code", BITS)).join(short_n, "s_ctx")
-            gain = rows.groupBy("ctx").agg(F.sum(c("c") * F.log((c("c") / c("n")) / (c("s_c") / c("s_n")))).alias("gain")).where(c("gain") >= GAIN)
-            rows = rows.join(gain, "ctx")
-        rows = rows.select(F.lit(length).alias("length"), "code", "c")
-        retained = rows if retained is None else retained.unionByName(rows)
-    # at most 1 / LEAST_SHARE contexts of a length: a proven bound
-    got = retained.toArrow()
-    length, code, n = (got.column(k).to_numpy() for k in range(3))
-    return smooth({k: (code[length == k].astype(np.uint64), n[length == k].astype(np.float64)) for k in range(DEPTH + 1)}, int(total))
+    names = [f"s{k}" for k in range(DEPTH, -1, -1)]
+    level = {DEPTH: stored(sequences.groupBy(*names).agg(F.sum("c").alias("c")), "sequences")}
+    for k in range(DEPTH - 1, -1, -1):
+        level[k] = stored(level[k + 1].groupBy(*names[DEPTH - k :]).agg(F.sum("c").alias("c")), "sequences")
+    total = level[0].agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    done = level[0].select("s0", "c", F.lit(total).alias("n"), ((c("c") + STRENGTH / n_symbols) / (total + STRENGTH)).alias("p"))
+    for k in range(1, DEPTH + 1):
+        key = names[DEPTH - k :]
+        context, shorter = key[:-1], key[1:]
+        rows = stored(level[k].join(done.select(*shorter, c("c").alias("s_c"), c("n").alias("s_n"), c("p").alias("s_p")), shorter), "sequences")
+        # sum of c * ln((c / n) / (s_c / s_n)) with n, the sum of c, taken out
+        gain = F.sum(c("c") * (F.log("c") - F.log("s_c") + F.log("s_n"))) - F.sum("c") * F.log(F.sum("c"))
+        contexts = rows.where("c > 0").groupBy(*context).agg(F.sum("c").alias("n"), gain.alias("gain"))
+        kept = (c("n") >= LEAST) & (c("gain") >= GAIN)
+        p = F.when(kept, (c("c") + STRENGTH * c("s_p")) / (c("n") + STRENGTH)).otherwise(c("s_p"))
+        done = stored(rows.join(contexts, context, "left").select(*key, "c", F.coalesce("n", F.lit(0)).alias("n"), p.alias("p")), "sequences")
+    return done
 
 
 def smooth(kept: dict[int, tuple[np.ndarray, np.ndarray]], total: int) -> Tree:
@@ -283,17 +255,10 @@ def smooth(kept: dict[int, tuple[np.ndarray, np.ndarray]], total: int) -> Tree:
     return tree
 
 
-def class_totals(counts: DataFrame, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
-    """Training tokens and words seen once of each class."""
-    ends = {int(e): int(k) for e, k in zip(np.flatnonzero(classes.endings != OTHER), classes.endings[classes.endings != OTHER])}
-    kind = F.lit(OTHER)
-    for e, k in ends.items():
-        kind = F.when(F.col("ending") == e, F.lit(k)).otherwise(kind)
-    for k, w in enumerate(classes.words.view(np.int64).tolist()):
-        kind = F.when(F.col("word") == w, F.lit(k)).otherwise(kind)
-    kind = F.when(F.col("word") == int(END), F.lit(TEXT_END)).otherwise(kind)
-    out = np.zeros((2, SYMBOLS))
-    for r in counts.groupBy(kind.alias("class")).agg(F.sum("c"), F.count_if(F.col("c") == 1)).collect():
+def ending_totals(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Training tokens and words seen once of each ending, over words that are no symbols: at most 65,536 rows."""
+    out = np.zeros((2, ENDINGS))
+    for r in counts.where((F.col("word") != int(END)) & (F.col("c") < LEAST)).groupBy("ending").agg(F.sum("c"), F.count_if(F.col("c") == 1)).collect():
         out[:, r[0]] = r[1], r[2]
     return out[0], out[1]
 
@@ -304,43 +269,72 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     ``train`` says which rows the model learns from.
     """
     spark = docs.sparkSession
-    given = docs.select(F.col(key).alias(key), F.col(text).cast("string").alias("__text"), F.coalesce(train, F.lit(False)).alias("__train"))
+    given = docs.select(F.col(key).alias(key), F.coalesce(train, F.lit(False)).alias("__train"), F.col(text).cast("string").alias("__text"))
     asked = stored(given.select("__text", "__train").mapInArrow(_block_words, "block bigint, word bigint, ending bigint, c bigint"), "block-words")
     counts = stored(asked.where("c > 0").groupBy("word").agg(F.sum("c").alias("c"), F.min("ending").alias("ending")), "word-counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    classes = choose_classes(counts)
-    tokens, singles = class_totals(counts, classes)
-    shared = spark.sparkContext.broadcast(classes)
-    sequences = given.where("__train").select("__text").mapInArrow(partial(_context_counts, shared), "code bigint, c bigint")
-    tree = grow(sequences.groupBy("code").agg(F.sum("c").alias("c")))
-    told = asked.select("block", "word").join(counts.select("word", "c"), "word", "left").select("block", "word", F.coalesce("c", F.lit(0)).alias("c"))
-    names = ["block", key, "__text"]
-    dealt = given.select(key, "__text").mapInArrow(partial(_deal, names), T.StructType([T.StructField("block", T.LongType()), *given.select(key, "__text").schema.fields]))
+    total, distinct, own = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if((F.col("c") >= LEAST) & (F.col("word") != int(END)))).first()
+    words = stored(asked.select("block", "word").join(counts.select("word", "c"), "word", "left").select("block", "word", F.coalesce("c", F.lit(0)).alias("c")), "told-words")
+    names = ["block", key, "__train", "__text"]
+    dealt = given.mapInArrow(partial(_deal, names), T.StructType([T.StructField("block", T.LongType()), *given.schema.fields]))
+    parts = ", ".join(f"s{k} bigint" for k in range(DEPTH, -1, -1))
+    sequences = stored(dealt.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_block_sequences, f"block bigint, place bigint, {parts}, c bigint"), "block-sequences")
+    on = [f"s{k}" for k in range(DEPTH, -1, -1)]
+    tree = grow(sequences, own + ENDINGS + 1)
+    told = words.select("block", F.lit(False).alias("sequence"), F.col("word").alias("at"), F.col("c").cast("double").alias("value"))
+    told = told.unionByName(sequences.join(tree.select(*on, "p"), on).select("block", F.lit(True).alias("sequence"), F.col("place").alias("at"), F.col("p").alias("value")))
     schema = T.StructType([docs.schema[key], *(T.StructField(n, k) for n, k in (("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())))])
-    everything = spark.sparkContext.broadcast((tree, classes, tokens, singles))
-    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(partial(_score_block, everything, key, total, distinct, schema), schema)
+    shared = spark.sparkContext.broadcast(ending_totals(counts))
+    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(partial(_score_block, shared, key, total, distinct, schema), schema)
 
 
-def _score_block(shared, key: str, total: int, distinct: int, schema: T.StructType, texts: pa.Table, told: pa.Table) -> pa.Table:
-    tree, classes, tokens, singles = shared.value
-    words = told.column("word").to_numpy().view(np.uint64)
+def _counted_runs(texts: pa.Table, words: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each run of a block's texts: its first row, then tokens' hashes, endings, training counts, and where documents begin."""
     order = np.argsort(words)
-    words, counts = words[order], told.column("c").to_numpy()[order].astype(np.float64)
-    once = np.maximum(singles, 1.0)  # unknown words share the singletons' part of their class; a class without any has room for one
-    parts: list[tuple[np.ndarray, ...]] = []
+    words, counts = words[order], counts[order]
+    row = 0
     for chunk in texts.column("__text").chunks:
         for run in TextBatch(chunk).runs():
             hashes, ends, begins = tokens_of(run)
             k = np.minimum(np.searchsorted(words, hashes), max(0, len(words) - 1))
             if not len(words) or (words[k] != hashes).any():
                 raise RuntimeError("the input was partitioned differently when it was read again; store it first")
-            c = counts[k]
-            kind = classes.of(hashes, ends)
-            base = np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
-            within = np.where(kind == TEXT_END, 0.0, np.log10(np.where(c > 0, c, once[kind]) / (tokens + once)[kind]))
-            model = within + tree.symbols(packed(kind, begins[:-1]))
-            fold = lambda v: np.add.reduceat(v, begins[:-1])
-            parts.append((np.diff(begins), fold((c > 0).astype(np.int64)), fold(base), fold(model)))
-    n, known, base, model = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in range(4))
-    ids = texts.column(key) if texts.num_rows else pa.array([], told.schema.field("word").type)
+            yield row + run.first, hashes, ends, counts[k], begins
+        row += len(chunk)
+
+
+def _block_sequences(texts: pa.Table, told: pa.Table) -> pa.Table:
+    """The distinct sequences of a block in the order of their hashes, with their counts in training texts."""
+    learn = texts.column("__train").to_numpy().astype(np.float64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for row, hashes, ends, c, begins in _counted_runs(texts, told.column("word").to_numpy().view(np.uint64), told.column("c").to_numpy()):
+        held.append((sequences_of(symbols_of(hashes, ends, c), begins[:-1]), np.repeat(learn[row : row + len(begins) - 1], np.diff(begins))))
+    sequences = np.concatenate([h[0] for h in held], axis=1) if held else np.zeros((DEPTH + 1, 0), np.int64)
+    keys, at, where = np.unique(sequence_hashes(sequences), return_index=True, return_inverse=True)
+    n = np.bincount(where, np.concatenate([h[1] for h in held]), len(keys)) if held else np.zeros(0)
+    block = told.column("block")[0].as_py() if told.num_rows else 0
+    columns = [pa.array(np.full(len(keys), block, np.int64)), pa.array(np.arange(len(keys))), *(pa.array(sequences[k][at]) for k in range(DEPTH, -1, -1)), pa.array(n.astype(np.int64))]
+    return pa.table(columns, names=["block", "place", *(f"s{k}" for k in range(DEPTH, -1, -1)), "c"])
+
+
+def _score_block(shared, key: str, total: int, distinct: int, schema: T.StructType, texts: pa.Table, told: pa.Table) -> pa.Table:
+    tokens, singles = shared.value
+    once = np.maximum(singles, 1.0)  # unknown words share the singletons' part of their ending; an ending without any has room for one
+    sequence, at, value = (told.column(n).to_numpy() for n in ("sequence", "at", "value"))
+    p = value[sequence][np.argsort(at[sequence])]
+    parts: list[tuple[np.ndarray, ...]] = []
+    keys: list[np.ndarray] = []
+    for _, hashes, ends, c, begins in _counted_runs(texts, at[~sequence].view(np.uint64), value[~sequence]):
+        symbols = symbols_of(hashes, ends, c)
+        base = np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
+        within = np.where((hashes == END) | (c >= LEAST), 0.0, np.log10(np.where(c > 0, c, once[ends]) / (tokens + once)[ends]))
+        keys.append(sequence_hashes(sequences_of(symbols, begins[:-1])))
+        parts.append((np.diff(begins), (c > 0).astype(np.int64), base, within))
+    n, known, base, model = (np.concatenate([q[k] for q in parts]) if parts else np.zeros(0) for k in range(4))
+    if parts:
+        own, where = np.unique(np.concatenate(keys), return_inverse=True)
+        if len(own) != len(p):
+            raise RuntimeError("the input was partitioned differently when it was read again; store it first")
+        begins = np.cumsum(n) - n
+        known, base, model = (np.add.reduceat(v, begins) for v in (known, base, model + np.log10(p)[where]))
+    ids = texts.column(key) if texts.num_rows else pa.array([], told.schema.field("at").type)
     return pa.table([ids, pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(len(n), total, np.int64)), pa.array(base), pa.array(model)], names=schema.names)

@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomlake.llm import bpe, chat, decontaminate, jaccard, langid, pii, quality, queries, suffix_tree, token_counts, toxicity
-from loomlake.llm.common import TextBatch, fold_of
+from loomlake.llm.common import TextBatch, fold_of, stored
 
 SF = os.environ.get("TEST_LLM_DIR", "/root/testdata/sf0.01")
 need_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -214,6 +214,77 @@ def test_lm_odd_rows(spark, odd, none):
     assert suffix_tree.score(odd, F.lit(False)).where("n_known > 0").count() == 0
 
 
+def brute_lm(rows, held):
+    """Scores of the held-out texts by a suffix tree of plain dictionaries over words."""
+    least, gain, strength = suffix_tree.LEAST, suffix_tree.GAIN, suffix_tree.STRENGTH
+    tok = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t.lower()) + [None]
+    counts = Counter(w for i, t in rows if i not in held for w in tok(t))
+    end = lambda w: (w[:-1][-1:] + w[-1:]) if len(w) > 1 else w
+    sym = lambda w: w if w is None or counts[w] >= least else ("ending", end(w))
+    seen = [Counter() for _ in range(4)]
+
+    def steps(t):
+        s = [sym(w) for w in tok(t)]
+        padded = ["<"] * 3 + s
+        return [tuple(padded[j : j + 4]) for j in range(len(s))]
+
+    for i, t in rows:
+        if i not in held:
+            for g in steps(t):
+                for k in range(4):
+                    seen[k][g[3 - k :]] += 1
+    total = sum(seen[0].values())
+    n = [Counter() for _ in range(4)]
+    for k in range(4):
+        for g, c in seen[k].items():
+            n[k][g[:-1]] += c
+    kept = [{()}] + [set() for _ in range(3)]
+    for k in range(1, 4):
+        gains = Counter()
+        for g, c in seen[k].items():
+            gains[g[:-1]] += c * math.log((c / n[k][g[:-1]]) / (seen[k - 1][g[1:]] / n[k - 1][g[1:-1]]))
+        kept[k] = {x for x, v in gains.items() if v >= gain and n[k][x] >= least}
+    symbols = sum(c >= least for w, c in counts.items() if w is not None) + 65536 + 1
+    rare = [(w, c) for w, c in counts.items() if w is not None and c < least]
+    tokens, once = Counter(), Counter()
+    for w, c in rare:
+        tokens[end(w)] += c
+        once[end(w)] += c == 1
+
+    def p(g):
+        out = 1 / symbols
+        for k in range(4):
+            x = g[3 - k : 3]
+            if x in kept[k]:
+                m = total if k == 0 else n[k][x]
+                out = (seen[k][g[3 - k :]] + strength * out) / (m + strength)
+        return out
+
+    def within(w):
+        if w is None or counts[w] >= least:
+            return 1.0
+        room = max(1, once[end(w)])
+        return (counts[w] or room) / (tokens[end(w)] + room)
+
+    return {i: sum(math.log10(p(g) * within(w)) for g, w in zip(steps(t), tok(t))) for i, t in rows if i in held}, kept
+
+
+def test_lm_equals_brute_force_and_keeps_contexts_of_any_share(spark):
+    """A context of 8 tokens among a million, and words outside the most frequent ones, count as they do in a small table."""
+    rnd = random.Random(4)
+    words = [f"w{k}x{k % 7}" for k in range(60)]
+    rows = [(i, " ".join(rnd.choices(words[i % 3 * 15 :][:30], k=rnd.randint(1, 40)))) for i in range(60)]
+    rows += [(100 + i, "zq xk then one") for i in range(8)] + [(200 + i, "aq xk") for i in range(2)]
+    held = {0, 1, 2, 7, 300, 301}
+    rows += [(300, "zq xk then unseen"), (301, "aq nothing w1x1")]
+    rows.append((400, "a b c d " * 250_000))
+    want, kept = brute_lm(rows, held)
+    assert ("zq",) in kept[1]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+    got = {r.doc_id: r.score for r in suffix_tree.score(stored(frame, "lm-test"), ~F.col("doc_id").isin(*held)).collect()}
+    assert {i: got[i] for i in held} == pytest.approx(want)
+
+
 # ---------------------------------------------------------------- 5
 
 
