@@ -309,8 +309,16 @@ def trained(seed: int = 0) -> CRF:
     return CRF().fit(labelled_table(seed))
 
 
+def _words_between(text: str, at: int, end: int) -> int:
+    """Words from ``at`` that begin before ``end``, counted to REACH + 1."""
+    n = 0
+    while n <= REACH and (m := _TOKEN.search(text, at)) and m.start() < end:
+        n, at = n + 1, m.end()
+    return n
+
+
 def stretches(text: str) -> list[list[tuple[str, int, int]]]:
-    """Runs of words (with offsets) that lie within REACH words of a word that can start a span."""
+    """Runs of words (with offsets) that lie within REACH words of a word that can start a span; runs that meet are one."""
     spots = []
     for m in _ACTIVE.finditer(text):
         begin, before = m.start(), spots[-1][1] if spots else 0
@@ -324,7 +332,7 @@ def stretches(text: str) -> list[list[tuple[str, int, int]]]:
     k = 0
     while k < len(spots):
         begin, end = spots[k]
-        # widen by REACH words to the left, not into the stretch before
+        # widen by REACH words to the left; the stretch before ends farther away
         left = begin
         for _ in range(REACH):
             j = left
@@ -350,7 +358,10 @@ def stretches(text: str) -> list[list[tuple[str, int, int]]]:
             own.append((m.group(), m.start(), m.end()))
             at = m.end()
             if spare <= 0 and not (k < len(spots) and spots[k][0] < at):
-                break
+                gap = _words_between(text, at, spots[k][0]) if k < len(spots) else REACH + 1
+                if gap > REACH:
+                    break
+                spare = gap + 1  # the next spot reaches back to here: one stretch
         done = at
         out.append(own)
         while k < len(spots) and spots[k][0] < done:

