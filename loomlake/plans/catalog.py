@@ -455,6 +455,12 @@ def property_normalise(spark, sf_dir):
     return views.table(spark, sf_dir, "documents").select("doc_id", tx.property_key(F.substring(F.coalesce("text", F.lit("")), 1, 80)).alias("property_key"))
 
 
+@query(r"""SELECT doc_id, trim(regexp_replace(replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(lower(coalesce(text, '')), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), '/', ' '), '[^a-z0-9\s_-]', '', 'g'), '[_-]', ' ', 'g'), '~', ''), '\s+', ' ', 'g')) AS property_key FROM documents""")
+def property_normalise_whole(spark, sf_dir):
+    """As ``property_normalise``, which its SQL holds to the first 80 characters, over whole texts."""
+    return views.table(spark, sf_dir, "documents").select("doc_id", tx.property_key(F.coalesce("text", F.lit(""))).alias("property_key"))
+
+
 # ---------------------------------------------------------------- markup, terms in texts, front matter, housekeeping
 
 

@@ -1,6 +1,7 @@
 """Every registered query with SQL gives the rows of its SQL on the small tables."""
 
 import os
+import re
 
 import duckdb
 import pytest
@@ -44,6 +45,17 @@ def test_query(name, spark, duck):
     assert rows == sorted(repr([plain(r[c]) for c in columns]) for r in want.to_dict("records"))
 
 
+def test_property_keys_come_from_whole_texts(spark):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r.doc_id: r.property_key for r in catalog.queries()["property_normalise_whole"](spark, SF).collect()}
+    assert got.keys() == texts.keys() and any(len(k) > 80 for k in got.values())
+    for i, t in texts.items():
+        for a, b in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss"), ("/", " ")):
+            t = t.lower().replace(a, b)
+        t = re.sub("[_-]+", " ", re.sub(r"[^a-z0-9\s_-]", "", t, flags=re.ASCII))
+        assert got[i] == re.sub(r"\s+", " ", t, flags=re.ASCII).strip(" ")
+
+
 def test_entry_imports_without_the_training_data_operators(tmp_path):
     import shutil
     import subprocess
