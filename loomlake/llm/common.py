@@ -68,6 +68,42 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """A folder of one run below the shared one, removed with its tables when the run ends.
+
+    The shuffles of a step are removed with it: what later steps read is stored.
+    """
+
+    CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, f"{shared_dir(spark)}/loomlake/{name}-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        self.before = self.spark.conf.get(self.CLEAN, None)
+        self.spark.conf.set(self.CLEAN, "true")
+        return self
+
+    def __exit__(self, *_) -> None:
+        if self.before is None:
+            self.spark.conf.unset(self.CLEAN)
+        else:
+            self.spark.conf.set(self.CLEAN, self.before)
+        self.drop()
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes a frame below the folder and returns it reread."""
+        df.write.parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Removes tables, or the whole folder."""
+        jvm = self.spark._jvm
+        for path in [f"{self.path}/{n}" for n in names] or [self.path]:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def map_batches(frame: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow that gives a task's free memory back: workers are kept from stage to stage."""
 

@@ -1,49 +1,49 @@
-"""Language-model scoring with a probabilistic suffix tree.
-
-A text is its words ([^\\x20\\x09-\\x0D]+, A-Z lower-cased) and one end.  The
-tree's symbols are words: each word with LEAST training tokens or more is a
-symbol, and words with fewer, which can never be a context of their own, are
-classed by their last two bytes; the end is a symbol too.
-P(text) is the product over tokens of P(symbol | context) * P(word | symbol).
-
-* Contexts of up to DEPTH symbols are counted over all training texts.
-* A context stays in the tree only if it has LEAST tokens and its next-symbol
-  distribution diverges from its suffix's (count-weighted Kullback-Leibler
-  divergence of GAIN nats or more).  Both are absolute: what is kept on a small
-  table is kept when other texts are added to it.
-* Distributions are smoothed by their suffix's: (count + STRENGTH * shorter) / (total + STRENGTH),
-  down to the uniform distribution over the words that are symbols, all endings and the end.
+"""Language-model scoring with a probabilistic suffix tree over words.
+
+A text is its words ([^\\x20\\x09-\\x0D]+, A-Z lower-cased) and one end, each a
+symbol; all words that training has not seen are one further symbol, unknown, so
+the outcomes are those of the base score.
+
+* Without context a known word has (count / tokens) of what unknown leaves, and
+  unknown has what the words seen once suggest (Good and Turing).
+* Contexts are the one to DEPTH symbols before a token; the place before a text
+  counts as one symbol.  A context stays in the tree if its next symbols diverge
+  from its suffix's: the log ratio of their probability under a distribution of
+  the context's own (Dirichlet, STRENGTH tokens of the suffix's distribution)
+  and under the suffix's must reach GAIN nats.  Where a context tells nothing,
+  a ratio of e**GAIN comes by chance in at most one of e**GAIN contexts, however
+  many symbols follow it: the test pays for its own degrees of freedom.
+* A retained context's distribution is smoothed by its suffix's:
+  P(s) = (count + (STRENGTH + singles) * shorter) / (tokens + STRENGTH), where a
+  symbol that follows the context once counts as single and not for itself.
 * The longest retained suffix of the symbols before a token is its state.
-* A word that is a symbol has its symbol's probability.  Within its ending another
-  word has (count) / (ending's count + ending's singletons); all words of an
-  ending that training has not seen share the singletons' part (Good and Turing).
-
-The outcomes are thus those of the base score - the known words and unknown -
-with unknown told apart by ending, so the two compare.
-
-Neither symbols nor contexts are bounded, and both grow with the corpus, so
-word counts and tree stay distributed; only a table by ending (65,536 entries) is
-broadcast.  Texts fall into blocks of a few MB; each block asks for the counts of
-its own distinct words, then for the probabilities of its own distinct sequences
-of DEPTH + 1 symbols, and what is in every block costs one row for each.  A block
-is a stretch of an input partition, so the input must be partitioned alike whenever
-it is read (a table is; store anything else first); a block that meets a word or a
-sequence it did not ask for fails instead of guessing.
-
-Words are compared by 64-bit hash: two of n distinct words are taken for one with
-a probability of about n**2 / 2**65.  Sequences are compared by their symbols, and
-within a block by 64-bit hash.
-
-Null and empty texts are the end alone.  With no training token counts are 0 and
-the model is uniform over symbols.
-
-``packed``, ``smooth`` and ``Tree`` are the same tree held in memory, for a closed alphabet of SYMBOLS.
+
+Nothing else prunes: neither share, nor rank, nor number of contexts.  What is kept
+for some texts is kept at any size, and the tree grows with the corpus.
+
+The work: texts become blocks of a few MB, stored once.  A block holds its distinct
+words and each token's number among them.  Then blocks ask, step by step, for the
+corpus counts of their distinct words and of their sequences of 2, 3 and 4 symbols,
+and at last which contexts stay.  Each question is summed by hash range over all
+blocks and answered in the order asked.  A sequence is asked for only if both its
+first and its last part are found twice; the rest cannot be.  A block asks once for
+what it holds many times, so no key meets more rows than there are blocks.  Tables
+and shuffles of one step are removed when the next has been stored, and all are
+removed at the end: only the scores remain in the shared folder.
+
+Words and sequences are compared by 64-bit hash: two of n distinct ones are taken
+for one with a probability of about n**2 / 2**65.
+
+Null and empty texts are the end alone.  With no training row counts are 0 and
+unknown has probability 1.  A null in ``train`` means that the row is not learned
+from.  Rows with null or repeated keys are texts like others; other columns are
+not read.  A text longer than a block is a block of its own.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -53,214 +53,299 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomlake.llm.common import FOLD, Run, TextBatch, mix, stored
+from loomlake.llm.common import FOLD, Run, Scratch, TextBatch, map_batches, mix, stored
 
 DEPTH = 3
-#: Training tokens that a context, and a word that is a symbol, must have.
-LEAST = 4
-GAIN, STRENGTH = 4.0, 4.0
-#: Symbols other than word hashes: the end of the text, what is before its first word (in contexts only), then the endings.
-TEXT_END, START, FIRST_ENDING, ENDINGS = 0, 2, 3, 1 << 16
-#: The closed alphabet of the tree in memory.
-BEGIN, SYMBOLS, BITS = 63, 63, 6
+GAIN, STRENGTH = 3.0, 4.0
+#: Training tokens that a sequence must have to count for itself.
+LEAST = 2
 #: Bytes of text in a block.
 BLOCK_BYTES = 8 << 20
-#: Stands for the end of the text among word hashes.
-END = np.uint64(0)
-_TAIL = np.zeros(256, dtype=bool)
-_TAIL[list(b".,;:!?\"'()")] = True
+#: Stand for the end of a text and the place before it among hashes.
+END, START = np.uint64(0), np.uint64(2)
 
 
-def tokens_of(run: Run) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For a run's tokens (words, then an end, document by document) hash and ending, and where documents begin (n+1 entries)."""
+def tokens_of(run: Run) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a run's tokens (words, then an end, document by document), and each document's number of tokens."""
     data = FOLD[run.data]
     starts, stops, first = run.words(data)
     hashes = run.word_hashes(starts, stops, data)
     hashes[hashes == END] = np.uint64(1)
-    stops = stops.copy()
-    for _ in range(3):  # punctuation behind a word is no part of its ending
-        stops -= (stops - starts > 1) & _TAIL[data[stops - 1]] if len(stops) else 0
-    endings = np.where(stops - starts > 1, data[stops - 2].astype(np.int64) << 8, 0) + data[stops - 1] if len(stops) else np.zeros(0, np.int64)
-    n = len(run)
-    at = np.arange(len(hashes)) + np.repeat(np.arange(n), np.diff(first))
-    out, ends = np.full(len(hashes) + n, END), np.zeros(len(hashes) + n, dtype=np.int64)
-    out[at], ends[at] = hashes, endings
-    return out, ends, first + np.arange(n + 1)
+    lengths = np.diff(first)
+    out = np.full(len(hashes) + len(run), END)
+    out[np.arange(len(hashes)) + np.repeat(np.arange(len(run)), lengths)] = hashes
+    return out, lengths + 1
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Non-negative integers in as few bytes as the largest needs, compressed."""
+    top = int(values.max()) if len(values) else 0
+    width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
+    return struct.pack("<BQ", width, len(values)) + pa.compress(values.astype(f"<u{width}").tobytes(), "zstd", asbytes=True)
+
 
+def unpacked(blob: bytes) -> np.ndarray:
+    width, n = struct.unpack_from("<BQ", blob)
+    return np.frombuffer(pa.decompress(blob[9:], width * n, "zstd", asbytes=True), f"<u{width}")
 
-def symbols_of(hashes: np.ndarray, endings: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Symbol of every token, given its word's training count."""
-    return np.where(hashes == END, TEXT_END, np.where(counts >= LEAST, hashes.view(np.int64), endings + FIRST_ENDING))
 
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """ln Gamma(x) for x > 0 (Stirling's series at x + 8)."""
+    x = np.asarray(x, dtype=np.float64)
+    y, low = x + 8, np.zeros_like(x)
+    for i in range(8):
+        low += np.log(x + i)
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - low
 
-def sequences_of(symbols: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """For each token of texts that begin at the given places: its own symbol and the DEPTH symbols before it, nearest first, as rows of DEPTH + 1."""
-    place = np.arange(len(symbols)) - np.repeat(begins, np.diff(np.append(begins, len(symbols))))
-    out = np.full((DEPTH + 1, len(symbols)), START, dtype=np.int64)
-    out[0] = symbols
-    for k in range(1, DEPTH + 1):
-        out[k, k:] = symbols[: max(0, len(symbols) - k)]
-        out[k, place < k] = START
-    return out
 
+def evidence(c: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """What a symbol seen c times after a context adds to the context's log ratio, with q its probability after the suffix."""
+    return log_gamma(STRENGTH * q + c) - log_gamma(STRENGTH * q) - c * np.log(q)
 
-def sequence_hashes(sequences: np.ndarray) -> np.ndarray:
-    out = np.zeros(sequences.shape[1], dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for row in sequences:
-            out = mix(out * np.uint64(3) + row.view(np.uint64))
-    return out
 
+def gain_of(n: np.ndarray, m: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Log ratio of contexts with n tokens, m of them symbols seen LEAST times or more with evidence t; the others are single."""
+    return t + (n - m) * np.log(STRENGTH) + log_gamma(np.float64(STRENGTH)) - log_gamma(STRENGTH + n)
 
-def _blocks(texts: TextBatch, before: int) -> np.ndarray:
-    """Number of each text's block within its partition, ``before`` bytes into it."""
-    return (before + texts.offsets[:-1] - texts.offsets[0]) // BLOCK_BYTES
 
+# ---------------------------------------------------------------- blocks
 
-def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each block of a partition its distinct words with their ending and their count in training texts."""
-    part, before, current = TaskContext.get().partitionId() << 24, 0, None
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    size = 0
 
-    def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        keys, at, where = np.unique(np.concatenate([h[0] for h in held]), return_index=True, return_inverse=True)
-        return keys, np.concatenate([h[1] for h in held])[at], np.bincount(where, np.concatenate([h[2] for h in held]), len(keys))
+def block_type(key: T.DataType) -> T.StructType:
+    names = [("block", T.LongType()), ("keys", T.ArrayType(key)), ("lengths", T.BinaryType()), ("learn", T.BinaryType()), ("ids", T.BinaryType()), ("words", T.BinaryType()), ("own", T.BinaryType()), ("n_learn", T.LongType())]
+    return T.StructType([T.StructField(n, k) for n, k in names])
 
-    def out() -> pa.RecordBatch:
-        keys, ends, n = merged()
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), part + current, np.int64)), pa.array(keys.view(np.int64)), pa.array(ends), pa.array(n.astype(np.int64))], names=["block", "word", "ending", "c"])
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each stretch of about BLOCK_BYTES of a partition's texts (key, train, text)."""
+    number = TaskContext.get().partitionId() << 24
+    keys, learn, hashes, lengths, size = [], [], [], [], 0
+
+    def block() -> pa.RecordBatch:
+        flat, n, use = np.concatenate(hashes), np.concatenate(lengths), np.concatenate(learn)
+        words, ids = np.unique(flat, return_inverse=True)
+        own = np.bincount(ids, np.repeat(use, n), len(words)).astype(np.int64)
+        held = pa.concat_arrays(keys)
+        row = [packed(n), packed(use), packed(ids), packed(_gaps(words)), packed(own)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number], pa.int64()), pa.ListArray.from_arrays([0, len(held)], held), *(pa.array([b], pa.binary()) for b in row), pa.array([int(use.sum())], pa.int64())],
+            names=["block", "keys", "lengths", "learn", "ids", "words", "own", "n_learn"],
+        )
 
     for batch in batches:
-        texts = TextBatch(batch.column(0))
-        learn = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), dtype=np.float64)
-        numbers = _blocks(texts, before)
-        before += int(texts.offsets[-1] - texts.offsets[0])
+        texts = TextBatch(batch.column(2))
+        use = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
         for run in texts.runs():
-            hashes, ends, begins = tokens_of(run)
-            for i, j in _same(numbers[run.first : run.first + len(run)]):
-                number = int(numbers[run.first + i])
-                if number != current and held:
-                    yield out()
-                    held, size = [], 0
-                current = number
-                own = slice(begins[i], begins[j])
-                held.append((hashes[own], ends[own], np.repeat(learn[run.first + i : run.first + j], np.diff(begins[i : j + 1]))))
-                size += begins[j] - begins[i]
-                if size > 4 << 20:
-                    held = [merged()]
-                    size = 0
-    if held:
-        yield out()
-
-
-def _same(numbers: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Stretches of equal numbers."""
-    cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
-    return ((a, b) for a, b in zip(cuts, cuts[1:]) if b > a)
-
-
-def _deal(names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Puts the block in front of each row, as ``_block_words`` numbers them."""
-    part, before = TaskContext.get().partitionId() << 24, 0
-    for batch in batches:
-        texts = TextBatch(batch.column(batch.num_columns - 1))
-        yield pa.RecordBatch.from_arrays([pa.array(_blocks(texts, before) + part), *batch.columns], names=names)
-        before += int(texts.offsets[-1] - texts.offsets[0])
-
-
-def packed(classes: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """For each token of texts that begin at the given places: the DEPTH classes before it and its own, packed."""
-    place = np.arange(len(classes)) - np.repeat(begins, np.diff(np.append(begins, len(classes))))
-    code = classes.astype(np.uint64)
-    for k in range(1, DEPTH + 1):
-        before = np.full(len(classes), BEGIN, dtype=np.uint64)
-        before[k:] = classes[:-k] if k < len(classes) else classes[:0]
-        before[place < k] = BEGIN
-        code |= before << np.uint64(BITS * k)
-    return code
-
-
-@dataclass
-class Tree:
-    """Next-symbol log10 probabilities of all (context, symbol) pairs of the retained contexts, by context length."""
-
-    lengths: list[int]
-    contexts: list[np.ndarray]  # sorted packed contexts of each length
-    pairs: list[np.ndarray]  # sorted packed context and symbol
-    logp: list[np.ndarray]  # of the pairs seen
-    back: list[np.ndarray]  # log10 of the weight that a context gives to its suffix
-    total: int
-
-    def symbols(self, code: np.ndarray) -> np.ndarray:
-        """log10 probability of the last symbol of each packed sequence under its longest retained suffix.
-
-        A symbol that the state has not seen gets the state's weight for its suffix
-        times the suffix's probability, so the walk goes on until the symbol is found.
+            h, n = tokens_of(run)
+            keys.append(batch.column(0).slice(run.first, len(run)))
+            learn.append(use[run.first : run.first + len(run)])
+            hashes.append(h)
+            lengths.append(n)
+            size += len(run.data)
+            if size >= BLOCK_BYTES:
+                yield block()
+                number += 1
+                keys, learn, hashes, lengths, size = [], [], [], [], 0
+    if keys:
+        yield block()
+
+
+def _gaps(ordered: np.ndarray) -> np.ndarray:
+    return np.diff(ordered, prepend=np.uint64(0))
+
+
+# ---------------------------------------------------------------- questions
+
+ASK = "block bigint, part int, keys binary, n binary, m binary, t binary"
+TOLD = "block bigint, level int, part int, told binary, total bigint, known bigint, once bigint"
+
+
+def _questions(block: int, parts: int, keys: np.ndarray, n: np.ndarray, m: np.ndarray | None = None, t: np.ndarray | None = None) -> pa.Table:
+    """One row for each range of hashes in which the block has some of its (ordered) keys."""
+    part = ((keys >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(keys)] if len(keys) else []
+    rows = [(a, b) for a, b in zip(cuts, cuts[1:])]
+    columns = [
+        pa.array([block] * len(rows), pa.int64()),
+        pa.array([int(part[a]) for a, _ in rows], pa.int32()),
+        pa.array([packed(_gaps(keys[a:b])) for a, b in rows], pa.binary()),
+        pa.array([packed(n[a:b]) for a, b in rows], pa.binary()),
+        pa.array([None if m is None else packed(m[a:b]) for a, b in rows], pa.binary()),
+        pa.array([None if t is None else pa.compress(t[a:b].astype(np.float64).tobytes(), "zstd", asbytes=True) for a, b in rows], pa.binary()),
+    ]
+    return pa.table(columns, names=["block", "part", "keys", "n", "m", "t"])
+
+
+def _answer(level: int, asked: pa.Table) -> pa.Table:
+    """Sums a range of hashes over all blocks and answers each block in the order of its keys.
+
+    Level 0 gets counts; levels up to DEPTH counts of LEAST or more, else 0; the
+    last level, of contexts, the tokens in repeated symbols if the context stays, else 0.
+    """
+    asked = asked.sort_by("block")
+    keys = [np.cumsum(unpacked(b), dtype=np.uint64) for b in asked.column("keys").to_pylist()]
+    own, where = np.unique(np.concatenate(keys), return_inverse=True)
+    n = [unpacked(b) for b in asked.column("n").to_pylist()]
+    if level <= DEPTH:
+        sums = np.bincount(where, np.concatenate(n), len(own)).astype(np.int64)
+        told = sums if level == 0 else np.where(sums >= LEAST, sums, 0)
+    else:
+        sums = np.zeros(len(own), dtype=np.int64)
+        sums[where] = np.concatenate(n)
+        m = np.bincount(where, np.concatenate([unpacked(b) for b in asked.column("m").to_pylist()]), len(own))
+        t = np.bincount(where, np.concatenate([np.frombuffer(pa.decompress(b, 8 * len(k), "zstd", asbytes=True)) for b, k in zip(asked.column("t").to_pylist(), keys)]), len(own))
+        told = np.where((m > 0) & (gain_of(sums.astype(np.float64), m, t) >= GAIN), m, 0).astype(np.int64)
+    answers = np.split(told[where], np.cumsum([len(k) for k in keys])[:-1])
+    rows = asked.num_rows
+    first = [[int(v)] + [0] * (rows - 1) for v in (told.sum(), (told > 0).sum(), (told == 1).sum())]
+    columns = [asked.column("block"), pa.array([level] * rows, pa.int32()), asked.column("part"), pa.array([packed(a) for a in answers], pa.binary()), *(pa.array(v, pa.int64()) for v in first)]
+    return pa.table(columns, names=["block", "level", "part", "told", "total", "known", "once"])
+
+
+class Corpus:
+    """Totals over all training texts: tokens, distinct ones, those seen once, texts."""
+
+    def __init__(self, tokens: int, distinct: int, once: int, texts: int):
+        self.tokens, self.distinct, self.once, self.texts = tokens, distinct, once, texts
+
+    def unigram(self, c: np.ndarray) -> np.ndarray:
+        unknown = (self.once + 1) / (self.tokens + self.once + 1)
+        return np.where(c > 0, (1 - unknown) * c / max(1, self.tokens), unknown)
+
+
+class Block:
+    """A block's tokens and what it has been told so far."""
+
+    def __init__(self, row: dict, told: pa.Table, corpus: Corpus):
+        self.number, self.corpus = row["block"], corpus
+        self.lengths, self.learn = unpacked(row["lengths"]).astype(np.int64), unpacked(row["learn"]) > 0
+        ids, words = unpacked(row["ids"]), np.cumsum(unpacked(row["words"]), dtype=np.uint64)
+        begins = np.cumsum(self.lengths) - self.lengths
+        self.begins = begins
+        self.place = np.arange(len(ids)) - np.repeat(begins, self.lengths)
+        self.use = np.repeat(self.learn, self.lengths)
+        self.word = words[ids]
+        told = told.select(["level", "part", "told"]).sort_by([("level", "ascending"), ("part", "ascending")])
+        self.told: dict[int, np.ndarray] = {}
+        for level in range(DEPTH + 2):
+            own = [unpacked(b) for b, k in zip(told.column("told").to_pylist(), told.column("level").to_pylist()) if k == level]
+            self.told[level] = np.concatenate(own) if own else np.zeros(0, np.int64)
+        #: For each level, by token: sequence's hash and count, and the count of the context before its last symbol.
+        self.hash, self.count, self.before = [mix(self.word)], [self.told[0][ids].astype(np.int64)], [np.zeros(0, np.int64)]
+
+    def shifted(self, values: np.ndarray, start) -> np.ndarray:
+        """By token the value of the token before it; ``start`` where a text begins."""
+        out = np.empty_like(values)
+        out[1:] = values[:-1]
+        out[self.begins] = start
+        return out
+
+    def climb(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens whose sequence of level + 1 symbols may be found twice, and those sequences' hashes.
+
+        A sequence reaches no further back than one place before its text.
         """
-        codes, where = np.unique(code, return_inverse=True)
-        out = np.zeros(len(codes))
-        open_ = np.ones(len(codes), dtype=bool)
-        for length, contexts, pairs, logp, back in zip(self.lengths, self.contexts, self.pairs, self.logp, self.back):
-            at = np.flatnonzero(open_)
-            key = codes[at] & np.uint64((1 << BITS * (length + 1)) - 1)
-            context = key >> np.uint64(BITS)
-            k = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
-            state = contexts[k] == context
-            p = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
-            seen = state & (pairs[p] == key)
-            out[at[seen]] += logp[p[seen]]
-            open_[at[seen]] = False
-            passed = state & ~seen
-            out[at[passed]] += back[k[passed]]
-        out[open_] += -np.log10(SYMBOLS)
-        return out[where]
-
-
-def grow(sequences: DataFrame, n_symbols: int) -> DataFrame:
-    """Probability ``p`` of the last symbol of each sequence of DEPTH + 1 symbols (s3 .. s0, with c training tokens, maybe none)."""
-    c = F.col
-    names = [f"s{k}" for k in range(DEPTH, -1, -1)]
-    level = {DEPTH: stored(sequences.groupBy(*names).agg(F.sum("c").alias("c")), "sequences")}
-    for k in range(DEPTH - 1, -1, -1):
-        level[k] = stored(level[k + 1].groupBy(*names[DEPTH - k :]).agg(F.sum("c").alias("c")), "sequences")
-    total = level[0].agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    done = level[0].select("s0", "c", F.lit(total).alias("n"), ((c("c") + STRENGTH / n_symbols) / (total + STRENGTH)).alias("p"))
-    for k in range(1, DEPTH + 1):
-        key = names[DEPTH - k :]
-        context, shorter = key[:-1], key[1:]
-        rows = stored(level[k].join(done.select(*shorter, c("c").alias("s_c"), c("n").alias("s_n"), c("p").alias("s_p")), shorter), "sequences")
-        # sum of c * ln((c / n) / (s_c / s_n)) with n, the sum of c, taken out
-        gain = F.sum(c("c") * (F.log("c") - F.log("s_c") + F.log("s_n"))) - F.sum("c") * F.log(F.sum("c"))
-        contexts = rows.where("c > 0").groupBy(*context).agg(F.sum("c").alias("n"), gain.alias("gain"))
-        kept = (c("n") >= LEAST) & (c("gain") >= GAIN)
-        p = F.when(kept, (c("c") + STRENGTH * c("s_p")) / (c("n") + STRENGTH)).otherwise(c("s_p"))
-        done = stored(rows.join(contexts, context, "left").select(*key, "c", F.coalesce("n", F.lit(0)).alias("n"), p.alias("p")), "sequences")
-    return done
-
-
-def smooth(kept: dict[int, tuple[np.ndarray, np.ndarray]], total: int) -> Tree:
-    """Mixes the distributions of the retained contexts with those of their suffixes, shortest first."""
-    tree = Tree([], [], [], [], [], total)
-    for length, (codes, counts) in sorted(kept.items()):
-        if not len(codes):
-            continue
-        order = np.argsort(codes)
-        codes, counts = codes[order], counts[order]
-        contexts, where = np.unique(codes >> np.uint64(BITS), return_inverse=True)
-        n = np.bincount(where, counts)
-        logp = np.log10((counts + STRENGTH * 10.0 ** tree.symbols(codes)) / (n[where] + STRENGTH))
-        for part, value in ((tree.lengths, length), (tree.contexts, contexts), (tree.pairs, codes), (tree.logp, logp), (tree.back, np.log10(STRENGTH / (n + STRENGTH)))):
-            part.insert(0, value)
-    return tree
-
-
-def ending_totals(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Training tokens and words seen once of each ending, over words that are no symbols: at most 65,536 rows."""
-    out = np.zeros((2, ENDINGS))
-    for r in counts.where((F.col("word") != int(END)) & (F.col("c") < LEAST)).groupBy("ending").agg(F.sum("c"), F.count_if(F.col("c") == 1)).collect():
-        out[:, r[0]] = r[1], r[2]
-    return out[0], out[1]
+        before = self.shifted(self.count[level - 1], self.corpus.texts if level == 1 else 0)
+        context = self.shifted(self.hash[level - 1], START)
+        with np.errstate(over="ignore"):
+            hashes = mix(context * np.uint64(3) + self.word + np.uint64(level))
+        before[self.place < level - 1] = 0
+        self.before.append(before)
+        self.hash.append(hashes)
+        at = np.flatnonzero((self.count[level - 1] >= LEAST) & (before >= LEAST))
+        return at, hashes[at]
+
+    def rise(self, levels: int) -> None:
+        """Counts of all sequences of up to levels + 1 symbols, as told."""
+        for level in range(1, levels + 1):
+            at, hashes = self.climb(level)
+            own, where = np.unique(hashes, return_inverse=True)
+            count = np.zeros(len(self.word), dtype=np.int64)
+            count[at] = self.told[level][where]
+            self.count.append(count)
+
+    def sequences(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct sequences of level + 1 symbols and their tokens in the block's training texts."""
+        self.rise(level - 1)
+        at, hashes = self.climb(level)
+        own, where = np.unique(hashes, return_inverse=True)
+        return own, np.bincount(where, self.use[at], len(own)).astype(np.int64)
+
+    def contexts(self) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """Ordered hashes of the block's contexts; by level the tokens that have one and its number among them; n, m, t."""
+        hashes, at = [], []
+        for k in range(1, DEPTH + 1):
+            tokens = np.flatnonzero(self.before[k] >= LEAST)
+            at.append(tokens)
+            hashes.append(np.where(self.place[tokens] > 0, self.hash[k - 1][tokens - 1], START))
+        own, where = np.unique(np.concatenate(hashes), return_inverse=True)
+        number = np.split(where, np.cumsum([len(a) for a in at])[:-1])
+        n, m, t = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), np.zeros(len(own))
+        for k, (tokens, k_number) in enumerate(zip(at, number), 1):
+            n[k_number] = self.before[k][tokens]
+            mine = self.use[tokens] & (self.count[k][tokens] >= LEAST)
+            tokens, k_number = tokens[mine], k_number[mine]
+            c = self.count[k][tokens].astype(np.float64)
+            q = self.count[k - 1][tokens] / (self.before[k - 1][tokens] if k > 1 else max(1, self.corpus.tokens))
+            m += np.bincount(k_number, minlength=len(own))
+            # each of a sequence's tokens brings its share, so that blocks add up to the whole
+            t += np.bincount(k_number, evidence(c, q) / c, len(own))
+        return own, at, number, n, m, t
+
+    def ask(self, level: int, parts: int) -> pa.Table:
+        if level <= DEPTH:
+            return _questions(self.number, parts, *self.sequences(level))
+        self.rise(DEPTH)
+        own, _, _, n, m, t = self.contexts()
+        return _questions(self.number, parts, own, n, m, t)
+
+    def probabilities(self) -> np.ndarray:
+        """Of every token given its state."""
+        self.rise(DEPTH)
+        _, at, number, _, _, _ = self.contexts()
+        p = self.corpus.unigram(self.count[0])
+        for k, (tokens, k_number) in enumerate(zip(at, number), 1):
+            m = self.told[DEPTH + 1][k_number].astype(np.float64)
+            kept = m > 0
+            tokens, m = tokens[kept], m[kept]
+            n = self.before[k][tokens]
+            p[tokens] = (self.count[k][tokens] + (STRENGTH + n - m) * p[tokens]) / (n + STRENGTH)
+        return p
+
+
+# ---------------------------------------------------------------- jobs
+
+
+def _of(f, *fixed):
+    """f with its first arguments fixed, for two tables of one block."""
+    return lambda blocks, told: f(*fixed, blocks, told)
+
+
+def _answers(level: int):
+    return lambda asked: _answer(level, asked)
+
+
+def _ask_words(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            yield from _questions(row["block"], parts, np.cumsum(unpacked(row["words"]), dtype=np.uint64), unpacked(row["own"])).to_batches()
+
+
+def _ask(level: int, parts: int, corpus: Corpus, blocks: pa.Table, told: pa.Table) -> pa.Table:
+    return pa.concat_tables(Block(row, told, corpus).ask(level, parts) for row in blocks.to_pylist())
+
+
+def _score(corpus: Corpus, schema: T.StructType, blocks: pa.Table, told: pa.Table) -> pa.Table:
+    out = []
+    for row in blocks.drop_columns(["keys"]).to_pylist():
+        block = Block(row, told, corpus)
+        c = block.count[0]
+        base = np.log10((c + 0.5) / (corpus.tokens + 0.5 * (corpus.distinct + 1)))
+        score = np.log10(block.probabilities())
+        known, base, score = (np.add.reduceat(v, block.begins) for v in ((c > 0).astype(np.int64), base, score))
+        out.append((block.lengths, known, np.full(len(known), corpus.tokens, np.int64), base, score))
+    columns = [pa.array(np.concatenate(v)) for v in zip(*out)]
+    return pa.table([blocks.column("keys").combine_chunks().flatten(), *columns], names=schema.names)
 
 
 def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -269,72 +354,25 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     ``train`` says which rows the model learns from.
     """
     spark = docs.sparkSession
-    given = docs.select(F.col(key).alias(key), F.coalesce(train, F.lit(False)).alias("__train"), F.col(text).cast("string").alias("__text"))
-    asked = stored(given.select("__text", "__train").mapInArrow(_block_words, "block bigint, word bigint, ending bigint, c bigint"), "block-words")
-    counts = stored(asked.where("c > 0").groupBy("word").agg(F.sum("c").alias("c"), F.min("ending").alias("ending")), "word-counts")
-    total, distinct, own = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if((F.col("c") >= LEAST) & (F.col("word") != int(END)))).first()
-    words = stored(asked.select("block", "word").join(counts.select("word", "c"), "word", "left").select("block", "word", F.coalesce("c", F.lit(0)).alias("c")), "told-words")
-    names = ["block", key, "__train", "__text"]
-    dealt = given.mapInArrow(partial(_deal, names), T.StructType([T.StructField("block", T.LongType()), *given.schema.fields]))
-    parts = ", ".join(f"s{k} bigint" for k in range(DEPTH, -1, -1))
-    sequences = stored(dealt.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_block_sequences, f"block bigint, place bigint, {parts}, c bigint"), "block-sequences")
-    on = [f"s{k}" for k in range(DEPTH, -1, -1)]
-    tree = grow(sequences, own + ENDINGS + 1)
-    told = words.select("block", F.lit(False).alias("sequence"), F.col("word").alias("at"), F.col("c").cast("double").alias("value"))
-    told = told.unionByName(sequences.join(tree.select(*on, "p"), on).select("block", F.lit(True).alias("sequence"), F.col("place").alias("at"), F.col("p").alias("value")))
-    schema = T.StructType([docs.schema[key], *(T.StructField(n, k) for n, k in (("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())))])
-    shared = spark.sparkContext.broadcast(ending_totals(counts))
-    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(partial(_score_block, shared, key, total, distinct, schema), schema)
-
-
-def _counted_runs(texts: pa.Table, words: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each run of a block's texts: its first row, then tokens' hashes, endings, training counts, and where documents begin."""
-    order = np.argsort(words)
-    words, counts = words[order], counts[order]
-    row = 0
-    for chunk in texts.column("__text").chunks:
-        for run in TextBatch(chunk).runs():
-            hashes, ends, begins = tokens_of(run)
-            k = np.minimum(np.searchsorted(words, hashes), max(0, len(words) - 1))
-            if not len(words) or (words[k] != hashes).any():
-                raise RuntimeError("the input was partitioned differently when it was read again; store it first")
-            yield row + run.first, hashes, ends, counts[k], begins
-        row += len(chunk)
-
-
-def _block_sequences(texts: pa.Table, told: pa.Table) -> pa.Table:
-    """The distinct sequences of a block in the order of their hashes, with their counts in training texts."""
-    learn = texts.column("__train").to_numpy().astype(np.float64)
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    for row, hashes, ends, c, begins in _counted_runs(texts, told.column("word").to_numpy().view(np.uint64), told.column("c").to_numpy()):
-        held.append((sequences_of(symbols_of(hashes, ends, c), begins[:-1]), np.repeat(learn[row : row + len(begins) - 1], np.diff(begins))))
-    sequences = np.concatenate([h[0] for h in held], axis=1) if held else np.zeros((DEPTH + 1, 0), np.int64)
-    keys, at, where = np.unique(sequence_hashes(sequences), return_index=True, return_inverse=True)
-    n = np.bincount(where, np.concatenate([h[1] for h in held]), len(keys)) if held else np.zeros(0)
-    block = told.column("block")[0].as_py() if told.num_rows else 0
-    columns = [pa.array(np.full(len(keys), block, np.int64)), pa.array(np.arange(len(keys))), *(pa.array(sequences[k][at]) for k in range(DEPTH, -1, -1)), pa.array(n.astype(np.int64))]
-    return pa.table(columns, names=["block", "place", *(f"s{k}" for k in range(DEPTH, -1, -1)), "c"])
-
-
-def _score_block(shared, key: str, total: int, distinct: int, schema: T.StructType, texts: pa.Table, told: pa.Table) -> pa.Table:
-    tokens, singles = shared.value
-    once = np.maximum(singles, 1.0)  # unknown words share the singletons' part of their ending; an ending without any has room for one
-    sequence, at, value = (told.column(n).to_numpy() for n in ("sequence", "at", "value"))
-    p = value[sequence][np.argsort(at[sequence])]
-    parts: list[tuple[np.ndarray, ...]] = []
-    keys: list[np.ndarray] = []
-    for _, hashes, ends, c, begins in _counted_runs(texts, at[~sequence].view(np.uint64), value[~sequence]):
-        symbols = symbols_of(hashes, ends, c)
-        base = np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
-        within = np.where((hashes == END) | (c >= LEAST), 0.0, np.log10(np.where(c > 0, c, once[ends]) / (tokens + once)[ends]))
-        keys.append(sequence_hashes(sequences_of(symbols, begins[:-1])))
-        parts.append((np.diff(begins), (c > 0).astype(np.int64), base, within))
-    n, known, base, model = (np.concatenate([q[k] for q in parts]) if parts else np.zeros(0) for k in range(4))
-    if parts:
-        own, where = np.unique(np.concatenate(keys), return_inverse=True)
-        if len(own) != len(p):
-            raise RuntimeError("the input was partitioned differently when it was read again; store it first")
-        begins = np.cumsum(n) - n
-        known, base, model = (np.add.reduceat(v, begins) for v in (known, base, model + np.log10(p)[where]))
-    ids = texts.column(key) if texts.num_rows else pa.array([], told.schema.field("at").type)
-    return pa.table([ids, pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(len(n), total, np.int64)), pa.array(base), pa.array(model)], names=schema.names)
+    kind = docs.schema[key].dataType
+    given = docs.select(F.col(key).alias("__key"), F.coalesce(train, F.lit(False)).alias("__train"), F.col(text).cast("string").alias("__text"))
+    with Scratch(spark, "lm") as scratch:
+        blocks = scratch.store(map_batches(given, _blocks, block_type(kind)), "blocks")
+        n, texts = blocks.agg(F.count("*"), F.coalesce(F.sum("n_learn"), F.lit(0))).first()
+        parts = max(1, n // 2)
+        corpus, told = Corpus(0, 0, 0, texts), None
+        lean = blocks.drop("keys", "own", "n_learn")
+        for level in range(DEPTH + 2):
+            if told is None:
+                asked = map_batches(blocks.select("block", "words", "own"), partial(_ask_words, parts), ASK)
+            else:
+                asked = lean.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_of(_ask, level, parts, corpus), ASK)
+            answers = scratch.store(asked.groupBy("part").applyInArrow(_answers(level), TOLD), f"told-{level}")
+            if told is None:
+                total = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "known", "once"))).first()
+                corpus = Corpus(*total, texts)
+            told = answers if told is None else told.unionByName(answers)
+        names = (("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()))
+        schema = T.StructType([T.StructField(key, kind), *(T.StructField(n, k) for n, k in names)])
+        scored = blocks.drop("own", "n_learn").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_of(_score, corpus, schema), schema)
+        return stored(scored, "lm-scores")

@@ -192,18 +192,9 @@ def test_base_score_by_brute_force_and_model_beats_it(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_suffix_tree_is_a_distribution():
-    rng = np.random.default_rng(0)
-    codes = np.unique(suffix_tree.packed(rng.integers(0, 5, 400).astype(np.uint64), np.array([0, 100])))
-    mask = lambda k: np.uint64((1 << suffix_tree.BITS * (k + 1)) - 1)
-    kept = {}
-    for k in range(suffix_tree.DEPTH + 1):
-        own, n = np.unique(codes & mask(k), return_counts=True)
-        kept[k] = (own, n.astype(float))
-    tree = suffix_tree.smooth(kept, 400)
-    for context in (codes[3] >> np.uint64(6), np.uint64(12345), np.uint64(0)):
-        every = (context << np.uint64(6)) | np.arange(suffix_tree.SYMBOLS, dtype=np.uint64)
-        assert (10 ** tree.symbols(every)).sum() == pytest.approx(1)
+def test_log_gamma():
+    x = np.concatenate([np.geomspace(1e-9, 1, 50), np.linspace(1, 1e4, 50)])
+    assert suffix_tree.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], abs=1e-8, rel=1e-9)
 
 
 def test_lm_odd_rows(spark, odd, none):
@@ -212,77 +203,105 @@ def test_lm_odd_rows(spark, odd, none):
     assert {r.doc_id: r.n_tokens for r in rows}[1] == 1
     assert suffix_tree.score(none, F.lit(True)).count() == 0
     assert suffix_tree.score(odd, F.lit(False)).where("n_known > 0").count() == 0
-
-
-def brute_lm(rows, held):
-    """Scores of the held-out texts by a suffix tree of plain dictionaries over words."""
-    least, gain, strength = suffix_tree.LEAST, suffix_tree.GAIN, suffix_tree.STRENGTH
-    tok = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t.lower()) + [None]
-    counts = Counter(w for i, t in rows if i not in held for w in tok(t))
-    end = lambda w: (w[:-1][-1:] + w[-1:]) if len(w) > 1 else w
-    sym = lambda w: w if w is None or counts[w] >= least else ("ending", end(w))
-    seen = [Counter() for _ in range(4)]
-
+    named = odd.select(F.col("doc_id").alias("block"), "text", F.lit(1).alias("part"))
+    assert suffix_tree.score(named, F.lit(None).cast("boolean"), key="block").columns[0] == "block"
+
+
+def lm_tokens(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t)) + [None]
+
+
+class BruteTree:
+    """The suffix tree as plain dictionaries."""
+
+    def __init__(self, texts):
+        strength, depth = suffix_tree.STRENGTH, suffix_tree.DEPTH
+        self.seen = [Counter() for _ in range(depth + 1)]
+        for t in texts:
+            for g in self.steps(t):
+                for k in range(depth + 1):
+                    if len(g) > k:
+                        self.seen[k][g[-k - 1 :]] += 1
+        self.total, self.once = sum(self.seen[0].values()), sum(c == 1 for c in self.seen[0].values())
+        self.n = [Counter() for _ in range(depth + 1)]
+        for k in range(depth + 1):
+            for g, c in self.seen[k].items():
+                self.n[k][g[:-1]] += c
+        self.kept, self.open = [set() for _ in range(depth + 1)], 0
+        self.repeated = [Counter() for _ in range(depth + 1)]
+        for k in range(1, depth + 1):
+            gains = {}
+            for g, c in self.seen[k].items():
+                if c > 1:
+                    q = self.seen[k - 1][g[1:]] / self.n[k - 1][g[1:-1]]
+                    gains[g[:-1]] = gains.get(g[:-1], 0) + math.lgamma(strength * q + c) - math.lgamma(strength * q) - c * math.log(q)
+                    self.repeated[k][g[:-1]] += c
+            for x, v in gains.items():
+                n, m = self.n[k][x], self.repeated[k][x]
+                if v + (n - m) * math.log(strength) + math.lgamma(strength) - math.lgamma(strength + n) >= suffix_tree.GAIN:
+                    self.kept[k].add(x)
+            self.open += sum(v > 1 for v in self.n[k].values())
+
+    @staticmethod
     def steps(t):
-        s = [sym(w) for w in tok(t)]
-        padded = ["<"] * 3 + s
-        return [tuple(padded[j : j + 4]) for j in range(len(s))]
-
-    for i, t in rows:
-        if i not in held:
-            for g in steps(t):
-                for k in range(4):
-                    seen[k][g[3 - k :]] += 1
-    total = sum(seen[0].values())
-    n = [Counter() for _ in range(4)]
-    for k in range(4):
-        for g, c in seen[k].items():
-            n[k][g[:-1]] += c
-    kept = [{()}] + [set() for _ in range(3)]
-    for k in range(1, 4):
-        gains = Counter()
-        for g, c in seen[k].items():
-            gains[g[:-1]] += c * math.log((c / n[k][g[:-1]]) / (seen[k - 1][g[1:]] / n[k - 1][g[1:-1]]))
-        kept[k] = {x for x, v in gains.items() if v >= gain and n[k][x] >= least}
-    symbols = sum(c >= least for w, c in counts.items() if w is not None) + 65536 + 1
-    rare = [(w, c) for w, c in counts.items() if w is not None and c < least]
-    tokens, once = Counter(), Counter()
-    for w, c in rare:
-        tokens[end(w)] += c
-        once[end(w)] += c == 1
-
-    def p(g):
-        out = 1 / symbols
-        for k in range(4):
-            x = g[3 - k : 3]
-            if x in kept[k]:
-                m = total if k == 0 else n[k][x]
-                out = (seen[k][g[3 - k :]] + strength * out) / (m + strength)
+        """Each token with up to DEPTH symbols before it, of which one at most is before the text."""
+        s = ["<", *lm_tokens(t)]
+        return [tuple(s[max(0, j - suffix_tree.DEPTH) : j + 1]) for j in range(1, len(s))]
+
+    def p(self, g, depth=suffix_tree.DEPTH):
+        unknown = (self.once + 1) / (self.total + self.once + 1)
+        c = self.seen[0][g[-1:]]
+        out = (1 - unknown) * c / self.total if c else unknown
+        for k in range(1, min(depth, len(g) - 1) + 1):
+            x = g[-k - 1 : -1]
+            if x in self.kept[k]:
+                c, n, m = self.seen[k][g[-k - 1 :]], self.n[k][x], self.repeated[k][x]
+                out = ((c if c > 1 else 0) + (suffix_tree.STRENGTH + n - m) * out) / (n + suffix_tree.STRENGTH)
         return out
 
-    def within(w):
-        if w is None or counts[w] >= least:
-            return 1.0
-        room = max(1, once[end(w)])
-        return (counts[w] or room) / (tokens[end(w)] + room)
 
-    return {i: sum(math.log10(p(g) * within(w)) for g, w in zip(steps(t), tok(t))) for i, t in rows if i in held}, kept
-
-
-def test_lm_equals_brute_force_and_keeps_contexts_of_any_share(spark):
+def test_lm_equals_brute_force_and_keeps_contexts_of_any_share(spark, monkeypatch):
     """A context of 8 tokens among a million, and words outside the most frequent ones, count as they do in a small table."""
     rnd = random.Random(4)
     words = [f"w{k}x{k % 7}" for k in range(60)]
     rows = [(i, " ".join(rnd.choices(words[i % 3 * 15 :][:30], k=rnd.randint(1, 40)))) for i in range(60)]
     rows += [(100 + i, "zq xk then one") for i in range(8)] + [(200 + i, "aq xk") for i in range(2)]
     held = {0, 1, 2, 7, 300, 301}
-    rows += [(300, "zq xk then unseen"), (301, "aq nothing w1x1")]
+    rows += [(300, "zq xk then unseen"), (301, "aq nothing w1x1"), (302, ""), (303, "Twice said TWICE said twice said")]
+    rows += [(500 + i, f"{('left', 'right')[i % 2]} mid {('one', 'two')[i % 2]} {('up', 'down')[i // 2 % 2]} so then {('high', 'low')[i // 2 % 2]}") for i in range(24)]
     rows.append((400, "a b c d " * 250_000))
-    want, kept = brute_lm(rows, held)
-    assert ("zq",) in kept[1]
+    tree = BruteTree(t for i, t in rows if i not in held)
+    assert ("zq",) in tree.kept[1] and ("left", "mid") in tree.kept[2] and ("up", "so", "then") in tree.kept[3]
+    monkeypatch.setattr(suffix_tree, "BLOCK_BYTES", 500)
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
-    got = {r.doc_id: r.score for r in suffix_tree.score(stored(frame, "lm-test"), ~F.col("doc_id").isin(*held)).collect()}
-    assert {i: got[i] for i in held} == pytest.approx(want)
+    got = {r.doc_id: r.score for r in suffix_tree.score(frame, ~F.col("doc_id").isin(*held)).collect()}
+    want = {i: sum(math.log10(tree.p(g)) for g in tree.steps(t)) for i, t in rows}
+    assert got == pytest.approx(want)
+    for x in [("<",), ("zq",), ("aq", "xk"), ("<", "zq", "xk"), ("b", "c", "d"), ("none",)]:  # known words and unknown are a distribution
+        assert sum(tree.p((*x, s)) for s in [*(g[0] for g in tree.seen[0]), "unseen"]) == pytest.approx(1)
+
+
+@need_data
+def test_lm_contexts_tell_and_shuffled_words_do_not(spark):
+    rows = texts(spark)[:400]
+    train, held = [t for i, t in rows if i % 5], [t for i, t in rows if not i % 5]
+    tree = BruteTree(train)
+    flat = [w for t in train for w in lm_tokens(t)[:-1]]
+    random.Random(1).shuffle(flat)
+    shuffled, at = [], 0
+    for t in train:
+        n = len(lm_tokens(t)) - 1
+        shuffled.append(" ".join(flat[at : at + n]))
+        at += n
+    noise = BruteTree(shuffled)
+    assert sum(map(len, noise.kept)) < 0.05 * noise.open < sum(map(len, tree.kept))
+    steps = [g for t in held for g in tree.steps(t) if tree.seen[0][g[-1:]]]
+    known = [sum(math.log10(tree.p(g, k)) for g in steps) / len(steps) for k in range(4)]
+    assert known[0] + 0.02 < known[1] and known[1] <= known[3]
+    again = held[:20]
+    twice = BruteTree(train + again + again)
+    rate = lambda tree, ts: sum(math.log10(tree.p(g)) for t in ts for g in tree.steps(t)) / sum(len(lm_tokens(t)) for t in ts)
+    assert rate(twice, again) > rate(BruteTree(train + again), again) + 0.2
 
 
 # ---------------------------------------------------------------- 5
