@@ -24,7 +24,7 @@ for some texts is kept at any size, and the tree grows with the corpus.
 The work: texts become blocks of a few MB, stored once.  A block holds its distinct
 words and each token's number among them.  Then blocks ask, step by step, for the
 corpus counts of their distinct words and of their sequences of 2, 3 and 4 symbols,
-and at last which contexts stay.  Each question is summed by hash range over all
+and then, by length, which contexts stay.  Each question is summed by hash range over all
 blocks and answered in the order asked.  A sequence is asked for only if both its
 first and its last part are found twice; the rest cannot be.  A block asks once for
 what it holds many times, so no key meets more rows than there are blocks.  Tables
@@ -78,15 +78,18 @@ def tokens_of(run: Run) -> tuple[np.ndarray, np.ndarray]:
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Non-negative integers in as few bytes as the largest needs, compressed."""
+    """Non-negative integers in as few bytes as the largest needs, the lowest bytes of all first, compressed."""
     top = int(values.max()) if len(values) else 0
-    width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
-    return struct.pack("<BQ", width, len(values)) + pa.compress(values.astype(f"<u{width}").tobytes(), "zstd", asbytes=True)
+    width = next(w for w in range(1, 9) if top < 1 << 8 * w)
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return struct.pack("<BQ", width, len(values)) + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
 def unpacked(blob: bytes) -> np.ndarray:
     width, n = struct.unpack_from("<BQ", blob)
-    return np.frombuffer(pa.decompress(blob[9:], width * n, "zstd", asbytes=True), f"<u{width}")
+    out = np.zeros((n, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(pa.decompress(blob[9:], width * n, "zstd", asbytes=True), np.uint8).reshape(width, n).T
+    return out.view("<u8").ravel()
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -112,7 +115,7 @@ def gain_of(n: np.ndarray, m: np.ndarray, t: np.ndarray) -> np.ndarray:
 
 
 def block_type(key: T.DataType) -> T.StructType:
-    names = [("block", T.LongType()), ("keys", T.ArrayType(key)), ("lengths", T.BinaryType()), ("learn", T.BinaryType()), ("ids", T.BinaryType()), ("words", T.BinaryType()), ("own", T.BinaryType()), ("n_learn", T.LongType())]
+    names = [("block", T.LongType()), ("keys", T.ArrayType(key)), ("lengths", T.BinaryType()), ("learn", T.BinaryType()), ("ids", T.BinaryType()), ("words", T.BinaryType()), ("rank", T.BinaryType()), ("own", T.BinaryType()), ("n_learn", T.LongType())]
     return T.StructType([T.StructField(n, k) for n, k in names])
 
 
@@ -125,11 +128,13 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, n, use = np.concatenate(hashes), np.concatenate(lengths), np.concatenate(learn)
         words, ids = np.unique(flat, return_inverse=True)
         own = np.bincount(ids, np.repeat(use, n), len(words)).astype(np.int64)
+        rank = np.empty(len(words), dtype=np.int64)  # frequent words have small numbers, which compress
+        rank[np.argsort(-np.bincount(ids, minlength=len(words)), kind="stable")] = np.arange(len(words))
         held = pa.concat_arrays(keys)
-        row = [packed(n), packed(use), packed(ids), packed(_gaps(words)), packed(own)]
+        row = [packed(n), packed(use), packed(rank[ids]), packed(_gaps(words)), packed(rank), packed(own)]
         return pa.RecordBatch.from_arrays(
             [pa.array([number], pa.int64()), pa.ListArray.from_arrays([0, len(held)], held), *(pa.array([b], pa.binary()) for b in row), pa.array([int(use.sum())], pa.int64())],
-            names=["block", "keys", "lengths", "learn", "ids", "words", "own", "n_learn"],
+            names=["block", "keys", "lengths", "learn", "ids", "words", "rank", "own", "n_learn"],
         )
 
     for batch in batches:
@@ -171,7 +176,7 @@ def _questions(block: int, parts: int, keys: np.ndarray, n: np.ndarray, m: np.nd
         pa.array([packed(_gaps(keys[a:b])) for a, b in rows], pa.binary()),
         pa.array([packed(n[a:b]) for a, b in rows], pa.binary()),
         pa.array([None if m is None else packed(m[a:b]) for a, b in rows], pa.binary()),
-        pa.array([None if t is None else pa.compress(t[a:b].astype(np.float64).tobytes(), "zstd", asbytes=True) for a, b in rows], pa.binary()),
+        pa.array([None if t is None else pa.compress(t[a:b].astype(np.float32).tobytes(), "zstd", asbytes=True) for a, b in rows], pa.binary()),
     ]
     return pa.table(columns, names=["block", "part", "keys", "n", "m", "t"])
 
@@ -179,8 +184,8 @@ def _questions(block: int, parts: int, keys: np.ndarray, n: np.ndarray, m: np.nd
 def _answer(level: int, asked: pa.Table) -> pa.Table:
     """Sums a range of hashes over all blocks and answers each block in the order of its keys.
 
-    Level 0 gets counts; levels up to DEPTH counts of LEAST or more, else 0; the
-    last level, of contexts, the tokens in repeated symbols if the context stays, else 0.
+    Step 0 gets counts; steps up to DEPTH counts of LEAST or more, else 0; the
+    others, of contexts, the tokens in repeated symbols if the context stays, else 0.
     """
     asked = asked.sort_by("block")
     keys = [np.cumsum(unpacked(b), dtype=np.uint64) for b in asked.column("keys").to_pylist()]
@@ -193,7 +198,7 @@ def _answer(level: int, asked: pa.Table) -> pa.Table:
         sums = np.zeros(len(own), dtype=np.int64)
         sums[where] = np.concatenate(n)
         m = np.bincount(where, np.concatenate([unpacked(b) for b in asked.column("m").to_pylist()]), len(own))
-        t = np.bincount(where, np.concatenate([np.frombuffer(pa.decompress(b, 8 * len(k), "zstd", asbytes=True)) for b, k in zip(asked.column("t").to_pylist(), keys)]), len(own))
+        t = np.bincount(where, np.concatenate([np.frombuffer(pa.decompress(b, 4 * len(k), "zstd", asbytes=True), np.float32) for b, k in zip(asked.column("t").to_pylist(), keys)]), len(own))
         told = np.where((m > 0) & (gain_of(sums.astype(np.float64), m, t) >= GAIN), m, 0).astype(np.int64)
     answers = np.split(told[where], np.cumsum([len(k) for k in keys])[:-1])
     rows = asked.num_rows
@@ -219,7 +224,8 @@ class Block:
     def __init__(self, row: dict, told: pa.Table, corpus: Corpus):
         self.number, self.corpus = row["block"], corpus
         self.lengths, self.learn = unpacked(row["lengths"]).astype(np.int64), unpacked(row["learn"]) > 0
-        ids, words = unpacked(row["ids"]), np.cumsum(unpacked(row["words"]), dtype=np.uint64)
+        words, rank = np.cumsum(unpacked(row["words"]), dtype=np.uint64), unpacked(row["rank"])
+        ids = np.argsort(rank, kind="stable")[unpacked(row["ids"])]
         begins = np.cumsum(self.lengths) - self.lengths
         self.begins = begins
         self.place = np.arange(len(ids)) - np.repeat(begins, self.lengths)
@@ -227,7 +233,7 @@ class Block:
         self.word = words[ids]
         told = told.select(["level", "part", "told"]).sort_by([("level", "ascending"), ("part", "ascending")])
         self.told: dict[int, np.ndarray] = {}
-        for level in range(DEPTH + 2):
+        for level in range(2 * DEPTH + 1):
             own = [unpacked(b) for b, k in zip(told.column("told").to_pylist(), told.column("level").to_pylist()) if k == level]
             self.told[level] = np.concatenate(own) if own else np.zeros(0, np.int64)
         #: For each level, by token: sequence's hash and count, and the count of the context before its last symbol.
@@ -271,45 +277,41 @@ class Block:
         own, where = np.unique(hashes, return_inverse=True)
         return own, np.bincount(where, self.use[at], len(own)).astype(np.int64)
 
-    def contexts(self) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-        """Ordered hashes of the block's contexts; by level the tokens that have one and its number among them; n, m, t."""
-        hashes, at = [], []
-        for k in range(1, DEPTH + 1):
-            tokens = np.flatnonzero(self.before[k] >= LEAST)
-            at.append(tokens)
-            hashes.append(np.where(self.place[tokens] > 0, self.hash[k - 1][tokens - 1], START))
-        own, where = np.unique(np.concatenate(hashes), return_inverse=True)
-        number = np.split(where, np.cumsum([len(a) for a in at])[:-1])
-        n, m, t = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), np.zeros(len(own))
-        for k, (tokens, k_number) in enumerate(zip(at, number), 1):
-            n[k_number] = self.before[k][tokens]
-            mine = self.use[tokens] & (self.count[k][tokens] >= LEAST)
-            tokens, k_number = tokens[mine], k_number[mine]
-            c = self.count[k][tokens].astype(np.float64)
-            q = self.count[k - 1][tokens] / (self.before[k - 1][tokens] if k > 1 else max(1, self.corpus.tokens))
-            m += np.bincount(k_number, minlength=len(own))
-            # each of a sequence's tokens brings its share, so that blocks add up to the whole
-            t += np.bincount(k_number, evidence(c, q) / c, len(own))
-        return own, at, number, n, m, t
-
-    def ask(self, level: int, parts: int) -> pa.Table:
-        if level <= DEPTH:
-            return _questions(self.number, parts, *self.sequences(level))
-        self.rise(DEPTH)
-        own, _, _, n, m, t = self.contexts()
-        return _questions(self.number, parts, own, n, m, t)
+    def contexts(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ordered hashes of the block's contexts of a length, the tokens that have one, and its number among them."""
+        tokens = np.flatnonzero(self.before[length] >= LEAST)
+        own, number = np.unique(np.where(self.place[tokens] > 0, self.hash[length - 1][tokens - 1], START), return_inverse=True)
+        return own, tokens, number
+
+    def divergence(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The block's contexts of a length with their tokens in all texts, and the block's part of m and t (see ``gain_of``)."""
+        own, tokens, number = self.contexts(length)
+        n = np.zeros(len(own), np.int64)
+        n[number] = self.before[length][tokens]
+        mine = self.use[tokens] & (self.count[length][tokens] >= LEAST)
+        tokens, number = tokens[mine], number[mine]
+        c = self.count[length][tokens].astype(np.float64)
+        q = self.count[length - 1][tokens] / (self.before[length - 1][tokens] if length > 1 else max(1, self.corpus.tokens))
+        # each of a sequence's tokens brings its share, so that blocks add up to the whole
+        return own, n, np.bincount(number, minlength=len(own)), np.bincount(number, evidence(c, q) / c, len(own))
+
+    def ask(self, step: int, parts: int) -> pa.Table:
+        if step <= DEPTH:
+            return _questions(self.number, parts, *self.sequences(step))
+        self.rise(step - DEPTH)
+        return _questions(self.number, parts, *self.divergence(step - DEPTH))
 
     def probabilities(self) -> np.ndarray:
         """Of every token given its state."""
         self.rise(DEPTH)
-        _, at, number, _, _, _ = self.contexts()
         p = self.corpus.unigram(self.count[0])
-        for k, (tokens, k_number) in enumerate(zip(at, number), 1):
-            m = self.told[DEPTH + 1][k_number].astype(np.float64)
+        for length in range(1, DEPTH + 1):
+            _, tokens, number = self.contexts(length)
+            m = self.told[DEPTH + length][number].astype(np.float64)
             kept = m > 0
             tokens, m = tokens[kept], m[kept]
-            n = self.before[k][tokens]
-            p[tokens] = (self.count[k][tokens] + (STRENGTH + n - m) * p[tokens]) / (n + STRENGTH)
+            n = self.before[length][tokens]
+            p[tokens] = (self.count[length][tokens] + (STRENGTH + n - m) * p[tokens]) / (n + STRENGTH)
         return p
 
 
@@ -362,7 +364,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
         parts = max(1, n // 2)
         corpus, told = Corpus(0, 0, 0, texts), None
         lean = blocks.drop("keys", "own", "n_learn")
-        for level in range(DEPTH + 2):
+        for level in range(2 * DEPTH + 1):
             if told is None:
                 asked = map_batches(blocks.select("block", "words", "own"), partial(_ask_words, parts), ASK)
             else:
