@@ -185,6 +185,14 @@ class ForcedBoundaryBPE:
                         out += map(int, joined.split(","))
         return out
 
+    def encode_column(self, texts: pa.Array, added_tokens: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a column of texts one behind another, and where each text's ids begin (n+1 entries)."""
+        ids, counts = [], [0]
+        for n, joined, _ in _encoded(self, TextBatch(texts), added_tokens):
+            ids.append(np.fromstring(joined, dtype=np.int32, sep=",") if joined else np.zeros(0, np.int32))
+            counts.append(n)
+        return np.concatenate(ids) if ids else np.zeros(0, np.int32), np.cumsum(counts)
+
     def decode_bytes(self, ids) -> bytes:
         return b"".join(self.tokens[int(i)] for i in ids)
 
@@ -193,6 +201,29 @@ class ForcedBoundaryBPE:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
+class Decoder:
+    """Decodes many ids at once: the bytes of all tokens one behind another, and where each begins."""
+
+    def __init__(self, tokens: dict[int, bytes]):
+        size = max(tokens, default=-1) + 1
+        self.lengths = np.zeros(size, dtype=np.int64)
+        self.lengths[list(tokens)] = [len(t) for t in tokens.values()]
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.known = np.zeros(size, dtype=bool)
+        self.known[list(tokens)] = True
+        self.data = np.frombuffer(b"".join(tokens.get(i, b"") for i in range(size)), np.uint8)
+
+    def __call__(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of all ids, and where each id's begin (n+1 entries)."""
+        if len(ids) and not (ids.min() >= 0 and ids.max() < len(self.known) and self.known[ids].all()):
+            raise KeyError("an id that is no token")
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        at = np.arange(ends[-1] if len(ends) else 0)
+        at += np.repeat(self.starts[ids] - (ends - lengths), lengths)
+        return self.data[at].tobytes(), np.concatenate(([0], ends))
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> ForcedBoundaryBPE:
     """The vocabulary of a file, once for each worker process."""

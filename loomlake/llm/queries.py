@@ -10,7 +10,6 @@ import hashlib
 import uuid
 from collections.abc import Callable
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,11 +114,11 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
 
     def digests(batches):
-        words = bpe.load(path)
         for batch in batches:
             out = []
-            for conv, ids, mask, formatted in zip(*(c.to_pylist() for c in batch.columns)):
-                turns, loss = chat.parse(np.array(ids, dtype=np.int32), np.array(mask, dtype=np.int8), words)
+            (ids, at), (mask, _) = (chat.row_values(batch.column(k)) for k in (1, 2))
+            for k, (conv, formatted) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist())):
+                turns, loss = chat.parse(ids[at[k] : at[k + 1]], mask[at[k] : at[k + 1]], path)
                 said = "".join(f"{role}\n{text}\n" for role, text in turns)
                 out.append((conv, len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted)))
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
@@ -134,7 +133,7 @@ WITH t AS (
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
   UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
 ), e AS (
-  SELECT *, length(role) + length(text) + length('<|im_start|>') + length('<|im_end|>') + 2
+  SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone, length(role) + length(text) + length('<|im_start|>') + length('<|im_end|>') + 2
             + length(regexp_extract_all(text, '<\\*\|')) AS chars FROM t
 )
 SELECT conv_id, count(*) AS n_turns,
@@ -142,7 +141,7 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(chars) AS BIGINT) AS formatted_chars
-FROM e GROUP BY conv_id
+FROM e GROUP BY conv_id, lone
 """
 
 
