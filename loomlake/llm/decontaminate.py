@@ -12,14 +12,16 @@ divided by that of a full copy is the similarity; documents with a similarity of
 LEAK_AT or more hold a leak.  Words are runs of letters, digits and non-ASCII
 bytes, with A-Z lower-cased, so punctuation and case do not matter.
 
-Items are taken in blocks of at most BLOCK_BYTES of text: a block is broadcast
-and the corpus is scanned once more for each further block, so nothing that
-grows with the benchmark has to fit in memory.  Documents are never shuffled.
-
-Null and empty texts hold no leaks; items without a rare n-gram (fewer than
-SEED_WORDS words, or common words only) are found where the whole item occurs:
-their seed is then the item's word sequence itself.  Items without words are
-ignored.  Items with a null id are reported with a null id.
+Items are taken in blocks of at most BLOCK_BYTES of text.  The corpus is read twice
+however many blocks there are: once for word counts, once for seeds and alignments.
+Each block is a broadcast of its own, bounded by BLOCK_BYTES, and a task holds one
+block at a time.  Documents are never shuffled.
+
+Null and empty texts hold no leaks.  An item whose n-grams are all common is seeded
+by the COMMON_SEEDS least common of them and its whole word sequence; one of fewer
+than SEED_WORDS words by its word sequence.  Items without words are ignored.  Items
+with a null id are reported with a null id, repeated items each.  Repeated documents
+are reported each, very long ones whole.  ``leaks`` replaces a column of its name.
 """
 
 from __future__ import annotations
@@ -33,12 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomlake.llm.common import Run, TextBatch, map_batches, mix, stored
+from loomlake.llm.common import Run, TextBatch, map_batches, mix
 from loomlake.llm.toxicity import _MAP as WORD_BYTES
 
 SEED_WORDS = 3
 #: Expected chance occurrences in a document of mean length below which an n-gram is a seed.
 RARE = 1e-4
+#: Seeds of an item that has no rare n-gram.
+COMMON_SEEDS = 4
 LEAK_AT = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_BYTES = 4 << 20
@@ -114,9 +118,11 @@ def build(ids: list[int | None], words: list[np.ndarray], chance: dict[int, floa
         rare = False
         if len(own) >= SEED_WORDS:
             expected = mean_words * np.prod([p[j : len(own) - SEED_WORDS + 1 + j] for j in range(SEED_WORDS)], axis=0)
-            for offset in np.flatnonzero(expected < RARE):
-                found.setdefault(SEED_WORDS, []).append((int(gram_keys(own[offset : offset + SEED_WORDS], SEED_WORDS)[0]), item, int(offset)))
-                rare = True
+            offsets = np.flatnonzero(expected < RARE)
+            rare = bool(len(offsets))
+            keys = gram_keys(own, SEED_WORDS)
+            for offset in offsets if rare else np.argsort(expected, kind="stable")[:COMMON_SEEDS]:
+                found.setdefault(SEED_WORDS, []).append((int(keys[offset]), item, int(offset)))
         if not rare:
             found.setdefault(len(own), []).append((int(gram_keys(own, len(own))[0]), item, 0))
     seeds = {}
@@ -191,37 +197,39 @@ def leaks(run: Run, block: Block, leak_at: float) -> list[list[tuple[int | None,
         similarity = best[0] / (MATCH * len(words))
         if similarity >= leak_at:
             out[d].append((block.ids[item], similarity, best[1], best[2]))
-    for rows in out:
-        rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[2]))
     return out
 
 
-def word_chances(docs: DataFrame, text: str, vocabulary: np.ndarray) -> tuple[dict[int, float], float]:
-    """Share of each vocabulary word among the words of the whole corpus, and the mean number of words of a document."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.unique(vocabulary))
+def word_chances(docs: DataFrame, text: str, vocabularies: list[np.ndarray]) -> tuple[list[dict[int, float]], float]:
+    """For each vocabulary the share of its words among the words of the whole corpus, and the mean number of words of a document."""
+    spark = docs.sparkSession
+    vocabularies = [np.unique(v) for v in vocabularies]
+    shared = [spark.sparkContext.broadcast(v) for v in vocabularies]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = Lookup(shared.value)
-        counts = np.zeros(len(lookup.keys) + 2, dtype=np.int64)
+        lookups = [Lookup(s.value) for s in shared]
+        counts = [np.zeros(len(x.keys), dtype=np.int64) for x in lookups]
+        sums = np.zeros(2, dtype=np.int64)
         for batch in batches:
             texts = TextBatch(batch.column(0))
-            counts[-1] += len(texts)
+            sums[1] += len(texts)
             for r in texts.runs():
                 hashes, _ = hashed_words(r)
-                counts[-2] += len(hashes)
-                _, k = lookup.find(hashes)
-                counts[: len(lookup.keys)] += np.bincount(k, minlength=len(lookup.keys))
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["word", "n"])
-
-    # one row for each word of the block at most
-    rows = map_batches(docs.select(text), run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    keys = np.unique(vocabulary)
-    n = np.zeros(len(keys) + 2)
+                sums[0] += len(hashes)
+                for lookup, own in zip(lookups, counts):
+                    _, k = lookup.find(hashes)
+                    own += np.bincount(k, minlength=len(own))
+        for block, own in enumerate([*counts, sums]):
+            some = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block)), pa.array(some), pa.array(own[some])], names=["block", "word", "n"])
+
+    # one row for each word of the benchmark at most
+    rows = map_batches(docs.select(text), run, "block bigint, word bigint, n bigint").groupBy("block", "word").agg(F.sum("n").alias("n")).collect()
+    n = [np.zeros(len(v)) for v in vocabularies] + [np.zeros(2)]
     for r in rows:
-        n[r["word"]] = r["n"]
-    total, documents = max(1.0, n[-2]), max(1.0, n[-1])
-    return {int(k): c / total for k, c in zip(keys, n)}, total / documents
+        n[r["block"]][r["word"]] = r["n"]
+    total, documents = max(1.0, n[-1][0]), max(1.0, n[-1][1])
+    return [{int(k): c / total for k, c in zip(v, own)} for v, own in zip(vocabularies, n)], total / documents
 
 
 def blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[tuple[list[int | None], list[str]]]:
@@ -240,33 +248,32 @@ def blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[tuple[list[in
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", leak_at: float = LEAK_AT, out: str = "leaks") -> DataFrame:
     """All columns of ``docs`` with ``leaks``: array<struct<item_id, similarity, first_word, last_word>>, empty for clean documents."""
-    result = docs.withColumn(out, F.array().cast(MATCHES))
-    for number, (ids, texts) in enumerate(blocks(benchmark, item, item_text)):
-        words = item_words(texts)
-        vocabulary = np.concatenate(words)
-        if not len(vocabulary):
-            continue
-        block = build(ids, words, *word_chances(docs, text, vocabulary))
-        result = _scan_block(result if number == 0 else stored(result, "leaks"), block, text, leak_at, out)
-    return result
-
-
-def _scan_block(docs: DataFrame, block: Block, text: str, leak_at: float, out: str) -> DataFrame:
+    spark = docs.sparkSession
+    parts = [(ids, item_words(texts)) for ids, texts in blocks(benchmark, item, item_text)]
+    parts = [(ids, words) for ids, words in parts if sum(map(len, words))]
+    if not parts:
+        return docs.withColumn(out, F.array().cast(MATCHES))
+    chances, mean_words = word_chances(docs, text, [np.concatenate(words) for _, words in parts])
+    shared = [spark.sparkContext.broadcast(build(ids, words, own, mean_words)) for (ids, words), own in zip(parts, chances)]
     kept = [f for f in docs.schema.fields if f.name != out]
     schema = T.StructType([*kept, T.StructField(out, MATCHES)])
-    frame = docs.select(*[f.name for f in kept], out, docs[text].alias("__text"))
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+    frame = docs.select(*[f.name for f in kept], docs[text].alias("__text"))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value
+        only = shared[0].value if len(shared) == 1 else None
         for batch in batches:
-            before = batch.column(batch.num_columns - 2).to_pylist()
-            found = []
-            for r in TextBatch(batch.column(batch.num_columns - 1)).runs():
-                found += leaks(r, block, leak_at)
-            rows = [[*b, *({"item_id": i, "similarity": s, "first_word": x, "last_word": y} for i, s, x, y in f)] for b, f in zip(before, found)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns - 2)), pa.array(rows, kind)], names=schema.names)
+            texts = TextBatch(batch.column(batch.num_columns - 1))
+            found: list[list] = [[] for _ in range(len(texts))]
+            for handle in shared:
+                block = only or handle.load_from_path(handle._path)  # not kept: one block at a time
+                for r in texts.runs():
+                    for i, rows in enumerate(leaks(r, block, leak_at), r.first):
+                        found[i] += rows
+            for rows in found:
+                rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[2]))
+            rows = [[{"item_id": i, "similarity": s, "first_word": x, "last_word": y} for i, s, x, y in f] for f in found]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns - 1)), pa.array(rows, kind)], names=schema.names)
 
     return map_batches(frame, run, schema)
 
