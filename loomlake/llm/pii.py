@@ -22,8 +22,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -372,6 +374,8 @@ def stretches(text: str) -> list[list[tuple[str, int, int]]]:
 def added_spans(texts: list[str], base: list[list[Span]], crf: CRF) -> list[list[Span]]:
     """Spans of the field for each text of a batch that touch none of its base spans."""
     found: list[list[Span]] = [[] for _ in texts]
+    starts = [[a for a, _, _ in sorted(b)] for b in base]
+    reach = [list(accumulate((b for _, b, _ in sorted(own)), max)) for own in base]  # farthest end of the spans up to each
     by_length: dict[int, list[tuple[int, list[tuple[str, int, int]]]]] = {}
     for i, text in enumerate(texts):
         for s in stretches(text):
@@ -399,7 +403,8 @@ def added_spans(texts: list[str], base: list[list[Span]], crf: CRF) -> list[list
                             begin += 1
                         while end - 1 > begin and texts[i][end - 1] in _EDGE:
                             end -= 1
-                        if all(end <= a or begin >= b for a, b, _ in base[i]):
+                        before = bisect_left(starts[i], end)
+                        if not before or reach[i][before - 1] <= begin:
                             found[i].append((begin, end, tag[2:]))
                     t = u
     return found
@@ -440,9 +445,10 @@ def detect(docs: DataFrame, text: str = "text", redacted: str | None = None) ->
     kept = [f for f in docs.schema.fields if f.name not in names]
     schema = T.StructType(kept + new)
     frame = docs.select(*[f.name for f in kept], docs[text].alias("__text"))
+    shared = docs.sparkSession.sparkContext.broadcast(trained())  # one model of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crf = trained()
+        crf = shared.value
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
             base, spans, clean = [], [], []
