@@ -88,13 +88,27 @@ def vectors(run: Run, space: Space) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield (np.concatenate(idx).astype(np.int32), np.concatenate(val).astype(np.float32)) if idx else (np.zeros(0, np.int32), np.zeros(0, np.float32))
 
 
+#: Label values that a bounded sample covers at most, the most frequent ones.
+MOST_LABELS = 120
+
+
+def agreed_labels(labels: DataFrame, key: str, label: str) -> DataFrame:
+    """__id and __label (0/1) of every id whose labels all say the same; null ids and null labels do not count."""
+    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull())
+    own = known.groupBy(F.col(key).alias("__id")).agg(F.min(F.col(label) > 0).alias("lo"), F.max(F.col(label) > 0).alias("hi"))
+    return own.where("lo = hi").select("__id", F.col("lo").cast("int").alias("__label"))
+
+
 def bounded_sample(rows: DataFrame, label: str, key: str, most: int) -> DataFrame:
     """Rows of each label whose hashed key falls under that label's share, about most / n_labels of each.
 
     The share is found from counts over all rows, so the choice is the same however
-    the rows are partitioned and no label's rows meet in one task.
+    the rows are partitioned and no label's rows meet in one task.  A row without
+    a key is not chosen.  All rows of one key are chosen or none is; ``one_text``
+    leaves one of them, so repeated keys do not stretch the bound.
     """
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(max(1, most // 20)).collect() if r[0] is not None}
+    rows = rows.where(F.col(key).isNotNull() & F.col(label).isNotNull())
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(MOST_LABELS).collect()}
     if not counts:
         return rows.limit(0)
     each = most / len(counts)
@@ -105,8 +119,13 @@ def bounded_sample(rows: DataFrame, label: str, key: str, most: int) -> DataFram
     return rows.where(unit < share)
 
 
-def collect_vectors(rows: DataFrame, text: str, label: str, space: Space) -> tuple[np.ndarray, list]:
-    """Dense feature matrix and labels of a bounded sample; texts are reduced to features on the executors."""
+def one_text(rows: DataFrame) -> DataFrame:
+    """Of each __id with a __label the last of its texts in order; tasks send one row for each id on."""
+    return rows.groupBy("__id", "__label").agg(F.max("__text").alias("__text"))
+
+
+def collect_vectors(rows: DataFrame, text: str, label: str, space: Space, most: int) -> tuple[np.ndarray, list]:
+    """Dense feature matrix and labels of a bounded sample, never more than 2 * ``most`` rows; texts are reduced to features on the executors."""
 
     def run(batches):
         for batch in batches:
@@ -120,7 +139,7 @@ def collect_vectors(rows: DataFrame, text: str, label: str, space: Space) -> tup
 
     frame = rows.select(F.col(text).alias("text"), F.col(label).alias("label"))
     kind = dict(frame.dtypes)["label"]
-    got = map_batches(frame, run, f"label {kind}, idx binary, val binary").orderBy("label", "idx", "val").collect()
+    got = map_batches(frame, run, f"label {kind}, idx binary, val binary").orderBy("label", "idx", "val").limit(2 * most).collect()
     x = np.zeros((len(got), space.size), dtype=np.float32)
     for row, r in zip(x, got):
         row[np.frombuffer(r[1], np.int32)] = np.frombuffer(r[2], np.float32)

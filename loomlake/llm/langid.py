@@ -9,7 +9,9 @@ letters lower-cased and everything else that is no letter turned into spaces.
 A text that is null, empty or without any letter gets language ``und`` and
 score 0.  Ties between languages go to the one with the larger margin sum, then
 to the first by name.  Where nothing can be learned every text gets ``und``.
-Rows with a null text or null label are not learned from.
+Rows with a null text, label or id are not learned from; of several texts of one
+id and label the last in order is.  Labels beyond the 120 most frequent are not
+learned.  Letters are the characters of Unicode's category L.
 """
 
 from __future__ import annotations
@@ -20,12 +22,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomlake.llm.common import TextBatch
-from loomlake.llm.hashed import Space, bounded_sample, collect_vectors, fit_linear, linear_scores, platt, sigmoid
+from loomlake.llm.common import TextBatch, map_batches
+from loomlake.llm.hashed import Space, bounded_sample, collect_vectors, fit_linear, linear_scores, one_text, platt, sigmoid
 
 #: Families of languages by ISO 639-1 code; a language that is not listed is a family of its own.
 FAMILIES = {
@@ -53,7 +56,7 @@ _letters[97:123] = np.arange(97, 123)
 _letters[65:91] = np.arange(97, 123)
 _letters[128:] = np.arange(128, 256)
 FEATURES = Space(word_bits=0, gram_bits=11, grams=(1, 2, 3, 4), byte_map=_letters.tobytes())
-_ANY_LETTER = re.compile(r"[^\W\d_]")
+_ANY_LETTER = regex.compile(r"\p{L}")
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
@@ -150,7 +153,7 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS, text: str = "text", label: s
     known = docs if where is None else docs.where(where)
     known = known.where(F.col(label).isNotNull() & (F.col(label) != UNDETERMINED) & F.col(text).isNotNull())
     sample = bounded_sample(known.select(F.col(key).alias("__id"), F.col(text).alias("__text"), F.col(label).alias("__label")), "__label", "__id", rows)
-    return fit(*collect_vectors(sample, "__text", "__label", FEATURES))
+    return fit(*collect_vectors(one_text(sample), "__text", "__label", FEATURES, rows))
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -178,4 +181,4 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
             arrays = [batch.column(k) for k in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
-    return frame.mapInArrow(run, schema)
+    return map_batches(frame, run, schema)

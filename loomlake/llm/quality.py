@@ -9,7 +9,8 @@ batches and keeps a document if it passes the base rules and its probability of
 good quality reaches the fixed threshold.
 
 Null and empty texts have no words, fail the base rules and are not kept.
-Null labels are not learned from.  Where no row, or only one class, is labelled,
+Null labels, labels of null ids and ids whose labels contradict each other are not
+learned from; of several texts of one id the last in order is.  Where no row, or only one class, is labelled,
 the classifier gives every text probability 1 and only the base rules decide.
 Repeated words and lines are compared by 64-bit hash and by bytes respectively.
 """
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomlake.llm.common import Run, SPACE, TextBatch, map_batches, mix
-from loomlake.llm.hashed import Space, bounded_sample, collect_vectors, fit_linear, linear_scores, platt, sigmoid
+from loomlake.llm.hashed import Space, agreed_labels, bounded_sample, collect_vectors, fit_linear, linear_scores, one_text, platt, sigmoid
 
 #: Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
@@ -111,11 +112,10 @@ def fit(x: np.ndarray, y: np.ndarray, space: Space = FEATURES) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, text: str = "text", label: str = "quality", key: str = "doc_id") -> Model:
     """Fits the classifier on at most about ``rows`` labelled documents, chosen by hash of their id."""
-    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("__id"), (F.col(label) > 0).cast("int").alias("__label")).dropDuplicates(["__id"])
-    sample = bounded_sample(known, "__label", "__id", rows)
+    sample = bounded_sample(agreed_labels(labels, key, label), "__label", "__id", rows)
     # the sample has at most about `rows` rows of two numbers: a proven bound
     joined = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(sample), "__id")
-    x, y = collect_vectors(joined, "__text", "__label", FEATURES)
+    x, y = collect_vectors(one_text(joined), "__text", "__label", FEATURES, rows)
     return fit(x, np.array(y))
 
 

@@ -16,7 +16,10 @@ function words.  Scores are shifted so that 0.5 is the group's threshold.
 For scoring, embedding and filters are multiplied out once: a word's row holds
 its share in each position of each filter, and a window's response is a sum of
 gathered numbers.  Empty and null texts are scored like a text of padding only.
-Null labels are not learned from; with fewer than two classes every score is 0.
+Null labels, labels of null ids and ids whose labels contradict each other are not
+learned from; of several texts of one id the last in order is, if it has
+SAMPLE_WORDS words or fewer.  With fewer than two classes every score is 0.  A
+language group with fewer than five held rows of a class has the threshold of all.
 """
 
 from __future__ import annotations
@@ -30,12 +33,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomlake.llm.common import FOLD, Run, TextBatch
-from loomlake.llm.hashed import bounded_sample, platt, sigmoid
+from loomlake.llm.common import FOLD, Run, TextBatch, map_batches
+from loomlake.llm.hashed import agreed_labels, bounded_sample, one_text, platt, sigmoid
 
 BITS, WIDTH, FILTERS, SIZES = 16, 8, 8, (1, 2, 3)
 #: Labelled rows that the network is fitted and calibrated on at most (about half of each class), and passes over them.
 SAMPLE_ROWS, PASSES = 4000, 20
+#: Words of a text that is learned from, at most: with SAMPLE_ROWS this bounds what comes to the driver.
+SAMPLE_WORDS = 8000
 #: Bytes of a word that pick its second row.
 PREFIX = 4
 #: Step of plain gradient descent on embeddings: a rare word moves little, however rarely it is seen.
@@ -255,22 +260,20 @@ def best_threshold(z: np.ndarray, y: np.ndarray) -> float:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, text: str = "text", label: str = "toxic", key: str = "doc_id", where: Column | None = None) -> Model:
     """Fits the network on at most about ``rows`` labelled documents, chosen by hash of their id; ``where`` restricts the labels."""
-    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull())
-    known = known if where is None else known.where(where)
-    known = known.select(F.col(key).alias("__id"), (F.col(label) > 0).cast("int").alias("__label")).dropDuplicates(["__id"])
+    known = agreed_labels(labels if where is None else labels.where(where), key, label)
     # at most about `rows` rows of two numbers: a proven bound
     sample = F.broadcast(bounded_sample(known, "__label", "__id", rows))
-    joined = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("__id"), F.col(text).alias("__text")).join(sample, "__id").select("__text", "__label")
+    joined = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("__id"), F.col(text).alias("__text")).join(sample, "__id")
 
     def run(batches):
         for batch in batches:
             out = []
             for r in TextBatch(batch.column(0)).runs():
                 hashes, first = word_hashes(r)
-                out += [hashes[i:j].tobytes() for i, j in zip(first, first[1:])]
+                out += [hashes[i:j].tobytes() if j - i <= SAMPLE_WORDS else None for i, j in zip(first, first[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary())], names=["label", "hashes"])
 
-    got = joined.mapInArrow(run, "label int, hashes binary").orderBy("label", "hashes").collect()
+    got = map_batches(one_text(joined).select("__text", "__label"), run, "label int, hashes binary").where("hashes is not null").orderBy("label", "hashes").limit(2 * rows).collect()
     texts = [np.frombuffer(r[1], np.uint64) for r in got]
     group = np.array([groups(t, np.array([0, len(t)]))[0] for t in texts], dtype=np.int64)
     return fit(texts, np.array([r[0] for r in got]), group)
@@ -292,4 +295,4 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             arrays = [batch.column(k) for k in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=schema.names)
 
-    return frame.mapInArrow(run, schema)
+    return map_batches(frame, run, schema)

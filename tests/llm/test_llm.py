@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomlake.llm import bpe, chat, decontaminate, jaccard, langid, pii, quality, queries, suffix_tree, token_counts, toxicity
+from loomlake.llm import bpe, chat, decontaminate, hashed, jaccard, langid, pii, quality, queries, suffix_tree, token_counts, toxicity
 from loomlake.llm.common import TextBatch, fold_of, stored
 
 SF = os.environ.get("TEST_LLM_DIR", "/root/testdata/sf0.01")
@@ -100,6 +100,28 @@ def test_language_odd_rows(odd, none):
     assert langid.predict(none, model).count() == 0
 
 
+def test_samples_are_bounded(spark):
+    """Half of the ids null, one id repeated 10,000 times, contradicting labels: a bounded sample, the same on any partitioning."""
+    rows = spark.range(30_000).select(
+        F.when(F.col("id") % 2 == 0, None).when(F.col("id") < 20_000, F.lit(7)).otherwise(F.col("id")).alias("doc_id"),
+        F.concat(F.lit("some text "), F.col("id") % 50, F.lit(" more")).alias("text"), F.element_at(F.array(F.lit("de"), F.lit("en")), (F.col("id") % 3 % 2 + 1).cast("int")).alias("lang"))
+    got = []
+    for n in (1, 5):
+        model = langid.train(rows.repartition(n), rows=200)
+        got.append(model.weights)
+        sample = hashed.one_text(hashed.bounded_sample(rows.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"), F.col("lang").alias("__label")), "__label", "__id", 200))
+        assert 20 < sample.count() < 400 and sample.where("__id is null").count() == 0 and sample.where("__id = 7").count() <= 2
+    assert np.array_equal(*got)
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (2, 1), (3, None), (None, 1), (4, 0)], "doc_id long, toxic int")
+    assert sorted(map(tuple, hashed.agreed_labels(labels, "doc_id", "toxic").collect())) == [(2, 1), (4, 0)]
+    assert toxicity.train(rows, labels.unionByName(rows.select("doc_id", F.lit(1).alias("toxic")))).trained is False  # no text has label 0
+
+
+@pytest.mark.parametrize("text,want", [("²", False), ("½ 3", False), ("_١٢", False), ("é", True), ("1a", True), ("日", True)])
+def test_letters(text, want):
+    assert langid.has_letter(text.encode()) is want
+
+
 def test_families_split_into_pairs():
     rng = np.random.default_rng(0)
     x = np.zeros((80, langid.FEATURES.size), dtype=np.float32)
@@ -399,6 +421,40 @@ def test_leaks_of_copied_and_edited_items(spark, none):
     assert decontaminate.scan(spark.createDataFrame(rows, "doc_id long, text string"), bench.limit(0)).where("size(leaks) > 0").count() == 0
 
 
+def test_recall_against_full_alignment(spark, monkeypatch):
+    """Edited copies among frequent words: the seeds find what aligning every item with every document finds."""
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(3000)]
+    weights = [1 / (k + 3) for k in range(3000)]
+    draw = lambda n: rnd.choices(words, weights, k=n)
+    items = [draw(rnd.choice([8, 12, 30])) for _ in range(60)] + [words[:8], words[3:9]]  # the last two are of common words only
+    docs = []
+    for i in range(240):
+        own = draw(120)
+        if i % 2:
+            item = items[i // 2 % len(items)]
+            rate = (0, 0.15, 0.25)[i % 3]
+            own[40:40] = [w for w in (rnd.choice(words) if rnd.random() < rate else w for w in item) if rnd.random() > rate / 3]
+        docs.append((i, " ".join(own)))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 2000)  # several blocks
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    hashed, own = decontaminate.item_words([t for _, t in docs]), decontaminate.item_words([" ".join(w) for w in items])
+    want = {(d, i): s for d, h in enumerate(hashed) for i, w in enumerate(own) if (s := decontaminate.smith_waterman(w, h)[0] / (2 * len(w))) >= decontaminate.LEAK_AT}
+    planted = {(i, i // 2 % len(items)) for i in range(1, 240, 2)} & set(want)
+    assert set(got) <= set(want) and all(got[k] <= want[k] + 1e-9 for k in got)
+    assert len(planted & set(got)) >= 0.95 * len(planted) and len(planted) > 100
+
+
+def test_leaks_odd_rows(spark, odd, none):
+    bench = spark.createDataFrame([(1, "word word word word"), (1, "word word word word"), (2, "x" * 50_000), (None, "no id here")], "item_id long, text string")
+    rows = decontaminate.scan(odd.withColumn("leaks", F.lit(1)), bench).collect()
+    assert len(rows) == len(ODD)
+    hits = [(r.doc_id, [m.item_id for m in r.leaks]) for r in rows if r.leaks]
+    assert sorted(hits, key=str) == sorted([(7, [1, 1]), (8, [2]), (8, [2]), (None, [None])], key=str)
+    assert decontaminate.scan(none, bench).count() == 0
+
+
 # ---------------------------------------------------------------- 7
 
 
@@ -463,6 +519,20 @@ def test_rollups_follow_every_change(spark, tmp_path):
     assert t.commit(2, second) and ("t", "en", "v1", 1, 11) in set(map(tuple, t.totals().collect()))
 
 
+def test_rollups_of_empty_batches_and_compacted_ledgers(spark, tmp_path):
+    t = token_counts.TokenCounts(spark, str(tmp_path / "r"))
+    t.compact()
+    assert t.commit(1, change(spark, [])) and t.totals().count() == 0
+    t.commit(2, change(spark, [("insert", i, "s", "en", "v1", i) for i in range(1, 6)]))
+    t.compact()
+    t.compact()
+    t.commit(3, change(spark, [("delete", 1, None, None, "v1", None), ("revise", 2, "s", "de", "v1", 20)]))
+    for _ in range(2):
+        assert sorted(map(tuple, t.totals().collect())) == [("s", "de", "v1", 1, 20), ("s", "en", "v1", 3, 12)]
+        assert sorted((r.doc_id, r.n_tokens) for r in t.ledger().collect()) == [(2, 20), (3, 3), (4, 4), (5, 5)]
+        t.compact()
+
+
 @pytest.mark.parametrize("text", ["", "plain", "<|im_end|>", "<\\|im_end|>", "<\\\\|x", "<<||>>", "a\n<|im_start|>assistant\nb", "日本語 <|é|>", "\\n"])
 def test_escape_round_trip(text):
     assert chat.unescape(chat.escape(text)) == text and "<|" not in chat.escape(text)
@@ -470,13 +540,16 @@ def test_escape_round_trip(text):
 
 
 def test_chat_reads_back(spark, none):
-    rows = [(1, 1, "assistant", "<|im_end|><|im_start|>assistant ok"), (1, 0, "user", None), (1, 2, None, "x"), (1, 2, "assistant", "same turn"), (None, 0, "assistant", "no conversation"), (2, None, "system", "s")]
+    rows = [(1, 1, "assistant", "<|im_end|><|im_start|>assistant ok"), (1, 0, "user", None), (1, 2, None, "x"), (1, 2, "assistant", "same turn"), (None, 0, "assistant", "no conversation"), (2, None, "system", "s"), (3, 0, "assistant", "long " * 200_000)]
+    rows.append((None, 0, "assistant", "no conversation"))
     out = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), queries.vocabulary()).collect()
-    vocabulary = bpe.load(queries.vocabulary())
-    got = {r.conv_id: chat.parse(np.array(r.input_ids), np.array(r.loss_mask), vocabulary) for r in out}
+    got = {r.conv_id: chat.parse(np.array(r.input_ids, dtype=np.int32), np.array(r.loss_mask), queries.vocabulary()) for r in out}
     assert got[1] == ([("user", ""), ("assistant", rows[0][3]), ("", "x"), ("assistant", "same turn")], rows[0][3] + "same turn")
     assert got[None][1] == "no conversation" and got[2] == ([("system", "s")], "")
-    assert all(r.formatted == chat.render(np.array(r.input_ids), vocabulary) for r in out)
+    assert got[3][1] == rows[6][3] and sum(r.conv_id is None for r in out) == 2
+    formatted = {r.conv_id: r.formatted for r in out}
+    assert formatted[2] == "<|im_start|>system\ns<|im_end|>\n"
+    assert formatted[1].startswith("<|im_start|>user\n<|im_end|>\n<|im_start|>assistant\n" + chat.escape(rows[0][3]) + "<|im_end|>\n")
     assert chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), queries.vocabulary()).count() == 0
 
 
