@@ -24,7 +24,7 @@ for some texts is kept at any size, and the tree grows with the corpus.
 The work: texts become blocks of a few MB, stored once.  A block holds its distinct
 words and each token's number among them.  Then blocks ask, step by step, for the
 corpus counts of their distinct words and of their sequences of 2, 3 and 4 symbols,
-and then, by length, which contexts stay.  Each question is summed by hash range over all
+and, a step behind, which contexts of 1, 2 and 3 symbols stay.  Each question is summed by hash range over all
 blocks and answered in the order asked.  A sequence is asked for only if both its
 first and its last part are found twice; the rest cannot be.  A block asks once for
 what it holds many times, so no key meets more rows than there are blocks.  Tables
@@ -60,7 +60,7 @@ GAIN, STRENGTH = 3.0, 4.0
 #: Training tokens that a sequence must have to count for itself.
 LEAST = 2
 #: Bytes of text in a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Stand for the end of a text and the place before it among hashes.
 END, START = np.uint64(0), np.uint64(2)
 
@@ -95,9 +95,10 @@ def unpacked(blob: bytes) -> np.ndarray:
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """ln Gamma(x) for x > 0 (Stirling's series at x + 8)."""
     x = np.asarray(x, dtype=np.float64)
-    y, low = x + 8, np.zeros_like(x)
-    for i in range(8):
-        low += np.log(x + i)
+    y, low = x + 8, x.copy()
+    for i in range(1, 8):
+        low *= x + i
+    low = np.log(low)
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - low
 
 
@@ -161,33 +162,34 @@ def _gaps(ordered: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- questions
 
-ASK = "block bigint, part int, keys binary, n binary, m binary, t binary"
+ASK = "block bigint, level int, part int, keys binary, n binary, m binary, t binary"
 TOLD = "block bigint, level int, part int, told binary, total bigint, known bigint, once bigint"
 
 
-def _questions(block: int, parts: int, keys: np.ndarray, n: np.ndarray, m: np.ndarray | None = None, t: np.ndarray | None = None) -> pa.Table:
+def _questions(block: int, level: int, parts: int, keys: np.ndarray, n: np.ndarray, m: np.ndarray | None = None, t: np.ndarray | None = None) -> pa.Table:
     """One row for each range of hashes in which the block has some of its (ordered) keys."""
     part = ((keys >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(keys)] if len(keys) else []
     rows = [(a, b) for a, b in zip(cuts, cuts[1:])]
     columns = [
         pa.array([block] * len(rows), pa.int64()),
+        pa.array([level] * len(rows), pa.int32()),
         pa.array([int(part[a]) for a, _ in rows], pa.int32()),
         pa.array([packed(_gaps(keys[a:b])) for a, b in rows], pa.binary()),
         pa.array([packed(n[a:b]) for a, b in rows], pa.binary()),
         pa.array([None if m is None else packed(m[a:b]) for a, b in rows], pa.binary()),
         pa.array([None if t is None else pa.compress(t[a:b].astype(np.float32).tobytes(), "zstd", asbytes=True) for a, b in rows], pa.binary()),
     ]
-    return pa.table(columns, names=["block", "part", "keys", "n", "m", "t"])
+    return pa.table(columns, names=["block", "level", "part", "keys", "n", "m", "t"])
 
 
-def _answer(level: int, asked: pa.Table) -> pa.Table:
-    """Sums a range of hashes over all blocks and answers each block in the order of its keys.
+def _answer(asked: pa.Table) -> pa.Table:
+    """Sums a range of one level's hashes over all blocks and answers each block in the order of its keys.
 
-    Step 0 gets counts; steps up to DEPTH counts of LEAST or more, else 0; the
-    others, of contexts, the tokens in repeated symbols if the context stays, else 0.
+    Words (level 0) get counts; sequences (up to DEPTH) counts of LEAST or more, else 0;
+    contexts (beyond) the tokens in repeated symbols if the context stays, else 0.
     """
-    asked = asked.sort_by("block")
+    asked, level = asked.sort_by("block"), asked.column("level")[0].as_py()
     keys = [np.cumsum(unpacked(b), dtype=np.uint64) for b in asked.column("keys").to_pylist()]
     own, where = np.unique(np.concatenate(keys), return_inverse=True)
     n = [unpacked(b) for b in asked.column("n").to_pylist()]
@@ -203,7 +205,7 @@ def _answer(level: int, asked: pa.Table) -> pa.Table:
     answers = np.split(told[where], np.cumsum([len(k) for k in keys])[:-1])
     rows = asked.num_rows
     first = [[int(v)] + [0] * (rows - 1) for v in (told.sum(), (told > 0).sum(), (told == 1).sum())]
-    columns = [asked.column("block"), pa.array([level] * rows, pa.int32()), asked.column("part"), pa.array([packed(a) for a in answers], pa.binary()), *(pa.array(v, pa.int64()) for v in first)]
+    columns = [asked.column("block"), asked.column("level"), asked.column("part"), pa.array([packed(a) for a in answers], pa.binary()), *(pa.array(v, pa.int64()) for v in first)]
     return pa.table(columns, names=["block", "level", "part", "told", "total", "known", "once"])
 
 
@@ -252,14 +254,15 @@ class Block:
         A sequence reaches no further back than one place before its text.
         """
         before = self.shifted(self.count[level - 1], self.corpus.texts if level == 1 else 0)
-        context = self.shifted(self.hash[level - 1], START)
-        with np.errstate(over="ignore"):
-            hashes = mix(context * np.uint64(3) + self.word + np.uint64(level))
         before[self.place < level - 1] = 0
         self.before.append(before)
-        self.hash.append(hashes)
         at = np.flatnonzero((self.count[level - 1] >= LEAST) & (before >= LEAST))
-        return at, hashes[at]
+        context = np.where(self.place[at] > 0, self.hash[level - 1][at - 1], START)
+        with np.errstate(over="ignore"):
+            hashes = mix(context * np.uint64(3) + self.word[at] + np.uint64(level))
+        self.hash.append(np.zeros(len(self.word), dtype=np.uint64))
+        self.hash[level][at] = hashes
+        return at, hashes
 
     def rise(self, levels: int) -> None:
         """Counts of all sequences of up to levels + 1 symbols, as told."""
@@ -271,8 +274,7 @@ class Block:
             self.count.append(count)
 
     def sequences(self, level: int) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct sequences of level + 1 symbols and their tokens in the block's training texts."""
-        self.rise(level - 1)
+        """Distinct sequences of level + 1 symbols and their tokens in the block's training texts; shorter ones have been told."""
         at, hashes = self.climb(level)
         own, where = np.unique(hashes, return_inverse=True)
         return own, np.bincount(where, self.use[at], len(own)).astype(np.int64)
@@ -295,11 +297,10 @@ class Block:
         # each of a sequence's tokens brings its share, so that blocks add up to the whole
         return own, n, np.bincount(number, minlength=len(own)), np.bincount(number, evidence(c, q) / c, len(own))
 
-    def ask(self, step: int, parts: int) -> pa.Table:
-        if step <= DEPTH:
-            return _questions(self.number, parts, *self.sequences(step))
-        self.rise(step - DEPTH)
-        return _questions(self.number, parts, *self.divergence(step - DEPTH))
+    def ask(self, step: int, parts: int) -> list[pa.Table]:
+        self.rise(step - 1)
+        out = [_questions(self.number, DEPTH + step - 1, parts, *self.divergence(step - 1))] if step > 1 else []
+        return [*out, _questions(self.number, step, parts, *self.sequences(step))] if step <= DEPTH else out
 
     def probabilities(self) -> np.ndarray:
         """Of every token given its state."""
@@ -323,18 +324,14 @@ def _of(f, *fixed):
     return lambda blocks, told: f(*fixed, blocks, told)
 
 
-def _answers(level: int):
-    return lambda asked: _answer(level, asked)
-
-
 def _ask_words(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            yield from _questions(row["block"], parts, np.cumsum(unpacked(row["words"]), dtype=np.uint64), unpacked(row["own"])).to_batches()
+            yield from _questions(row["block"], 0, parts, np.cumsum(unpacked(row["words"]), dtype=np.uint64), unpacked(row["own"])).to_batches()
 
 
-def _ask(level: int, parts: int, corpus: Corpus, blocks: pa.Table, told: pa.Table) -> pa.Table:
-    return pa.concat_tables(Block(row, told, corpus).ask(level, parts) for row in blocks.to_pylist())
+def _ask(step: int, parts: int, corpus: Corpus, blocks: pa.Table, told: pa.Table) -> pa.Table:
+    return pa.concat_tables(t for row in blocks.to_pylist() for t in Block(row, told, corpus).ask(step, parts))
 
 
 def _score(corpus: Corpus, schema: T.StructType, blocks: pa.Table, told: pa.Table) -> pa.Table:
@@ -364,12 +361,12 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
         parts = max(1, n // 2)
         corpus, told = Corpus(0, 0, 0, texts), None
         lean = blocks.drop("keys", "own", "n_learn")
-        for level in range(2 * DEPTH + 1):
+        for step in range(DEPTH + 2):
             if told is None:
                 asked = map_batches(blocks.select("block", "words", "own"), partial(_ask_words, parts), ASK)
             else:
-                asked = lean.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_of(_ask, level, parts, corpus), ASK)
-            answers = scratch.store(asked.groupBy("part").applyInArrow(_answers(level), TOLD), f"told-{level}")
+                asked = lean.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_of(_ask, step, parts, corpus), ASK)
+            answers = scratch.store(asked.groupBy("level", "part").applyInArrow(lambda asked: _answer(asked), TOLD), f"told-{step}")
             if told is None:
                 total = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "known", "once"))).first()
                 corpus = Corpus(*total, texts)
