@@ -91,7 +91,7 @@ def ask(chunks: DataFrame, vectors: DataFrame, question: str, embedder: Embedder
     """
     spark = chunks.sparkSession
     q = retrieval.Question(1, question, tuple(embedder.embed([question])[0]))
-    hits = retrieval.hybrid_search(chunks, vectors, [q]).drop("doc_id", "total").join(chunks, "chunk_id")
+    hits = retrieval.with_chunks(retrieval.hybrid_search(chunks, vectors, [q]).drop("total"), chunks)
     rows = [r.asDict() for r in hits.orderBy("rank").collect()]
     if not rows:
         return {"prompt": None, "sources": [], "answer": retrieval.NO_ANSWER, "fallback": False}
@@ -102,7 +102,7 @@ def ask(chunks: DataFrame, vectors: DataFrame, question: str, embedder: Embedder
     scored = scored.withColumn("rerank_rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc_nulls_last("rerank_score"), "rank")))
     fallback = bool(retrieval.guardrail(scored).first().fallback)
     exact: Column = F.contains(F.lower(F.concat_ws(" ", *[n for n in ("title", "section_header") if n in names], F.substring(F.coalesce("text", F.lit("")), 1, 500))), F.lit(question.strip().lower()))
-    final = retrieval.blend(scored, exact).withColumn("rank", F.col("blend_rank") if fallback else F.col("rerank_rank"))
+    final = retrieval.blend(scored, exact, k).withColumn("rank", F.col("blend_rank") if fallback else F.col("rerank_rank"))
     key = retrieval.dedupe_key(*[F.col(n).cast("string") for n in ("title", "section_header") if n in names], F.substring(F.coalesce("text", F.lit("")), 1, 600))
     final = retrieval.dedupe_backfill(final.withColumn("key", key), F.col("key"), k).withColumn("rank", F.col("final_rank"))
     title = F.coalesce(F.col("title"), F.col("doc_id").cast("string")) if "title" in names else F.col("doc_id").cast("string")

@@ -49,7 +49,7 @@ def _ranked(rows: DataFrame, k: int, *order: Column) -> DataFrame:
 
 
 def keyword_hits(chunks: DataFrame, questions: list[Question]) -> DataFrame:
-    """Chunks with their keyword score for each question, where it is positive."""
+    """(doc_id, chunk_id, query_id, score) of the chunks that have a positive keyword score for a question."""
     base = chunks.withColumns({"_t": _has(chunks, "text"), "_h": _has(chunks, "title"), "_s": _has(chunks, "section_header")})
     tags = "tags" in chunks.columns
 
@@ -70,12 +70,14 @@ def keyword_hits(chunks: DataFrame, questions: list[Question]) -> DataFrame:
         return round4(total)
 
     scored = F.array(*[F.struct(F.lit(q.query_id).alias("query_id"), score(q).alias("score")) for q in questions])
-    rows = base.select(*chunks.columns, F.inline(F.filter(scored, lambda s: s["score"] > 0)))
-    return rows
+    return base.select("doc_id", "chunk_id", F.inline(F.filter(scored, lambda s: s["score"] > 0)))
 
 
 def keyword_search(chunks: DataFrame, questions: list[Question], k: int) -> DataFrame:
-    return _ranked(keyword_hits(chunks, questions), k, F.desc("score"), F.col("doc_id"), F.col("chunk_id"))
+    """The best k chunks of each question. Ids and scores are ranked; the texts of the winners are fetched after."""
+    best = _ranked(keyword_hits(chunks, questions), k, F.desc("score"), F.col("doc_id"), F.col("chunk_id"))
+    # at most k rows for each question: a proven bound
+    return chunks.join(F.broadcast(best), ["doc_id", "chunk_id"]).select(*chunks.columns, "query_id", "score", "rank")
 
 
 def cosine(v: Column, q: tuple[float, ...]) -> Column:
@@ -149,12 +151,16 @@ def guardrail(rows: DataFrame) -> DataFrame:
     return g.select("query_id", ((F.col("n") >= 2) & weak).alias("fallback"))
 
 
-def blend(rows: DataFrame, exact: Column) -> DataFrame:
-    """Rows with blend_score from rerank, hybrid score, previous rank and an exact-match bonus, ranked anew."""
+def blend(rows: DataFrame, exact: Column, final_k: int | None = None) -> DataFrame:
+    """Rows with blend_score from rerank, hybrid score, previous rank and an exact-match bonus, ranked anew.
+
+    With ``final_k`` only reranked rows and the first 3 * final_k candidates take part; places count among all candidates.
+    """
     n = F.count("*").over(W.partitionBy("query_id"))
     standing = F.greatest(F.lit(0.0), F.lit(1.0) - (F.coalesce(F.col("rank") - 1, n)) / n)
     s = F.lit(0.45) * F.coalesce("rerank_score", F.lit(0.0)) + F.lit(0.45) * F.col("score") + F.lit(0.10) * standing + F.when(exact, F.lit(EXACT_BONUS)).otherwise(F.lit(0.0))
     rows = rows.withColumn("blend_score", F.floor(s * 1e6 + 0.5) / 1e6)
+    rows = rows if final_k is None else rows.where(F.col("rerank_score").isNotNull() | (F.col("rank") <= 3 * final_k))
     order = W.partitionBy("query_id").orderBy(F.desc("blend_score"), F.desc("rerank_score"), F.asc("rank"), F.desc("doc_id"), F.desc("chunk_id"))
     return rows.withColumn("blend_rank", F.row_number().over(order))
 
@@ -221,3 +227,54 @@ def normalise_citations(answer: Column, numbers: Column) -> Column:
     every = F.array_join(F.transform(F.array_sort(F.array_distinct(numbers)), lambda x: F.concat(F.lit("["), x.cast("string"), F.lit("]"))), " ")
     said = F.when(text == "", F.lit(NO_ANSWER)).otherwise(text)
     return F.when(text.rlike(r"\[\d+\]") | (every == ""), said).otherwise(F.concat(said, F.lit(" "), every))
+
+
+#: The title of a source without one.
+NO_TITLE = "Unbekannte Quelle"
+
+
+def _numbers(sources: Column) -> Column:
+    """Sources with their number n: their own if it is positive, else their place."""
+    return F.transform(sources, lambda s, i: s.withField("n", F.when(s["source_number"] > 0, s["source_number"]).otherwise(i + 1)))
+
+
+def citation_map(sources: Column) -> Column:
+    """map<chunk_id, number> of an array of sources (source_number, chunk_id, ...); of sources of one chunk the last counts."""
+    rows = F.filter(_numbers(sources), lambda s: F.trim(F.coalesce(s["chunk_id"], F.lit(""))) != "")
+    last = F.filter(rows, lambda s, i: ~F.exists(F.slice(rows, i + 2, F.greatest(F.size(rows), F.lit(1))), lambda later: F.trim(later["chunk_id"]) == F.trim(s["chunk_id"])))
+    return F.map_from_entries(F.transform(last, lambda s: F.struct(F.trim(s["chunk_id"]), s["n"].cast("int"))))
+
+
+def sources_block(sources: Column) -> Column:
+    """One line for each source, by number: [n] title – section."""
+    text = lambda x: F.trim(F.coalesce(x, F.lit("")))
+    label = lambda s: F.concat(F.coalesce(F.when(text(s["title"]) != "", text(s["title"])), F.when(text(s["doc_id"].cast("string")) != "", text(s["doc_id"].cast("string"))), F.lit(NO_TITLE)), F.when(text(s["section_header"]) != "", F.concat(F.lit(" – "), text(s["section_header"]))).otherwise(""))
+    lines = F.transform(_numbers(sources), lambda s, i: F.struct(s["n"].cast("int").alias("n"), i.alias("i"), F.concat(F.lit("["), s["n"].cast("int").cast("string"), F.lit("] "), label(s)).alias("line")))
+    return F.array_join(F.transform(F.array_sort(lines), lambda x: x["line"]), "\n")
+
+
+def formatted_answer(answer: Column, sources: Column) -> Column:
+    """The answer with normalised citations and its sources."""
+    block = sources_block(sources)
+    said = normalise_citations(answer, F.map_values(citation_map(sources)))
+    return F.concat(F.lit("ANSWER\n\n"), said, F.lit("\n\nSources\n"), F.when(block == "", F.lit(NO_SOURCES)).otherwise(block))
+
+
+def with_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Hits with their chunk's columns; a hit whose chunk is gone stays, titled by its document."""
+    own = chunks.withColumnRenamed("doc_id", "_doc")
+    rows = hits.join(own, "chunk_id", "left").withColumn("doc_id", F.coalesce("_doc", "doc_id")).drop("_doc")
+    return rows.withColumn("title", F.coalesce(F.when(F.trim("title") != "", F.col("title")), F.col("doc_id").cast("string"))) if "title" in rows.columns else rows
+
+
+def search(chunks: DataFrame, vectors: DataFrame | None, questions: list[Question], mode: str = "hybrid", k: int = 5, **options) -> DataFrame:
+    """The best k chunks of each question by mode: keyword, vector or hybrid."""
+    if mode == "keyword":
+        return keyword_search(chunks, questions, k)
+    if vectors is None:
+        raise ValueError(f"{mode} search needs vectors")
+    if mode == "vector":
+        return with_chunks(vector_search(vectors, questions, k), chunks)
+    if mode == "hybrid":
+        return with_chunks(hybrid_search(chunks, vectors, questions, k, **options), chunks)
+    raise ValueError(f"unknown mode {mode}")

@@ -5,16 +5,30 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomlake.functions.text import collapse, glob_to_regex
 
 c = F.col
-#: How a term may be annotated and listed, its classes, and the count from which a candidate is a new term.
-ANNOTATE, BLOCK = ["none", "first_occurrence"], ["never", "eligible"]
-CLASSES = ["system", "process", "product", "organization", "person", "abbreviation", "role", "other"]
+#: Classes and policies of terms, source types and their modes, ambiguous short forms, and the count from which a candidate is a new term.
+CLASSES = ["business", "system", "organisation", "process", "technology", "person"]
+ANNOTATE, BLOCK = ["first_occurrence", "never"], ["include", "exclude"]
+SOURCES = ["confluence", "jira", "mail", "teams", "scrape"]
+MODES = ["off", "annotate_and_block", "block_only"]
+SHORTFORMS = ["PM", "CI", "PO"]
 NEW_TERM_AT = 3
+#: The text of the terminology block, the pattern of candidates, and the characters around one that its report shows.
+BLOCK_HEADING, RELATED, ALIASES = "## Terminologie", "Verwandte Begriffe", "Aliase"
+CANDIDATE = r"\b[A-ZÄÖÜ][A-ZÄÖÜ0-9]{1,}(?:-[A-Za-zÄÖÜäöü0-9]+)*\b"
+CONTEXT = 40
+#: Columns of the candidate report, with what an older report without them stands for.
+REPORT = {
+    "source_type": "", "term": "", "count": "0", "first_seen_file": "", "last_seen_file": "", "example_context": "",
+    "already_known": "false", "suggested_action": "needs_review", "selected_term_id": "", "reviewer_status": "open", "reviewer_note": "",
+}
 
 
 def normalised(term: Column) -> Column:
@@ -46,30 +60,90 @@ def review(rows: DataFrame, known: DataFrame) -> DataFrame:
     return rows.withColumns({"known": c("term_id").isNotNull(), "action": action, "state": F.when(c("term_id").isNotNull(), "done").otherwise("open")})
 
 
-def validate(terms: DataFrame, sources: list[str]) -> DataFrame:
-    """(severity, code, term_id, detail) for the rules that terms (term_id, canonical, aliases, term_class, annotate, block, applies_to, related) break."""
+def with_context(rows: DataFrame, docs: DataFrame, pattern: str, source: str = "source", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Adds example_context to candidates: their first form in its first document with CONTEXT characters on either side, white space collapsed.
+
+    Only the documents in which some candidate was first seen are read as texts.
+    """
+
+    def around(batch: pd.DataFrame) -> pd.Series:
+        out = []
+        for t, term in zip(batch["text"].fillna(""), batch["term"]):
+            m = next((m for m in re.finditer(pattern, t) if m.group() == term), None)
+            out.append(" ".join(t[max(0, m.start() - CONTEXT) : m.end() + CONTEXT].split()) if m else "")
+        return pd.Series(out)
+
+    first = docs.select(c(key).alias("first_seen"), c(source), c(text).alias("_text"))
+    context = F.pandas_udf(around, "string")(F.struct(c("_text").alias("text"), c("term")))
+    return rows.join(first, [source, "first_seen"]).withColumn("example_context", context).drop("_text")
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """A candidate report in CSV; columns that an older one lacks get their defaults."""
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    columns = {n: F.coalesce(F.when(F.trim(n) != "", c(n)), F.lit(d)) if n in rows.columns else F.lit(d) for n, d in REPORT.items()}
+    return rows.select(*[v.alias(n) for n, v in columns.items()]).withColumn("count", F.coalesce(F.expr("try_cast(count AS BIGINT)"), F.lit(0)))
+
+
+def write_report(rows: DataFrame, path: str) -> bool:
+    """Writes a candidate report in its order: by source, normalised term, term. Without rows an earlier report stays."""
+    if rows.isEmpty():
+        return False
+    rows.select(*REPORT).orderBy("source_type", normalised(c("term")), "term").write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    return True
+
+
+def source_modes(rows: DataFrame, modes: DataFrame, source: str = "source") -> DataFrame:
+    """Rows with mode and candidates: modes (source, mode, candidates_enabled) by source; an unknown source is off."""
+    m = modes.select(c("source").alias("_source"), c("mode").alias("_mode"), "candidates_enabled")
+    mode = F.coalesce(c("_mode"), F.lit("off"))
+    rows = rows.join(m, rows[source] == m["_source"], "left")
+    return rows.withColumns({"mode": mode, "candidates": (mode != "off") & F.coalesce("candidates_enabled", mode != "off")}).drop("_source", "_mode", "candidates_enabled")
+
+
+def in_force(terms: DataFrame) -> DataFrame:
+    """Of each term id the last entry (by ord), as later entries replace earlier ones; blank ids are no terms."""
+    own = terms.where(F.trim(F.coalesce("term_id", F.lit(""))) != "")
+    return own.withColumn("_rn", F.row_number().over(W.partitionBy("term_id").orderBy(F.desc("ord")))).where("_rn = 1").drop("_rn")
+
+
+def statistics(terms: DataFrame) -> DataFrame:
+    """One row: terms, aliases, relations."""
+    return in_force(terms).agg(F.count("*").alias("terms"), F.coalesce(F.sum(F.size("aliases")), F.lit(0)).alias("aliases"), F.coalesce(F.sum(F.size("related")), F.lit(0)).alias("relations"))
+
+
+def validate(terms: DataFrame, sources: list[str] | None = None) -> DataFrame:
+    """(severity, code, term_id, detail) for each rule that a term breaks.
+
+    terms: ord, term_id, canonical, label, description, term_class, aliases, annotate, block, applies_to, related.
+    Of entries that use one canonical form, alias or id the first in order is right and each later one is reported.
+    """
+    own = in_force(terms)
 
     def issue(rows: DataFrame, severity: str, code: str, detail: Column) -> DataFrame:
         return rows.select(F.lit(severity).alias("severity"), F.lit(code).alias("code"), c("term_id"), detail.cast("string").alias("detail"))
 
-    blank = lambda x: F.trim(F.coalesce(c(x), F.lit(""))) == ""
-    alias = terms.select("term_id", F.explode("aliases").alias("a")).withColumn("norm", normalised(c("a")))
-    shared = alias.groupBy("norm").agg(F.count_distinct("term_id").alias("k")).where("k > 1")
-    names = terms.withColumn("norm", normalised(c("canonical")))
-    same = names.groupBy("norm").agg(F.count("*").alias("k")).where("k > 1")
-    related = terms.select("term_id", F.explode("related").alias("r"))
+    blank = lambda x: F.coalesce(c(x), F.lit("")) == ""
+    fields = F.array(*[F.when(blank(x), F.lit(x)) for x in ("canonical", "label", "description", "term_class")])
+    missing = own.select("term_id", F.explode(F.array_compact(fields)).alias("field"))
+    names = own.withColumn("_n", F.row_number().over(W.partitionBy(F.lower(F.coalesce("canonical", F.lit("")))).orderBy("ord")))
+    alias = own.select("term_id", "ord", F.posexplode("aliases").alias("pos", "a"))
+    alias = alias.withColumn("_before", F.lag("term_id").over(W.partitionBy(F.lower("a")).orderBy("ord", "pos")))
+    related = own.select("term_id", F.explode("related").alias("r"))
+    ids = terms.withColumn("term_id", F.trim(F.coalesce("term_id", F.lit("")))).where("term_id <> ''").withColumn("_n", F.row_number().over(W.partitionBy("term_id").orderBy("ord")))
     out = [
-        issue(terms.where(blank("term_id") | blank("canonical")), "error", "required_field", c("canonical")),
-        issue(names.join(same, "norm", "left_semi"), "error", "duplicate_canonical", c("canonical")),
-        issue(terms.where(~c("term_class").isin(CLASSES)), "error", "invalid_term_class", c("term_class")),
-        issue(terms.where(~c("annotate").isin(ANNOTATE)), "error", "invalid_annotate_policy", c("annotate")),
-        issue(terms.where(~c("block").isin(BLOCK)), "error", "invalid_block_policy", c("block")),
-        issue(terms.select("term_id", F.explode("applies_to").alias("s")).where(~c("s").isin(sources)), "error", "unknown_source_type", c("s")),
-        issue(alias.join(shared, "norm", "left_semi"), "error", "duplicate_alias", c("a")),
-        issue(related.join(terms.select(c("term_id").alias("r")), "r", "left_anti"), "error", "invalid_relation_target", c("r")),
-        issue(terms.join(terms.groupBy("term_id").agg(F.count("*").alias("k")).where("k > 1"), "term_id", "left_semi"), "error", "duplicate_id", c("term_id")),
-        issue(terms.where("term_class = 'person' AND annotate <> 'none'"), "warning", "person_annotation", c("canonical")),
-        issue(alias.where(F.length("a") <= 2), "warning", "ambiguous_shortform", c("a")),
+        issue(missing, "error", "required_field", c("field")),
+        issue(names.where("_n > 1"), "error", "duplicate_canonical", c("canonical")),
+        issue(own.where(~F.coalesce(c("term_class").isin(CLASSES), F.lit(False))), "error", "invalid_term_class", c("term_class")),
+        issue(own.where(~F.coalesce(c("annotate").isin(ANNOTATE), F.lit(False))), "error", "invalid_annotate_policy", c("annotate")),
+        issue(own.where(~F.coalesce(c("block").isin(BLOCK), F.lit(False))), "error", "invalid_block_policy", c("block")),
+        issue(own.select("term_id", F.explode("applies_to").alias("s")).where(~c("s").isin(sources or SOURCES)), "error", "unknown_source_type", c("s")),
+        issue(alias.where("_before <> term_id"), "error", "duplicate_alias", c("a")),
+        issue(related.join(own.select(c("term_id").alias("r")), "r", "left_anti"), "error", "invalid_relation_target", c("r")),
+        issue(ids.where("_n > 1"), "error", "duplicate_id", c("term_id")),
+        issue(own.where("term_class = 'person' AND annotate <> 'never'"), "warning", "person_annotation", c("annotate")),
+        issue(own.where(F.upper("canonical").isin(SHORTFORMS)), "warning", "ambiguous_shortform", c("canonical")),
+        issue(alias.where(F.upper("a").isin(SHORTFORMS)), "warning", "ambiguous_shortform", c("a")),
     ]
     rows = out[0]
     for o in out[1:]:
@@ -79,56 +153,87 @@ def validate(terms: DataFrame, sources: list[str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Term:
+    """A term; ``related`` holds the ids of its ``related_to`` relations."""
+
     term_id: str
     canonical: str
     aliases: tuple[str, ...] = ()
-    definition: str = ""
+    label: str = ""
     priority: int = 100
-    annotate: bool = True
-    person: bool = False
+    annotate: str = "first_occurrence"
+    block: str = "include"
+    term_class: str = "business"
     case_sensitive: bool = False
     applies_to: tuple[str, ...] = ()
     related: tuple[str, ...] = field(default=())
 
 
 def match(text: str, terms: list[Term], source: str | None = None) -> list[tuple[int, int, Term, str]]:
-    """Whole-word matches of canonical forms and aliases (longest form first), each span once for each term, by position."""
-    out = []
-    for t in terms:
+    """Whole-word matches of canonical forms and aliases, each span once for each term; terms by their first match, a term's matches by position."""
+    found = []
+    for order, t in enumerate(terms):
         if t.applies_to and source not in t.applies_to:
             continue
         spans = {}
-        for form in sorted({t.canonical, *t.aliases}, key=lambda f: (-len(f), f)):
+        for form in sorted({f for f in (t.canonical, *t.aliases) if f}, key=len, reverse=True):
             for m in re.finditer(rf"(?<!\w){re.escape(form)}(?!\w)", text, 0 if t.case_sensitive else re.IGNORECASE):
                 spans.setdefault(m.span(), m.group())
-        out += [(a, b, t, said) for (a, b), said in spans.items()]
-    return sorted(out, key=lambda x: (x[0], x[1], x[2].priority, x[2].term_id))
-
-
-def annotate(text: str, terms: list[Term], source: str | None = None) -> str:
-    """Puts each term's definition behind its first occurrence; persons are never annotated."""
-    first: dict[str, tuple[int, int, Term]] = {}
-    for a, b, t, _ in match(text, terms, source):
-        if t.annotate and not t.person and t.definition:
-            first.setdefault(t.term_id, (a, b, t))
-    done = len(text) + 1
-    for _, b, t in sorted(first.values(), key=lambda x: -x[0]):
-        if b <= done:
-            text = f"{text[:b]} ({t.definition}){text[b:]}"
-            done = b
-    return text
-
-
-def block(text: str, terms: list[Term], source: str | None = None, least: int = 1) -> list[str]:
-    """Lines of a glossary of the terms that occur, by first position, priority and name, with related labels."""
-    first: dict[str, tuple] = {}
-    names = {t.term_id: t.canonical for t in terms}
-    for a, _, t, _ in match(text, terms, source):
-        first.setdefault(t.term_id, (a, t.priority, t.canonical.lower(), t))
-    if len(first) < least:
-        return []
-    out = []
-    for *_, t in sorted(first.values(), key=lambda x: x[:3]):
-        rel = ", ".join(names[r] for r in t.related if r in names)
-        out.append(f"- {t.canonical}" + (f": {t.definition}" if t.definition else "") + (f" (related: {rel})" if rel else ""))
-    return out
+        if spans:
+            own = sorted(spans.items())
+            found.append((own[0][0][0], order, [(a, b, t, said) for (a, b), said in own]))
+    return [hit for _, _, hits in sorted(found, key=lambda x: x[:2]) for hit in hits]
+
+
+def _first(hits: list[tuple[int, int, Term, str]]) -> list[tuple[int, int, Term, str]]:
+    """The first match of each term."""
+    out: dict[str, tuple] = {}
+    for h in hits:
+        if h[2].term_id not in out or h[:2] < out[h[2].term_id][:2]:
+            out[h[2].term_id] = h
+    return list(out.values())
+
+
+def annotate(text: str, hits: list[tuple[int, int, Term, str]]) -> tuple[str, int]:
+    """Puts each term's label in brackets behind its first match, from the last to the first; persons are never annotated."""
+    first = [h for h in _first(hits) if h[2].annotate == "first_occurrence" and h[2].term_class != "person"]
+    for a, b, t, said in sorted(first, key=lambda h: h[0], reverse=True):
+        text = f"{text[:a]}{said} ({t.label}){text[b:]}"
+    return text, len(first)
+
+
+def block(hits: list[tuple[int, int, Term, str]], terms: list[Term], least: int = 2, aliases: bool = False) -> str:
+    """The terminology block of the terms that occur and are not excluded, by first match, priority and name; empty for fewer than ``least``."""
+    own = [h for h in _first(hits) if h[2].block != "exclude"]
+    if len(own) < least:
+        return ""
+    names, lines = {t.term_id: t.canonical for t in terms}, ["", BLOCK_HEADING]
+    for _, _, t, _ in sorted(own, key=lambda h: (h[0], h[2].priority, h[2].canonical.lower())):
+        lines.append(f"- {t.canonical}: {t.label}")
+        if rel := [names[r] for r in t.related if r in names]:
+            lines.append(f"  - {RELATED}: {', '.join(rel)}")
+        if aliases and t.aliases:
+            lines.append(f"  - {ALIASES}: {', '.join(t.aliases)}")
+    return "\n".join(lines) + "\n"
+
+
+def apply(docs: DataFrame, terms: list[Term], modes: DataFrame, text: str = "text", source: str = "source", least: int = 2, aliases: bool = False) -> DataFrame:
+    """Documents with n_matches, first_match (-1: none), annotations, block_added and the processed text in place of the text.
+
+    A source whose mode is off, or that is not in ``modes``, is left as it is.  Terms are a small fixed list of the plan.
+    """
+
+    def processed(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for given, src, mode in zip(rows["text"], rows["source"], rows["mode"]):
+            said = given or ""
+            hits = [] if mode == "off" else match(said, terms, src)
+            added = block(hits, terms, least, aliases) if mode in MODES[1:] else ""
+            done, n = annotate(said, hits) if mode == MODES[1] else (said, 0)
+            done = f"{done.rstrip()}\n{added}" if added else done
+            out.append((len(hits), min((h[0] for h in hits), default=-1), n, bool(added), given if given is None else done))
+        return pd.DataFrame(out, columns=["n_matches", "first_match", "annotations", "block_added", "text"])
+
+    rows = source_modes(docs, modes, source)
+    given = F.struct(c(text).alias("text"), F.coalesce(source, F.lit("")).alias("source"), "mode")
+    done = F.pandas_udf(processed, "n_matches int, first_match int, annotations int, block_added boolean, text string")(given)
+    return rows.withColumn("_done", done).select(*[x for x in docs.columns if x != text], "_done.*").withColumnRenamed("text", text)

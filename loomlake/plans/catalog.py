@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomlake.functions import frontmatter
 from loomlake.functions import text as tx
-from loomlake.operators import answer, audit, chunking, markup, retrieval, state, terminology
+from loomlake.operators import answer, audit, chunking, convert, markup, pages, retrieval, scrape, state, terminology
 from loomlake.plans import views
 from loomlake.runtime import ensure_package
 from loomlake.sources import readers
@@ -315,14 +315,17 @@ d AS (SELECT run_id, document_id, document_title AS title, stage, status, reason
       FROM l JOIN m USING (run_id, document_id)) SELECT * FROM d"""
 
 
+_DRILL = ["run_id", "document_id", "title", "stage", "status", "reason_code", "message", "changed_flag", "raw_text_length", "transformed_text_length", "chunk_count", "warning_flags", "is_problematic"]
+
+
 @query(_DRILL_SQL)
 def audit_drilldown(spark, sf_dir):
-    return audit.drilldown(views.events(spark, sf_dir))
+    return audit.drilldown(views.events(spark, sf_dir)).select(_DRILL)
 
 
 @query(_DRILL_SQL + " WHERE is_problematic")
 def audit_drilldown_problematic(spark, sf_dir):
-    return audit.drilldown(views.events(spark, sf_dir), only_problematic=True)
+    return audit.drilldown(views.events(spark, sf_dir), only_problematic=True).select(_DRILL)
 
 
 @query(f"WITH {views.EVENTS_SQL} SELECT DISTINCT document_id FROM ev WHERE stage = 'load' AND status = 'ok' AND document_id NOT IN (SELECT document_id FROM ev WHERE stage = 'chunk' AND {_OK})")
@@ -470,24 +473,48 @@ def html_to_markdown(spark, sf_dir):
     return out.select("page_id", F.sha2("markdown", 256).alias("markdown_hash"), F.length("markdown").alias("n_chars"), F.size("tables").alias("n_tables"), "n_tasks", "error")
 
 
-_TERMS = [terminology.Term("t1", "that the", ("the and",), "a pair", priority=1, related=("t2",)), terminology.Term("t2", "and", (), "a word", priority=2), terminology.Term("t3", "idiot", (), "", annotate=False)]
+_TERMS = [
+    terminology.Term("t1", "and", ("der",), "a joining word", priority=1, related=("t2",)), terminology.Term("t2", "that", (), "a pointing word", priority=2, related=("t1", "gone")),
+    terminology.Term("t3", "the", (), "an article", annotate="never", block="exclude"), terminology.Term("t4", "for", (), "a person", term_class="person", applies_to=("src1", "src2")),
+]
+_MODES = [("src0", "annotate_and_block", True), ("src1", "block_only", None), ("src2", "annotate_and_block", False), ("src3", "off", True)]
 
 
-@query()
-def term_matches(spark, sf_dir):
-    """Matches, annotated length and glossary size of every document."""
+def _word(form: str) -> str:
+    """First match of a whole word as a pattern without lookarounds."""
+    return f"(?i)(^|[^\\p{{L}}\\p{{N}}_])({form})($|[^\\p{{L}}\\p{{N}}_])"
+
+
+def _at(form: str) -> str:
+    """0-based place of a word's first match, null for none, in DuckDB."""
+    return f"CASE WHEN regexp_matches(t, '{_word(form)}') THEN length(regexp_extract(t, '(?is)^(.*?{_word(form)[4:]})', 1)) - length(regexp_extract(t, '{_word(form)}', 3)) - {len(form)} END"
+
+
+@query(f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, CASE source WHEN 'src0' THEN 'annotate_and_block' WHEN 'src1' THEN 'block_only' WHEN 'src2' THEN 'annotate_and_block' ELSE 'off' END AS mode FROM documents),
+p AS (SELECT *, least({_at('and')}, {_at('der')}) AS a1, {_at('that')} AS a2, {_at('the')} AS a3, CASE WHEN source IN ('src1', 'src2') THEN {_at('for')} END AS a4 FROM d WHERE mode <> 'off'),
+q AS (SELECT *, CASE WHEN a1 IS NULL THEN 0 ELSE 1 END + CASE WHEN a2 IS NULL THEN 0 ELSE 1 END AS named, CASE WHEN a4 IS NULL THEN 0 ELSE 1 END AS person FROM p)
+SELECT doc_id, CAST(coalesce(least(a1, a2, a3, a4), -1) AS INTEGER) AS first_match, CAST(CASE WHEN mode = 'annotate_and_block' THEN named ELSE 0 END AS INTEGER) AS annotations, named + person >= 2 AS block_added FROM q
+UNION ALL SELECT doc_id, -1, 0, false FROM d WHERE mode = 'off'""")
+def term_annotation(spark, sf_dir):
+    """First match, annotations and block of every document by its source's mode."""
+    ensure_package(spark)
+    modes = spark.createDataFrame(_MODES, "source string, mode string, candidates_enabled boolean")
+    return terminology.apply(views.table(spark, sf_dir, "documents").select("doc_id", "source", "text"), _TERMS, modes).select("doc_id", "first_match", "annotations", "block_added")
+
+
+@query(r"""SELECT doc_id, md5(regexp_replace(coalesce(text, ''), '(?i)(^|[^\p{L}\p{N}_])(that)($|[^\p{L}\p{N}_])', '\1\2 (a pointing word)\3')) AS annotated FROM documents""")
+def term_annotated_text(spark, sf_dir):
+    """Texts with one term annotated where it occurs first."""
     ensure_package(spark)
-    terms = _TERMS
+    modes = spark.createDataFrame([("", "annotate_and_block", True)], "source string, mode string, candidates_enabled boolean")
+    rows = views.table(spark, sf_dir, "documents").select("doc_id", F.lit("").alias("source"), F.coalesce("text", F.lit("")).alias("text"))
+    return terminology.apply(rows, _TERMS[1:2], modes).select("doc_id", F.md5(c("text").cast("binary")).alias("annotated"))
 
-    @F.pandas_udf("n int, first int, annotated_chars int, block_lines int")
-    def matched(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts.fillna(""):
-            found = terminology.match(t, terms)
-            rows.append((len(found), found[0][0] if found else -1, len(terminology.annotate(t, terms)), len(terminology.block(t, terms))))
-        return pd.DataFrame(rows, columns=["n", "first", "annotated_chars", "block_lines"])
 
-    return views.table(spark, sf_dir, "documents").select("doc_id", matched("text").alias("m")).select("doc_id", "m.*")
+@query("SELECT source, mode, mode <> 'off' AND coalesce(e, mode <> 'off') AS candidates, count(*) AS n FROM (SELECT source, CASE source WHEN 'src0' THEN 'annotate_and_block' WHEN 'src1' THEN 'block_only' WHEN 'src2' THEN 'annotate_and_block' ELSE 'off' END AS mode, CASE source WHEN 'src0' THEN true WHEN 'src2' THEN false WHEN 'src3' THEN true END AS e FROM documents) GROUP BY ALL")
+def term_source_modes(spark, sf_dir):
+    modes = spark.createDataFrame(_MODES, "source string, mode string, candidates_enabled boolean")
+    return terminology.source_modes(views.table(spark, sf_dir, "documents").select("source"), modes).groupBy("source", "mode", "candidates").agg(F.count("*").alias("n"))
 
 
 @query(r"""WITH w AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents), p AS (SELECT doc_id, regexp_replace(t, '([^\p{L}\p{N}_])', ' \1 ', 'g') AS t FROM w)
@@ -497,18 +524,47 @@ def term_occurrences(spark, sf_dir):
     return views.table(spark, sf_dir, "documents").select("doc_id", F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(?<![\p{L}\p{N}_])and(?![\p{L}\p{N}_])")).alias("n"))
 
 
-_VALIDATION = [
-    ("a", "Alpha", ["al", "alp"], "system", "none", "never", ["wiki"], ["b"]), ("b", "Beta", ["alp"], "planet", "always", "eligible", ["moon"], ["zz"]),
-    ("c", "alpha", [], "person", "first_occurrence", "sometimes", [], []), ("c", "", [], "role", "none", "never", [], []),
-]
+_TERM_TABLE_SQL = """t AS (
+  SELECT p_partkey AS ord, 't' || (p_partkey % 1900) AS term_id, CASE WHEN p_partkey % 97 = 0 THEN 'pm' WHEN p_partkey % 31 = 0 THEN '' ELSE upper(substring(md5(CAST(p_partkey % 1500 AS VARCHAR)), 1, 3)) END AS canonical,
+         CASE WHEN p_partkey % 11 = 0 THEN '' ELSE 'l' END AS label, 'd' AS description, ['business', 'system', 'organisation', 'process', 'technology', 'person', 'product'][p_partkey % 7 + 1] AS term_class,
+         ['a' || (p_partkey % 1700), CASE WHEN p_partkey % 13 = 0 THEN 'Ci' ELSE 'b' || p_partkey END] AS aliases, CASE p_partkey % 5 WHEN 0 THEN 'never' WHEN 1 THEN 'none' ELSE 'first_occurrence' END AS annotate,
+         CASE WHEN p_partkey % 17 = 0 THEN 'eligible' ELSE 'include' END AS block, [CASE WHEN p_partkey % 19 = 0 THEN 'moon' ELSE 'mail' END] AS applies_to, ['t' || (p_partkey % 2000)] AS related FROM part
+), own AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY term_id ORDER BY ord DESC) = 1),
+al AS (SELECT term_id, ord, unnest(aliases) AS a, generate_subscripts(aliases, 1) AS pos FROM own)"""
+
+
+def _term_table(spark, sf_dir):
+    k = c("p_partkey")
+    pick = lambda names, at: F.element_at(F.array(*[F.lit(n) for n in names]), (at + 1).cast("int"))
+    text = lambda x: x.cast("string")
+    return views.table(spark, sf_dir, "part").select(
+        k.alias("ord"), F.concat(F.lit("t"), text(k % 1900)).alias("term_id"), F.when(k % 97 == 0, "pm").when(k % 31 == 0, "").otherwise(F.upper(F.substring(F.md5(text(k % 1500).cast("binary")), 1, 3))).alias("canonical"),
+        F.when(k % 11 == 0, "").otherwise("l").alias("label"), F.lit("d").alias("description"), pick([*terminology.CLASSES, "product"], k % 7).alias("term_class"),
+        F.array(F.concat(F.lit("a"), text(k % 1700)), F.when(k % 13 == 0, "Ci").otherwise(F.concat(F.lit("b"), text(k)))).alias("aliases"), F.when(k % 5 == 0, "never").when(k % 5 == 1, "none").otherwise("first_occurrence").alias("annotate"),
+        F.when(k % 17 == 0, "eligible").otherwise("include").alias("block"), F.array(F.when(k % 19 == 0, "moon").otherwise("mail")).alias("applies_to"), F.array(F.concat(F.lit("t"), text(k % 2000))).alias("related"),
+    )
+
+
+@query(f"""WITH {_TERM_TABLE_SQL}
+SELECT 'error' AS severity, 'required_field' AS code, term_id, f AS detail FROM (SELECT term_id, unnest([CASE WHEN canonical = '' THEN 'canonical' END, CASE WHEN label = '' THEN 'label' END]) AS f FROM own) WHERE f IS NOT NULL
+UNION ALL SELECT 'error', 'duplicate_canonical', term_id, canonical FROM (SELECT *, row_number() OVER (PARTITION BY lower(canonical) ORDER BY ord) AS rn FROM own) WHERE rn > 1
+UNION ALL SELECT 'error', 'invalid_term_class', term_id, term_class FROM own WHERE term_class = 'product'
+UNION ALL SELECT 'error', 'invalid_annotate_policy', term_id, annotate FROM own WHERE annotate = 'none'
+UNION ALL SELECT 'error', 'invalid_block_policy', term_id, block FROM own WHERE block = 'eligible'
+UNION ALL SELECT 'error', 'unknown_source_type', term_id, 'moon' FROM own WHERE applies_to[1] = 'moon'
+UNION ALL SELECT 'error', 'duplicate_alias', term_id, a FROM (SELECT *, lag(term_id) OVER (PARTITION BY lower(a) ORDER BY ord, pos) AS before FROM al) WHERE before <> term_id
+UNION ALL SELECT 'error', 'invalid_relation_target', term_id, related[1] FROM own WHERE related[1] NOT IN (SELECT term_id FROM own)
+UNION ALL SELECT 'error', 'duplicate_id', term_id, term_id FROM (SELECT *, row_number() OVER (PARTITION BY term_id ORDER BY ord) AS rn FROM t) WHERE rn > 1
+UNION ALL SELECT 'warning', 'person_annotation', term_id, annotate FROM own WHERE term_class = 'person' AND annotate <> 'never'
+UNION ALL SELECT 'warning', 'ambiguous_shortform', term_id, canonical FROM own WHERE upper(canonical) IN ('PM', 'CI', 'PO')
+UNION ALL SELECT 'warning', 'ambiguous_shortform', term_id, a FROM al WHERE upper(a) IN ('PM', 'CI', 'PO')""")
+def term_validation(spark, sf_dir):
+    return terminology.validate(_term_table(spark, sf_dir))
 
 
-@query("""SELECT * FROM (VALUES ('error', 'required_field', 'c', ''), ('error', 'duplicate_canonical', 'a', 'Alpha'), ('error', 'duplicate_canonical', 'c', 'alpha'), ('error', 'invalid_term_class', 'b', 'planet'),
-('error', 'invalid_annotate_policy', 'b', 'always'), ('error', 'invalid_block_policy', 'c', 'sometimes'), ('error', 'unknown_source_type', 'b', 'moon'), ('error', 'duplicate_alias', 'a', 'alp'), ('error', 'duplicate_alias', 'b', 'alp'),
-('error', 'invalid_relation_target', 'b', 'zz'), ('error', 'duplicate_id', 'c', 'c'), ('error', 'duplicate_id', 'c', 'c'), ('warning', 'person_annotation', 'c', 'alpha'), ('warning', 'ambiguous_shortform', 'a', 'al')) t(severity, code, term_id, detail)""")
-def term_validation(spark, sf_dir):
-    schema = "term_id string, canonical string, aliases array<string>, term_class string, annotate string, block string, applies_to array<string>, related array<string>"
-    return terminology.validate(spark.createDataFrame(_VALIDATION, schema), ["wiki", "filesystem"])
+@query(f"WITH {_TERM_TABLE_SQL} SELECT count(*) AS terms, CAST(sum(len(aliases)) AS BIGINT) AS aliases, CAST(sum(len(related)) AS BIGINT) AS relations FROM own")
+def term_statistics(spark, sf_dir):
+    return terminology.statistics(_term_table(spark, sf_dir))
 
 
 @query("SELECT doc_id, array_to_string(list_filter(['title', 'source_type', 'source_system', 'source_key'], lambda k: k = 'source_key' OR (k = 'title' AND doc_id % 5 = 0)), ',') AS missing FROM documents")
@@ -575,3 +631,190 @@ def audit_largest_drops(spark, sf_dir):
 def page_filters(spark, sf_dir):
     title = F.when(c("page_id") % 5 == 0, "Log 2024 x").otherwise(c("url"))
     return views.table(spark, sf_dir, "pages").select("page_id", F.when(title.rlike(r"(?i)^log\s+\d{4}\b"), "filtered_by_rule").when(F.length("html") < 400, "too_small").otherwise("ok").alias("verdict"))
+
+
+# ---------------------------------------------------------------- reports over selected runs
+
+
+_RICH_SQL = views.EVENTS_SQL + """, rich AS (
+  SELECT *, CASE WHEN id % 11 = 0 THEN NULL WHEN id % 7 = 0 THEN 'broken{' WHEN id % 5 = 0 THEN '[1]' WHEN id % 3 = 0 THEN '{"changed_flag": ' || CASE id % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE 'null' END || ', "is_dirty": ' || CASE WHEN id % 2 = 0 THEN 'true' ELSE 'false' END || '}'
+              WHEN id % 2 = 0 THEN '{"warning_flags": ["f' || (id % 4) || '", "g"], "content_id": "c' || id || '"}' ELSE '{}' END AS extra_json FROM ev)"""
+
+
+def _rich(spark, sf_dir):
+    """Events whose extra JSON holds flags, nulls, lists and broken text."""
+    i = c("id")
+    text = lambda x: x.cast("string")
+    flag = F.when(i % 4 == 0, "true").when(i % 4 == 1, "false").otherwise("null")
+    extra = (
+        F.when(i % 11 == 0, None).when(i % 7 == 0, "broken{").when(i % 5 == 0, "[1]").when(i % 3 == 0, F.concat(F.lit('{"changed_flag": '), flag, F.lit(', "is_dirty": '), F.when(i % 2 == 0, "true").otherwise("false"), F.lit("}")))
+        .when(i % 2 == 0, F.concat(F.lit('{"warning_flags": ["f'), text(i % 4), F.lit('", "g"], "content_id": "c'), text(i), F.lit('"}'))).otherwise("{}")
+    )
+    return views.events(spark, sf_dir).withColumn("extra_json", extra)
+
+
+@query(f"""WITH {_RICH_SQL}, e AS (SELECT *, id % 11 <> 0 AND id % 7 <> 0 AND id % 5 <> 0 AND id % 3 = 0 AS told, id % 11 <> 0 AND id % 7 <> 0 AND id % 5 <> 0 AND id % 3 <> 0 AND id % 2 = 0 AS flagged FROM rich),
+l AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY run_id, document_id ORDER BY created_at DESC, id DESC) = 1),
+f AS (SELECT run_id, document_id, string_agg(DISTINCT f, '|' ORDER BY f) AS warning_flags FROM (
+        SELECT run_id, document_id, unnest(CASE WHEN flagged THEN ['f' || (id % 4), 'g'] ELSE [] END || CASE WHEN reason_code IN ('unsupported_macro', 'complex_table') THEN [reason_code] ELSE [] END) AS f FROM e) GROUP BY ALL),
+m AS (SELECT run_id, document_id, bool_or(told) AS any_told, arg_max(CASE id % 4 WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE -1 END, (created_at, id)) FILTER (told) AS last_told, bool_or(coalesce(reason_code = 'unchanged_incremental', false)) AS same,
+             arg_max(CASE WHEN id % 2 = 0 THEN 'true' ELSE 'false' END, (created_at, id)) FILTER (told) AS is_dirty, arg_max('c' || id, (created_at, id)) FILTER (flagged) AS content_id FROM e GROUP BY ALL),
+d AS (SELECT l.*, f.warning_flags AS flags, m.is_dirty, m.content_id, CASE WHEN any_told THEN CASE last_told WHEN 1 THEN true WHEN 0 THEN false END WHEN same THEN false END AS changed_flag FROM l JOIN m USING (run_id, document_id) LEFT JOIN f USING (run_id, document_id))
+SELECT run_id, document_id, source_instance AS source_name, changed_flag, is_dirty, coalesce(changed_flag = false, false) AS unchanged_flag, flags AS warning_flags, content_id, CASE WHEN source_type = 'filesystem' THEN document_uri END AS file_path,
+       CASE WHEN source_type = 'wiki' THEN document_id END AS page_id, CASE WHEN status IN ('warning', 'error') THEN true WHEN status = 'skipped' THEN NOT (coalesce(reason_code, '') = 'unchanged_incremental' OR (reason_code IS NULL AND coalesce(changed_flag = false, false))) ELSE false END AS is_problematic FROM d""")
+def audit_drilldown_extra(spark, sf_dir):
+    """The drill-down over events whose extra JSON tells changes and flags."""
+    rows = audit.drilldown(_rich(spark, sf_dir), pages="wiki")
+    return rows.select("run_id", "document_id", "source_name", "changed_flag", "is_dirty", "unchanged_flag", "warning_flags", "content_id", "file_path", "page_id", "is_problematic")
+
+
+@query(f"""WITH {_RICH_SQL} SELECT run_id, count(DISTINCT document_id) AS n FROM rich WHERE stage = 'filter' AND status = 'skipped' AND (reason_code = 'unchanged_incremental' OR (reason_code IS NULL AND json_valid(extra_json) AND json_extract_string(extra_json, '$.changed_flag') = 'false')) GROUP BY run_id""")
+def audit_unchanged_extra(spark, sf_dir):
+    return _rich(spark, sf_dir).where(audit.unchanged(_rich(spark, sf_dir))).groupBy("run_id").agg(F.count_distinct("document_id").alias("n"))
+
+
+def _runs(spark, sf_dir):
+    e = views.events(spark, sf_dir)
+    g = e.groupBy("run_id").agg(F.min("created_at").alias("started_at"), F.max("created_at").alias("finished_at"), F.count("*").alias("total_events"))
+    return g.withColumns({"source_type": F.when(F.substring("run_id", -1, 1).cast("int") % 2 == 0, "wiki").otherwise("filesystem"), "source_instance": F.substring("run_id", -1, 1)})
+
+
+_RUNS_SQL = "runs AS (SELECT run_id, min(created_at) AS started_at, max(created_at) AS finished_at, count(*) AS total_events, CASE WHEN CAST(right(run_id, 1) AS INTEGER) % 2 = 0 THEN 'wiki' ELSE 'filesystem' END AS source_type, right(run_id, 1) AS source_instance FROM ev GROUP BY run_id)"
+
+
+@query(f"WITH {views.EVENTS_SQL}, {_RUNS_SQL} SELECT stage, status, count(*) AS n FROM ev WHERE run_id IN (SELECT run_id FROM runs WHERE source_type = 'wiki' AND source_instance = '4') GROUP BY ALL")
+def audit_selected_runs(spark, sf_dir):
+    runs = audit.select_runs(_runs(spark, sf_dir), source_type="wiki", source_instance="4")
+    return audit.of_runs(views.events(spark, sf_dir), runs).groupBy("stage", "status").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {views.EVENTS_SQL}, {_RUNS_SQL}, {_TYPES_SQL} SELECT run_id, started_at, total_events, run_type, row_number() OVER (ORDER BY started_at DESC, run_id) AS place FROM runs JOIN types USING (run_id)")
+def audit_run_overview(spark, sf_dir):
+    runs = _runs(spark, sf_dir)
+    rows = audit.run_overview(runs, audit.run_types(runs, views.events(spark, sf_dir)))
+    return rows.select("run_id", "started_at", "total_events", "run_type", c("place").cast("long"))
+
+
+@query(f"""WITH {views.EVENTS_SQL}, g AS (SELECT stage, reason_code, count(*) AS n, min((created_at, id)) AS seen_at FROM ev WHERE reason_code IS NOT NULL GROUP BY ALL)
+SELECT stage, reason_code, n, row_number() OVER (PARTITION BY stage ORDER BY n DESC, seen_at) AS place FROM g QUALIFY place <= 2""")
+def audit_top_reasons_by_stage(spark, sf_dir):
+    return audit.top_reasons(views.events(spark, sf_dir), "stage", 2).select("stage", "reason_code", "n", c("place").cast("long"))
+
+
+@query(f"""WITH {views.EVENTS_SQL}, g AS (SELECT reason_code, count(*) AS n, min((created_at, id)) AS seen_at FROM ev WHERE reason_code IS NOT NULL GROUP BY ALL)
+SELECT reason_code, n, row_number() OVER (ORDER BY n DESC, seen_at) AS place FROM g QUALIFY place <= 10""")
+def audit_top_reasons(spark, sf_dir):
+    return audit.top_reasons(views.events(spark, sf_dir)).select("reason_code", "n", c("place").cast("long"))
+
+
+@query(f"WITH {views.EVENTS_SQL} SELECT coalesce(nullif(source_instance, ''), 'unknown') AS instance, reason_code, count(*) AS n FROM ev WHERE source_type = 'wiki' AND reason_code IS NOT NULL GROUP BY ALL")
+def audit_instance_reasons(spark, sf_dir):
+    return audit.instance_reasons(views.events(spark, sf_dir), "wiki")
+
+
+@query(f"WITH {_FUNNEL_SQL} SELECT 'expected' AS kind, arg_min(run_id, (-expected_dropoff, run_id)) AS run_id, max(expected_dropoff) AS drop FROM funnel UNION ALL SELECT 'problematic', arg_min(run_id, (-problematic_dropoff, run_id)), max(problematic_dropoff) FROM funnel")
+def audit_largest_first(spark, sf_dir):
+    f = audit.funnel(views.events(spark, sf_dir))
+    rows = [audit.largest_drop(f, f"{k}_dropoff").select(F.lit(k).alias("kind"), "run_id", "drop") for k in ("expected", "problematic")]
+    return rows[0].unionByName(rows[1])
+
+
+@query(f"WITH {_FUNNEL_SQL} SELECT run_id, format('{{:.1f}}%', 100.0 * chunked_docs / greatest(1, transformed_ok)) AS quote FROM funnel")
+def audit_percent(spark, sf_dir):
+    f = audit.funnel(views.events(spark, sf_dir))
+    return f.select("run_id", audit.percent(c("chunked_docs") / F.greatest(F.lit(1), c("transformed_ok"))).alias("quote"))
+
+
+@query(f"WITH {views.EVENTS_SQL}, few AS (SELECT * FROM ev WHERE document_id NOT IN (SELECT document_id FROM ev WHERE stage = 'chunk') OR id % 3 > 0) SELECT DISTINCT document_id FROM ev WHERE stage = 'load' AND status = 'ok' AND id % 3 > 0 AND document_id NOT IN (SELECT document_id FROM ev WHERE stage = 'chunk' AND {_OK} AND id % 97 = 0)")
+def audit_loaded_few_chunked(spark, sf_dir):
+    """Loaded documents without chunks where most chunk events are missing."""
+    e = views.events(spark, sf_dir).where("(stage = 'load' AND id % 3 > 0) OR (stage = 'chunk' AND id % 97 = 0)")
+    return audit.loaded_not_chunked(e)
+
+
+# ---------------------------------------------------------------- pages, publishing, scraped sites
+
+
+@query(r"""SELECT page_id, CASE WHEN regexp_matches(title, '(?i)^log\s+\d{4}\b') THEN 'filtered_by_rule' WHEN length(html) < 300 THEN 'too_small_for_chunking' WHEN length(trim(final)) < 200 AND page_id % 4 <> 0 THEN 'too_small_for_chunking' END AS verdict
+FROM (SELECT page_id, html, substring(html, 1, CAST(page_id % 3 * 150 AS INTEGER)) AS final, CASE WHEN page_id % 5 = 0 THEN 'LOG  2024 x' WHEN page_id % 5 = 1 THEN 'log 20245' ELSE url END AS title FROM pages)""")
+def page_verdicts(spark, sf_dir):
+    title = F.when(c("page_id") % 5 == 0, "LOG  2024 x").when(c("page_id") % 5 == 1, "log 20245").otherwise(c("url"))
+    rows = views.table(spark, sf_dir, "pages").withColumn("final", F.substring("html", F.lit(1), (c("page_id") % 3 * 150).cast("int")))
+    return rows.select("page_id", pages.verdict(title, c("html"), c("final"), c("page_id") % 4 == 0, 300, 0).alias("verdict"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, coalesce(source, '') AS space, doc_id % 6 = 0 AS lacks FROM documents)
+SELECT doc_id || '.md' AS rel_path, CASE WHEN lacks THEN 'error' WHEN space IN ('src0', 'src1') THEN 'published' ELSE 'unmapped' END AS status, CASE WHEN lacks THEN 'page_id,labels' ELSE '' END AS missing,
+CASE WHEN NOT lacks THEN 'out/' || CASE space WHEN 'src0' THEN 'domains/core' WHEN 'src1' THEN 'domains/ops' WHEN '' THEN '_unmapped/confluence/_missing_space' ELSE '_unmapped/confluence/' || space END || '/' || doc_id || '.md' END AS target,
+CASE WHEN NOT lacks THEN md5('---' || chr(10) || 'title: "t"' || chr(10) || 'source_type: "w"' || chr(10) || 'space_key: "' || space || '"' || chr(10) || 'source_url: "u"' || chr(10) || 'page_id: "1"' || chr(10) || 'labels: ["x"]' || chr(10)
+ || 'published_from: "in/' || doc_id || '.md"' || chr(10) || 'publish_source_root: "in"' || chr(10) || 'publish_target_path: "out/' || CASE space WHEN 'src0' THEN 'domains/core' WHEN 'src1' THEN 'domains/ops' WHEN '' THEN '_unmapped/confluence/_missing_space' ELSE '_unmapped/confluence/' || space END || '/' || doc_id || '.md"' || chr(10)
+ || 'content_origin: "confluence"' || chr(10) || 'domain_path: "' || CASE space WHEN 'src0' THEN 'domains/core' WHEN 'src1' THEN 'domains/ops' WHEN '' THEN '_unmapped/confluence/_missing_space' ELSE '_unmapped/confluence/' || space END || '"' || chr(10) || 'published_at: "now"' || chr(10) || '---' || chr(10) || chr(10) || 'body' || chr(10)) END AS content
+FROM d""")
+def publish_files(spark, sf_dir):
+    quoted = F.concat(F.lit('"'), F.coalesce("source", F.lit("")), F.lit('"'))
+    meta = F.create_map(F.lit("title"), F.lit('"t"'), F.lit("source_type"), F.lit('"w"'), F.lit("space_key"), quoted, F.lit("source_url"), F.lit('"u"'))
+    more = F.create_map(F.lit("page_id"), F.lit('"1"'), F.lit("labels"), F.lit('["x"]'))
+    rows = views.table(spark, sf_dir, "documents").select(F.concat(c("doc_id").cast("string"), F.lit(".md")).alias("rel_path"), F.when(c("doc_id") % 6 == 0, meta).otherwise(F.map_concat(meta, more)).alias("metadata"), F.lit(" body ").alias("body"), F.lit("now").alias("published_at"))
+    routes = spark.createDataFrame([("src0", "domains/core"), ("src1", "domains/ops")], "space string, domain_path string")
+    return pages.publish(rows, routes, "in", "out").withColumn("content", F.md5(c("content").cast("binary")))
+
+
+@query(r"""WITH r(ord, id, target_subpath, prefix, part, name) AS (VALUES (1, 'r1', 'a', 'https://', '/de/', NULL), (2, 'r2', 'b', NULL, 'example.org', '3'), (3, 'r3', 'c', '', NULL, 'HTML'), (4, 'r4', 'd', 'https://', NULL, NULL))
+SELECT page_id, coalesce(rule_id, 'default') AS rule_id, coalesce(target_subpath, 'external/unassigned') AS target_subpath FROM pages LEFT JOIN (SELECT page_id AS k, arg_min(id, ord) AS rule_id, arg_min(target_subpath, ord) AS target_subpath FROM pages, r
+WHERE starts_with(url, coalesce(prefix, '')) AND contains(url, coalesce(part, '')) AND contains(lower(regexp_extract(url, '[^/]*$')), lower(coalesce(name, ''))) GROUP BY page_id) ON k = page_id""")
+def mapping_rules(spark, sf_dir):
+    rules = spark.createDataFrame([(1, "r1", "a", "https://", "/de/", None), (2, "r2", "b", None, "example.org", "3"), (3, "r3", "c", "", None, "HTML"), (4, "r4", "d", "https://", None, None)], "ord int, id string, target_subpath string, path_prefix string, path_contains string, file_name_contains string")
+    return scrape.choose_rule(views.table(spark, sf_dir, "pages").select("page_id", c("url").alias("rel_path")), rules).select("page_id", "rule_id", "target_subpath")
+
+
+_FILES_SQL = """f AS (SELECT page_id, page_id || '.' || ['csv', 'PDF', 'json', 'html', 'zip', 'exe', 'zip'][page_id % 7 + 1] AS rel_path, page_id % 7 AS k FROM pages)"""
+
+
+def _scraped(spark, sf_dir):
+    ext = F.element_at(F.array(*[F.lit(x) for x in ("csv", "PDF", "json", "html", "zip", "exe", "zip")]), (c("page_id") % 7 + 1).cast("int"))
+    return views.table(spark, sf_dir, "pages").select(F.concat(c("page_id").cast("string"), F.lit("."), ext).alias("rel_path"), F.lit(5).alias("modified"), F.concat(F.lit("/r/"), c("page_id").cast("string")).alias("path"))
+
+
+@query(f"""WITH {_FILES_SQL} SELECT rel_path, CASE WHEN k IN (1, 4, 5, 6) OR page_id % 3 = 0 THEN 'skipped' ELSE 'convert' END AS status, CASE WHEN k = 1 THEN 'unsupported extension: .pdf' WHEN k IN (4, 6) THEN 'unsupported extension: .zip' WHEN k = 5 THEN 'unsupported extension: .exe'
+WHEN page_id % 3 = 0 THEN 'changed-only: existing artifacts are newer than source' END AS warning, 'scraping/' || page_id || '.md' AS markdown_path FROM f""")
+def scrape_plan(spark, sf_dir):
+    """Which files are converted: by extension, and whether both written files are newer."""
+    at = views.table(spark, sf_dir, "pages").where("page_id % 3 <> 2").select("page_id", F.when(c("page_id") % 3 == 0, 5).otherwise(4).alias("modified"))
+    old = at.select(F.concat(F.lit("scraping/"), c("page_id").cast("string"), F.lit(".md")).alias("rel_path"), F.lit(9).alias("modified")).unionByName(at.select(F.concat(F.lit("scraping/"), c("page_id").cast("string"), F.lit(".meta.json")).alias("rel_path"), "modified"))
+    return scrape.plan(_scraped(spark, sf_dir), old).select("rel_path", "status", "warning", "markdown_path")
+
+
+@query(f"WITH {_FILES_SQL} SELECT CASE WHEN k = 1 THEN '.pdf' WHEN k = 5 THEN '.exe' ELSE '.zip' END AS extension, count(*) AS n FROM f WHERE k IN (1, 4, 5, 6) GROUP BY ALL")
+def scrape_unsupported(spark, sf_dir):
+    return scrape.unsupported(scrape.plan(_scraped(spark, sf_dir)))
+
+
+@query(f"WITH {_FILES_SQL}, l AS (SELECT max(rel_path) AS last FROM (SELECT rel_path FROM f WHERE k IN (0, 2, 3) ORDER BY rel_path LIMIT 20)) SELECT rel_path, k IN (0, 2, 3) AS supported FROM f, l WHERE rel_path <= last")
+def scrape_limit(spark, sf_dir):
+    """The files up to the first 20 supported ones by path (the limit is the feature)."""
+    return scrape.plan(_scraped(spark, sf_dir), limit=20).select("rel_path", c("transformer").isNotNull().alias("supported"))
+
+
+@query(r"""SELECT page_id, coalesce(CASE WHEN page_id % 3 = 0 THEN 'own' END, CASE WHEN page_id % 3 = 1 THEN 'other' END, CASE WHEN page_id % 2 = 0 THEN 'Head line' END, replace(replace(regexp_replace(regexp_extract(url, '[^/]*$'), '\.[^.]*$', ''), '-', ' '), '_', ' ')) AS title FROM pages""")
+def title_choice(spark, sf_dir):
+    body = F.when(c("page_id") % 2 == 0, "text\n## no\n#  Head line \n# second").otherwise("#none")
+    title = convert.title_of(F.when(c("page_id") % 3 == 0, " own ").otherwise(" "), F.when(c("page_id") % 3 == 1, "other"), body, F.regexp_extract("url", "[^/]*$", 0))
+    return views.table(spark, sf_dir, "pages").select("page_id", title.alias("title"))
+
+
+@query("""SELECT conv_id, string_agg('[' || n || '] ' || t, chr(10) ORDER BY n, turn) AS block FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN row_number() OVER (PARTITION BY conv_id ORDER BY turn) ELSE 20 - turn END AS n,
+CASE WHEN turn % 4 = 0 THEN 'doc' || turn ELSE role END || CASE WHEN turn % 2 = 0 THEN ' – s' || turn ELSE '' END AS t FROM conversations WHERE role <> '' AND turn < 20) GROUP BY conv_id""")
+def sources_block(spark, sf_dir):
+    rows = views.table(spark, sf_dir, "conversations").where("role <> '' AND turn < 20")
+    t = c("turn").cast("string")
+    one = F.struct("turn", F.when(c("turn") % 3 == 0, 0).otherwise((20 - c("turn")).cast("int")).alias("source_number"), t.alias("chunk_id"), F.when(c("turn") % 4 == 0, " ").otherwise(c("role")).alias("title"), F.concat(F.lit("doc"), t).alias("doc_id"), F.when(c("turn") % 2 == 0, F.concat(F.lit("s"), t)).alias("section_header"))
+    return rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("s")).select("conv_id", retrieval.sources_block(c("s")).alias("block"))
+
+
+@query("""SELECT conv_id, string_agg(k || '=' || n, ',' ORDER BY k) AS cited FROM (SELECT conv_id, 'c' || (turn % 4) AS k, arg_max(n, turn) AS n FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN row_number() OVER (PARTITION BY conv_id ORDER BY turn) ELSE 20 - turn END AS n FROM conversations WHERE turn < 20) WHERE turn % 4 > 0 GROUP BY ALL) GROUP BY conv_id""")
+def citation_numbers(spark, sf_dir):
+    rows = views.table(spark, sf_dir, "conversations").where("turn < 20")
+    chunk = F.when(c("turn") % 4 > 0, F.concat(F.lit("c"), (c("turn") % 4).cast("string")))
+    one = F.struct("turn", F.when(c("turn") % 3 == 0, F.lit(None)).otherwise((20 - c("turn")).cast("int")).alias("source_number"), chunk.alias("chunk_id"))
+    g = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("s")).select("conv_id", retrieval.citation_map(c("s")).alias("m")).where(F.size("m") > 0)
+    return g.select("conv_id", F.array_join(F.array_sort(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ",").alias("cited"))

@@ -1,4 +1,4 @@
-"""Readers of Markdown trees, exports and chunk files, and writers of what the engine keeps."""
+"""Readers of Markdown trees and chunk files, and writers of what the engine keeps."""
 
 from __future__ import annotations
 
@@ -36,32 +36,6 @@ def pick(json: Column, *paths: str) -> Column:
     return F.coalesce(*[F.get_json_object(json, f"$.{p}") for p in paths])
 
 
-def wiki_pages(spark: SparkSession, root: str, spaces: list[str] | None = None) -> DataFrame:
-    """Pages of an export tree: metadata.json beside content.storage.xml, in one folder for each page."""
-    own = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True).select("value", c("_metadata.file_path").alias("path"))
-    folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
-    meta = own.where(c("path").endswith("/metadata.json")).select(folder.alias("folder"), c("value").alias("meta")).where(F.try_parse_json("meta").isNotNull())
-    body = own.where(c("path").endswith("/content.storage.xml")).select(folder.alias("folder"), c("value").alias("stored"))
-    rows = meta.join(body, "folder", "left").select(
-        F.coalesce(pick(c("meta"), "id", "page_id", "content.id"), F.regexp_extract("folder", "[^/]*$", 0)).alias("page_id"), pick(c("meta"), "title", "content.title").alias("title"),
-        pick(c("meta"), "space.key", "space_key", "spaceKey").alias("space_key"), pick(c("meta"), "version.when", "updated_at", "lastModified").alias("updated_at"),
-        pick(c("meta"), "url", "_links.webui").alias("url"), F.coalesce("stored", pick(c("meta"), "body.storage.value", "body.view.value", "body")).alias("body"), c("meta"),
-    )
-    return rows.where(F.lower("space_key").isin([s.lower() for s in spaces])) if spaces else rows
-
-
-def issues(spark: SparkSession, root: str, projects: list[str] | None = None) -> DataFrame:
-    """Issues of an export tree; content.storage.json of a folder is preferred to its metadata.json."""
-    own = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root, wholetext=True).select("value", c("_metadata.file_path").alias("path"))
-    order = F.when(c("path").endswith("/content.storage.json"), 0).when(c("path").endswith("/metadata.json"), 1)
-    rows = own.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), "value", "path", order.alias("o")).where(c("o").isNotNull() & F.try_parse_json("value").isNotNull())
-    rows = rows.groupBy("folder").agg(F.min_by("value", F.struct("o", "path")).alias("j"))
-    j = c("j")
-    key = F.coalesce(pick(j, "key", "issue.key"), F.regexp_extract("folder", "[^/]*$", 0))
-    rows = rows.select(key.alias("key"), pick(j, "id", "issue.id").alias("id"), F.coalesce(pick(j, "fields.project.key", "project.key", "project"), F.regexp_extract(key, "^([^-]+)-", 1)).alias("project"), pick(j, "fields.summary", "summary", "title").alias("summary"), pick(j, "fields.description", "description").alias("description"), pick(j, "fields.status.name", "status").alias("status"))
-    return rows.where(F.lower("project").isin([p.lower() for p in projects])) if projects else rows
-
-
 def chunk_files(spark: SparkSession, root: str) -> DataFrame:
     """Chunks from JSON lines; broken lines and chunks without ids or text are left out."""
     schema = "doc_id string, chunk_id string, title string, text string, metadata map<string,string>, _bad string"

@@ -1,12 +1,14 @@
 """Behaviour of single operators on small inputs."""
 
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
 from loomlake.functions import frontmatter
 from loomlake.functions import text as tx
 from loomlake.operators import audit, chunking, markup, retrieval, state, terminology
-from loomlake.sources import readers
+from loomlake.sources import exports, readers
 from loomlake.streaming import ingest
 
 
@@ -120,10 +122,41 @@ def test_change_status_asks_for_outputs(spark):
 
 
 def test_terms():
-    terms = [terminology.Term("t", "API", ("Schnittstelle",), "interface"), terminology.Term("p", "Anna", (), "a person", person=True)]
-    assert terminology.annotate("Die API und die API von Anna; APIs nicht", terms) == "Die API (interface) und die API von Anna; APIs nicht"
+    terms = [terminology.Term("t", "API", ("Schnittstelle",), "interface", related=("p", "gone")), terminology.Term("p", "Anna", (), "a person", term_class="person"), terminology.Term("x", "und", block="exclude", annotate="never")]
+    found = terminology.match("Die API und die API von Anna; APIs nicht", terms)
+    assert terminology.annotate("Die API und die API von Anna; APIs nicht", found) == ("Die API (interface) und die API von Anna; APIs nicht", 1)
     assert [m[3] for m in terminology.match("api Schnittstelle", terms)] == ["api", "Schnittstelle"]
-    assert terminology.block("Anna API", terms) == ["- Anna: a person", "- API: interface"]
+    assert terminology.block(terminology.match("Anna API", terms), terms) == "\n## Terminologie\n- Anna: a person\n- API: interface\n  - Verwandte Begriffe: Anna\n"
+    assert terminology.block(terminology.match("Anna API", terms), terms, aliases=True).endswith("  - Aliase: Schnittstelle\n")
+    assert terminology.block(terminology.match("API und", terms), terms) == ""
+
+
+def test_terms_by_source_mode(spark):
+    terms = [terminology.Term("a", "ALPHA", label="first"), terminology.Term("b", "BETA", label="second", applies_to=("wiki",))]
+    docs = spark.createDataFrame([(1, "wiki", "ALPHA BETA "), (2, "mail", "ALPHA BETA"), (3, "chat", "ALPHA"), (4, None, "ALPHA"), (5, "wiki", None)], "doc_id int, source string, text string")
+    modes = spark.createDataFrame([("wiki", "annotate_and_block", None), ("mail", "block_only", False), ("chat", "off", True)], "source string, mode string, candidates_enabled boolean")
+    got = {r.doc_id: r for r in terminology.apply(docs, terms, modes).collect()}
+    assert got[1].text == "ALPHA (first) BETA (second)\n\n## Terminologie\n- ALPHA: first\n- BETA: second\n" and got[1].annotations == 2
+    assert got[2].text == "ALPHA BETA" and got[2].n_matches == 1 and not got[2].block_added
+    assert got[3].text == "ALPHA" and got[3].n_matches == 0 and got[4].n_matches == 0 and got[5].text is None
+    gate = {r.doc_id: (r["mode"], r.candidates) for r in terminology.source_modes(docs, modes).collect()}
+    assert gate == {1: ("annotate_and_block", True), 2: ("block_only", False), 3: ("off", False), 4: ("off", False), 5: ("annotate_and_block", True)}
+
+
+def test_candidate_report(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "wiki", "x " * 40 + "ALPHA first ALPHA"), (2, "wiki", "again ALPHA and BETA-x"), (3, "mail", "INFO ALPHA")], "doc_id int, source string, text string")
+    rows = terminology.candidates(docs, terminology.CANDIDATE, exclude=["info"])
+    rows = terminology.with_context(rows, docs, terminology.CANDIDATE)
+    got = {(r.source, r.norm): r for r in rows.collect()}
+    assert got[("wiki", "alpha")].n == 3 and got[("wiki", "alpha")].example_context == "x " * 20 + "ALPHA first ALPHA" and ("mail", "info") not in got
+    report = rows.select(F.col("source").alias("source_type"), "term", F.col("n").alias("count"), F.col("first_seen").alias("first_seen_file"), F.col("last_seen").alias("last_seen_file"), "example_context", *[F.lit(d).alias(n) for n, d in list(terminology.REPORT.items())[6:]])
+    path = str(tmp_path / "report")
+    assert terminology.write_report(report, path) and not terminology.write_report(report.limit(0), path)
+    back = terminology.read_report(spark, path)
+    assert [(r.source_type, r.term, r["count"]) for r in back.collect()] == [("mail", "ALPHA", 1), ("wiki", "ALPHA", 3), ("wiki", "BETA-x", 1)]
+    (tmp_path / "old.csv").write_text("source_type,term,count\nwiki,PM,2\nwiki,NEU,bad\n")
+    old = {r.term: r for r in terminology.read_report(spark, str(tmp_path / "old.csv")).collect()}
+    assert old["PM"]["count"] == 2 and old["NEU"]["count"] == 0 and old["PM"].reviewer_status == "open" and old["PM"].suggested_action == "needs_review"
 
 
 MACRO = '<ac:structured-macro ac:name="{}">{}</ac:structured-macro>'
@@ -180,12 +213,12 @@ def test_readers(spark, tmp_path):
     page.mkdir(parents=True)
     (page / "metadata.json").write_text('{"id": "7", "title": "P", "space": {"key": "AB"}, "body": "from json"}')
     (page / "content.storage.xml").write_text("<p>x</p>")
-    assert [(r.page_id, r.body) for r in readers.wiki_pages(spark, str(tmp_path / "wiki"), ["ab"]).collect()] == [("7", "<p>x</p>")]
+    assert [(r.page_id, r.body) for r in exports.wiki_pages(spark, str(tmp_path / "wiki"), ["ab"]).collect()] == [("7", "<p>x</p>")]
     issue = tmp_path / "issues/AB-1"
     issue.mkdir(parents=True)
     (issue / "metadata.json").write_text('{"key": "AB-1", "summary": "old"}')
     (issue / "content.storage.json").write_text('{"key": "AB-1", "fields": {"summary": "new"}}')
-    assert [(r.key, r.project, r.summary) for r in readers.issues(spark, str(tmp_path / "issues")).collect()] == [("AB-1", "AB", "new")]
+    assert [(r.issue_key, r.project_key, r.summary) for r in exports.issues(spark, str(tmp_path / "issues")).collect()] == [("AB-1", "AB", "new")]
     (tmp_path / "c").mkdir()
     (tmp_path / "c/x.jsonl").write_text('{"doc_id": "d", "chunk_id": "d-0", "text": "t"}\nbroken\n{"doc_id": "d", "chunk_id": "d-1", "text": " "}\n')
     assert [(r.chunk_id, r.title) for r in readers.chunk_files(spark, str(tmp_path / "c")).collect()] == [("d-0", "d")]
@@ -200,6 +233,41 @@ def test_stream_ingests_changes_once(spark, tmp_path):
     ingest.ingest_stream(source, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert sorted((r.key, r.text) for r in spark.read.parquet(str(tmp_path / "out/chunks/*")).collect()) == [("a", "x"), ("b", "changed"), ("b", "y")]
     assert ingest.current_state(spark, str(tmp_path / "out")).count() == 2
+    assert sorted((r.key, r.text) for r in ingest.current_chunks(spark, str(tmp_path / "out")).collect()) == [("a", "x"), ("b", "changed")]
+
+
+@pytest.mark.parametrize("step", ["chunks", "state", "commits", "all"])
+def test_a_repeated_batch_keeps_its_chunks(spark, tmp_path, monkeypatch, step):
+    """A batch fails after each of its writes and is run again."""
+    root = str(tmp_path / "out")
+    docs = spark.createDataFrame([("a", "x", 1), ("a", "newer", 2), ("b", "y", 1), ("c", None, 1), (None, "z", 1)], "key string, text string, n int")
+    ingest.ingest_batch(docs.where("key = 'b'"), 0, root, "n")
+    if step == "all":
+        ingest.ingest_batch(docs, 1, root, "n")
+    else:
+        real = ingest._folder
+
+        def failing(s, path):
+            if path.endswith("commits/1"):
+                raise OSError("lost")
+            return real(s, path)
+
+        monkeypatch.setattr(ingest, "_folder", failing)
+        with pytest.raises(OSError):
+            ingest.ingest_batch(docs, 1, root, "n")
+        monkeypatch.setattr(ingest, "_folder", real)
+        assert ingest.committed(spark, root) == [0]
+        assert [r.key for r in ingest.current_chunks(spark, root).collect()] == ["b"]
+        if step == "chunks":
+            shutil.rmtree(f"{root}/state/batch=1")
+        elif step == "state":
+            shutil.rmtree(f"{root}/chunks/batch=1")
+    for _ in range(2):
+        ingest.ingest_batch(docs, 1, root, "n")
+        assert sorted((r.key, r.text) for r in ingest.current_chunks(spark, root).collect()) == [("a", "newer"), ("b", "y")]
+        assert ingest.current_state(spark, root).count() == 3
+    ingest.ingest_batch(docs, 2, root, "n")
+    assert spark.read.parquet(f"{root}/chunks/batch=2").count() == 0
 
 
 class Echo:
