@@ -58,6 +58,8 @@ FREQUENT_LIMIT, FREQUENT_AT = 1 << 20, 8
 SIZE_STEP = 1.03
 #: Nodes of a bucket that its other nodes are compared with to form groups.
 LEADERS = 4
+#: Tasks over which the members of one group are dealt.
+SALTS = 32
 #: Members of a group that are read together.
 BLOCK_MEMBERS = 64
 #: Shingles after which a task's local counts are reduced to those seen LOCAL_AT times.
@@ -150,6 +152,13 @@ def can_link(index: DataFrame, percent: int) -> DataFrame:
     return index.drop("need").join(need, "node")
 
 
+def leaders(index: DataFrame) -> DataFrame:
+    """(token, leaders): the LEADERS smallest nodes of each bucket that has two or more. Tasks send so many rows of a bucket on at most."""
+    place = F.row_number().over(W.partitionBy("token").orderBy("node"))
+    first = index.select("token", "node", "n").withColumn("place", place).where(F.col("place") <= LEADERS)
+    return first.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("leaders")).where(F.size("leaders") > 1)
+
+
 def measured(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """Rows of two kinds: (id, n, sig_a, sig_b) for documents and (token, n) for locally frequent shingles."""
     schema = "kind tinyint, id bigint, n bigint, sig_a bigint, sig_b bigint"
@@ -285,8 +294,11 @@ def link_nodes(index: DataFrame, docs: DataFrame, key: str, text: str, size: int
     open_ = stored(open_.where(qualifies(c("c"), c("n"), c("low"), c("high"), percent)).select("q", "h"), "open")
     # open groups are read in blocks of members; members that share enough probe tokens with the query are compared
     held = stored(member.groupBy("node", "g").agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens")), "held")
-    sizes = held.join(open_.select(c("h").alias("g")).distinct(), "g", "left_semi").groupBy("g").agg(F.ceil(F.count("*") / F.lit(BLOCK_MEMBERS)).alias("blocks"))
-    blocks = held.join(sizes, "g").groupBy(c("g").alias("h"), F.pmod(F.xxhash64("node"), c("blocks")).alias("block")).agg(F.collect_list(F.struct("node", "n", "tokens")).alias("members"))
+    sizes = held.groupBy("g").agg(F.ceil(F.count("*") / F.lit(BLOCK_MEMBERS)).alias("blocks")).join(open_.select(c("h").alias("g")).distinct(), "g", "left_semi")
+    # a large group's members meet its size in SALTS tasks, then each other in blocks
+    salted = held.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    blocks = salted.join(sizes, ["g", "salt"]).groupBy(c("g").alias("h"), F.pmod(F.xxhash64("node"), c("blocks")).alias("block")).agg(F.collect_list(F.struct("node", "n", "tokens")).alias("members"))
     asked = open_.join(held.select(c("node").alias("q"), "n", "tokens"), "q").join(blocks, "h")
     near = lambda m: compatible(c("n"), m["n"]) & (F.size(F.array_intersect(c("tokens"), m["tokens"])) >= least_shared(c("n"), m["n"], percent))
     pairs = stored(asked.select(c("q").alias("a"), F.explode(F.transform(F.filter("members", near), lambda m: m["node"])).alias("b")), "pairs")
@@ -311,10 +323,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     tokens = probes(given, key, text, size, percent, frequent).join(nodes.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
     index = tokens.select(F.col("id").alias("node"), "n", F.explode("tokens").alias("token"))
     index = stored(shared_only(index), "index")
-    index = can_link(index, percent)
-    bucket = W.partitionBy("token").orderBy("node").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    leaders = F.array_compact(F.array(*[F.nth_value(F.struct("node", "n"), k + 1).over(bucket) for k in range(LEADERS)]))
-    index = index.withColumn("leaders", leaders).where(F.size("leaders") > 1)
-    labels = link_nodes(stored(index, "index"), given, key, text, size, percent)
+    index = stored(can_link(index, percent), "index")
+    labels = link_nodes(stored(index.join(leaders(index), "token"), "index"), given, key, text, size, percent)
     named = sets.join(nodes, by_set, "left").join(labels, "node", "left")
     return named.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("label", "node", "id")).alias("component_id"))
