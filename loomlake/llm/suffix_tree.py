@@ -60,7 +60,7 @@ GAIN, STRENGTH = 3.0, 4.0
 #: Training tokens that a sequence must have to count for itself.
 LEAST = 2
 #: Bytes of text in a block.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 6 << 20
 #: Stand for the end of a text and the place before it among hashes.
 END, START = np.uint64(0), np.uint64(2)
 
