@@ -14,6 +14,7 @@ from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomlake.functions import frontmatter
@@ -109,6 +110,8 @@ class Engine:
             status = state.change_status(docs, before, "doc_id")
             todo = docs.join(status.where("status <> 'unchanged'").select("doc_id"), "doc_id", "left_semi")
             chunks = chunking.markdown_chunks(todo, key="doc_id", body="body")
+            place = F.row_number().over(W.partitionBy("doc_id").orderBy("part", "chunk_start")) - 1
+            chunks = chunks.withColumn("chunk_index", place).withColumn("chunk_id", F.format_string("%s-chunk-%04d", "doc_id", "chunk_index"))
             chunks = chunks.join(todo.select("doc_id", "title"), "doc_id")
             there = docs.select("doc_id")
             for name, new in (("documents", todo), ("chunks", chunks)):
@@ -307,10 +310,12 @@ class Engine:
         staged = self.table("pages").select("rel_path", "content")
         staged = staged.where(F.concat(F.lit("/"), "rel_path").contains(f"/{space}/")) if space else staged
         parsed = staged.withColumn("p", frontmatter.parse_column(c("content")))
-        meta = F.from_json("p.meta", "map<string,string>")
-        raw = F.transform_values(meta, lambda k, v: F.when(v.rlike(r"^\s*[\[{]"), v).otherwise(F.to_json(F.array(v)).substr(F.lit(2), F.length(F.to_json(F.array(v))) - 2)))
-        own = F.map_concat(raw, F.create_map(F.lit("space_key"), F.coalesce(F.to_json(F.array(F.get_json_object("p.meta", "$.source_meta.space_key"))), F.lit('[""]')), F.lit("page_id"), F.to_json(F.array(F.get_json_object("p.meta", "$.original_id"))), F.lit("labels"), F.coalesce(F.get_json_object("p.meta", "$.tags"), F.lit("[]"))))
-        own = F.transform_values(own, lambda k, v: F.when(k.isin("space_key", "page_id"), F.regexp_replace(v, r"^\[|\]$", "")).otherwise(v))
+        # values as JSON: objects and lists are, texts are quoted; the keys that publishing asks for come from the unified ones
+        quoted = lambda v: F.regexp_replace(F.to_json(F.array(v)), r"^\[|\]$", "")
+        at = lambda path: quoted(F.coalesce(F.get_json_object("p.meta", path), F.lit("")))
+        own = F.transform_values(F.from_json("p.meta", "map<string,string>"), lambda k, v: F.when(v.rlike(r"^\s*[\[{]"), v).otherwise(quoted(v)))
+        asked = F.create_map(F.lit("space_key"), at("$.source_meta.space_key"), F.lit("page_id"), at("$.original_id"), F.lit("labels"), F.coalesce(F.get_json_object("p.meta", "$.tags"), F.lit("[]")), F.lit("source_url"), at("$.source_url"))
+        own = F.map_concat(F.map_filter(own, lambda k, v: ~F.map_contains_key(asked, k)), asked)
         rows = parsed.select("rel_path", own.alias("metadata"), c("p.body").alias("body"), F.lit(datetime.now(UTC).isoformat()).alias("published_at"))
         return self.save("published", pages.publish(rows, routes, f"{self.root}/pages", f"{self.root}/domains", unmapped=unmapped))
 

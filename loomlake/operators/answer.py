@@ -78,8 +78,14 @@ def source_objects(rows: DataFrame) -> DataFrame:
     return rows.select("query_id", F.col("rank").alias("source_number"), "doc_id", "chunk_id", text("title", "doc_id").alias("title"), text("section_header").alias("section_header"), round4(F.col("score")).alias("score"))
 
 
-def promote(pairs: DataFrame, rules: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """Properties (page, name, value) promoted by rules (alias, name): the first value by name; an existing property wins."""
+def promote(pairs: DataFrame, rules: DataFrame, existing: DataFrame | None = None, requested: list[str] | None = None) -> DataFrame:
+    """Properties (page, name, value) promoted by rules (alias, name): the first value by name; an existing property wins.
+
+    ``requested`` keeps the rules of which some alias is asked for.
+    """
+    if requested is not None:
+        asked = rules.where(F.col("alias").isin(requested)).select("name").distinct()
+        rules = rules.join(asked, "name", "left_semi")
     hits = pairs.join(rules, pairs["key"] == rules["alias"]).groupBy("page", "name").agg(F.min_by("value", "ord").alias("value"))
     return hits if existing is None else hits.join(existing.select("page", "name"), ["page", "name"], "left_anti").unionByName(existing.select("page", "name", "value"))
 

@@ -41,7 +41,7 @@ def task_counts(text: Column, title: str) -> tuple[Column, Column]:
     """Number of tasks in a section of a rendered text, and the names mentioned there."""
     section = F.regexp_extract(F.concat(text, F.lit("\n## ")), rf"(?ms)^## {title}\n(.*?)^## ", 1)
     lines = F.regexp_extract_all(section, F.lit(r"(?m)^\s*Mentions:[^\S\n]*(.+?)\.[^\S\n]*$"), F.lit(1))
-    names = F.filter(F.transform(F.flatten(F.transform(lines, lambda x: F.split(x, ","))), F.trim), lambda x: x != "")
+    names = F.filter(F.transform(F.flatten(F.transform(lines, lambda x: F.split(x, ","))), lambda x: F.trim(x)), lambda x: x != "")
     return F.regexp_count(section, F.lit("(?m)^- ")), F.array_distinct(names)
 
 
@@ -104,6 +104,14 @@ def json_lines(metadata: Column, body: Column) -> Column:
     return F.concat(F.lit("---\n"), lines, F.lit("\n---\n\n"), F.trim(body), F.lit("\n"))
 
 
+def unsupported_macros(files: DataFrame, space: str | None = None) -> DataFrame:
+    """Unsupported macros of page files (rel_path, content), by their front matter: (macro, n), most frequent first."""
+    rows = files.where(F.lower(F.regexp_extract("rel_path", "([^/]*)/[^/]*$", 1)) == space.lower()) if space else files
+    meta = rows.select(frontmatter.parse_column(c("content"))["meta"].alias("meta")).where(F.get_json_object("meta", "$.doc_type") == "confluence_page")
+    macros = meta.select(F.explode(F.from_json(F.get_json_object("meta", "$.unsupported_macros"), "array<string>")).alias("macro"))
+    return macros.groupBy("macro").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "macro")
+
+
 def page_file(space: Column, key: Column, title: Column) -> Column:
     return F.concat(F.lower(space), F.lit("/"), key, F.lit("__"), slug(title, "untitled", 120), F.lit(".md"))
 

@@ -818,3 +818,35 @@ def citation_numbers(spark, sf_dir):
     one = F.struct("turn", F.when(c("turn") % 3 == 0, F.lit(None)).otherwise((20 - c("turn")).cast("int")).alias("source_number"), chunk.alias("chunk_id"))
     g = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("s")).select("conv_id", retrieval.citation_map(c("s")).alias("m")).where(F.size("m") > 0)
     return g.select("conv_id", F.array_join(F.array_sort(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ",").alias("cited"))
+
+
+# ---------------------------------------------------------------- inventories, vectors, requested properties
+
+
+@query("SELECT extension, string_agg(rel_path, '|' ORDER BY rel_path) AS examples FROM (SELECT regexp_extract(url, '\\.([^./]*)$', 1) AS extension, url AS rel_path, row_number() OVER (PARTITION BY regexp_extract(url, '\\.([^./]*)$', 1) ORDER BY url) AS n FROM pages) WHERE n <= 3 GROUP BY extension")
+def inventory_samples(spark, sf_dir):
+    rows = views.table(spark, sf_dir, "pages").select(F.regexp_extract("url", r"\.([^./]*)$", 1).alias("extension"), c("url").alias("rel_path"))
+    return readers.samples(rows).select("extension", F.array_join("examples", "|").alias("examples"))
+
+
+@query("SELECT count(*) FILTER (page_id % 3 > 0) AS supported, count(*) FILTER (page_id % 5 = 0) AS markdown, round(count(*) FILTER (page_id % 5 = 0) / CAST(count(*) FILTER (page_id % 3 > 0) AS DOUBLE), 4) AS coverage FROM pages")
+def inventory_coverage(spark, sf_dir):
+    rows = views.table(spark, sf_dir, "pages")
+    exported = rows.select(F.when(c("page_id") % 3 == 0, "exe").when(c("page_id") % 3 == 1, "pdf").otherwise("csv").alias("extension"))
+    return readers.coverage(exported, rows.select(F.when(c("page_id") % 5 == 0, "md").otherwise("json").alias("extension")))
+
+
+@query("SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dims FROM embeddings WHERE vec_id % 5 > 3 OR vec_id % 5 = 0")
+def vectors_from_json(spark, sf_dir):
+    """Vectors kept as JSON text; broken, empty and non-numeric ones are left out."""
+    text = F.to_json(F.transform("embedding", lambda x: x.cast("double")))
+    rows = views.table(spark, sf_dir, "embeddings").select("vec_id", F.when(c("vec_id") % 5 == 1, "[]").when(c("vec_id") % 5 == 2, '[1, "x"]').when(c("vec_id") % 5 == 3, "{broken").otherwise(text).alias("embedding"))
+    return readers.parse_vectors(rows).select("vec_id", F.size("embedding").alias("dims"))
+
+
+@query("SELECT doc_id AS page, 'modul' AS name, lang AS value FROM documents WHERE doc_id % 3 = 1")
+def property_promote_requested(spark, sf_dir):
+    key = F.when(c("doc_id") % 3 == 0, "prio").when(c("doc_id") % 3 == 1, "modul oft").otherwise("other")
+    pairs = views.table(spark, sf_dir, "documents").select(c("doc_id").alias("page"), key.alias("key"), c("lang").alias("value"), F.lit(1).alias("ord")).where("value IS NOT NULL OR doc_id IS NOT NULL")
+    rules = spark.createDataFrame([("prioritaet", "prio"), ("prio", "prio"), ("modul", "modul"), ("modul oft", "modul")], "alias string, name string")
+    return answer.promote(pairs, rules, requested=["modul"])

@@ -38,7 +38,7 @@ def strings(json: Column, *fields: str) -> Column:
     items = F.from_json(json, "array<string>")
     own = lambda x: F.when(x.startswith("{"), pick(x, *fields) if fields else F.lit(None)).otherwise(x)
     listed = F.transform(items, lambda x: F.trim(own(x)))
-    split = F.when(~F.coalesce(json, F.lit("")).rlike(r"^\s*[\[{]"), F.transform(F.split(json, ","), F.trim))
+    split = F.when(~F.coalesce(json, F.lit("")).rlike(r"^\s*[\[{]"), F.transform(F.split(json, ","), lambda x: F.trim(x)))
     return F.filter(F.coalesce(F.when(F.coalesce(json, F.lit("")).rlike(r"^\s*\["), listed), split, F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomlake.functions.text import has_meaningful_content
@@ -59,6 +60,31 @@ def inventory(rows: DataFrame) -> DataFrame:
     return rows.groupBy("extension").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("rel_path").alias("example"))
 
 
+def samples(rows: DataFrame, k: int = 3) -> DataFrame:
+    """The first k paths of each extension."""
+    place = F.row_number().over(W.partitionBy("extension").orderBy("rel_path"))
+    return rows.select("extension", "rel_path").withColumn("n", place).where(c("n") <= k).groupBy("extension").agg(F.array_sort(F.collect_list("rel_path")).alias("examples"))
+
+
+def by_directory(rows: DataFrame) -> DataFrame:
+    """Files by the first part of their path; files of the root itself count under a dot."""
+    top = F.when(c("rel_path").contains("/"), F.regexp_extract("rel_path", "^([^/]*)/", 1)).otherwise(".")
+    return rows.groupBy(top.alias("directory")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+
+
+def coverage(exported: DataFrame, markdown: DataFrame) -> DataFrame:
+    """One row: convertible files, Markdown files, and the latter's share of the former; null without any."""
+    a = exported.where(c("extension").isin(CONVERTED)).agg(F.count("*").alias("supported"))
+    b = markdown.where("extension = 'md'").agg(F.count("*").alias("markdown"))
+    return a.crossJoin(b).withColumn("coverage", F.round(F.try_divide(c("markdown").cast("double"), c("supported")), 4))
+
+
+def parse_vectors(rows: DataFrame, column: str = "embedding") -> DataFrame:
+    """Rows whose embedding, a JSON text, is a list of numbers, with the list in its place."""
+    v = F.from_json(c(column), "array<double>")
+    return rows.withColumn(column, v).where(c(column).isNotNull() & (F.size(column) > 0) & ~F.exists(column, lambda x: x.isNull()))
+
+
 def write_chunks(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").json(path)
 
