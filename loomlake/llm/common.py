@@ -80,17 +80,28 @@ class Scratch:
         self.spark, self.path = spark, f"{shared_dir(spark)}/loomlake/{name}-{uuid.uuid4().hex}"
 
     def __enter__(self) -> Scratch:
-        self.before = self.spark.conf.get(self.CLEAN, None)
-        self.spark.conf.set(self.CLEAN, "true")
+        self.before: dict[str, str | None] = {}
+        self.set(self.CLEAN, "true")
         return self
 
     def __exit__(self, *_) -> None:
-        if self.before is None:
-            self.spark.conf.unset(self.CLEAN)
-        else:
-            self.spark.conf.set(self.CLEAN, self.before)
+        for key, value in self.before.items():
+            if value is None:
+                self.spark.conf.unset(key)
+            else:
+                self.spark.conf.set(key, value)
         self.drop()
 
+    def set(self, key: str, value: str) -> None:
+        """Sets a value of the session until the run ends."""
+        self.before.setdefault(key, self.spark.conf.get(key, None))
+        self.spark.conf.set(key, value)
+
+    def partitions(self, least: int) -> None:
+        """Shuffles have so many partitions at least, so that a task's share does not grow with the input."""
+        key = "spark.sql.shuffle.partitions"
+        self.set(key, str(max(least, int(self.spark.conf.get(key)))))
+
     def store(self, df: DataFrame, name: str) -> DataFrame:
         """Writes a frame below the folder and returns it reread."""
         df.write.parquet(f"{self.path}/{name}")

@@ -359,6 +359,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
         blocks = scratch.store(map_batches(given, _blocks, block_type(kind)), "blocks")
         n, texts = blocks.agg(F.count("*"), F.coalesce(F.sum("n_learn"), F.lit(0))).first()
         parts = max(1, n // 2)
+        scratch.partitions(parts)
         corpus, told = Corpus(0, 0, 0, texts), None
         lean = blocks.drop("keys", "own", "n_learn")
         for step in range(DEPTH + 2):
