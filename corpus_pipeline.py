@@ -5,9 +5,12 @@ kept and returns a frame whose decisions take effect; all but the last return
 the columns of ``documents``.  ``run`` applies them in order and stores each
 stage's result as Parquet in the shared folder, as a runner of ``STAGES`` does.
 
-Cases: a null or empty text fails the quality rules and goes.  Rows of the same
-id count as one document for near copies and all of them stay if it does.  Rows
-with a null id are never near copies and pass through.
+Cases: a null or empty text fails the quality rules and goes.  Rows are compared
+row by row for near copies, so repeated rows and rows with a null id are copies
+like others; of a class the row with the smallest id stays (a null id comes last).
+Ids whose labels contradict each other are not learned from.  Texts of any length
+are handled whole, empty tables give empty tables, and columns of ``documents``
+beyond COLUMNS are dropped by the first stage.
 """
 
 from __future__ import annotations
@@ -31,10 +34,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near copies (five-word shingles, Jaccard 0.8 or more)."""
-    classes = jaccard.classes(docs.select("doc_id", "text"), size=5, percent=80)
-    copies = classes.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(copies, "doc_id", "left_anti").select(COLUMNS)
+    """The row with the smallest id of each class of near copies (five-word shingles, Jaccard 0.8 or more)."""
+    rows = stored(docs.select(COLUMNS).withColumn("__row", F.monotonically_increasing_id()), "near-copies-rows")
+    found = jaccard.classes(rows.select("__row", "text"), key="__row", size=5, percent=80)
+    found = stored(found.join(rows.select("__row", "doc_id"), "__row"), "near-copies-classes")
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first"))
+    copies = found.join(first, "component_id").where("__row <> first.__row").select("__row")
+    return rows.join(copies, "__row", "left_anti").select(COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +57,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their token ids."""
+    """All documents with their token ids, and whether these decode to the text again."""
     ensure_package(spark)
-    return bpe.encode(docs.select(COLUMNS), vocabulary(), keep=["doc_id", "lang", "source"], decoded=False)
+    out = bpe.encode(docs.select(COLUMNS), vocabulary(), keep=["doc_id", "text", "lang", "source"])
+    return out.select("doc_id", "lang", "source", "n_tokens", "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
 
 
 STAGES = [
