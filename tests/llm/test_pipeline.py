@@ -4,6 +4,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from test_llm import brute_classes, brute_quality
 
 import corpus_pipeline as p
@@ -35,9 +36,10 @@ def tables(spark, tmp_path_factory):
             w = [x.upper() + "***" for x in w]
         docs.append((i, " ".join(w), "en", "s", 1))
     docs += [(100, None, None, None, None), (101, "", "en", "s", 0), (102, "short text", "en", "s", 10), (None, " ".join(word() for _ in range(100)), "en", "s", 1)]
-    spark.createDataFrame(docs, COLUMNS).write.parquet(f"{root}/documents.parquet")
+    docs += [(200, " ".join(word() for _ in range(60_000)), "en", "s", 1)]
+    spark.createDataFrame(docs, COLUMNS).withColumn("kept", F.lit("clash")).withColumn("leaks", F.lit(1)).write.parquet(f"{root}/documents.parquet")
     spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
-    spark.createDataFrame([(i, int(i % 10 != 7), 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
+    spark.createDataFrame([(i, int(i % 10 != 7), 0) for i in range(60)] + [(0, 0, 1), (1, None, None), (None, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
     return root, docs, " ".join(item)
 
 
@@ -62,6 +64,16 @@ def test_stages(spark, tables):
         assert r.text == pii.redact(given[i], pii.find([given[i]])[1][0]) and r.n_chars == len(r.text)
     own = bpe.load(vocabulary())
     assert {i: own.decode(r.ids) for i, r in rows["encoding"].items()} == {i: r.text for i, r in rows["personal_data"].items()}
+    assert all(r.exact for r in rows["encoding"].values())
+
+
+def test_repeated_rows_and_rows_without_id_are_copies(spark):
+    rnd = random.Random(3)
+    text = " ".join("".join(rnd.choice("abcdef") for _ in range(5)) for _ in range(100))
+    other = " ".join("".join(rnd.choice("abcdef") for _ in range(5)) for _ in range(100))
+    rows = [(7, text, "en", "s", 1), (3, text + " x", "en", "s", 1), (3, text + " x", "en", "s", 1), (None, text, "en", "s", 1), (None, other, "en", "s", 1), (None, other, "en", "s", 1), (5, None, "en", "s", 1), (6, "", "en", "s", 1)]
+    got = p.near_copies(spark, spark.createDataFrame(rows, COLUMNS).repartition(3), "").collect()
+    assert sorted(map(str, got)) == sorted(map(str, [r for r in spark.createDataFrame([rows[1], rows[4], rows[6], rows[7]], COLUMNS).collect()]))
 
 
 def test_empty_tables(spark, tables, tmp_path):
@@ -74,4 +86,4 @@ def test_empty_tables(spark, tables, tmp_path):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 def test_run_on_the_test_tables(spark):
     out = p.run(spark, SF)
-    assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids"] and 0 < out.count() < spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "exact"] and 0 < out.count() < spark.read.parquet(f"{SF}/documents.parquet").count()
