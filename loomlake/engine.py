@@ -193,15 +193,16 @@ class Engine:
             rows = rows.withColumn("verdict", pages.verdict(c("title"), c("body"), raw_minimum=self.settings.raw_minimum))
             status = self._changed(rows.where("verdict IS NULL"), "pages", full)
             todo = rows.join(status.where("status <> 'unchanged'").select("key"), "key", "left_semi")
-            rendered = markup.render_pages(todo, "body", "source_url")
+            rules = pages.promotion_rules()
+            rendered = markup.render_pages(todo, "body", "source_url", frozenset(x for labels in rules.values() for x in labels))
             attached = convert.attachment_sections(convert.extract_attachments(todo, "page_id", root), "page_id").select("page_id", "sections", c("warnings").alias("attachment_warnings"))
             rendered = rendered.join(attached, "page_id", "left")
             body = F.when(F.coalesce("sections", F.lit("")) != "", F.concat("markdown", F.lit("\n\n## Anhänge\n\n"), "sections")).otherwise(c("markdown"))
             warnings = F.concat("warnings", F.coalesce("attachment_warnings", F.array().cast("array<string>")))
             properties = F.map_concat(F.map_filter("properties", lambda k, v: ~F.map_contains_key(c("page_properties"), k)), "page_properties")
-            rendered = rendered.withColumns({"markdown": body, "warnings": warnings, "page_properties": properties, "promoted": F.create_map().cast("map<string,string>")})
+            rendered = rendered.withColumns({"markdown": body, "warnings": warnings, "page_properties": properties})
             rendered = self.save("pages-rendered", rendered.withColumn("verdict", pages.verdict(c("title"), c("body"), c("markdown"), F.size("tables") > 0, self.settings.raw_minimum, self.settings.final_minimum)), keep=1)
-            good = rendered.where("verdict IS NULL AND error IS NULL")
+            good = rendered.where("verdict IS NULL AND error IS NULL").withColumn("promoted", pages.promoted(c("page_properties"), rules))
             short = rendered.where("verdict IS NOT NULL AND error IS NULL").select("key", "title", "source_ref", "verdict")
             out = rows.where("verdict IS NOT NULL").select("key", "title", "source_ref", "verdict").unionByName(short)
             self._finish("pages", rows.where("verdict IS NULL"), pages.page_files(good), out)
@@ -315,7 +316,7 @@ class Engine:
         at = lambda path: quoted(F.coalesce(F.get_json_object("p.meta", path), F.lit("")))
         own = F.transform_values(F.from_json("p.meta", "map<string,string>"), lambda k, v: F.when(v.rlike(r"^\s*[\[{]"), v).otherwise(quoted(v)))
         asked = F.create_map(F.lit("space_key"), at("$.source_meta.space_key"), F.lit("page_id"), at("$.original_id"), F.lit("labels"), F.coalesce(F.get_json_object("p.meta", "$.tags"), F.lit("[]")), F.lit("source_url"), at("$.source_url"))
-        own = F.map_concat(F.map_filter(own, lambda k, v: ~F.map_contains_key(asked, k)), asked)
+        own = F.map_concat(own, F.map_filter(asked, lambda k, v: ~F.array_contains(F.json_object_keys("p.meta"), k)))
         rows = parsed.select("rel_path", own.alias("metadata"), c("p.body").alias("body"), F.lit(datetime.now(UTC).isoformat()).alias("published_at"))
         return self.save("published", pages.publish(rows, routes, f"{self.root}/pages", f"{self.root}/domains", unmapped=unmapped))
 

@@ -127,9 +127,19 @@ def classify_task(text: str, people: list[str], links: list[str], due: str | Non
     return "", "insufficient_signal"
 
 
+def property_name(key: str) -> str:
+    """A property's label as rules compare it, as ``functions.text.property_key`` gives it in plans."""
+    k = key.lower()
+    for a, b in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss"), ("/", " ")):
+        k = k.replace(a, b)
+    return re.sub(r"\s+", " ", re.sub("[_-]+", " ", re.sub(r"[^a-z0-9\s_-]", "", k))).strip()
+
+
 class Renderer:
-    def __init__(self, url: str | None = None):
-        self.url = url
+    """``hidden``: names of properties that are not repeated in the text where they have a value."""
+
+    def __init__(self, url: str | None = None, hidden: frozenset[str] = frozenset()):
+        self.url, self.hidden = url, hidden
         self.warnings: list[str] = []
         self.unsupported: list[str] = []
         self.tasks: list[Task] = []
@@ -245,7 +255,8 @@ class Renderer:
         spans = any(c.attrs.get(a, "1") not in ("", "1") for r in rows for c in r for a in ("colspan", "rowspan"))
         if not nested and not spans and (pairs := key_values(rows, said)):
             self.properties |= {k: v for k, v in pairs if k and k not in self.properties}
-            return "\n" + "\n".join(f"- **{k}:** {v}" for k, v in pairs if k) + "\n"
+            shown = [f"- **{k}:** {v}" for k, v in pairs if k and not (v and property_name(k) in self.hidden)]
+            return "\n" + "\n".join(shown) + "\n" if shown else ""
         width = max(map(len, said))
         if nested or spans or len(rows) > MOST_ROWS or width > MOST_COLUMNS:
             flat = "\n".join("; ".join(x for x in r if x) for r in said)
@@ -297,8 +308,8 @@ def clean(text: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", text).strip()
 
 
-def to_markdown(markup: str, url: str | None = None) -> tuple[str, Renderer]:
-    r = Renderer(url)
+def to_markdown(markup: str, url: str | None = None, hidden: frozenset[str] = frozenset()) -> tuple[str, Renderer]:
+    r = Renderer(url, hidden)
     text = r.all(read(markup))
     for title, status in (("Open Tasks", "open"), ("Completed Tasks", "completed")):
         own = [t for t in r.tasks if t.status == status and not t.drop]
@@ -317,7 +328,7 @@ RENDERED = T.StructType([
 ])
 
 
-def render_pages(pages: DataFrame, body: str, url: str | None = None) -> DataFrame:
+def render_pages(pages: DataFrame, body: str, url: str | None = None, hidden: frozenset[str] = frozenset()) -> DataFrame:
     """All columns of ``pages`` with the rendered columns; a page that cannot be read has an error and a null text."""
     ensure_package(pages.sparkSession)
     schema = T.StructType([*[f for f in pages.schema.fields if f.name not in RENDERED.names], *RENDERED.fields])
@@ -328,7 +339,7 @@ def render_pages(pages: DataFrame, body: str, url: str | None = None) -> DataFra
             out = []
             for markup, at in zip(batch["__body"], batch["__url"]):
                 try:
-                    text, r = to_markdown(markup or "", at)
+                    text, r = to_markdown(markup or "", at, hidden)
                     out.append((text, sorted(set(r.warnings)), sorted(set(r.unsupported)), r.properties, r.tables, len(r.tasks), None))
                 except Exception as e:  # one page must not end the run; its row says why
                     out.append((None, [], [], {}, [], 0, str(e)))

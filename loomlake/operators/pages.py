@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlake.functions import frontmatter
-from loomlake.functions.text import slug
-from loomlake.operators import state
+from loomlake.functions.text import collapse, property_key, property_list, slug
+from loomlake.operators import markup, state
 from loomlake.runtime import ensure_package
 
 c = F.col
@@ -22,8 +22,35 @@ c = F.col
 LOG_TITLE = r"(?iU)^log\s+\d{4}\b"
 BY_RULE, SHORT = "filtered_by_rule", "too_small_for_chunking"
 RAW_MINIMUM, FINAL_MINIMUM = 120, 200
+OUTSOURCED = "Diese Tabelle wurde wegen komplexer Struktur aus der Hauptseite ausgelagert."
 PUBLISH_KEYS = ["title", "source_type", "space_key", "page_id", "labels", "source_url"]
 
+#: Properties that become front matter fields, by their labels; those in LISTS are lists.
+PROMOTED = {
+    "auftraggeber": ["auftraggeber"], "auftragnehmer": ["auftragnehmer"], "aufwand": ["aufwand"], "auslöser": ["auslöser", "ausloeser"], "betroffene einheiten": ["betroffene einheiten"], "jira": ["jira"],
+    "komponente": ["komponente"], "komplexität": ["komplexität", "komplexitaet"], "modul/oft": ["modul/oft", "modul oft"], "priorität": ["priorität", "prioritaet", "prio"], "sponsoring": ["sponsoring"],
+    "status": ["status"], "streamlead": ["streamlead"], "type": ["type"],
+}
+LISTS = ["betroffene einheiten"]
+
+
+def promotion_rules(requested: list[str] | None = None) -> dict[str, set[str]]:
+    """Normalised labels of each promoted property; only those of which some label is requested, all if none is."""
+    every = {name: {markup.property_name(x) for x in (name, *aliases)} for name, aliases in PROMOTED.items()}
+    asked = {markup.property_name(x) for x in requested or []}
+    return {name: labels for name, labels in every.items() if labels & asked} or every
+
+
+def promoted(properties: Column, rules: dict[str, set[str]]) -> Column:
+    """A struct of the promoted properties of a map<string,string>: the first non-empty value of each, null without one."""
+    entries = F.map_entries(properties)
+    out = []
+    for name, labels in rules.items():
+        hits = F.filter(entries, lambda e: property_key(e["key"]).isin(*labels) & (collapse(F.coalesce(e["value"], F.lit(""))) != ""))  # noqa: B023
+        value = F.try_element_at(F.transform(hits, lambda e: collapse(e["value"])), F.lit(1))
+        out.append((property_list(value) if name in LISTS else value).alias(name))
+    return F.struct(*out)
+
 
 def verdict(title: Column, raw: Column, final: Column | None = None, complex_tables: Column | None = None, raw_minimum: int = RAW_MINIMUM, final_minimum: int = FINAL_MINIMUM) -> Column:
     """Why a page is left out, null for one that stays: a title that is no content, a raw or a final text that is too short.
@@ -125,10 +152,16 @@ def page_files(rows: DataFrame) -> DataFrame:
     """(key, rel_path, content) of rendered pages with ``tables``: the page, and a file for each complex table."""
     ensure_package(rows.sparkSession)
     main = rows.select(c("page_id").alias("key"), page_file(c("space_key"), c("page_id"), c("title")).alias("rel_path"), render(page_metadata(c("space_key")), c("markdown")).alias("content"))
-    extra = rows.select(c("page_id").alias("key"), "space_key", "title", F.posexplode("tables").alias("n", "body"))
+    extra = rows.select(c("page_id").alias("key"), "space_key", "title", "parent_title", "source_url", "labels", "content_hash", F.posexplode("tables").alias("n", "body"))
     name = F.concat(F.lower("space_key"), F.lit("/"), "key", F.lit("__table-"), (c("n") + 1).cast("string"), F.lit(".md"))
-    head = F.create_map(F.lit("title"), F.to_json(F.struct("title")), F.lit("page_id"), F.concat(F.lit('"'), "key", F.lit('"')))
-    return main.unionByName(extra.select("key", name.alias("rel_path"), json_lines(head, c("body")).alias("content")))
+    said = lambda x: F.regexp_replace(F.to_json(F.array(F.coalesce(x, F.lit("")))), r"^\[|\]$", "")
+    head = F.create_map(
+        F.lit("title"), said(F.format_string("Tabelle %02d aus %s", c("n") + 1, "title")), F.lit("source_type"), F.lit('"confluence"'), F.lit("space_key"), said(c("space_key")), F.lit("doc_type"), F.lit('"confluence_table"'),
+        F.lit("page_id"), said(c("key")), F.lit("parent_title"), said(c("parent_title")), F.lit("table_index"), (c("n") + 1).cast("string"), F.lit("table_complexity"), F.lit("true"), F.lit("source_url"), said(c("source_url")),
+        F.lit("labels"), F.to_json("labels"), F.lit("content_hash"), said(c("content_hash")), F.lit("transform_warnings"), F.lit('["complex_table"]'),
+    )
+    body = F.concat(F.lit("# Tabelle aus: "), "title", F.lit("\n\n"), F.lit(OUTSOURCED), F.lit("\n\n## Inhalt (konservativ abgeflacht)\n\n"), "body")
+    return main.unionByName(extra.select("key", name.alias("rel_path"), json_lines(head, body).alias("content")))
 
 
 def replace(existing: DataFrame, new: DataFrame, key: str = "key") -> DataFrame:

@@ -146,7 +146,7 @@ def test_audit_log(spark, tmp_path):
 
 def wiki(put):
     put("wiki/i/spaces/ABC/by-id/1/metadata.json", {"id": "1", "title": "My Page", "space": {"key": "ABC"}, "labels": ["a", {"name": "b"}], "ancestors": ["Top", {"title": "Mid"}], "attachments": ["x.csv", {"title": "gone.pdf"}, {"name": "bad.json"}, {"name": "t.zip"}]})
-    put("wiki/i/spaces/ABC/by-id/1/content.storage.xml", "<h1>Head</h1><p>" + "words of the page " * 20 + '</p><ac:structured-macro ac:name="mystery"></ac:structured-macro>')
+    put("wiki/i/spaces/ABC/by-id/1/content.storage.xml", "<h1>Head</h1><p>" + "words of the page " * 20 + '</p><table><tr><th>Prio</th><td>high</td></tr><tr><th>Owner</th><td>Anna</td></tr></table><table>' + "<tr><td>1</td><td>2</td><td>3</td></tr>" * 16 + '</table><ac:structured-macro ac:name="mystery"></ac:structured-macro>')
     put("wiki/i/spaces/ABC/by-id/1/attachments/x.csv", "a,b\n1,2|3\n")
     put("wiki/i/spaces/ABC/by-id/1/attachments/bad.json", "{")
     put("wiki/i/spaces/ABC/by-id/1/attachments/t.zip", "x")
@@ -188,8 +188,12 @@ def test_pages_become_files(spark, tmp_path, put):
     e = Engine(spark, str(tmp_path / "data"))
     assert summary(e.transform_pages(root)) == (3, 1, 2, 0, 0)
     files = e.table("pages").collect()
-    assert [f.rel_path for f in files] == ["abc/1__my-page.md"]
+    files.sort(key=lambda f: f.rel_path)
+    assert [f.rel_path for f in files] == ["abc/1__my-page.md", "abc/1__table-1.md"]
+    extra, table = frontmatter.parse(files[1].content)
+    assert extra["title"] == "Tabelle 01 aus My Page" and extra["labels"] == ["a", "b"] and not set(pages.PUBLISH_KEYS) - set(extra) and "1; 2; 3" in table
     meta, body = frontmatter.parse(files[0].content)
+    assert meta["priorität"] == "high" and "Prio" not in body and "- **Owner:** Anna" in body and meta["page_properties"] == {"Prio": "high", "Owner": "Anna"}
     assert meta["title"] == "My Page" and meta["source_key"] == "abc" and meta["tags"] == ["a", "b"] and meta["attachments"] == ["x.csv", "gone.pdf", "bad.json", "t.zip"] and meta["unsupported_macros"] == ["mystery"]
     assert set(meta["source_meta"]["transform_warnings"]) >= {"attachment_missing_local_path", "attachment_transform_failed", "attachment_unsupported_extension"}
     assert "words of the page" in body and "### x.csv\n\n| a | b |\n| --- | --- |\n| 1 | 2\\|3 |" in body
@@ -197,12 +201,12 @@ def test_pages_become_files(spark, tmp_path, put):
     assert summary(e.transform_pages(root)) == (3, 0, 3, 0, 0)
     put("wiki/i/spaces/ABC/by-id/1/metadata.json", {"id": "1", "title": "Renamed", "space": {"key": "ABC"}})
     assert summary(e.transform_pages(root))[4] == 1
-    assert [f.rel_path for f in e.table("pages").collect()] == ["abc/1__renamed.md"]
+    assert sorted(f.rel_path for f in e.table("pages").collect()) == ["abc/1__renamed.md", "abc/1__table-1.md"]
     reasons = {r.reason_code for r in e.log.events().collect()}
     assert {"filtered_by_rule", "too_small_for_chunking", "unchanged_incremental", "unsupported_macro"} <= reasons
     routes = spark.createDataFrame([("ABC", "domains/core")], "space string, domain_path string")
-    out = e.publish(routes).collect()
-    assert [(r.status, r.missing) for r in out] == [("published", "")] and out[0].target.endswith("/domains/domains/core/1__renamed.md")
+    out = e.publish(routes).orderBy("rel_path").collect()
+    assert [(r.status, r.missing) for r in out] == [("published", ""), ("published", "")] and out[0].target.endswith("/domains/domains/core/1__renamed.md")
     assert 'content_origin: "confluence"' in out[0].content and "words of the page" in out[0].content
     assert e.publish(routes, space="zz").count() == 0
 
