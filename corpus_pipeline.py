@@ -5,9 +5,10 @@ kept and returns a frame whose decisions take effect; all but the last return
 the columns of ``documents``.  ``run`` applies them in order and stores each
 stage's result as Parquet in the shared folder, as a runner of ``STAGES`` does.
 
-Cases: a null or empty text fails the quality rules and goes.  Rows are compared
-row by row for near copies, so repeated rows and rows with a null id are copies
-like others; of a class the row with the smallest id stays (a null id comes last).
+Cases: a null or empty text fails the quality rules and goes.  Rows with a null
+id are documents of their own for near copies, and of rows with the same id and text
+one stays; of a class the smallest id stays (a null id comes last).  Rows of one id
+with different texts count as one document and stay or go together.
 Ids whose labels contradict each other are not learned from.  Texts of any length
 are handled whole, empty tables give empty tables, and columns of ``documents``
 beyond COLUMNS are dropped by the first stage.
@@ -34,13 +35,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest id of each class of near copies (five-word shingles, Jaccard 0.8 or more)."""
-    rows = stored(docs.select(COLUMNS).withColumn("__row", F.monotonically_increasing_id()), "near-copies-rows")
-    found = jaccard.classes(rows.select("__row", "text"), key="__row", size=5, percent=80)
-    found = stored(found.join(rows.select("__row", "doc_id"), "__row"), "near-copies-classes")
-    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first"))
-    copies = found.join(first, "component_id").where("__row <> first.__row").select("__row")
-    return rows.join(copies, "__row", "left_anti").select(COLUMNS)
+    """The document with the smallest id of each class of near copies (five-word shingles, Jaccard 0.8 or more)."""
+    number = F.monotonically_increasing_id()
+    key = F.coalesce("doc_id", F.lit(1 << 62) + F.col("__row"))
+    rows = docs.select(COLUMNS).withColumn("__row", number).withColumns({"__key": key, "__text": F.md5(F.coalesce("text", F.lit("")).cast("binary"))})
+    rows = stored(rows, "near-copies-rows")
+    found = jaccard.classes(rows.select("__key", "text"), key="__key", size=5, percent=80)
+    copies = found.where("component_id <> __key").select("__key").distinct()
+    narrow = rows.select("__row", "__key", "__text")
+    repeats = narrow.groupBy("__key", "__text").agg(F.min("__row").alias("first"), F.count("*").alias("n")).where("n > 1")
+    repeats = narrow.join(repeats, ["__key", "__text"]).where("__row <> first").select("__row")
+    gone = narrow.join(copies, "__key", "left_semi").select("__row").unionByName(repeats)
+    return rows.join(gone, "__row", "left_anti").select(COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +65,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their token ids, and whether these decode to the text again."""
     ensure_package(spark)
-    out = bpe.encode(docs.select(COLUMNS), vocabulary(), keep=["doc_id", "text", "lang", "source"])
-    return out.select("doc_id", "lang", "source", "n_tokens", "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
+    return bpe.encode(docs.select(COLUMNS), vocabulary(), keep=["doc_id", "lang", "source"], decoded=False, exact=True)
 
 
 STAGES = [
