@@ -41,7 +41,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: UTF-8 bytes of white space beyond ASCII and of the four information separators, after which no cut is used.
 WIDE_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: Fragments in each of the two generations that a worker keeps, and the longest that it keeps.
-CACHE_FRAGMENTS, CACHE_BYTES = 150_000, 64
+CACHE_FRAGMENTS, CACHE_BYTES = 80_000, 64
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -253,12 +253,12 @@ def _encoded(bpe: ForcedBoundaryBPE, batch: TextBatch, added_tokens: bool) -> It
             yield sum([f[0] for f in found]), ",".join([f[1] for f in found]), b"".join([f[2] for f in found])
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, ids: bool = True, decoded: bool = True, digests: bool = False, added_tokens: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, ids: bool = True, decoded: bool = True, digests: bool = False, added_tokens: bool = True, exact: bool = False) -> DataFrame:
     """Encodes a text column and decodes the ids again.
 
     Returns the columns ``keep`` (default: all) with ``n_tokens`` and, as asked
-    for, ``ids`` (array<int>), ``decoded`` (string), ``ids_sha256`` and
-    ``decoded_sha256``.  No shuffle; one pass over Arrow batches.  Input columns
+    for, ``ids`` (array<int>), ``decoded`` (string), ``ids_sha256``,
+    ``decoded_sha256`` and ``exact`` (whether the ids decode to the text).  No shuffle; one pass over Arrow batches.  Input columns
     of the same names as new ones are replaced.
     """
     new = [T.StructField("n_tokens", T.LongType())]
@@ -268,6 +268,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
         new.append(T.StructField("decoded", T.StringType()))
     if digests:
         new += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    if exact:
+        new.append(T.StructField("exact", T.BooleanType()))
     names = {f.name for f in new}
     kept = [f for f in docs.schema.fields if f.name not in names and (keep is None or f.name in keep)]
     kept_names = [f.name for f in kept]
@@ -277,9 +279,12 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            n, out_ids, out_text, d1, d2 = [], [], [], [], []
-            for count, joined, back in _encoded(bpe, TextBatch(batch.column(batch.num_columns - 1)), added_tokens):
+            n, out_ids, out_text, d1, d2, same = [], [], [], [], [], []
+            texts = TextBatch(batch.column(batch.num_columns - 1))
+            for i, (count, joined, back) in enumerate(_encoded(bpe, texts, added_tokens)):
                 n.append(count)
+                if exact:
+                    same.append(back == texts.text(i))
                 if ids:
                     out_ids.append(np.fromstring(joined, dtype=np.int32, sep=",") if joined else np.zeros(0, np.int32))
                 whole = back.decode("utf-8", "replace") if decoded or digests else ""
@@ -295,6 +300,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
                 arrays.append(pa.array(out_text, pa.string()))
             if digests:
                 arrays += [pa.array(d1, pa.string()), pa.array(d2, pa.string())]
+            if exact:
+                arrays.append(pa.array(same, pa.bool_()))
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return map_batches(frame, run, schema)

@@ -80,9 +80,35 @@ def test_bpe_query_on_odd_rows(odd, none):
     assert bpe.encode(none, queries.vocabulary()).count() == 0
 
 
+@need_data
+def test_bpe_query_equals_the_library_on_documents(spark):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(queries.vocabulary())
+    got = {r.doc_id: r for r in queries.op1_bpe(spark, SF).collect()}
+    rows = texts(spark)
+    assert got.keys() == {i for i, _ in rows}
+    for i, t in rows:
+        ids = lib.encode(t, add_special_tokens=False).ids
+        assert got[i].n_tokens == len(ids) and got[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
 # ---------------------------------------------------------------- 2, 4, 10
 
 
+@need_data
+def test_toxicity_query_on_held_out_rows(spark):
+    """Learned from one part of the labels, the query tells the other part's classes apart."""
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").where("toxic IS NOT NULL").collect()}
+    rows = queries.op4_toxicity(spark, SF).collect()
+    assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    held = [(labels[r.doc_id], r.predicted) for r in rows if r.held_out and r.doc_id in labels]
+    bad, good = [p for y, p in held if y], [p for y, p in held if not y]
+    print("held-out recall", sum(bad), len(bad), "specificity", sum(1 - p for p in good), len(good))
+    assert sum(bad) >= 0.6 * len(bad) and sum(1 - p for p in good) >= 0.8 * len(good)
+
+
 @need_data
 def test_language_held_out(spark, docs):
     rows = queries.op2_langid(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
