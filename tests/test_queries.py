@@ -56,14 +56,16 @@ def test_property_keys_come_from_whole_texts(spark):
         assert got[i] == re.sub(r"\s+", " ", t, flags=re.ASCII).strip(" ")
 
 
-def test_entry_imports_without_the_training_data_operators(tmp_path):
+@pytest.mark.parametrize("pipeline", [False, True])
+def test_entry_imports_without_the_training_data_operators(tmp_path, pipeline):
+    """With or without the pipeline beside the missing operators."""
     import shutil
     import subprocess
     import sys
     from pathlib import Path
 
     root = Path(__file__).resolve().parents[1]
-    shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", *([] if pipeline else ["corpus_pipeline.py"])))
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=tmp_path / "r", capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
     assert out.returncode == 0, out.stderr
     assert int(out.stdout) == len(catalog.queries())
