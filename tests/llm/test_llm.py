@@ -181,6 +181,34 @@ def test_toxicity_learns_words_and_prefixes():
     assert ((score >= 0.5) == np.array(y[450:])).mean() > 0.97
 
 
+def test_toxicity_learns_pairs_of_words():
+    """Both words are in every text and side by side only in the bad ones: no single word and no untrained network tells them apart."""
+    rng = np.random.default_rng(1)
+    filler = ["".join(rng.choice(list("aeioursmn"), 6)) for _ in range(800)]
+    rows, y = [], []
+    for i in range(900):
+        words = list(rng.choice(filler, 40))
+        at = int(rng.integers(2, 36))
+        if i % 3 == 0:
+            words[at:at] = ["grumble", "snarl"]
+        else:
+            words.insert(at, "grumble")
+            words.insert(int(rng.integers(0, at - 1)), "snarl")
+        rows.append(" ".join(words))
+        y.append(int(i % 3 == 0))
+    y, hashes = np.array(y), []
+    for run in TextBatch(pa.array(rows)).runs():
+        h, first = toxicity.word_hashes(run)
+        hashes += [h[a:b] for a, b in zip(first, first[1:])]
+
+    def balanced(passes):
+        model = toxicity.fit(hashes[:600], y[:600], np.full(600, len(toxicity.GROUPS) - 1), passes=passes)
+        said = np.concatenate([model.scores(r) for r in TextBatch(pa.array(rows[600:])).runs()]) >= 0.5
+        return (said[y[600:] == 1].mean() + (~said[y[600:] == 0]).mean()) / 2
+
+    assert balanced(0) < 0.7 and balanced(toxicity.PASSES) > 0.95
+
+
 def test_toxicity_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(4, 1), (5, 0), (6, 0), (7, 1), (8, None), (None, 1), (4, 1)], "doc_id long, toxic int")
     for model in (toxicity.train(odd, labels), toxicity.train(odd, labels.where("toxic = 5")), toxicity.train(none, labels)):
