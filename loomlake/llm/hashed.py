@@ -149,12 +149,14 @@ def collect_vectors(rows: DataFrame, text: str, label: str, space: Space, most:
 def fit_linear(x: np.ndarray, y: np.ndarray, loss: str, l2: float = 1e-4, steps: int = 250) -> tuple[np.ndarray, float]:
     """A balanced linear model for labels +1/-1: 'logistic' or 'squared_hinge' loss, accelerated gradient descent.
 
-    Columns are scaled to unit root mean square while fitting; the weights returned fit raw features.
+    Columns are scaled to unit root mean square while fitting, in place: x must be the caller's own copy.
+    The weights returned fit raw features.
     """
     n = len(x)
-    scale = np.sqrt((x.astype(np.float32) ** 2).mean(axis=0))
+    scale = np.sqrt(np.einsum("ij,ij->j", x, x) / max(1, n))
     scale = np.where(scale > 0, 1.0 / np.maximum(scale, 1e-6), 0.0).astype(np.float32)
-    z = x * scale
+    z = x
+    z *= scale
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum())).astype(np.float32)
     v = np.random.default_rng(0).standard_normal(z.shape[1]).astype(np.float32)
     for _ in range(12):  # largest curvature, by power iteration
