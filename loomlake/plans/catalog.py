@@ -511,6 +511,24 @@ def term_annotated_text(spark, sf_dir):
     return terminology.apply(rows, _TERMS[1:2], modes).select("doc_id", F.md5(c("text").cast("binary")).alias("annotated"))
 
 
+@query()
+def term_matches(spark, sf_dir):
+    """Matches, annotated length and lines of the terminology block of every document."""
+    ensure_package(spark)
+    terms = _TERMS[:2]
+
+    def matched(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts.fillna(""):
+            hits = terminology.match(t, terms)
+            block = terminology.block(hits, terms, 1)
+            rows.append((len(hits), min((h[0] for h in hits), default=-1), len(terminology.annotate(t, hits)[0]), block.count("\n")))
+        return pd.DataFrame(rows, columns=["n", "first", "annotated_chars", "block_lines"])
+
+    found = F.pandas_udf(matched, "n int, first int, annotated_chars int, block_lines int")(c("text"))
+    return views.table(spark, sf_dir, "documents").select("doc_id", found.alias("m")).select("doc_id", "m.*")
+
+
 @query("SELECT source, mode, mode <> 'off' AND coalesce(e, mode <> 'off') AS candidates, count(*) AS n FROM (SELECT source, CASE source WHEN 'src0' THEN 'annotate_and_block' WHEN 'src1' THEN 'block_only' WHEN 'src2' THEN 'annotate_and_block' ELSE 'off' END AS mode, CASE source WHEN 'src0' THEN true WHEN 'src2' THEN false WHEN 'src3' THEN true END AS e FROM documents) GROUP BY ALL")
 def term_source_modes(spark, sf_dir):
     modes = spark.createDataFrame(_MODES, "source string, mode string, candidates_enabled boolean")
