@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlake.llm import bpe, chat, decontaminate, jaccard, langid, pii, quality, suffix_tree, token_counts, toxicity
+from loomlake.llm import bpe, chat, decontaminate, fim, jaccard, langid, merge_replay, pii, quality, resample, suffix_tree, token_counts, toxicity
 from loomlake.llm.common import fold_of, shared_dir, stored, table
 
 
@@ -151,6 +151,51 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply(docs, model).select("doc_id", *quality.MEASURES, "base_failed", "kept", "quality_score")
 
 
+def op11_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    out = merge_replay.encode(docs, vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id"], ids=False, digests=True)
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.transform(table(spark, sf_dir, "documents", "doc_id", "text"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    sizes = [F.length(k).cast("long").alias(f"{k}_chars") for k in ("prefix", "middle")]
+    restored = fim.restore(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", *sizes, digest(F.col("output")).alias("output_sha256"), digest(restored).alias("restored_sha256"))
+
+
+OP12_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d,
+         regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u
+  FROM documents
+), h AS (
+  SELECT *, len(u) AS n, [CAST('0x' || substr(d, 8 * k + 1, 8) AS BIGINT) for k in range(4)] AS h FROM t
+), f AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+              WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM h
+), p AS (
+  SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS prefix, coalesce(array_to_string(u[a + 1:b], ''), '') AS middle, coalesce(array_to_string(u[b + 1:n], ''), '') AS suffix FROM f
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return resample.resample(docs, table(spark, sf_dir, "benchmark", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -163,8 +208,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_chat": op9_chat,
         "op10_quality": op10_quality,
+        "op11_merge_replay": op11_merge_replay,
+        "op12_fim": op12_fim,
+        "op13_resample": op13_resample,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_token_counts": OP8_SQL, "op9_chat": OP9_SQL}
+    return {"op8_token_counts": OP8_SQL, "op9_chat": OP9_SQL, "op12_fim": OP12_SQL}
