@@ -1,8 +1,10 @@
 """Entry points: what a user calls to ingest, index, search, ask, transform, publish, map and report.
 
 Every run writes tables below a root, records its events in the audit log and
-returns a summary of one row.  Tables are parquet; a run replaces only what it
-read anew.
+returns a summary of one row.  Tables are bucketed deltas: a run writes only the
+buckets of the keys that it has taken in anew, and its state last, so that a run
+that fails leaves nothing half done and is simply repeated.  Listings of inputs
+hold no texts; texts are read for new and changed inputs only.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomlake.functions import frontmatter
 from loomlake.functions import text as tx
@@ -23,8 +26,15 @@ from loomlake.operators import answer, audit, chunking, convert, markup, pages,
 from loomlake.operators.audit_log import AuditLog
 from loomlake.runtime import ensure_package
 from loomlake.sources import exports, readers
+from loomlake.sources.delta import AppendLog, DeltaTable
 
 c = F.col
+#: The key of each table that the engine keeps.
+KEYS = {
+    "documents": "doc_id", "chunks": "doc_id", "state": "doc_id", "vectors": "chunk_id", "index-metadata": "model", "pages": "key", "pages-state": "key", "issues": "key", "issues-state": "key",
+    "documents-files": "key", "documents-files-state": "key", "scraped": "key", "mapped": "target", "site": "rel_path", "published": "rel_path",
+}
+MANIFEST = "run_id string, pipeline string, mode string, started_at timestamp, finished_at timestamp, seen long, processed long, skipped long, failed long, changed long"
 #: Which copy of a file is kept, by the tree that it lies in.
 PRIORITY = {"documents": 0, "jira": 1, "confluence": 2, "scraping": 3, "inbox": 4}
 
@@ -40,6 +50,10 @@ class Settings:
     raw_minimum: int = pages.RAW_MINIMUM
     final_minimum: int = pages.FINAL_MINIMUM
     batch: int = 64
+    #: Buckets of a table when it is made: as many as make one bucket the work of one task.
+    buckets: int = 32
+    #: Up to so many changed files are named to the scan, which then opens no others; beyond, it is filtered by a join.
+    named_files: int = 1000
 
 
 class Engine:
@@ -48,6 +62,8 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None):
         self.spark, self.root, self.settings = spark, root.rstrip("/"), settings or Settings()
         self.log = AuditLog(spark, f"{self.root}/audit")
+        self._manifests = AppendLog(spark, f"{self.root}/manifests", T.StructType.fromDDL(MANIFEST))
+        self.steps: dict[str, int] = {}
         ensure_package(spark)
 
     # ------------------------------------------------------------ tables
@@ -56,25 +72,25 @@ class Engine:
         place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return place.getFileSystem(self.spark._jsc.hadoopConfiguration()), place
 
-    def _versions(self, name: str) -> list[int]:
-        fs, place = self._path(name)
-        done = [] if not fs.exists(place) else [s.getPath() for s in fs.listStatus(place)]
-        return sorted(int(p.getName()[1:]) for p in done if p.getName()[1:].isdigit() and fs.exists(self._path(f"{name}/{p.getName()}/_SUCCESS")[1]))
+    def delta(self, name: str) -> DeltaTable:
+        """One of the engine's tables, with its commits."""
+        return DeltaTable(self.spark, f"{self.root}/{name}", KEYS[name], self.settings.buckets)
 
     def table(self, name: str) -> DataFrame | None:
-        """The last complete version of a table; None where there is none."""
-        done = self._versions(name)
-        return self.spark.read.parquet(f"{self.root}/{name}/v{done[-1]}") if done else None
-
-    def save(self, name: str, rows: DataFrame, keep: int = 2) -> DataFrame:
-        """Writes the next version of a table and removes versions older than the last ``keep``; readers see the old one until it is complete."""
-        done = self._versions(name)
-        number = done[-1] + 1 if done else 0
-        rows.write.mode("overwrite").parquet(f"{self.root}/{name}/v{number}")
-        for old in done[: max(0, len(done) + 1 - keep)]:
-            fs, place = self._path(f"{name}/v{old}")
-            fs.delete(place, True)
-        return self.spark.read.parquet(f"{self.root}/{name}/v{number}")
+        """The last version of a table; None where there is none."""
+        return self.delta(name).read()
+
+    def stage(self, name: str, rows: DataFrame) -> DataFrame:
+        """Writes what a run works on (listings, and texts of new and changed inputs), in place of what the run before left."""
+        path = f"{self.root}/staging/{name}"
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def _named(self, rows: DataFrame, column: str) -> list | None:
+        """The values of a column if there are few, else None."""
+        most = self.settings.named_files
+        some = [r[0] for r in rows.select(column).limit(most + 1).collect()]
+        return some if len(some) <= most else None
 
     def _run(self, kind: str, source: str | None, full: bool, work: Callable[[str], DataFrame]) -> DataFrame:
         """Records a run around its work, which returns the statuses (run_id, status) of its documents."""
@@ -88,12 +104,25 @@ class Engine:
         except Exception:
             self.log.record_run(run, kind, "failed", began, datetime.now(UTC), source, mode)
             raise
-        self.log.record_run(run, kind, "finished", began, datetime.now(UTC), source, mode, n)
+        ended = datetime.now(UTC)
+        self.steps.pop(run, None)
+        self.log.record_run(run, kind, "finished", began, ended, source, mode, n)
+        marks = {"pipeline": F.lit(kind), "mode": F.lit(mode), "started_at": F.lit(began), "finished_at": F.lit(ended)}
+        self._manifests.append(summary.withColumns(marks).select(self._manifests.schema.names).coalesce(1), run)
         return summary
 
+    def manifests(self) -> DataFrame:
+        """Counters of every finished run."""
+        return self._manifests.read()
+
+    def latest_manifests(self) -> DataFrame:
+        """Of each pipeline the counters of the run that started last."""
+        return scrape.latest(self.manifests())
+
     def _events(self, rows: DataFrame, run: str, kind: str, stage: str, source: str | None, **columns) -> None:
         given = {"run_id": F.lit(run), "source_type": F.lit(kind), "source_instance": F.lit(source).cast("string"), "stage": F.lit(stage), **columns}
-        self.log.append(rows.select(*[v.alias(k) for k, v in given.items()]))
+        self.steps[run] = self.steps.get(run, 0) + 1
+        self.log.append(rows.select(*[v.alias(k) for k, v in given.items()]), f"{run}/{self.steps[run]}")
 
     # ------------------------------------------------------------ ingestion and index
 
@@ -101,45 +130,54 @@ class Engine:
         """Takes in the Markdown files of a tree: documents, chunks and state of new and changed ones; others keep theirs."""
 
         def work(run: str) -> DataFrame:
-            docs = readers.markdown_documents(self.spark, root).withColumn("parsed", frontmatter.parse_column(c("content")))
+            listing = readers.markdown_documents(self.spark, root).select("doc_id", "path", "rel_path", "checksum")
+            listing = self.stage("ingest-listing", listing)
+            state_before = self.table("state")
+            state_before = self.spark.createDataFrame([], "doc_id string, checksum string") if state_before is None else state_before
+            status = state.change_status(listing, state_before.limit(0) if full else state_before, "doc_id").select("doc_id", "status")
+            listing = self.stage("ingest-status", listing.join(status, "doc_id"))
+            changed = listing.where("status <> 'unchanged'")
+            todo = readers.markdown_documents(self.spark, root, self._named(changed, "path")).join(changed.select("doc_id"), "doc_id", "left_semi").withColumn("parsed", frontmatter.parse_column(c("content")))
             meta = F.from_json("parsed.meta", "map<string,string>")
-            docs = docs.select("doc_id", "rel_path", "checksum", convert.title_of(F.try_element_at(meta, F.lit("title")), F.lit(None).cast("string"), F.lit(""), c("name")).alias("title"), c("parsed.body").alias("body"), meta.alias("metadata"))
-            docs = self.save("ingest-input", docs, keep=1)
-            before = self.table("state")
-            before = self.spark.createDataFrame([], "doc_id string, checksum string") if before is None or full else before
-            status = state.change_status(docs, before, "doc_id")
-            todo = docs.join(status.where("status <> 'unchanged'").select("doc_id"), "doc_id", "left_semi")
+            title = convert.title_of(F.try_element_at(meta, F.lit("title")), F.lit(None).cast("string"), F.lit(""), c("name"))
+            todo = todo.select("doc_id", "rel_path", "checksum", title.alias("title"), c("parsed.body").alias("body"), meta.alias("metadata"), F.length("parsed.body").alias("body_chars"))
+            todo = self.stage("ingest-input", todo)
             chunks = chunking.markdown_chunks(todo, key="doc_id", body="body")
             place = F.row_number().over(W.partitionBy("doc_id").orderBy("part", "chunk_start")) - 1
             chunks = chunks.withColumn("chunk_index", place).withColumn("chunk_id", F.format_string("%s-chunk-%04d", "doc_id", "chunk_index"))
             chunks = chunks.join(todo.select("doc_id", "title"), "doc_id")
-            there = docs.select("doc_id")
-            for name, new in (("documents", todo), ("chunks", chunks)):
-                old = self.table(name)
-                kept = new if old is None else state.upsert(old.join(there, "doc_id", "left_semi").join(todo.select("doc_id"), "doc_id", "left_anti"), new, "doc_id")
-                self.save(name, kept)
-            self.save("state", docs.select("doc_id", "checksum"))
+            gone = self.stage("ingest-gone", state_before.select("doc_id").join(listing.select("doc_id"), "doc_id", "left_anti"))
+            done = todo.select("doc_id")
+            self.delta("documents").commit(todo, gone)
+            self.delta("chunks").commit(chunks, gone.unionByName(done))  # a document that has no chunks any more loses its old ones
             ids = {"document_id": c("doc_id"), "document_uri": c("rel_path"), "document_title": c("title")}
-            known = docs.join(status.select("doc_id", "status"), "doc_id")
-            self._events(docs, run, "filesystem", "load", source, status=F.lit("ok"), input_count=F.length("body"), **ids)
+            known = listing.select("doc_id", "status").join(self.table("documents").select("doc_id", "rel_path", "title", "body_chars"), "doc_id")
+            self._events(known, run, "filesystem", "load", source, status=F.lit("ok"), input_count=c("body_chars"), **ids)
             self._events(known.where("status = 'unchanged'"), run, "filesystem", "filter", source, status=F.lit("skipped"), reason_code=F.lit("unchanged_incremental"), **ids)
-            n = self.table("chunks").groupBy("doc_id").agg(F.count("*").cast("int").alias("n"))
+            own = self.delta("chunks")
+            n = own.read(buckets=own.changed_buckets(own.version() - 1)).join(done, "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").cast("int").alias("n"))
             made = todo.join(n, "doc_id", "left")
             self._events(made, run, "filesystem", "chunk", source, status=F.when(c("n").isNull(), "skipped").otherwise("ok"), reason_code=F.when(c("n").isNull(), "no_chunks_created"), chunk_count=F.coalesce("n", F.lit(0)), **ids)
-            return status
+            # last: until here the run counts as not done, and the next one takes in the same documents again
+            self.delta("state").commit(todo.select("doc_id", "checksum"), gone)
+            return listing.select("status")
 
         return self._run("filesystem", source, full, work)
 
     def build_index(self, embedder: answer.Embedder, rebuild: bool = False) -> DataFrame:
         """Embeds the chunks that have no vector yet or another text than before; vectors of vanished chunks go with ``rebuild``."""
-        chunks = self.table("chunks")
-        if chunks is None:
+        chunks, vectors = self.delta("chunks"), self.delta("vectors")
+        if not chunks.exists():
             raise ValueError("there are no chunks: ingest first")
-        old = None if rebuild else self.table("vectors")
-        if old is not None and self.table("index-metadata") is not None:
-            answer.check_index(self.table("index-metadata").first().asDict(), type(embedder).__name__, embedder.name)
-        rows = chunks.select("chunk_id", c("doc_id"), "text", F.sha2("text", 256).alias("text_hash"))
-        todo = rows if old is None else rows.join(old.select("chunk_id", "text_hash"), ["chunk_id", "text_hash"], "left_anti")
+        before = None if rebuild or not vectors.exists() else self.table("index-metadata")
+        seen = -1
+        if before is not None:
+            row = before.first()
+            answer.check_index(row.asDict(), type(embedder).__name__, embedder.name)
+            seen = row.chunks_version
+        at = chunks.version()
+        rows = chunks.read(buckets=chunks.changed_buckets(seen)).select("chunk_id", c("doc_id"), "text", F.sha2("text", 256).alias("text_hash"))
+        todo = rows if before is None else rows.join(vectors.read().select("chunk_id", "text_hash"), ["chunk_id", "text_hash"], "left_anti")
         size = self.settings.batch
 
         def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,10 +187,11 @@ class Engine:
                     yield part[["chunk_id", "doc_id", "text_hash"]].assign(embedding=embedder.embed(part["text"].fillna("").tolist()))
 
         new = todo.mapInPandas(embed, "chunk_id string, doc_id string, text_hash string, embedding array<double>")
-        done = self.save("vectors", new if old is None else state.upsert(old, new, "chunk_id"))
-        dims = F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("dimension")
-        meta = done.agg(dims).select(F.lit(type(embedder).__name__).alias("provider"), F.lit(embedder.name).alias("model"), F.current_timestamp().alias("created_at"), "dimension")
-        return self.save("index-metadata", meta)
+        vectors.commit(new, whole=before is None)
+        dims = vectors.read().agg(F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("dimension"))
+        meta = dims.select(F.lit(type(embedder).__name__).alias("provider"), F.lit(embedder.name).alias("model"), F.current_timestamp().alias("created_at"), "dimension", F.lit(at).alias("chunks_version"))
+        self.delta("index-metadata").commit(meta, whole=True)
+        return self.table("index-metadata")
 
     # ------------------------------------------------------------ questions
 
@@ -176,11 +215,12 @@ class Engine:
         before = self.spark.createDataFrame([], "key string, checksum string") if before is None or full else before
         return state.change_status(rows, before, outputs=None if files is None else files.select("key"))
 
-    def _finish(self, name: str, inputs: DataFrame, new: DataFrame, dropped: DataFrame) -> None:
-        old = self.table(name)
-        gone = dropped.select("key")
-        self.save(name, new if old is None else pages.replace(old.join(gone, "key", "left_anti"), new))
-        self.save(f"{name}-state", inputs.select("key", "checksum"))
+    def _finish(self, name: str, inputs: DataFrame, new: DataFrame, dropped: DataFrame, changed: DataFrame) -> None:
+        """Commits the files of a run, then what it has taken in: ``inputs`` and ``changed`` are (key, checksum) of all and of the changed ones."""
+        self.delta(name).commit(new, dropped.select("key"))
+        before = self.table(f"{name}-state")
+        gone = None if before is None else before.select("key").join(inputs.select("key"), "key", "left_anti")
+        self.delta(f"{name}-state").commit(changed.select("key", "checksum"), gone)
 
     def transform_pages(self, root: str, spaces: list[str] | None = None, full: bool = False, source: str | None = None) -> DataFrame:
         """Wiki pages of an export as Markdown files; unchanged, ignored and short ones are left out."""
@@ -189,10 +229,10 @@ class Engine:
             own = self.spark
             rows = exports.wiki_pages(own, root, spaces)
             checksum = F.sha2(F.concat_ws("|", "title", "body", F.coalesce("updated_at", F.lit("")), F.array_join("labels", ",")), 256)
-            rows = self.save("pages-input", rows.withColumns({"key": c("page_id"), "checksum": checksum, "content_hash": checksum}), keep=1)
-            rows = rows.withColumn("verdict", pages.verdict(c("title"), c("body"), raw_minimum=self.settings.raw_minimum))
-            status = self._changed(rows.where("verdict IS NULL"), "pages", full)
-            todo = rows.join(status.where("status <> 'unchanged'").select("key"), "key", "left_semi")
+            whole = rows.withColumns({"key": c("page_id"), "checksum": checksum, "content_hash": checksum, "verdict": pages.verdict(c("title"), c("body"), raw_minimum=self.settings.raw_minimum)})
+            rows = self.stage("pages-listing", whole.select("key", "checksum", "title", "source_ref", "verdict", F.length("body").alias("chars")))
+            status = self.stage("pages-status", self._changed(rows.where("verdict IS NULL"), "pages", full))
+            todo = self.stage("pages-input", whole.join(status.where("status <> 'unchanged'").select("key"), "key", "left_semi"))
             rules = pages.promotion_rules()
             rendered = markup.render_pages(todo, "body", "source_url", frozenset(x for labels in rules.values() for x in labels))
             attached = convert.attachment_sections(convert.extract_attachments(todo, "page_id", root), "page_id").select("page_id", "sections", c("warnings").alias("attachment_warnings"))
@@ -201,19 +241,19 @@ class Engine:
             warnings = F.concat("warnings", F.coalesce("attachment_warnings", F.array().cast("array<string>")))
             properties = F.map_concat(F.map_filter("properties", lambda k, v: ~F.map_contains_key(c("page_properties"), k)), "page_properties")
             rendered = rendered.withColumns({"markdown": body, "warnings": warnings, "page_properties": properties})
-            rendered = self.save("pages-rendered", rendered.withColumn("verdict", pages.verdict(c("title"), c("body"), c("markdown"), F.size("tables") > 0, self.settings.raw_minimum, self.settings.final_minimum)), keep=1)
+            rendered = self.stage("pages-rendered", rendered.withColumn("verdict", pages.verdict(c("title"), c("body"), c("markdown"), F.size("tables") > 0, self.settings.raw_minimum, self.settings.final_minimum)))
             good = rendered.where("verdict IS NULL AND error IS NULL").withColumn("promoted", pages.promoted(c("page_properties"), rules))
             short = rendered.where("verdict IS NOT NULL AND error IS NULL").select("key", "title", "source_ref", "verdict")
             out = rows.where("verdict IS NOT NULL").select("key", "title", "source_ref", "verdict").unionByName(short)
-            self._finish("pages", rows.where("verdict IS NULL"), pages.page_files(good), out)
             ids = {"document_id": c("key"), "document_uri": c("source_ref"), "document_title": c("title")}
-            self._events(rows, run, "confluence", "load", source, status=F.lit("ok"), input_count=F.length("body"), **ids)
+            self._events(rows, run, "confluence", "load", source, status=F.lit("ok"), input_count=c("chars"), **ids)
             self._events(out, run, "confluence", "filter", source, status=F.lit("skipped"), reason_code=c("verdict"), **ids)
             same = rows.join(status.where("status = 'unchanged'").select("key"), "key", "left_semi")
             self._events(same, run, "confluence", "filter", source, status=F.lit("skipped"), reason_code=F.lit("unchanged_incremental"), **ids)
             how = F.when(c("error").isNotNull(), "error").when(F.size("unsupported") > 0, "warning").otherwise("ok")
             why = F.when(c("error").isNotNull(), "transform_exception").when(F.size("unsupported") > 0, "unsupported_macro")
             self._events(rendered, run, "confluence", "transform", source, status=how, reason_code=why, message=c("error"), output_count=F.length("markdown"), extra_json=F.to_json(F.struct(F.lit(True).alias("changed_flag"), c("warnings").alias("warning_flags"))), **ids)
+            self._finish("pages", rows.where("verdict IS NULL"), pages.page_files(good), out, todo)
             done = status.join(rendered.where("error IS NOT NULL").select("key", F.lit(True).alias("bad")), "key", "left")
             return done.select(F.when(c("bad"), "failed").otherwise(c("status")).alias("status")).unionByName(out.select(F.lit("unchanged").alias("status")))
 
@@ -225,19 +265,20 @@ class Engine:
         def work(run: str) -> DataFrame:
             rows = exports.issues(self.spark, root, projects).where("issue_key IS NOT NULL")
             checksum = F.sha2(F.concat_ws("|", "summary", "description", F.coalesce("updated_at", F.lit("")), F.array_join("labels", ",")), 256)
-            rows = self.save("issues-input", rows.withColumns({"key": c("issue_key"), "checksum": checksum, "content_hash": checksum}), keep=1)
-            status = self._changed(rows, "issues", full)
-            todo = rows.join(status.where("status <> 'unchanged'").select("key"), "key", "left_semi")
+            whole = rows.withColumns({"key": c("issue_key"), "checksum": checksum, "content_hash": checksum})
+            rows = self.stage("issues-listing", whole.select("key", "checksum", "summary", "source_ref", F.length("description").alias("chars")))
+            status = self.stage("issues-status", self._changed(rows, "issues", full))
+            todo = self.stage("issues-input", whole.join(status.where("status <> 'unchanged'").select("key"), "key", "left_semi"))
             attached = convert.attachment_sections(convert.extract_attachments(todo, "key", root), "key").select("key", "sections", c("warnings").alias("attachment_warnings"))
             rendered = markup.render_pages(todo, "description", "source_url").join(attached, "key", "left")
             body = F.when(F.coalesce("sections", F.lit("")) != "", F.concat("markdown", F.lit("\n\n## Anhänge\n\n"), "sections")).otherwise(c("markdown"))
-            rendered = self.save("issues-rendered", rendered.withColumns({"markdown": body, "warnings": F.concat("warnings", F.coalesce("attachment_warnings", F.array().cast("array<string>")))}), keep=1)
+            rendered = self.stage("issues-rendered", rendered.withColumns({"markdown": body, "warnings": F.concat("warnings", F.coalesce("attachment_warnings", F.array().cast("array<string>")))}))
             good = rendered.where("error IS NULL")
             path = pages.page_file(c("project_key"), c("issue_key"), c("summary"))
-            self._finish("issues", rows, good.select("key", path.alias("rel_path"), pages.render(pages.issue_metadata(), c("markdown")).alias("content")), rows.limit(0))
             ids = {"document_id": c("key"), "document_uri": c("source_ref"), "document_title": c("summary")}
-            self._events(rows, run, "jira", "load", source, status=F.lit("ok"), input_count=F.length("description"), **ids)
+            self._events(rows, run, "jira", "load", source, status=F.lit("ok"), input_count=c("chars"), **ids)
             self._events(rendered, run, "jira", "transform", source, status=F.when(c("error").isNotNull(), "error").otherwise("ok"), message=c("error"), output_count=F.length("markdown"), **ids)
+            self._finish("issues", rows, good.select("key", path.alias("rel_path"), pages.render(pages.issue_metadata(), c("markdown")).alias("content")), rows.limit(0), todo)
             done = status.join(rendered.where("error IS NOT NULL").select("key", F.lit(True).alias("bad")), "key", "left")
             return done.select(F.when(c("bad"), "failed").otherwise(c("status")).alias("status"))
 
@@ -253,23 +294,25 @@ class Engine:
             for origin, place in PRIORITY.items():
                 rank = F.when(c("origin") == origin, place).otherwise(rank)
             listed = rows.select(c("path").alias("key"), "hash", "document_id", rank.alias("priority"), "rel_path", "size", "modified", "origin", "extension")
-            listed = self.save("documents-input", listed, keep=1)
+            listed = self.stage("documents-listing", listed)  # paths and hashes: no contents travel
             first = state.dedupe_content(listed, "hash", "key", [c("priority"), c("rel_path")])
             kept = listed.join(first.where("key = kept_key").select("key"), "key", "left_semi")
             alias = first.where("key <> kept_key").join(listed.select("key", "document_id"), "key").groupBy("kept_key").agg(F.array_sort(F.collect_set("document_id")).alias("aliases"))
             kept = kept.withColumn("checksum", F.sha2(F.concat_ws("|", "key", "size", c("modified").cast("double").cast("string")), 256))
-            status = self._changed(kept, "documents-files", full)
-            todo = kept.join(status.where("status <> 'unchanged'").select("key"), "key", "left_semi").select(c("key").alias("path"))
-            files = rows.join(todo, "path", "left_semi").select("path", "content", "rel_path", "size", "modified", "origin", "document_id", "extension")
+            status = self.stage("documents-status", self._changed(kept, "documents-files", full))
+            fresh = kept.join(status.where("status <> 'unchanged'").select("key"), "key", "left_semi")
+            todo = fresh.select(c("key").alias("path"))
+            own = convert.union_of_roots(self.spark, roots, self._named(todo, "path")).withColumns({"document_id": F.sha2(F.lower("rel_path"), 256), "extension": convert.extension(c("path"))})
+            files = own.join(todo, "path", "left_semi").select("path", "content", "rel_path", "size", "modified", "origin", "document_id", "extension")
             done = scrape.choose_rule(convert.convert(files), rules).withColumnRenamed("target_subpath", "domain")
             done = done.join(alias, done["path"] == alias["kept_key"], "left").drop("kept_key")
             done = done.withColumns({"title": tx.title_from_name(F.regexp_extract("rel_path", "[^/]*$", 0)), "aliases": F.coalesce("aliases", F.array().cast("array<string>"))})
-            done = self.save("documents-converted", done, keep=1)
+            done = self.stage("documents-converted", done)
             path = pages.document_file(c("rel_path"), c("document_id"), c("title"))
             good = done.where("success").select(c("path").alias("key"), path.alias("rel_path"), F.concat("domain", F.lit("/"), path).alias("publish_path"), pages.render(pages.document_metadata(), c("markdown")).alias("content"))
-            self._finish("documents-files", kept, good, kept.limit(0))
             ids = {"document_id": c("document_id"), "document_uri": c("path")}
             self._events(done, run, "documents", "transform", source, status=F.when(c("success"), "ok").otherwise("error"), message=c("error"), output_count=F.length("markdown"), **ids)
+            self._finish("documents-files", kept, good, kept.limit(0), fresh)
             bad = done.where("NOT success").select(c("path").alias("key"), F.lit(True).alias("bad"))
             return status.join(bad, "key", "left").select(F.when(c("bad"), "failed").otherwise(c("status")).alias("status"))
 
@@ -282,10 +325,10 @@ class Engine:
             old = self.table("scraped")
             existing = None if old is None or not changed_only else old.select(c("markdown_path").alias("rel_path"), "modified").unionByName(old.select(c("metadata_path").alias("rel_path"), "modified"))
             planned = scrape.plan(readers.files(self.spark, root), existing, limit)
-            planned = self.save("scraped-plan", planned, keep=1)
-            done = scrape.transform(planned, convert.contents(self.spark, root).select("path", "content"), run, datetime.now(UTC).isoformat())
-            new = done.withColumns({"modified": F.current_timestamp(), "key": c("rel_path")})
-            self.save("scraped", new if old is None else state.upsert(old, new, "key"))
+            planned = self.stage("scraped-plan", planned)
+            few = self._named(planned.where("status = 'convert'"), "path")
+            done = scrape.transform(planned, convert.contents(self.spark, root, only=few).select("path", "content"), run, datetime.now(UTC).isoformat())
+            self.delta("scraped").commit(done.withColumns({"modified": F.current_timestamp(), "key": c("rel_path")}))
             return planned.join(self.table("scraped").select("path", c("status").alias("how")), "path", "left").select(F.when(c("status") == "skipped", "unchanged").when(c("how") == "failed", "failed").otherwise("new").alias("status"))
 
         return self._run("scraping", None, not changed_only, work)
@@ -294,7 +337,8 @@ class Engine:
         """The domain tree of the scraped files."""
         done, old = self.table("scraped"), self.table("mapped")
         new = scrape.map_to_domains(done, done.where("status = 'transformed'"), rules, datetime.now(UTC).isoformat(), None if old is None or force else old.select("target"))
-        return self.save("mapped", new if old is None else state.upsert(old, new.where("status = 'mapped'"), "target"))
+        self.delta("mapped").commit(new if old is None else new.where("status = 'mapped'"))
+        return self.table("mapped")
 
     def import_site(self, root: str, source_key: str) -> DataFrame:
         """The pages of a crawl with unified front matter."""
@@ -303,13 +347,21 @@ class Engine:
         rows = own.select(rel.alias("rel_path"), c("_metadata.file_name").alias("name"), c("value").alias("content"))
         manifest = exports.texts(self.spark, root, "manifest.json").select("value")
         new = scrape.import_pages(rows, manifest, source_key, root.rstrip("/").rpartition("/")[2], datetime.now(UTC).isoformat(timespec="seconds"))
-        old = self.table("site")
-        return self.save("site", new if old is None else state.upsert(old, new, "rel_path"))
+        self.delta("site").commit(new)
+        return self.table("site")
+
+    def publish(self, routes: DataFrame, space: str | None = None, unmapped: bool = True, full: bool = False) -> DataFrame:
+        """The transformed pages at their places in the domain tree; those published before in the same words are skipped.
 
-    def publish(self, routes: DataFrame, space: str | None = None, unmapped: bool = True) -> DataFrame:
-        """The transformed pages at their places in the domain tree."""
-        staged = self.table("pages").select("rel_path", "content")
+        Returns what became of each page (status published, unmapped, error or skipped). Pages with errors are tried again
+        next time; what was published of pages that are not asked for now stays.
+        """
+        staged = self.table("pages").select("rel_path", "content", F.sha2("content", 256).alias("checksum"))
         staged = staged.where(F.concat(F.lit("/"), "rel_path").contains(f"/{space}/")) if space else staged
+        before = None if full else self.table("published")
+        same = self.spark.createDataFrame([], "rel_path string, checksum string, target string") if before is None else before.where("status <> 'error' AND target IS NOT NULL").select("rel_path", "checksum", "target")
+        skipped = staged.select("rel_path", "checksum").join(same, ["rel_path", "checksum"])
+        staged = staged.join(same, ["rel_path", "checksum"], "left_anti")
         parsed = staged.withColumn("p", frontmatter.parse_column(c("content")))
         # values as JSON: objects and lists are, texts are quoted; the keys that publishing asks for come from the unified ones
         quoted = lambda v: F.regexp_replace(F.to_json(F.array(v)), r"^\[|\]$", "")
@@ -318,7 +370,12 @@ class Engine:
         asked = F.create_map(F.lit("space_key"), at("$.source_meta.space_key"), F.lit("page_id"), at("$.original_id"), F.lit("labels"), F.coalesce(F.get_json_object("p.meta", "$.tags"), F.lit("[]")), F.lit("source_url"), at("$.source_url"))
         own = F.map_concat(own, F.map_filter(asked, lambda k, v: ~F.array_contains(F.json_object_keys("p.meta"), k)))
         rows = parsed.select("rel_path", own.alias("metadata"), c("p.body").alias("body"), F.lit(datetime.now(UTC).isoformat()).alias("published_at"))
-        return self.save("published", pages.publish(rows, routes, f"{self.root}/pages", f"{self.root}/domains", unmapped=unmapped))
+        done = pages.publish(rows, routes, f"{self.root}/pages", f"{self.root}/domains", unmapped=unmapped)
+        none = F.lit(None).cast("string")
+        skipped = skipped.select("rel_path", F.lit("skipped").alias("status"), F.lit("").alias("missing"), "target", none.alias("content"))
+        run = self.stage("published", done.unionByName(skipped))
+        self.delta("published").commit(run.where("status <> 'skipped'").join(self.table("pages").select("rel_path", F.sha2("content", 256).alias("checksum")), "rel_path"))
+        return run
 
     # ------------------------------------------------------------ reports and housekeeping
 

@@ -88,11 +88,14 @@ def can_convert(ext: Column) -> Column:
     return ext.isin(CONVERTED)
 
 
-def contents(spark: SparkSession, root: str, extensions: list[str] | None = None) -> DataFrame:
-    """(path, content, size, modified) of a tree's files, of some extensions only if given."""
+def contents(spark: SparkSession, root: str, extensions: list[str] | None = None, only: list[str] | None = None) -> DataFrame:
+    """(path, content, size, modified) of a tree's files, of some extensions only if given; with ``only`` (paths) no other file is opened."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     rows = rows.option("pathGlobFilter", "*.{" + ",".join(sorted({x for e in extensions for x in (e, e.upper())})) + "}") if extensions else rows
-    return rows.load(root).select("path", "content", c("length").alias("size"), c("modificationTime").alias("modified"))
+    rows = rows.load(root)
+    if only is not None:  # the scan prunes files by the encoded path; the plain one decides
+        rows = rows.where(c("_metadata.file_path").isin(only + [spark._jvm.org.apache.hadoop.fs.Path(p).toUri().toString() for p in only])).where(c("path").isin(only))
+    return rows.select("path", "content", c("length").alias("size"), c("modificationTime").alias("modified"))
 
 
 def convert(files: DataFrame, converters: tuple[Converter, ...] = CONVERTERS) -> DataFrame:
@@ -173,15 +176,15 @@ def attachment_stats(extracted: DataFrame, by: str = "suffix") -> DataFrame:
 # ---------------------------------------------------------------- documents
 
 
-def union_of_roots(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
-    """The convertible files of several trees: path, rel_path, content, size, modified, origin; a tree that is missing is left out."""
+def union_of_roots(spark: SparkSession, roots: dict[str, str], only: list[str] | None = None) -> DataFrame:
+    """The convertible files of several trees: path, rel_path, content, size, modified, origin; a tree that is missing is left out, and with ``only`` (paths) all other files."""
     out = None
     for origin, root in roots.items():
         place = spark._jvm.org.apache.hadoop.fs.Path(root)
         if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
             continue
         base = root.rstrip("/").removeprefix("file:")
-        rows = contents(spark, root, CONVERTED).withColumns({"origin": F.lit(origin), "rel_path": F.regexp_replace("path", f"^(file:/*)?/*{base.lstrip('/')}/", "")})
+        rows = contents(spark, root, CONVERTED, only).withColumns({"origin": F.lit(origin), "rel_path": F.regexp_replace("path", f"^(file:/*)?/*{base.lstrip('/')}/", "")})
         out = rows if out is None else out.unionByName(rows)
     return out if out is not None else spark.createDataFrame([], "path string, content binary, size long, modified timestamp, origin string, rel_path string")
 

@@ -175,11 +175,13 @@ class DeltaTable:
         if rows is None and not before:
             return number - 1
         schema = T.StructType.fromJson(before["schema"]) if rows is None else rows.schema
-        keys = None if rows is None else rows.select(self.key)
-        if gone is not None:
-            keys = gone.select(self.key) if keys is None else keys.unionByName(gone.select(self.key))
+        keys = None if gone is None else gone.select(self.key)
         if rows is not None:
             self._write("rows", number, rows.select("*", self._bucket()))
+            # the keys of what was written: the plan of the rows runs once
+            own = T.StructType([schema[self.key]])
+            written = self.spark.read.schema(own).option("recursiveFileLookup", True).parquet(f"{self.root}/rows/delta_version={number}")
+            keys = written if keys is None else keys.unionByName(written)
         self._write("keys", number, keys.distinct().select(self.key, self._bucket()))
         touched = {int(n.partition("=")[2]) for kind in ("keys", "rows") for n in self.log.names(f"{kind}/delta_version={number}") if n.startswith("delta_bucket=")}
         if not touched and not whole and before:

@@ -22,14 +22,15 @@ def files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     return rows.select("path", F.regexp_replace("path", f"^(file:/*)?/*{base.lstrip('/')}/", "").alias("rel_path"), name.alias("name"), F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)).alias("extension"), c("length").alias("size"), c("modificationTime").alias("modified"))
 
 
-def markdown_documents(spark: SparkSession, root: str) -> DataFrame:
-    """Markdown files with meaningful content: doc_id, rel_path, name, content, checksum."""
+def markdown_documents(spark: SparkSession, root: str, only: list[str] | None = None) -> DataFrame:
+    """Markdown files with meaningful content: doc_id, path, rel_path, name, content, checksum. With ``only`` (paths) no other file is opened."""
     texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True).select(c("value").alias("content"), c("_metadata.file_path").alias("path"), c("_metadata.file_name").alias("name"), c("_metadata.file_size").alias("size"))
+    texts = texts if only is None else texts.where(c("path").isin(only))
     base = root.rstrip("/").removeprefix("file:")
     rel = F.regexp_replace("path", f"^(file:/*)?/*{base.lstrip('/')}/", "")
     body = F.regexp_replace("content", r"(?s)^---\s*\n.*?\n---\s*(\n|$)", "")
     rows = texts.where(~c("name").isin(SKIPPED)).where(has_meaningful_content(body))
-    return rows.select(F.sha2(F.lower(rel), 256).alias("doc_id"), rel.alias("rel_path"), "name", "size", "content", F.sha2("content", 256).alias("checksum"))
+    return rows.select(F.sha2(F.lower(rel), 256).alias("doc_id"), "path", rel.alias("rel_path"), "name", "size", "content", F.sha2("content", 256).alias("checksum"))
 
 
 def pick(json: Column, *paths: str) -> Column:

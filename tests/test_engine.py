@@ -11,6 +11,7 @@ from loomlake.functions import frontmatter
 from loomlake.operators import answer, audit, convert, pages, retrieval, scrape
 from loomlake.operators.audit_log import AuditLog, Event
 from loomlake.sources import exports
+from loomlake.sources.delta import DeltaTable
 
 
 @pytest.fixture
@@ -81,6 +82,69 @@ def test_ingest_index_ask(spark, tmp_path, put):
     assert set(e.pipeline([("build_index", {"embedder": embedder}), ("report", {})])) == {"build_index", "report"}
 
 
+def files_below(path):
+    return {str(f.relative_to(path)): f.stat().st_size for f in path.rglob("*.parquet")}
+
+
+def test_a_run_writes_only_what_it_took_in(spark, tmp_path, put):
+    """One changed document of many: one bucket of each table, no text of another document, and one embedded document."""
+    for i in range(60):
+        put(f"md/d{i}.md", f"# Title {i}\n" + f"word{i} says something of its own and goes on for a while. " * 8)
+    root, data = str(tmp_path / "md"), tmp_path / "data"
+    e = Engine(spark, str(data))
+    e.ingest(root)
+
+    class Counting(answer.HashEmbedder):
+        def embed(self, texts):
+            with open(tmp_path / "asked", "a") as f:
+                f.write("".join("x\n" for _ in texts))
+            return super().embed(texts)
+
+    e.build_index(Counting(8))
+    tables = ("documents", "chunks", "state", "vectors")
+    before = {t: files_below(data / t / "rows") for t in tables}
+    put("md/d7.md", "# Title 7\nchanged text that is long enough to be a chunk of its own")
+    (tmp_path / "asked").unlink()
+    assert summary(e.ingest(root)) == (60, 1, 59, 0, 1)
+    e.build_index(Counting(8))
+    for t, old in before.items():
+        new = {f: n for f, n in files_below(data / t / "rows").items() if f not in old}
+        assert len({f.split("/")[1] for f in new}) == 1, t
+        assert sum(new.values()) < sum(old.values()) / 8, t
+    assert (tmp_path / "asked").read_text().count("x") == 1
+    assert spark.read.parquet(str(data / "staging/ingest-input")).count() == 1
+    (tmp_path / "md/d9.md").unlink()
+    e.ingest(root)
+    assert e.table("documents").count() == 59 and e.table("chunks").where("text LIKE '%Title 9%'").count() == 0
+
+
+@pytest.mark.parametrize("broken", ["documents", "chunks", "events", "state"])
+def test_a_run_that_fails_at_any_step_is_repeated(spark, tmp_path, put, monkeypatch, broken):
+    put("md/a.md", "# A\nfirst text of the document a")
+    put("md/b.md", "# B\nfirst text of the document b")
+    root = str(tmp_path / "md")
+    e = Engine(spark, str(tmp_path / "data"))
+    e.ingest(root)
+    put("md/a.md", "# A\nsecond text of the document a")
+    (tmp_path / "md/b.md").unlink()
+
+    def fail(*_, **__):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        if broken == "events":
+            m.setattr(AuditLog, "append", fail)
+        else:
+            m.setattr(DeltaTable, "commit", lambda self, *a, own=DeltaTable.commit, **k: fail() if self.root.endswith("/" + broken) else own(self, *a, **k))
+        with pytest.raises(Exception, match="lost"):
+            e.ingest(root)
+    assert summary(e.ingest(root)) == (1, 1, 0, 0, 1) and summary(e.ingest(root)) == (1, 0, 1, 0, 0)
+    assert [r.text for r in e.table("chunks").collect()] == ["# A\nsecond text of the document a"]
+    done = e.log.runs().where("status = 'finished'").select("run_id")
+    loads = e.log.events().where("stage = 'load'").join(done, "run_id").groupBy("run_id").count().collect()
+    assert sorted(r["count"] for r in loads) == [1, 1, 2]
+
+
 def test_a_failing_run_is_recorded(spark, tmp_path):
     e = Engine(spark, str(tmp_path / "data"))
     with pytest.raises(Exception):
@@ -124,7 +188,8 @@ def test_audit_log(spark, tmp_path):
     with log.stage(Event("r1", "wiki", "filter", document_id="d2")) as event:
         event.set("skipped", "unchanged_incremental")
     log.flush()
-    log.append(spark.createDataFrame([("r2", "d3", "chunk", "ok")], "run_id string, document_id string, stage string, status string"))
+    for _ in range(2):  # a step that is repeated leaves its events once
+        log.append(spark.createDataFrame([("r2", "d3", "chunk", "ok")], "run_id string, document_id string, stage string, status string"), "r2/chunk/1")
     rows = {(r.document_id, r.stage): r for r in log.events().collect()}
     assert rows[("d1", "load")].status == "ok" and rows[("d1", "load")].input_count == 5 and rows[("d1", "load")].duration_ms >= 0
     assert (rows[("d1", "transform")].status, rows[("d1", "transform")].reason_code, rows[("d1", "transform")].message) == ("error", "unknown_exception", "broken page")
@@ -209,6 +274,18 @@ def test_pages_become_files(spark, tmp_path, put):
     assert [(r.status, r.missing) for r in out] == [("published", ""), ("published", "")] and out[0].target.endswith("/domains/domains/core/1__renamed.md")
     assert 'content_origin: "confluence"' in out[0].content and "words of the page" in out[0].content
     assert e.publish(routes, space="zz").count() == 0
+    # pages published in the same words are skipped, with their places; changed ones are published again and others stay
+    before = {r.rel_path: r for r in e.table("published").collect()}
+    assert {r.rel_path: (r.status, r.target) for r in e.publish(routes).collect()} == {p: ("skipped", r.target) for p, r in before.items()}
+    put("wiki/i/spaces/ABC/by-id/1/metadata.json", {"id": "1", "title": "Renamed", "space": {"key": "ABC"}, "labels": ["fresh"]})
+    e.transform_pages(root)
+    again = {r.rel_path: r.status for r in e.publish(routes).collect()}
+    assert "published" in again.values() and again.keys() == before.keys()
+    after = {r.rel_path: r for r in e.table("published").collect()}
+    assert all((after[p].content == before[p].content) == (again[p] == "skipped") for p in before)
+    assert set(r.status for r in e.publish(routes, full=True).collect()) == {"published"}
+    last = {r.pipeline: r for r in e.latest_manifests().collect()}
+    assert last["confluence"].processed == 1 and last["confluence"].run_id == e.manifests().orderBy(F.desc("started_at")).first().run_id
 
 
 def test_issues_become_files(spark, tmp_path, put):
