@@ -251,7 +251,7 @@ def weights(frame: DataFrame, gains: np.ndarray, key: str, text: str = "text", o
 def _totals(counts: DataFrame) -> np.ndarray:
     """Counts by bucket as an array of fixed size."""
     out = np.zeros(BUCKETS, dtype=np.int64)
-    for bucket, n in counts.groupBy("bucket").agg(F.sum("n")).toLocalIterator():
+    for bucket, n in counts.groupBy("bucket").agg(F.sum("n")).collect():  # at most BUCKETS rows
         out[bucket] = n
     return out
 
