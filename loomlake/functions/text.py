@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +19,16 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, STRIP_RE, "")
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once for each row, however often f uses it (also inside lambdas)."""
+    return F.transform(F.array(value), f)[0]
+
+
+def indices(n: Column) -> Column:
+    """0 to n-1; empty for 0."""
+    return F.when(n > 0, F.sequence(F.lit(0), n.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+
+
 def collapse(c: Column) -> Column:
     """White space runs as one space, none at the ends."""
     return strip(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " "))

@@ -1,51 +1,67 @@
-"""Chunkers: fixed windows, and Markdown sections merged and split by size. All row-wise, without a shuffle."""
+"""Chunkers: fixed windows, and Markdown sections merged and split by size. All row-wise, without a shuffle.
+
+Work is in proportion to a text's length.  A text is cut once into blocks of a
+window's step, and a window is a few neighbouring blocks; sections are slices of
+the lines between two headings, and merged sections slices of the sections
+between two large ones.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.functions.text import LINES_RE, strip
+from loomlake.functions.text import LINES_RE, indices, let, strip
 
 #: Sizes of the two chunkers.
 SIMPLE_SIZE, SIMPLE_OVERLAP = 1200, 150
 MARKDOWN_MAX, MARKDOWN_MIN, MARKDOWN_OVERLAP = 1200, 200, 100
 
 
-def window_starts(length: Column, size: int, overlap: int) -> Column:
-    """0, step, 2 step, ... up to the first window that reaches the end."""
+def windows(text: Column, size: int, overlap: int) -> Column:
+    """array<string> of overlapping windows; the i-th begins at i * (size - overlap), the last is the first to reach the end.
+
+    A text that is not empty has one window at least.
+    """
     step = size - overlap
-    last = F.ceil(F.greatest(length - size, F.lit(0)) / F.lit(step)) * step
-    return F.sequence(F.lit(0).cast("long"), last.cast("long"), F.lit(step).cast("long"))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    more = F.sequence(F.lit(0), F.lit(-(-size // step) - 1))  # blocks that a window reaches into
+
+    def cut(b: Column) -> Column:
+        # all blocks but the last are full
+        length = (F.size(b) - 1) * step + F.length(F.coalesce(F.get(b, F.size(b) - 1), F.lit("")))
+        n = F.ceil(F.greatest(length - size, F.lit(0)) / F.lit(step)).cast("int") + 1
+        return F.transform(indices(F.when(length > 0, n).otherwise(0)), lambda i: F.substring(F.array_join(F.transform(more, lambda k: F.get(b, i + k)), ""), 1, size))
+
+    return let(blocks, cut)
 
 
 def simple_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIMPLE_SIZE, overlap: int = SIMPLE_OVERLAP) -> DataFrame:
     """(key, chunk_id, chunk_index, chunk_start, chunk_end, text): overlapping windows of the stripped text; blank ones are left out."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be smaller than the chunk size")
-    body = docs.select(F.col(key), strip(F.coalesce(F.col(text), F.lit(""))).alias("body")).where("body <> ''")
-    rows = body.select(key, "body", F.explode(window_starts(F.length("body"), size, overlap)).alias("st"))
-    rows = rows.select(key, (F.col("st") / (size - overlap)).cast("int").alias("chunk_index"), F.col("st").cast("int").alias("chunk_start"), F.substring("body", F.col("st").cast("int") + 1, F.lit(size)).alias("piece"))
+    rows = docs.select(F.col(key), F.posexplode(windows(strip(F.coalesce(F.col(text), F.lit(""))), size, overlap)).alias("chunk_index", "piece"))
+    rows = rows.withColumn("chunk_start", (F.col("chunk_index") * (size - overlap)).cast("int"))
     rows = rows.select(key, F.format_string("%s-chunk-%04d", F.col(key).cast("string"), "chunk_index").alias("chunk_id"), "chunk_index", "chunk_start", (F.col("chunk_start") + F.length("piece")).alias("chunk_end"), strip(F.col("piece")).alias("text"))
     return rows.where("text <> ''")
 
 
 def sections(body: Column) -> Column:
     """array<struct<header, level, content>>: a section begins at each heading; the text before the first has level 0."""
-    empty = F.array().cast("array<struct<header:string,level:int,lines:array<string>>>")
-    is_header = lambda x: x.rlike(r"^#{1,6}\s+")
     level = lambda x: F.length(F.regexp_extract(x, "^(#+)", 1))
-    first = F.struct(F.lit("").alias("header"), F.lit(0).alias("level"), F.array().cast("array<string>").alias("lines"))
 
-    def add(state: Column, line: Column) -> Column:
-        last = F.element_at(state, -1)
-        own = F.struct(strip(F.regexp_replace(line, r"^#{1,6}\s+", "")).alias("header"), level(line).alias("level"), F.array().cast("array<string>").alias("lines"))
-        more = F.struct(last["header"].alias("header"), last["level"].alias("level"), F.concat(last["lines"], F.array(line)).alias("lines"))
-        return F.when(is_header(line), F.concat(state, F.array(own))).otherwise(F.concat(F.slice(state, F.lit(1), F.size(state) - 1), F.array(more)))
+    def cut(lines: Column) -> Column:
+        heads = F.filter(indices(F.size(lines)), lambda i: F.get(lines, i).rlike(r"^#{1,6}\s+"))
+        # a section is what stands between two of these; before the first heading there is none, behind the last the end
+        bounds = F.concat(F.array(F.lit(-1)), heads, F.array(F.size(lines)))
+        return let(bounds, lambda b: F.transform(indices(F.size(b) - 1), lambda k: own(lines, F.get(b, k), F.get(b, k + 1))))
 
-    folded = F.aggregate(F.split(body, LINES_RE), F.concat(empty, F.array(first)), add)
-    done = F.transform(folded, lambda s: F.struct(s["header"].alias("header"), s["level"].alias("level"), strip(F.array_join(s["lines"], "\n")).alias("content")))
-    return F.filter(done, lambda s: (s["header"] != "") | (s["content"] != ""))
+    def own(lines: Column, head: Column, end: Column) -> Column:
+        said = F.coalesce(F.get(lines, head), F.lit(""))
+        content = strip(F.array_join(F.slice(lines, head + 2, end - head - 1), "\n"))
+        return F.struct(strip(F.regexp_replace(said, r"^#{1,6}\s+", "")).alias("header"), F.when(head >= 0, level(said)).otherwise(0).alias("level"), content.alias("content"))
+
+    return F.filter(let(F.split(body, LINES_RE), cut), lambda s: (s["header"] != "") | (s["content"] != ""))
 
 
 def render(section: Column) -> Column:
@@ -54,25 +70,30 @@ def render(section: Column) -> Column:
 
 
 def merge_small(parts: Column, least: int = MARKDOWN_MIN) -> Column:
-    """Folds a section that renders shorter than ``least`` into the one before; the first one stays."""
-    empty = F.array().cast("array<struct<header:string,level:int,content:string>>")
+    """Joins each section that renders shorter than ``least`` to the one before; the first one stays.
+
+    Rendered sections have no white space at their ends, so a run of short ones is joined at once.
+    """
 
-    def add(state: Column, s: Column) -> Column:
-        last = F.element_at(state, -1)
-        joined = F.struct(last["header"].alias("header"), last["level"].alias("level"), strip(F.concat_ws("\n\n", F.when(last["content"] != "", last["content"]), render(s))).alias("content"))
-        keep = (F.size(state) == 0) | (F.length(render(s)) >= least)
-        return F.when(keep, F.concat(state, F.array(s))).otherwise(F.concat(F.slice(state, F.lit(1), F.size(state) - 1), F.array(joined)))
+    def cut(p: Column, rendered: Column) -> Column:
+        first = F.filter(indices(F.size(p)), lambda i: (i == 0) | (F.length(F.get(rendered, i)) >= least))
+        return let(F.concat(first, F.array(F.size(p))), lambda b: F.transform(indices(F.size(b) - 1), lambda k: joined(p, rendered, F.get(b, k), F.get(b, k + 1))))
 
-    return F.aggregate(parts, empty, add)
+    def joined(p: Column, rendered: Column, at: Column, end: Column) -> Column:
+        head = F.get(p, at)
+        content = F.array_join(F.concat(F.array(F.when(head["content"] != "", head["content"])), F.slice(rendered, at + 2, end - at - 1)), "\n\n")
+        return F.struct(head["header"].alias("header"), head["level"].alias("level"), content.alias("content"))
+
+    return let(parts, lambda p: let(F.transform(p, render), lambda r: cut(p, r)))
 
 
 def markdown_chunks(docs: DataFrame, key: str = "doc_id", body: str = "body", most: int = MARKDOWN_MAX, least: int = MARKDOWN_MIN, overlap: int = MARKDOWN_OVERLAP) -> DataFrame:
     """Chunks by section, small ones merged, large ones cut into windows; numbered densely within a document."""
     if not 0 <= overlap < most:
         raise ValueError("overlap must be smaller than the chunk size")
-    rows = docs.select(key, sections(strip(F.coalesce(F.col(body), F.lit("")))).alias("parts"))
-    rows = rows.select(key, F.posexplode(merge_small(F.col("parts"), least)).alias("part", "s"))
+    rows = docs.select(key, F.posexplode(merge_small(sections(strip(F.coalesce(F.col(body), F.lit("")))), least)).alias("part", "s"))
     rows = rows.select(key, "part", F.col("s.header").alias("section_header"), F.col("s.level").alias("section_level"), render(F.col("s")).alias("whole")).where("whole <> ''")
-    starts = F.when(F.length("whole") <= most, F.array(F.lit(0).cast("long"))).otherwise(window_starts(F.length("whole"), most, overlap))
-    rows = rows.select("*", F.explode(starts).alias("st")).withColumn("text", F.when(F.length("whole") <= most, F.col("whole")).otherwise(strip(F.substring("whole", F.col("st").cast("int") + 1, F.lit(most)))))
-    return rows.where("text <> ''").select(key, "part", F.col("st").cast("int").alias("chunk_start"), "section_header", "section_level", "text")
+    pieces = F.when(F.length("whole") <= most, F.array("whole")).otherwise(windows(F.col("whole"), most, overlap))
+    rows = rows.select(key, "part", "section_header", "section_level", F.posexplode(pieces).alias("n", "piece"))
+    rows = rows.select(key, "part", (F.col("n") * (most - overlap)).cast("int").alias("chunk_start"), "section_header", "section_level", strip(F.col("piece")).alias("text"))
+    return rows.where("text <> ''")

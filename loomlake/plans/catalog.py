@@ -70,7 +70,28 @@ def chunk_markdown_sections(spark, sf_dir):
     return md.select("doc_id", F.inline(chunking.sections(tx.strip(c("body")))))
 
 
-@query()
+_MERGED_SQL = _SECTIONS_SQL + f""",
+own AS (
+  SELECT doc_id, sec, {_STRIP.format('header')} AS header, level, content FROM secs WHERE header <> '' OR content <> ''
+), said AS (
+  SELECT *, CASE WHEN header = '' THEN content ELSE repeat('#', level) || ' ' || header || CASE WHEN content = '' THEN '' ELSE chr(10) || content END END AS rendered,
+         row_number() OVER (PARTITION BY doc_id ORDER BY sec) AS place FROM own
+), grouped AS (
+  SELECT *, sum(CASE WHEN place = 1 OR length(rendered) >= 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY sec) - 1 AS part FROM said
+), merged AS (
+  SELECT doc_id, part, min_by(header, sec) AS header, min_by(level, sec) AS level,
+         concat_ws(chr(10) || chr(10), nullif(min_by(content, sec), ''), string_agg(rendered, chr(10) || chr(10) ORDER BY sec) FILTER (place > 1 AND length(rendered) < 200)) AS content
+  FROM grouped GROUP BY doc_id, part
+), whole AS (
+  SELECT doc_id, part, header, level, CASE WHEN header = '' THEN content ELSE repeat('#', level) || ' ' || header || CASE WHEN content = '' THEN '' ELSE chr(10) || content END END AS t FROM merged
+), cut AS (
+  SELECT *, unnest(range(0, CASE WHEN length(t) <= 1200 THEN 1 ELSE length(t) END, 1100)) AS st FROM whole WHERE t <> ''
+), pieces AS (
+  SELECT doc_id, part, st, header, level, {_STRIP.format('substring(t, st + 1, 1200)')} AS text FROM cut WHERE st = 0 OR st + 100 < length(t)
+)"""
+
+
+@query(f"WITH {_MERGED_SQL} SELECT doc_id, CAST(part AS INTEGER) AS part, CAST(st AS INTEGER) AS chunk_start, header AS section_header, CAST(level AS INTEGER) AS section_level, text FROM pieces WHERE text <> ''")
 def chunk_markdown_merged(spark, sf_dir):
     return chunking.markdown_chunks(views.markdown(spark, sf_dir))
 

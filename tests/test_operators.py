@@ -48,6 +48,89 @@ def test_simple_chunks_cover_the_text(spark):
         chunking.simple_chunks(spark.createDataFrame([], "doc_id long, text string"), size=10, overlap=10)
 
 
+@pytest.mark.parametrize("size,overlap", [(10, 8), (10, 0), (7, 3), (10, 9), (1, 0)])
+def test_windows_of_any_overlap(spark, size, overlap):
+    import random
+
+    rnd = random.Random(size + overlap)
+    texts = ["", "a", *("".join(rnd.choice("ab é\U0001f600\nc") for _ in range(rnd.randint(1, 60))) for _ in range(60))]
+    for text, got in zip(texts, spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1).select(chunking.windows(F.col("t"), size, overlap).alias("w")).collect()):
+        want, at = [], 0
+        while at < len(text):
+            want.append(text[at : at + size])
+            if at + size >= len(text):
+                break
+            at += size - overlap
+        assert got.w == want, text
+
+
+def test_sections_fold_and_split_like_a_loop(spark):
+    import random
+    import re
+
+    rnd = random.Random(4)
+    pool = ["# A", "## B  ", "#C", "text", "", "  ", "longer line of text " * 3, "###### six", "####### seven", "# "]
+    bodies = ["", "\n\n", "# only", *("\n".join(rnd.choice(pool) for _ in range(rnd.randint(1, 25))) for _ in range(120))]
+
+    def loop(body, most=120, least=40, overlap=20):
+        parts, header, level, lines = [], "", 0, []
+        for line in [*body.strip().split("\n"), None]:
+            if line is None or re.match(r"#{1,6}\s+", line):
+                content = "\n".join(lines).strip()
+                if header or content:
+                    parts.append([header, level, content])
+                if line is not None:
+                    level = len(re.match("#+", line).group())
+                    header, lines = re.sub(r"^#{1,6}\s+", "", line).strip(), []
+            else:
+                lines.append(line)
+        said = lambda p: "\n".join(x for x in ("#" * p[1] + " " + p[0] if p[0] else "", p[2]) if x)
+        merged = []
+        for p in parts:
+            if merged and len(said(p)) < least:
+                merged[-1][2] = "\n\n".join(x for x in (merged[-1][2], said(p)) if x)
+            else:
+                merged.append(list(p))
+        out = []
+        for n, p in enumerate(merged):
+            text, at = said(p), 0
+            while True:
+                piece = text[at : at + most].strip() if len(text) > most else text
+                if piece:
+                    out.append((n, at, p[0], p[1], piece))
+                if len(text) <= most or at + most >= len(text):
+                    break
+                at += most - overlap
+        return out
+
+    rows = chunking.markdown_chunks(spark.createDataFrame(list(enumerate(bodies)), "doc_id int, body string"), most=120, least=40, overlap=20)
+    got = {}
+    for r in rows.orderBy("doc_id", "part", "chunk_start").collect():
+        got.setdefault(r.doc_id, []).append(tuple(r)[1:])
+    for i, body in enumerate(bodies):
+        assert got.get(i, []) == loop(body), body
+
+
+def test_chunkers_take_time_in_proportion_to_the_text(spark):
+    """Four times the text in at most six times the time, with a fixed second for the job itself."""
+    import time
+
+    def seconds(make, n):
+        frame = make(n)
+        began = time.perf_counter()
+        frame.write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    one = lambda text, name: spark.createDataFrame([(1, text)], f"doc_id int, {name} string").coalesce(1)
+    for make in (
+        lambda n: chunking.simple_chunks(one("some words é " * (n * 80_000), "text")),
+        lambda n: chunking.markdown_chunks(one(("line of the text\n" * 9 + "# head\n") * (n * 1000), "body")),
+        lambda n: chunking.markdown_chunks(one("# head\n" + "line of the text\n" * (n * 20_000), "body")),
+    ):
+        seconds(make, 1)  # compiled
+        assert seconds(make, 8) <= 6 * seconds(make, 2) + 1
+
+
 def test_markdown_chunks_merge_and_split(spark):
     body = "intro\n# A\n" + "x" * 300 + "\n## small\nfew\n# B\n" + "y" * 2500
     rows = chunking.markdown_chunks(spark.createDataFrame([(1, body)], "doc_id long, body string")).orderBy("part", "chunk_start").collect()
