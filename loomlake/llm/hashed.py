@@ -88,10 +88,6 @@ def vectors(run: Run, space: Space) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield (np.concatenate(idx).astype(np.int32), np.concatenate(val).astype(np.float32)) if idx else (np.zeros(0, np.int32), np.zeros(0, np.float32))
 
 
-#: Label values that a bounded sample covers at most, the most frequent ones.
-MOST_LABELS = 120
-
-
 def agreed_labels(labels: DataFrame, key: str, label: str) -> DataFrame:
     """__id and __label (0/1) of every id whose labels all say the same; null ids and null labels do not count."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull())
@@ -108,15 +104,11 @@ def bounded_sample(rows: DataFrame, label: str, key: str, most: int) -> DataFram
     leaves one of them, so repeated keys do not stretch the bound.
     """
     rows = rows.where(F.col(key).isNotNull() & F.col(label).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(MOST_LABELS).collect()}
-    if not counts:
-        return rows.limit(0)
-    each = most / len(counts)
-    share: Column = F.lit(0.0)
-    for value, n in counts.items():
-        share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, each / n))).otherwise(share)
+    counts = rows.groupBy(F.col(label).alias("__of")).agg(F.count("*").alias("__n"))
+    n = counts.agg(F.count("*").alias("__labels"))
+    share = counts.crossJoin(n).select("__of", F.least(F.lit(1.0), F.lit(float(most)) / F.col("__labels") / F.col("__n")).alias("__share"))
     unit = F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    return rows.where(unit < share)
+    return rows.join(share, F.col(label) == F.col("__of")).where(unit < F.col("__share")).select(rows.columns)
 
 
 def one_text(rows: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomlake.llm.common import FOLD, Run, TextBatch, map_batches, mix, stored
+from loomlake.llm.common import FOLD, Run, Scratch, TextBatch, map_batches, mix, stored
 from loomlake.llm.decontaminate import Lookup, gram_keys
 from loomlake.runtime import ensure_package
 
@@ -131,9 +131,14 @@ def bound(n: Column, smallest: Column, largest: Column, percent: int) -> Column:
     return F.least(least_shared(n, smallest, percent), least_shared(n, largest, percent)) - 1
 
 
-def shared_only(index: DataFrame) -> DataFrame:
-    """The rows (token, node, n, k) whose token k > 1 nodes have."""
-    return index.withColumn("k", F.count("*").over(W.partitionBy("token"))).where("k > 1").select("token", "node", "n", "k")
+def shared_only(index: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows (token, node, n, k) whose token k > 1 nodes have.
+
+    Counts are summed in the tasks first and stored, so that the join has a shuffle of its own on either side and
+    Spark splits a hot token's rows.
+    """
+    counts = scratch.store(index.groupBy("token").agg(F.count("*").alias("k")).where("k > 1"), "counts")
+    return index.join(counts, "token").select("token", "node", "n", "k")
 
 
 def can_link(index: DataFrame, percent: int) -> DataFrame:
@@ -218,9 +223,9 @@ def probes(docs: DataFrame, key: str, text: str, size: int, percent: int, freque
     return map_batches(rows, run, "id bigint, n bigint, tokens array<bigint>")
 
 
-def texts_of(docs: DataFrame, key: str, text: str, ids: DataFrame) -> DataFrame:
+def texts_of(docs: DataFrame, key: str, text: str, ids: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(id, text) of the documents with the given ids, without moving other texts where the ids are few."""
-    ids = stored(ids.distinct(), "ids")
+    ids = scratch.store(ids.distinct(), f"ids-{name}")
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     return rows.join(F.broadcast(ids) if few else ids, "id", "left_semi")
@@ -246,15 +251,18 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return map_batches(both.select("a", "b", "text_a", "text_b"), run, "a bigint, b bigint").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, label) for every node of the edges (a, b): the smallest node of its component.
 
     Alternates large-star and small-star steps; every step is a grouped minimum and a
-    join, and its result is a written table, so a lost executor costs one step.
+    join, and its result is a written table, so a lost executor costs one step.  The
+    minima are written too: a join of two tables has a shuffle of its own on either
+    side, and Spark splits the links of a hot node.
     """
 
     c = F.col
-    state = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
+    step = 0
+    state = scratch.store(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-0")
     while True:
         # done when every node points at one root and no root points on
         roles = state.select(c("u").alias("x"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(state.select(c("v").alias("x"), F.lit(0).alias("below"), F.lit(1).alias("above")))
@@ -262,14 +270,16 @@ def components(edges: DataFrame) -> DataFrame:
         if not roles.where("below > 1 OR (below > 0 AND above > 0)").limit(1).count():
             return state.select(c("u").alias("node"), c("v").alias("label")).unionByName(state.select(c("v").alias("node"), c("v").alias("label")).distinct())
         both = state.unionByName(state.select(c("v").alias("u"), c("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(c("v").alias("u"), c("m").alias("v")).where("u <> v")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select("v", "m").unionByName(low.select(c("u").alias("v"), "m"))
-        state = stored(small.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u <> v").distinct(), "links")
+        low = scratch.store(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"{name}-low-{step}")
+        large = scratch.store(both.join(low, "u").where("v > u").select(c("v").alias("u"), c("m").alias("v")).where("u <> v"), f"{name}-large-{step}")
+        least = scratch.store(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-least-{step}")
+        small = large.join(least, "u").select("v", "m").unionByName(least.select(c("u").alias("v"), "m"))
+        state = scratch.store(small.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u <> v").distinct(), f"{name}-{step + 1}")
+        scratch.drop(f"{name}-{step}", *(f"{name}-{k}-{step}" for k in ("low", "large", "least")))
+        step += 1
 
 
-def link_nodes(index: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+def link_nodes(index: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int, scratch: Scratch) -> DataFrame:
     """(node, label) of the nodes that link with another, from the shared probe tokens (token, node, n, k, need, leaders)."""
     compatible = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
     c = F.col
@@ -277,23 +287,26 @@ def link_nodes(index: DataFrame, docs: DataFrame, key: str, text: str, size: int
     stars = index.select("node", "n", F.explode(F.filter("leaders", lambda x: x["node"] < c("node"))).alias("leader"))
     stars = stars.groupBy(c("node").alias("a"), c("leader.node").alias("b")).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("leader.n").alias("m"))
     stars = stars.where(compatible(c("n"), c("m")) & (c("c") >= least_shared(c("n"), c("m"), percent))).select("a", "b")
-    stars = stored(stars, "stars")
-    texts = texts_of(docs, key, text, stars.select(c("a").alias("id")).unionByName(stars.select(c("b").alias("id"))))
-    first = stored(verified(stars, stored(texts, "texts"), size, percent), "edges")
-    groups = components(first)
+    stars = scratch.store(stars, "stars")
+    texts = texts_of(docs, key, text, stars.select(c("a").alias("id")).unionByName(stars.select(c("b").alias("id"))), scratch, "stars")
+    first = scratch.store(verified(stars, scratch.store(texts, "texts-stars"), size, percent), "edges")
+    scratch.drop("texts-stars", "ids-stars", "stars")
+    groups = scratch.store(components(first, scratch, "groups"), "groups")
     # 5. matrix: group unions of probe tokens against queries of other groups
     rarest = F.row_number().over(W.partitionBy("node").orderBy("k", "token")) <= F.count("*").over(W.partitionBy("node")) - c("need") + 1
     member = index.select("token", "node", "n", rarest.alias("asks")).join(groups, "node", "left").select("token", "node", "n", "asks", F.coalesce("label", "node").alias("g"))
-    member = stored(member, "members")
+    member = scratch.store(member, "members")
+    scratch.drop("index")
     matrix = member.groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     span = member.groupBy("g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     near = (c("h") < c("g")) & (c("n") * 100 >= c("low") * percent) & (c("high") * 100 >= c("n") * percent)
     met = member.where("asks").join(matrix.select("token", c("g").alias("h"), "low", "high"), "token").where(near).select(c("node").alias("q"), "h").distinct()
     asked = met.join(member.select(c("node").alias("q"), "token", "n"), "q")
     open_ = asked.join(matrix.select("token", c("g").alias("h")), ["token", "h"]).groupBy("q", "h").agg(F.count("*").alias("c"), F.first("n").alias("n")).join(span.select(c("g").alias("h"), "low", "high"), "h")
-    open_ = stored(open_.where(qualifies(c("c"), c("n"), c("low"), c("high"), percent)).select("q", "h"), "open")
+    open_ = scratch.store(open_.where(qualifies(c("c"), c("n"), c("low"), c("high"), percent)).select("q", "h"), "open")
     # open groups are read in blocks of members; members that share enough probe tokens with the query are compared
-    held = stored(member.groupBy("node", "g").agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens")), "held")
+    held = scratch.store(member.groupBy("node", "g").agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens")), "held")
+    scratch.drop("members")
     sizes = held.groupBy("g").agg(F.ceil(F.count("*") / F.lit(BLOCK_MEMBERS)).alias("blocks")).join(open_.select(c("h").alias("g")).distinct(), "g", "left_semi")
     # a large group's members meet its size in SALTS tasks, then each other in blocks
     salted = held.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
@@ -301,11 +314,13 @@ def link_nodes(index: DataFrame, docs: DataFrame, key: str, text: str, size: int
     blocks = salted.join(sizes, ["g", "salt"]).groupBy(c("g").alias("h"), F.pmod(F.xxhash64("node"), c("blocks")).alias("block")).agg(F.collect_list(F.struct("node", "n", "tokens")).alias("members"))
     asked = open_.join(held.select(c("node").alias("q"), "n", "tokens"), "q").join(blocks, "h")
     near = lambda m: compatible(c("n"), m["n"]) & (F.size(F.array_intersect(c("tokens"), m["tokens"])) >= least_shared(c("n"), m["n"], percent))
-    pairs = stored(asked.select(c("q").alias("a"), F.explode(F.transform(F.filter("members", near), lambda m: m["node"])).alias("b")), "pairs")
-    texts = texts_of(docs, key, text, pairs.select(c("a").alias("id")).unionByName(pairs.select(c("b").alias("id"))))
-    second = verified(pairs, stored(texts, "texts"), size, percent)
+    pairs = scratch.store(asked.select(c("q").alias("a"), F.explode(F.transform(F.filter("members", near), lambda m: m["node"])).alias("b")), "pairs")
+    scratch.drop("held", "open")
+    texts = texts_of(docs, key, text, pairs.select(c("a").alias("id")).unionByName(pairs.select(c("b").alias("id"))), scratch, "pairs")
+    second = scratch.store(verified(pairs, scratch.store(texts, "texts-pairs"), size, percent), "links")
+    scratch.drop("texts-pairs", "ids-pairs", "pairs")
     # 6. classes: the groups and the links between them
-    return components(groups.where("node <> label").select(c("node").alias("a"), c("label").alias("b")).unionByName(second))
+    return components(groups.where("node <> label").select(c("node").alias("a"), c("label").alias("b")).unionByName(second), scratch, "classes")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -313,17 +328,23 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     spark: SparkSession = docs.sparkSession
     ensure_package(spark)
     given = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))
-    first = stored(measured(given, key, text, size), "measured")
-    sets = first.where("kind = 0").select("id", "n", "sig_a", "sig_b")
-    frequent = first.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_AT).orderBy(F.desc("n"), "id").limit(FREQUENT_LIMIT).select("id")
-    frequent = np.sort(frequent.toPandas()["id"].to_numpy(dtype=np.int64).view(np.uint64))
-    by_set = ["n", "sig_a", "sig_b"]
-    # stored, so that the last join has a shuffle of its own on either side and Spark splits a hot set's rows
-    nodes = stored(sets.where("n > 0 AND id IS NOT NULL").groupBy(*by_set).agg(F.min("id").alias("node")), "nodes")
-    tokens = probes(given, key, text, size, percent, frequent).join(nodes.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
-    index = tokens.select(F.col("id").alias("node"), "n", F.explode("tokens").alias("token"))
-    index = stored(shared_only(index), "index")
-    index = stored(can_link(index, percent), "index")
-    labels = link_nodes(stored(index.join(leaders(index), "token"), "index"), given, key, text, size, percent)
-    named = sets.join(nodes, by_set, "left").join(labels, "node", "left")
-    return named.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("label", "node", "id")).alias("component_id"))
+    with Scratch(spark, "jaccard") as scratch:
+        first = scratch.store(measured(given, key, text, size), "measured")
+        sets = first.where("kind = 0").select("id", "n", "sig_a", "sig_b")
+        frequent = first.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_AT).orderBy(F.desc("n"), "id").limit(FREQUENT_LIMIT).select("id")
+        frequent = np.sort(frequent.toPandas()["id"].to_numpy(dtype=np.int64).view(np.uint64))
+        by_set = ["n", "sig_a", "sig_b"]
+        # stored, so that the last join has a shuffle of its own on either side and Spark splits a hot set's rows
+        nodes = scratch.store(sets.where("n > 0 AND id IS NOT NULL").groupBy(*by_set).agg(F.min("id").alias("node")), "nodes")
+        tokens = probes(given, key, text, size, percent, frequent).join(nodes.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
+        index = scratch.store(tokens.select(F.col("id").alias("node"), "n", F.explode("tokens").alias("token")), "probes")
+        index = scratch.store(shared_only(index, scratch), "shared")
+        scratch.drop("probes", "counts")
+        index = scratch.store(can_link(index, percent), "linking")
+        scratch.drop("shared")
+        index = scratch.store(index.join(leaders(index), "token"), "index")
+        scratch.drop("linking")
+        labels = link_nodes(index, given, key, text, size, percent, scratch)
+        named = sets.join(nodes, by_set, "left").join(labels, "node", "left")
+        named = named.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("label", "node", "id")).alias("component_id"))
+        return stored(named, "classes")

@@ -47,8 +47,8 @@ FAMILIES = {
     "austronesian": "id jv mg mi ms su tl",
     "bantu": "rw sn sw xh zu",
 }
-#: Labelled rows that the models are fitted on at most.
-SAMPLE_ROWS = 2400
+#: Labelled rows that the models are fitted on at most, or so many of each language if that is more.
+SAMPLE_ROWS, LEAST_ROWS = 2400, 20
 UNDETERMINED = "und"
 
 _letters = np.full(256, 0x20, dtype=np.uint8)
@@ -149,9 +149,13 @@ def fit(x: np.ndarray, labels: list[str], space: Space = FEATURES) -> Model | No
 
 
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS, text: str = "text", label: str = "lang", key: str = "doc_id", where: Column | None = None) -> Model | None:
-    """Fits the models on at most about ``rows`` labelled documents, chosen by hash of their id, evenly by language."""
+    """Fits the models on at most about ``rows`` labelled documents, chosen by hash of their id, evenly by language.
+
+    Every language of the labelled rows is learned: with more than rows / LEAST_ROWS of them, the bound is LEAST_ROWS a language.
+    """
     known = docs if where is None else docs.where(where)
     known = known.where(F.col(label).isNotNull() & (F.col(label) != UNDETERMINED) & F.col(text).isNotNull())
+    rows = max(rows, LEAST_ROWS * known.select(label).distinct().count())
     sample = bounded_sample(known.select(F.col(key).alias("__id"), F.col(text).alias("__text"), F.col(label).alias("__label")), "__label", "__id", rows)
     return fit(*collect_vectors(one_text(sample), "__text", "__label", FEATURES, rows))
 

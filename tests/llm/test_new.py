@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomlake.llm import fim, merge_replay, queries, resample
+from loomlake.llm import fim, jaccard, langid, merge_replay, queries, resample
 
 SF = os.environ.get("TEST_LLM_DIR", "/root/testdata/sf0.01")
 need_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -255,3 +255,52 @@ def test_one_document_repeated_is_ranked_row_by_row(spark):
 def test_resampling_query(spark):
     got = queries.op13_resample(spark, SF).collect()
     assert sorted(map(tuple, got), key=repr) == drawn(texts(spark), [t for _, t in texts(spark, "benchmark")])
+
+
+# ---------------------------------------------------------------- 2, 7
+
+
+def test_every_language_is_learned(spark):
+    """Two hundred labels, a third of all rows in one: the rare ones are learned as well."""
+    rows = [(i, " ".join(f"w{k}x{j}" for j in range(6)), f"l{k}") for i, k in enumerate([*[0] * 1500, *(k for k in range(1, 200) for _ in range(15))])]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=400)
+    assert len(model.languages) == 200
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_classes_do_not_depend_on_the_order_of_ids(spark, seed):
+    """Near copies whose originals have no small ids, a template that half of the rows share, and a chain of links."""
+    rnd = random.Random(seed)
+    words = [f"w{i}" for i in range(400)]
+    template = " ".join(rnd.choice(words) for _ in range(12))
+    rows = []
+    for _ in range(12):
+        base = [rnd.choice(words) for _ in range(60)]
+        rows.append(" ".join(base))
+        for _ in range(rnd.randint(0, 5)):
+            copy = list(base)
+            copy[rnd.randrange(60)] = "changed"
+            rows.append(" ".join(copy))
+            base = copy if rnd.random() < 0.5 else base
+    rows += [template + " " + " ".join(rnd.choice(words) for _ in range(6)) for _ in range(40)]
+    ids = rnd.sample(range(10_000), len(rows))
+    sets = []
+    for t in rows:
+        w = t.split()
+        sets.append({tuple(w[i : i + 4]) for i in range(len(w) - 3)})
+    label = list(range(len(rows)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                label[root(i)] = root(j)
+    least = {}
+    for i in range(len(rows)):
+        least[root(i)] = min(least.get(root(i), 1 << 60), ids[i])
+    got = {r.doc_id: r.component_id for r in jaccard.classes(spark.createDataFrame(list(zip(ids, rows)), "doc_id long, text string")).collect()}
+    assert got == {ids[i]: least[root(i)] for i in range(len(rows))}
