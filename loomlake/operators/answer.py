@@ -102,14 +102,15 @@ def ask(chunks: DataFrame, vectors: DataFrame, question: str, embedder: Embedder
     if not rows:
         return {"prompt": None, "sources": [], "answer": retrieval.NO_ANSWER, "fallback": False}
     scores = reranker.rerank(question, [r["text"] or "" for r in rows]) if reranker else [r["score"] for r in rows]
-    names = [c for c in ("rank", "chunk_id", "doc_id", "score", "title", "section_header", "text") if c in hits.columns]
+    names = [c for c in ("rank", "chunk_id", "doc_id", "score", "title", "section_header", "source_ref", "text") if c in hits.columns]
     kinds = ", ".join(f"{n} {dict(hits.dtypes)[n]}" for n in names)
     scored = spark.createDataFrame([(1, *(r[n] for n in names), s) for r, s in zip(rows, scores)], f"query_id int, {kinds}, rerank_score double")
     scored = scored.withColumn("rerank_rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc_nulls_last("rerank_score"), "rank")))
     fallback = bool(retrieval.guardrail(scored).first().fallback)
     exact: Column = F.contains(F.lower(F.concat_ws(" ", *[n for n in ("title", "section_header") if n in names], F.substring(F.coalesce("text", F.lit("")), 1, 500))), F.lit(question.strip().lower()))
     final = retrieval.blend(scored, exact, k).withColumn("rank", F.col("blend_rank") if fallback else F.col("rerank_rank"))
-    key = retrieval.dedupe_key(*[F.col(n).cast("string") for n in ("title", "section_header") if n in names], F.substring(F.coalesce("text", F.lit("")), 1, 600))
+    there = lambda n, other: F.col(n) if n in names else other
+    key = retrieval.dedupe_key(there("source_ref", F.col("doc_id")), there("title", F.lit("")), there("section_header", F.lit("")), F.col("text"))
     final = retrieval.dedupe_backfill(final.withColumn("key", key), F.col("key"), k).withColumn("rank", F.col("final_rank"))
     title = F.coalesce(F.col("title"), F.col("doc_id").cast("string")) if "title" in names else F.col("doc_id").cast("string")
     final = final.withColumn("section", retrieval.source_section(F.col("rank"), title, F.coalesce("text", F.lit("")), F.col("section_header") if "section_header" in names else None))

@@ -199,9 +199,11 @@ def percent(x: Column) -> Column:
     return F.when(x.isNull(), "n/a").otherwise(F.format_string("%.1f%%", x * 100))
 
 
-def largest_drop(f: DataFrame, metric: str) -> DataFrame:
-    """The run with the largest drop; of equal ones the first by run id."""
-    return f.agg(F.min_by(F.struct("run_id", c(metric).alias("drop")), F.struct(-c(metric), "run_id")).alias("r")).select("r.*")
+def largest_drop(f: DataFrame, metric: str, runs: DataFrame) -> DataFrame:
+    """The run with the largest drop; of equal ones the first in report order, which is by latest start, then run id."""
+    f = f.join(runs.select("run_id", "started_at"), "run_id", "left")
+    first = F.struct(-c(metric), c("started_at").isNull(), -F.unix_micros(c("started_at").cast("timestamp")), "run_id")
+    return f.agg(F.min_by(F.struct("run_id", c(metric).alias("drop")), first).alias("r")).select("r.*")
 
 
 def report(runs: DataFrame, events: DataFrame, source_type: str = "confluence", **filters: str | None) -> dict[str, DataFrame]:
@@ -214,7 +216,7 @@ def report(runs: DataFrame, events: DataFrame, source_type: str = "confluence",
         "runs": run_overview(runs, types), "funnel": f, "quality": quality(f, types), "drop_off": drop_offs(f), "stage_stats": stage_stats(events),
         "reason_codes": reason_examples(events), "top_reasons": top_reasons(events), "top_reasons_by_stage": top_reasons(events, "stage", 5), "top_reasons_by_run": top_reasons(events, "run_id", 5),
         "problem_documents": problem_documents(events), "instance_reasons": instance_reasons(events, source_type), "loaded_not_chunked": loaded_not_chunked(own), "ok_but_empty": ok_but_empty(own),
-        "largest_expected": largest_drop(f, "expected_dropoff"), "largest_problematic": largest_drop(f, "problematic_dropoff"),
+        "largest_expected": largest_drop(f, "expected_dropoff", runs), "largest_problematic": largest_drop(f, "problematic_dropoff", runs),
     }
 
 

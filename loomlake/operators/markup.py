@@ -45,7 +45,7 @@ VOID = {"br", "hr", "img", "input", "meta", "link", "col", "ri:user", "ri:page",
 HEADER_PAIRS = ({"key", "field", "name", "property"}, {"value", "wert"})
 
 
-@dataclass
+@dataclass(eq=False)
 class Node:
     tag: str
     attrs: dict[str, str] = field(default_factory=dict)
@@ -58,6 +58,17 @@ class Node:
                     yield x
                 yield from x.find(*tags)
 
+    def nearest(self, tag: str, stop: str) -> list[Node]:
+        """The nodes of a tag below this one, not those inside another node of the tag ``stop``; in order, each node is visited once."""
+        out, left = [], [x for x in reversed(self.children) if isinstance(x, Node)]
+        while left:
+            x = left.pop()
+            if x.tag == tag:
+                out.append(x)
+            if x.tag != stop:
+                left += [y for y in reversed(x.children) if isinstance(y, Node)]
+        return out
+
     def first(self, tag: str) -> Node | None:
         return next(self.find(tag), None)
 
@@ -245,7 +256,7 @@ class Renderer:
         return Task(text, "completed" if status and status.text().strip().lower() == "complete" else "open", people, links, due.group(1) if due else None, keep, drop)
 
     def table(self, n: Node) -> str:
-        own = [r for r in n.find("tr") if not any(r in list(t.find("tr")) for t in n.find("table"))]
+        own = n.nearest("tr", "table")
         rows = [[c for c in r.children if isinstance(c, Node) and c.tag in ("td", "th")] for r in own]
         rows = [r for r in rows if r]
         if not rows:

@@ -165,8 +165,15 @@ def blend(rows: DataFrame, exact: Column, final_k: int | None = None) -> DataFra
     return rows.withColumn("blend_rank", F.row_number().over(order))
 
 
-def dedupe_key(*parts: Column) -> Column:
-    return F.sha2(F.concat_ws("||", *[F.coalesce(p, F.lit("")) for p in parts]), 256)
+#: Characters of a text that tell it from others of the same source, title and section.
+KEY_CHARS = 600
+
+
+def dedupe_key(source_ref: Column, title: Column, section: Column, text: Column) -> Column:
+    """What hits with the same passage share: source, title, section and the head of the text, without case and white space at the ends."""
+    plain = lambda x: F.lower(strip(F.coalesce(x.cast("string"), F.lit(""))))
+    head = F.lower(F.substring(strip(F.coalesce(text, F.lit(""))), 1, KEY_CHARS))
+    return F.sha2(F.concat_ws("||", plain(source_ref), plain(title), plain(section), head), 256)
 
 
 def dedupe_backfill(rows: DataFrame, key: Column, k: int = FINAL) -> DataFrame:

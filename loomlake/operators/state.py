@@ -55,15 +55,6 @@ def first_match(value: Column, rules: list[tuple[str, str]], default: str, kind:
     return out
 
 
-def publish_route(rows: DataFrame, routes: dict[str, str], space: str = "space") -> DataFrame:
-    """Adds target: the space's folder, or one for unmapped and missing spaces."""
-    own = F.trim(F.coalesce(c(space), F.lit("")))
-    target = F.concat(F.lit("_unmapped/wiki/"), F.when(own == "", "_missing_space").otherwise(own))
-    for name, folder in routes.items():
-        target = F.when(own == name, F.lit(folder)).otherwise(target)
-    return rows.withColumn("target", target)
-
-
 def manifest(statuses: DataFrame, run: str = "run_id") -> DataFrame:
     n = lambda *s: F.count_if(c("status").isin(*s))
     return statuses.groupBy(run).agg(F.count("*").alias("seen"), n("new", "changed").alias("processed"), n("unchanged").alias("skipped"), n("failed").alias("failed"), n("changed").alias("changed"))

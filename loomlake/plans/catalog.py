@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -199,7 +198,7 @@ def guardrail_blend(spark, sf_dir):
 
 _SECTION_SQL = r"""trim('SOURCE ' || final_rank || chr(10) || 'Title: ' || title || CASE WHEN section_header <> '' THEN chr(10) || 'Section: ' || section_header ELSE '' END || chr(10) || 'Tags: ' || array_to_string(list_filter(tags, lambda t: t <> ''), ', ') || chr(10) || chr(10) || """ + _STRIP.format("coalesce(text, '')") + ")"
 _FINAL_SQL = f"""{_hybrid_sql(100)}, f1 AS (
-  SELECT h.query_id, h.rank, h.chunk_id, w.*, row_number() OVER (PARTITION BY h.query_id, sha256(concat_ws('||', w.source_type, title, section_header, substring(coalesce(text, ''), 1, 600))) ORDER BY h.rank) AS n
+  SELECT h.query_id, h.rank, h.chunk_id, w.*, row_number() OVER (PARTITION BY h.query_id, sha256(concat_ws('||', lower(w.source_type), lower(trim(title)), lower(trim(section_header)), lower(substring({_STRIP.format("coalesce(text, '')")}, 1, 600)))) ORDER BY h.rank) AS n
   FROM hybrid h JOIN whole w USING (chunk_id) WHERE h.rank <= 100
 ), f2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS final_rank FROM f1 WHERE n = 1), final AS (SELECT * FROM f2 WHERE final_rank <= 7)
 """
@@ -207,7 +206,7 @@ _FINAL_SQL = f"""{_hybrid_sql(100)}, f1 AS (
 
 def _final(spark, sf_dir):
     rows = _hybrid(spark, sf_dir).drop("doc_id").join(views.whole(spark, sf_dir), "chunk_id")
-    key = retrieval.dedupe_key(c("source_type"), c("title"), c("section_header"), F.substring(F.coalesce("text", F.lit("")), 1, 600))
+    key = retrieval.dedupe_key(c("source_type"), c("title"), c("section_header"), c("text"))
     return retrieval.dedupe_backfill(rows.withColumn("key", key), c("key"))
 
 
@@ -428,17 +427,25 @@ def glob_mapping(spark, sf_dir):
     return views.table(spark, sf_dir, "pages").select("page_id", state.first_match(c("url"), rules, "none", kind="glob").alias("target"))
 
 
-@query("SELECT doc_id, CASE WHEN source = 'src0' THEN 'domains/core' WHEN source = 'src1' THEN 'domains/ops' ELSE '_unmapped/wiki/' || coalesce(nullif(trim(source), ''), '_missing_space') END AS target FROM documents")
+@query("SELECT doc_id, CASE WHEN source IN ('src0', 'src1') THEN 'published' ELSE 'unmapped' END AS status, '/out/' || CASE WHEN source = 'src0' THEN 'domains/core' WHEN source = 'src1' THEN 'domains/ops' ELSE '_unmapped/confluence/' || coalesce(nullif(trim(source), ''), '_missing_space') END || '/' || doc_id || '.md' AS target FROM documents")
 def publish_route(spark, sf_dir):
-    rows = views.table(spark, sf_dir, "documents").select("doc_id", c("source").alias("space"))
-    return state.publish_route(rows, {"src0": "domains/core", "src1": "domains/ops"}).select("doc_id", "target")
+    rows = views.table(spark, sf_dir, "documents")
+    value = lambda k: F.when(F.lit(k) == "space_key", F.coalesce("source", F.lit(""))).otherwise("x")
+    meta = F.map_from_arrays(F.array(*[F.lit(k) for k in pages.PUBLISH_KEYS]), F.array(*[F.to_json(F.array(value(k))) for k in pages.PUBLISH_KEYS]))
+    meta = F.transform_values(meta, lambda k, v: F.regexp_replace(v, r"^\[|\]$", ""))
+    staged = rows.select(F.concat(c("doc_id").cast("string"), F.lit(".md")).alias("rel_path"), meta.alias("metadata"), F.lit("").alias("body"), F.lit("now").alias("published_at"))
+    routes = spark.createDataFrame([("src0", "domains/core"), ("src1", "domains/ops")], "space string, domain_path string")
+    return pages.publish(staged, routes, "/in", "/out").select(F.regexp_replace("rel_path", "[.]md$", "").cast("long").alias("doc_id"), "status", "target")
 
 
 # ---------------------------------------------------------------- terminology
 
 _TERM = "[A-Z][a-z]{3,}"
-_CAND_SQL = f"""p AS (SELECT source, doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{_TERM}')) AS term, generate_subscripts(regexp_extract_all(coalesce(text, ''), '{_TERM}'), 1) AS pos FROM documents),
-cand AS (SELECT source, lower(term) AS norm, count(*) AS n, arg_min(term, (doc_id, pos)) AS term, min(doc_id) AS first_seen, max(doc_id) AS last_seen FROM p WHERE NOT (lower(term) LIKE 'the%') GROUP BY ALL)"""
+_CAND_SQL = f"""m AS (SELECT source, doc_id, text, regexp_extract_all(text, '{_TERM}') AS found, string_split_regex(text, '{_TERM}') AS between FROM documents),
+o AS (SELECT source, doc_id, text, unnest(found) AS term, unnest(list_transform(between[1:len(found)], lambda x: length(x))) AS gap, generate_subscripts(found, 1) AS pos FROM m),
+e AS (SELECT *, sum(gap + length(term)) OVER (PARTITION BY doc_id ORDER BY pos) AS ends FROM o),
+p AS (SELECT source, doc_id, term, pos, CAST(ends AS BIGINT) AS ends, trim(regexp_replace(substring(text, CAST(greatest(ends - length(term) - 40, 0) AS BIGINT) + 1, CAST(ends + 40 - greatest(ends - length(term) - 40, 0) AS BIGINT)), '[\\s\\x0b\\x1c-\\x1f\\x85\\xa0]+', ' ', 'g')) AS context FROM e),
+cand AS (SELECT source, lower(term) AS norm, count(*) AS n, arg_min(term, (doc_id, pos)) AS term, arg_min(context, (doc_id, pos)) AS example_context, min(doc_id) AS first_seen, max(doc_id) AS last_seen FROM p WHERE NOT (lower(term) LIKE 'the%') GROUP BY ALL)"""
 
 
 def _candidates(spark, sf_dir):
@@ -450,10 +457,12 @@ def term_candidates(spark, sf_dir):
     return _candidates(spark, sf_dir)
 
 
-@query(f"WITH {_CAND_SQL} SELECT source, norm, CASE WHEN n % 2 = 0 THEN 2 * n ELSE n END AS n, term, first_seen, last_seen FROM cand")
+@query(f"WITH {_CAND_SQL} SELECT source, norm, CASE WHEN n % 2 = 0 THEN n + 5 ELSE n END AS n, term, example_context, CASE WHEN n % 2 = 0 THEN -1 ELSE first_seen END AS first_seen, last_seen FROM cand")
 def candidate_merge(spark, sf_dir):
+    """An earlier report of half of the candidates with counts and places of its own, merged with this one."""
     new = _candidates(spark, sf_dir)
-    return terminology.merge_report(new.where("n % 2 = 0"), new)
+    old = new.where("n % 2 = 0").withColumns({"n": F.lit(5).cast("long"), "first_seen": F.lit(-1).cast("long"), "last_seen": F.lit(-1).cast("long")})
+    return terminology.merge_report(old, new)
 
 
 @query(f"WITH {_CAND_SQL} SELECT source, norm, n, k.term_id IS NOT NULL AS known, CASE WHEN k.term_id IS NOT NULL THEN 'add_alias' WHEN n >= 3 THEN 'new_term' ELSE 'needs_review' END AS action, CASE WHEN k.term_id IS NOT NULL THEN 'done' ELSE 'open' END AS state FROM cand LEFT JOIN (VALUES ('anre', 't1'), ('orin', 't2')) k(norm, term_id) USING (norm)")
@@ -474,14 +483,8 @@ def text_names(spark, sf_dir):
     return rows.select("page_id", tx.slug(c("url")).alias("slug"), tx.title_from_name(F.regexp_extract("url", "[^/]*$", 0)).alias("title"), tx.duration(c("page_id") * 977).alias("duration"))
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(lower(substring(coalesce(text, ''), 1, 80)), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), '/', ' '), '[^a-z0-9\s_-]', '', 'g'), '[_-]', ' ', 'g'), '~', ''), '\s+', ' ', 'g')) AS property_key FROM documents""")
-def property_normalise(spark, sf_dir):
-    return views.table(spark, sf_dir, "documents").select("doc_id", tx.property_key(F.substring(F.coalesce("text", F.lit("")), 1, 80)).alias("property_key"))
-
-
 @query(r"""SELECT doc_id, trim(regexp_replace(replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(lower(coalesce(text, '')), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), '/', ' '), '[^a-z0-9\s_-]', '', 'g'), '[_-]', ' ', 'g'), '~', ''), '\s+', ' ', 'g')) AS property_key FROM documents""")
-def property_normalise_whole(spark, sf_dir):
-    """As ``property_normalise``, which its SQL holds to the first 80 characters, over whole texts."""
+def property_normalise(spark, sf_dir):
     return views.table(spark, sf_dir, "documents").select("doc_id", tx.property_key(F.coalesce("text", F.lit(""))).alias("property_key"))
 
 
@@ -532,22 +535,19 @@ def term_annotated_text(spark, sf_dir):
     return terminology.apply(rows, _TERMS[1:2], modes).select("doc_id", F.md5(c("text").cast("binary")).alias("annotated"))
 
 
-@query()
-def term_matches(spark, sf_dir):
-    """Matches, annotated length and lines of the terminology block of every document."""
-    ensure_package(spark)
-    terms = _TERMS[:2]
+_PADDED = r"regexp_replace(lower(coalesce(text, '')), '([^\p{L}\p{N}_])', ' \1 ', 'g')"
+
 
-    def matched(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts.fillna(""):
-            hits = terminology.match(t, terms)
-            block = terminology.block(hits, terms, 1)
-            rows.append((len(hits), min((h[0] for h in hits), default=-1), len(terminology.annotate(t, hits)[0]), block.count("\n")))
-        return pd.DataFrame(rows, columns=["n", "first", "annotated_chars", "block_lines"])
+def _times(form: str) -> str:
+    return rf"len(regexp_extract_all(' ' || t || ' ', '[^\p{{L}}\p{{N}}_]{form}[^\p{{L}}\p{{N}}_]'))"
 
-    found = F.pandas_udf(matched, "n int, first int, annotated_chars int, block_lines int")(c("text"))
-    return views.table(spark, sf_dir, "documents").select("doc_id", found.alias("m")).select("doc_id", "m.*")
+
+@query(f"""WITH p AS (SELECT doc_id, {_PADDED} AS t FROM documents), n AS (SELECT doc_id, 't1' AS term_id, {_times('and')} + {_times('der')} AS n FROM p
+UNION ALL SELECT doc_id, 't2', {_times('that')} FROM p) SELECT doc_id, term_id, CAST(n AS BIGINT) AS n FROM n WHERE n > 0""")
+def term_matches(spark, sf_dir):
+    """Matches of two terms with three forms in every document."""
+    found = terminology.occurrences(views.table(spark, sf_dir, "documents").select("doc_id", "text"), _TERMS[:2])
+    return found.groupBy("doc_id", "term_id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT source, mode, mode <> 'off' AND coalesce(e, mode <> 'off') AS candidates, count(*) AS n FROM (SELECT source, CASE source WHEN 'src0' THEN 'annotate_and_block' WHEN 'src1' THEN 'block_only' WHEN 'src2' THEN 'annotate_and_block' ELSE 'off' END AS mode, CASE source WHEN 'src0' THEN true WHEN 'src2' THEN false WHEN 'src3' THEN true END AS e FROM documents) GROUP BY ALL")
@@ -660,16 +660,10 @@ def property_promote(spark, sf_dir):
     return answer.promote(pairs, rules, existing)
 
 
-@query(f"WITH {_FUNNEL_SQL} SELECT arg_max(run_id, (expected_dropoff, run_id)) AS largest_expected, max(expected_dropoff) AS expected, arg_max(run_id, (problematic_dropoff, run_id)) AS largest_problematic, max(problematic_dropoff) AS problematic FROM funnel")
-def audit_largest_drops(spark, sf_dir):
-    f = audit.funnel(views.events(spark, sf_dir))
-    return f.agg(F.max_by("run_id", F.struct("expected_dropoff", "run_id")).alias("largest_expected"), F.max("expected_dropoff").alias("expected"), F.max_by("run_id", F.struct("problematic_dropoff", "run_id")).alias("largest_problematic"), F.max("problematic_dropoff").alias("problematic"))
-
-
-@query(r"SELECT page_id, CASE WHEN regexp_matches(title, '(?i)^log\s+\d{4}\b') THEN 'filtered_by_rule' WHEN length(html) < 400 THEN 'too_small' ELSE 'ok' END AS verdict FROM (SELECT page_id, html, CASE WHEN page_id % 5 = 0 THEN 'Log 2024 x' ELSE url END AS title FROM pages)")
+@query(r"SELECT page_id, CASE WHEN regexp_matches(title, '(?i)^log\s+\d{4}\b') THEN 'filtered_by_rule' WHEN length(html) < 400 OR length(trim(url)) < 30 AND page_id % 7 > 0 THEN 'too_small_for_chunking' END AS verdict FROM (SELECT page_id, html, url, CASE WHEN page_id % 5 = 0 THEN 'Log 2024 x' ELSE url END AS title FROM pages)")
 def page_filters(spark, sf_dir):
     title = F.when(c("page_id") % 5 == 0, "Log 2024 x").otherwise(c("url"))
-    return views.table(spark, sf_dir, "pages").select("page_id", F.when(title.rlike(r"(?i)^log\s+\d{4}\b"), "filtered_by_rule").when(F.length("html") < 400, "too_small").otherwise("ok").alias("verdict"))
+    return views.table(spark, sf_dir, "pages").select("page_id", pages.verdict(title, c("html"), c("url"), c("page_id") % 7 == 0, raw_minimum=400, final_minimum=30).alias("verdict"))
 
 
 # ---------------------------------------------------------------- reports over selected runs
@@ -751,13 +745,26 @@ def audit_instance_reasons(spark, sf_dir):
     return audit.instance_reasons(views.events(spark, sf_dir), "wiki")
 
 
-@query(f"WITH {_FUNNEL_SQL} SELECT 'expected' AS kind, arg_min(run_id, (-expected_dropoff, run_id)) AS run_id, max(expected_dropoff) AS drop FROM funnel UNION ALL SELECT 'problematic', arg_min(run_id, (-problematic_dropoff, run_id)), max(problematic_dropoff) FROM funnel")
+_DROPS_SQL = f"WITH {_FUNNEL_SQL}, {_RUNS_SQL}, d AS (SELECT funnel.*, -epoch_us(started_at) AS late FROM funnel LEFT JOIN runs USING (run_id))"
+
+
+@query(f"{_DROPS_SQL} SELECT 'expected' AS kind, arg_min(run_id, (-expected_dropoff, late, run_id)) AS run_id, max(expected_dropoff) AS drop FROM d UNION ALL SELECT 'problematic', arg_min(run_id, (-problematic_dropoff, late, run_id)), max(problematic_dropoff) FROM d")
 def audit_largest_first(spark, sf_dir):
-    f = audit.funnel(views.events(spark, sf_dir))
-    rows = [audit.largest_drop(f, f"{k}_dropoff").select(F.lit(k).alias("kind"), "run_id", "drop") for k in ("expected", "problematic")]
+    e = views.events(spark, sf_dir)
+    f, runs = audit.funnel(e), _runs(spark, sf_dir)
+    rows = [audit.largest_drop(f, f"{k}_dropoff", runs).select(F.lit(k).alias("kind"), "run_id", "drop") for k in ("expected", "problematic")]
     return rows[0].unionByName(rows[1])
 
 
+@query(f"{_DROPS_SQL} SELECT arg_min(run_id, (-expected_dropoff, late, run_id)) AS largest_expected, max(expected_dropoff) AS expected, arg_min(run_id, (-problematic_dropoff, late, run_id)) AS largest_problematic, max(problematic_dropoff) AS problematic FROM d")
+def audit_largest_drops(spark, sf_dir):
+    """Both largest drops in one row."""
+    e = views.events(spark, sf_dir)
+    f, runs = audit.funnel(e), _runs(spark, sf_dir)
+    one = lambda k: audit.largest_drop(f, f"{k}_dropoff", runs).select(c("run_id").alias(f"largest_{k}"), c("drop").alias(k))
+    return one("expected").crossJoin(F.broadcast(one("problematic")))  # one row each
+
+
 @query(f"WITH {_FUNNEL_SQL} SELECT run_id, format('{{:.1f}}%', 100.0 * chunked_docs / greatest(1, transformed_ok)) AS quote FROM funnel")
 def audit_percent(spark, sf_dir):
     f = audit.funnel(views.events(spark, sf_dir))
@@ -841,22 +848,29 @@ def title_choice(spark, sf_dir):
     return views.table(spark, sf_dir, "pages").select("page_id", title.alias("title"))
 
 
-@query("""SELECT conv_id, string_agg('[' || n || '] ' || t, chr(10) ORDER BY n, turn) AS block FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN row_number() OVER (PARTITION BY conv_id ORDER BY turn) ELSE 20 - turn END AS n,
-CASE WHEN turn % 4 = 0 THEN 'doc' || turn ELSE role END || CASE WHEN turn % 2 = 0 THEN ' – s' || turn ELSE '' END AS t FROM conversations WHERE role <> '' AND turn < 20) GROUP BY conv_id""")
+_CITED_SQL = """cited AS (SELECT conv_id, turn // 20 AS part, turn % 20 AS turn, coalesce(role, '') AS role FROM conversations)"""
+
+
+def _cited(spark, sf_dir):
+    """The sources of answers: the turns of all conversations in parts of 20, numbered within a part."""
+    rows = views.table(spark, sf_dir, "conversations")
+    return rows.select("conv_id", F.floor(c("turn") / 20).alias("part"), (c("turn") % 20).alias("turn"), F.coalesce("role", F.lit("")).alias("role"))
+
+
+@query(f"""WITH {_CITED_SQL} SELECT conv_id, part, string_agg('[' || n || '] ' || t, chr(10) ORDER BY n, turn) AS block FROM (SELECT conv_id, part, turn, CASE WHEN turn % 3 = 0 THEN row_number() OVER (PARTITION BY conv_id, part ORDER BY turn) ELSE 20 - turn END AS n,
+CASE WHEN turn % 4 = 0 OR role = '' THEN 'doc' || turn ELSE role END || CASE WHEN turn % 2 = 0 THEN ' – s' || turn ELSE '' END AS t FROM cited) GROUP BY conv_id, part""")
 def sources_block(spark, sf_dir):
-    rows = views.table(spark, sf_dir, "conversations").where("role <> '' AND turn < 20")
     t = c("turn").cast("string")
     one = F.struct("turn", F.when(c("turn") % 3 == 0, 0).otherwise((20 - c("turn")).cast("int")).alias("source_number"), t.alias("chunk_id"), F.when(c("turn") % 4 == 0, " ").otherwise(c("role")).alias("title"), F.concat(F.lit("doc"), t).alias("doc_id"), F.when(c("turn") % 2 == 0, F.concat(F.lit("s"), t)).alias("section_header"))
-    return rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("s")).select("conv_id", retrieval.sources_block(c("s")).alias("block"))
+    return _cited(spark, sf_dir).groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(one)).alias("s")).select("conv_id", "part", retrieval.sources_block(c("s")).alias("block"))
 
 
-@query("""SELECT conv_id, string_agg(k || '=' || n, ',' ORDER BY k) AS cited FROM (SELECT conv_id, 'c' || (turn % 4) AS k, arg_max(n, turn) AS n FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN row_number() OVER (PARTITION BY conv_id ORDER BY turn) ELSE 20 - turn END AS n FROM conversations WHERE turn < 20) WHERE turn % 4 > 0 GROUP BY ALL) GROUP BY conv_id""")
+@query(f"""WITH {_CITED_SQL} SELECT conv_id, part, string_agg(k || '=' || n, ',' ORDER BY k) AS cited FROM (SELECT conv_id, part, 'c' || (turn % 4) AS k, arg_max(n, turn) AS n FROM (SELECT conv_id, part, turn, CASE WHEN turn % 3 = 0 THEN row_number() OVER (PARTITION BY conv_id, part ORDER BY turn) ELSE 20 - turn END AS n FROM cited) WHERE turn % 4 > 0 GROUP BY ALL) GROUP BY conv_id, part""")
 def citation_numbers(spark, sf_dir):
-    rows = views.table(spark, sf_dir, "conversations").where("turn < 20")
     chunk = F.when(c("turn") % 4 > 0, F.concat(F.lit("c"), (c("turn") % 4).cast("string")))
     one = F.struct("turn", F.when(c("turn") % 3 == 0, F.lit(None)).otherwise((20 - c("turn")).cast("int")).alias("source_number"), chunk.alias("chunk_id"))
-    g = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("s")).select("conv_id", retrieval.citation_map(c("s")).alias("m")).where(F.size("m") > 0)
-    return g.select("conv_id", F.array_join(F.array_sort(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ",").alias("cited"))
+    g = _cited(spark, sf_dir).groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(one)).alias("s")).select("conv_id", "part", retrieval.citation_map(c("s")).alias("m")).where(F.size("m") > 0)
+    return g.select("conv_id", "part", F.array_join(F.array_sort(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ",").alias("cited"))
 
 
 # ---------------------------------------------------------------- inventories, vectors, requested properties

@@ -229,7 +229,6 @@ def test_terms_by_source_mode(spark):
 def test_candidate_report(spark, tmp_path):
     docs = spark.createDataFrame([(1, "wiki", "x " * 40 + "ALPHA first ALPHA"), (2, "wiki", "again ALPHA and BETA-x"), (3, "mail", "INFO ALPHA")], "doc_id int, source string, text string")
     rows = terminology.candidates(docs, terminology.CANDIDATE, exclude=["info"])
-    rows = terminology.with_context(rows, docs, terminology.CANDIDATE)
     got = {(r.source, r.norm): r for r in rows.collect()}
     assert got[("wiki", "alpha")].n == 3 and got[("wiki", "alpha")].example_context == "x " * 20 + "ALPHA first ALPHA" and ("mail", "info") not in got
     report = rows.select(F.col("source").alias("source_type"), "term", F.col("n").alias("count"), F.col("first_seen").alias("first_seen_file"), F.col("last_seen").alias("last_seen_file"), "example_context", *[F.lit(d).alias(n) for n, d in list(terminology.REPORT.items())[6:]])
@@ -379,3 +378,126 @@ def test_ask_from_question_to_answer(spark):
     with pytest.raises(ValueError):
         answer.check_index({"model": "a"}, "p", "b")
     answer.check_index({}, "p", "b")
+
+
+# ---------------------------------------------------------------- terms in texts
+
+
+def looked_up(text, terms, source=None):
+    """Each form of each term by a pattern of its own."""
+    import re
+
+    found = []
+    for order, t in enumerate(terms):
+        if t.applies_to and source not in t.applies_to:
+            continue
+        spans = {}
+        for form in sorted({f for f in (t.canonical, *t.aliases) if f}, key=len, reverse=True):
+            for m in re.finditer(rf"(?<!\w){re.escape(form)}(?!\w)", text, 0 if t.case_sensitive else re.IGNORECASE):
+                spans.setdefault(m.span(), m.group())
+        if spans:
+            own = sorted(spans.items())
+            found.append((own[0][0][0], order, [(a, b, t, said) for (a, b), said in own]))
+    return [hit for _, _, hits in sorted(found, key=lambda x: x[:2]) for hit in hits]
+
+
+def test_automaton_finds_what_patterns_find():
+    import random
+
+    rnd = random.Random(8)
+    alphabet = ["a", "A", "b", "B", "ß", "ẞ", "ss", "İ", "i", "ı", "ſ", "s", "K", "k", "µ", "μ", "é", "É", " ", " ", "-", ".", "_", "1", "Σ", "ς", "ﬅ", "ﬆ", "\U00010400", "\U00010428"]
+    word = lambda n: "".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, n)))
+    for _ in range(300):
+        terms = [terminology.Term(f"t{i}", word(3), tuple(word(4) for _ in range(rnd.randint(0, 3))), case_sensitive=rnd.random() < 0.3, applies_to=("x",) if rnd.random() < 0.2 else ()) for i in range(rnd.randint(1, 8))]
+        text = "".join(rnd.choice([rnd.choice(alphabet), rnd.choice(terms).canonical, *(t.swapcase() for t in rnd.choice(terms).aliases)]) for _ in range(60))
+        for source in (None, "x"):
+            assert terminology.match(text, terms, source) == looked_up(text, terms, source), (text, terms)
+
+
+def test_folding_joins_what_patterns_join():
+    import re
+
+    for point in range(0x110000):
+        x = chr(point)
+        for y in {x.lower(), x.upper(), x.swapcase(), x.casefold()} - {x}:
+            if len(y) == 1 and re.fullmatch(re.escape(x), y, re.IGNORECASE):
+                assert terminology.fold(x) == terminology.fold(y), (x, y)
+        if 0xD800 <= point < 0xE000:
+            continue
+        assert len(terminology.fold(x)) == 1
+
+
+def test_fifty_thousand_forms(spark):
+    """As many forms as a large glossary has: right on a sample, and no slower than a hundred times fewer."""
+    import time
+
+    docs = [(i, " ".join(f"w{(i * 37 + j * j) % 60_000}" for j in range(200)) + " New York, new york!", "s") for i in range(40)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string").coalesce(1)
+    terms = [terminology.Term(f"t{k}", f"w{k}", (f"W{k} w{k + 1}", "new york" if k == 7 else "")) for k in range(0, 50_000, 2)]
+    got = {tuple(r) for r in terminology.occurrences(frame, terms, source="source").collect()}
+    split = {tuple(r) for r in terminology.occurrences(frame, terms, source="source", most=120_000).collect()}
+    assert got == split and len(terminology.parts_of(terms, 120_000)) > 3
+    for i, text, _ in docs[:3]:
+        few = [t for t in terms if t.canonical in text.split() or t.term_id == "t14"]
+        assert {(i, a, b, t.term_id, said) for a, b, t, said in looked_up(text, few)} == {r for r in got if r[0] == i}
+    text = docs[0][1] * 40
+    long = terminology.Term("long", "ab " * 2000 + "end", ("x" * 100_000,))
+    told = "ab " * 4000 + "END, " + "X" * 100_000
+    assert terminology.match(told, [long]) == looked_up(told, [long]) != []
+
+    def seconds(some):
+        forms = terminology.Forms(some)
+        began = time.perf_counter()
+        forms.match(text)
+        return time.perf_counter() - began
+
+    assert min(seconds(terms) for _ in range(3)) < 5 * min(seconds(terms[:250]) for _ in range(3)) + 0.05
+    with pytest.raises(ValueError):
+        terminology.apply(frame, [terminology.Term("x", "y" * (terminology.MOST_CHARS + 1))], spark.createDataFrame([("s", "off", None)], "source string, mode string, candidates_enabled boolean"))
+
+
+def test_candidates_of_null_sources(spark):
+    docs = spark.createDataFrame([(1, None, "The API is here"), (2, "s", "API"), (3, None, None), (4, None, "no more API, API")], "doc_id long, source string, text string")
+    rows = terminology.candidates(docs, terminology.CANDIDATE)
+    got = {(r.source, r.norm): (r.n, r.first_seen, r.last_seen, r.example_context) for r in rows.collect()}
+    assert got == {(None, "api"): (3, 1, 4, "The API is here"), ("s", "api"): (1, 2, 2, "API")}
+    twice = {(r.source, r.norm): r.n for r in terminology.merge_report(rows, rows).collect()}
+    assert twice == {(None, "api"): 6, ("s", "api"): 2}
+    places = [(r.doc_id, r.begin, r.end, r.term) for r in terminology.spans(docs, terminology.CANDIDATE).orderBy("doc_id", "pos").collect()]
+    assert places == [(1, 4, 7, "API"), (2, 0, 3, "API"), (4, 8, 11, "API"), (4, 13, 16, "API")]
+
+
+# ---------------------------------------------------------------- passages, tables, ties
+
+
+def test_passages_differ_by_source_and_not_by_case(spark):
+    rows = spark.createDataFrame(
+        [(1, 1, "a", "T", "S", "Some text"), (1, 2, "A ", " t", "s", " some TEXT "), (1, 3, "b", "T", "S", "Some text"), (1, 4, "a", "T", "S", "Some text " + "x" * 700), (1, 5, "a", "T", "S", "some text " + "X" * 600 + "other")],
+        "query_id int, rank int, ref string, title string, section string, text string")
+    key = retrieval.dedupe_key(F.col("ref"), F.col("title"), F.col("section"), F.col("text"))
+    assert [r.rank for r in retrieval.dedupe_backfill(rows, key).orderBy("final_rank").collect()] == [1, 3, 4]
+
+
+def test_rows_of_nested_tables():
+    """An outer row that reads like a row of a nested table stays, and time grows with the tables."""
+    import time
+
+    row = "<tr><td>a</td><td>b</td><td>c</td></tr>"
+    text, r = markup.to_markdown(f"<table>{row}<tr><td><table>{row}</table></td><td>x</td><td>y</td></tr></table>")
+    assert r.tables[-1].startswith("a; b; c\n") and "[TABLE" in text
+
+    def seconds(n):
+        html = "<table>" + "<tr><td><table><tr><td>1</td></tr></table></td></tr>" * n + "</table>"
+        began = time.perf_counter()
+        markup.to_markdown(html)
+        return time.perf_counter() - began
+
+    seconds(50)
+    assert seconds(1600) < 8 * seconds(400) + 0.2
+
+
+def test_equal_drops_go_to_the_latest_run(spark):
+    f = spark.createDataFrame([("r1", 5), ("r2", 5), ("r3", 1), ("r4", 5)], "run_id string, expected_dropoff long")
+    runs = spark.createDataFrame([("r1", "2024-01-01 00:00:00"), ("r2", "2024-03-01 00:00:00"), ("r3", "2024-05-01 00:00:00"), ("r4", None)], "run_id string, started_at string")
+    runs = runs.withColumn("started_at", F.col("started_at").cast("timestamp"))
+    assert tuple(audit.largest_drop(f, "expected_dropoff", runs).first()) == ("r2", 5)

@@ -47,7 +47,7 @@ def test_query(name, spark, duck):
 
 def test_property_keys_come_from_whole_texts(spark):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
-    got = {r.doc_id: r.property_key for r in catalog.queries()["property_normalise_whole"](spark, SF).collect()}
+    got = {r.doc_id: r.property_key for r in catalog.queries()["property_normalise"](spark, SF).collect()}
     assert got.keys() == texts.keys() and any(len(k) > 80 for k in got.values())
     for i, t in texts.items():
         for a, b in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss"), ("/", " ")):
