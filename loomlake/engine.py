@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from loomlake.functions import frontmatter
 from loomlake.functions import text as tx
-from loomlake.operators import answer, audit, chunking, convert, markup, pages, retrieval, scrape, state
+from loomlake.operators import answer, audit, chunking, convert, markup, pages, postings, retrieval, scrape, state, vector_index
 from loomlake.operators.audit_log import AuditLog
 from loomlake.runtime import ensure_package
 from loomlake.sources import exports, readers
@@ -31,7 +31,7 @@ from loomlake.sources.delta import AppendLog, DeltaTable
 c = F.col
 #: The key of each table that the engine keeps.
 KEYS = {
-    "documents": "doc_id", "chunks": "doc_id", "state": "doc_id", "vectors": "chunk_id", "index-metadata": "model", "pages": "key", "pages-state": "key", "issues": "key", "issues-state": "key",
+    "documents": "doc_id", "chunks": "doc_id", "postings": "doc_id", "postings-metadata": "name", "state": "doc_id", "vectors": "chunk_id", "index-metadata": "model", "pages": "key", "pages-state": "key", "issues": "key", "issues-state": "key",
     "documents-files": "key", "documents-files-state": "key", "scraped": "key", "mapped": "target", "site": "rel_path", "published": "rel_path",
 }
 MANIFEST = "run_id string, pipeline string, mode string, started_at timestamp, finished_at timestamp, seen long, processed long, skipped long, failed long, changed long"
@@ -193,12 +193,45 @@ class Engine:
         self.delta("index-metadata").commit(meta, whole=True)
         return self.table("index-metadata")
 
+    def build_postings(self) -> DataFrame:
+        """Brings the trigram postings to the chunks' version: only buckets of chunks that changed since are read and written."""
+        chunks, rows = self.delta("chunks"), self.delta("postings")
+        if not chunks.exists():
+            raise ValueError("there are no chunks: ingest first")
+        seen = self.table("postings-metadata")
+        changed = chunks.changed_buckets(-1 if seen is None else seen.first().chunks_version)
+        at, own = chunks.version(), chunks.read(buckets=changed)
+        old = rows.read(buckets=changed)
+        gone = None if old is None else old.select("doc_id").distinct().join(own.select("doc_id"), "doc_id", "left_anti")
+        rows.commit(postings.build(own), gone, order="gram")
+        self.delta("postings-metadata").commit(self.spark.range(1).select(F.lit("postings").alias("name"), F.lit(at).alias("chunks_version")), whole=True)
+        return self.table("postings-metadata")
+
+    def build_cells(self, cells: int = vector_index.CELLS) -> None:
+        """Deals the vectors of the present version to cells, for searches that read only some of them."""
+        vectors = self.delta("vectors")
+        vector_index.build(vectors.read().drop("text_hash"), f"{self.root}/cells/v{vectors.version()}", cells=cells)
+
     # ------------------------------------------------------------ questions
 
+    def _searches(self) -> dict[str, retrieval.Search]:
+        """How the best chunks and vectors are found: by postings and cells where these are of the present version, else by scans."""
+        out: dict[str, retrieval.Search] = {}
+        made = self.table("postings-metadata")
+        if made is not None and made.first().chunks_version == self.delta("chunks").version():
+            rows = self.table("postings")
+            out["by_word"] = lambda chunks, questions, k: postings.keyword_search(chunks, rows, questions, k)
+        place = f"cells/v{self.delta('vectors').version()}"
+        fs, done = self._path(f"{place}/cells/_SUCCESS")
+        if fs.exists(done):
+            index = vector_index.VectorIndex(self.spark, f"{self.root}/{place}")
+            out["by_vector"] = lambda vectors, questions, k: index.search(questions, k).select(*vectors.drop("embedding", "text_hash").columns, "query_id", "score", "rank")
+        return out
+
     def search(self, question: str, embedder: answer.Embedder | None = None, mode: str = "hybrid", k: int = 5) -> DataFrame:
         vector = tuple(embedder.embed([question])[0]) if embedder else ()
         options = {"keyword_weight": self.settings.keyword_weight, "vector_weight": self.settings.vector_weight} if mode == "hybrid" else {}
-        return retrieval.search(self.table("chunks"), self.table("vectors"), [retrieval.Question(1, question, vector)], mode, k, **options)
+        return retrieval.search(self.table("chunks"), self.table("vectors"), [retrieval.Question(1, question, vector)], mode, k, **self._searches(), **options)
 
     def prepare_answer(self, question: str, embedder: answer.Embedder, reranker: answer.Reranker | None = None) -> dict:
         """Prompt and sources of a question, without generating."""

@@ -8,6 +8,7 @@ before it shuffles.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -39,6 +40,10 @@ class Question:
     vector: tuple[float, ...] = field(default=())
 
 
+#: The best k of chunks or vectors for each question.
+Search = Callable[[DataFrame, list[Question], int], DataFrame]
+
+
 def _has(chunks: DataFrame, name: str) -> Column:
     return F.lower(F.coalesce(F.col(name), F.lit(""))) if name in chunks.columns else F.lit("")
 
@@ -73,13 +78,18 @@ def keyword_hits(chunks: DataFrame, questions: list[Question]) -> DataFrame:
     return base.select("doc_id", "chunk_id", F.inline(F.filter(scored, lambda s: s["score"] > 0)))
 
 
-def keyword_search(chunks: DataFrame, questions: list[Question], k: int) -> DataFrame:
-    """The best k chunks of each question. Ids and scores are ranked; the texts of the winners are fetched after."""
-    best = _ranked(keyword_hits(chunks, questions), k, F.desc("score"), F.col("doc_id"), F.col("chunk_id"))
+def ranked_chunks(chunks: DataFrame, hits: DataFrame, k: int) -> DataFrame:
+    """The best k chunks of each question from keyword hits. Ids and scores are ranked; the texts of the winners are fetched after."""
+    best = _ranked(hits, k, F.desc("score"), F.col("doc_id"), F.col("chunk_id"))
     # at most k rows for each question: a proven bound
     return chunks.join(F.broadcast(best), ["doc_id", "chunk_id"]).select(*chunks.columns, "query_id", "score", "rank")
 
 
+def keyword_search(chunks: DataFrame, questions: list[Question], k: int) -> DataFrame:
+    """The best k chunks of each question, by a scan."""
+    return ranked_chunks(chunks, keyword_hits(chunks, questions), k)
+
+
 def cosine(v: Column, q: tuple[float, ...]) -> Column:
     """Cosine similarity; 0 for different lengths or a zero norm."""
     query = F.array(*[F.lit(float(x)) for x in q])
@@ -126,9 +136,12 @@ def _normalised(rows: DataFrame) -> Column:
     return F.when(top > 0, F.col("score") / top).otherwise(F.lit(0.0))
 
 
-def hybrid_search(chunks: DataFrame, vectors: DataFrame, questions: list[Question], k: int = CANDIDATES, keyword_weight: float = 0.5, vector_weight: float = 0.5, sources: list[str] | None = None) -> DataFrame:
-    """Weighted fusion of the best keyword and vector hits; one row for each question and chunk."""
-    words, near = keyword_search(chunks, questions, k), vector_search(vectors, questions, k)
+def hybrid_search(chunks: DataFrame, vectors: DataFrame, questions: list[Question], k: int = CANDIDATES, keyword_weight: float = 0.5, vector_weight: float = 0.5, sources: list[str] | None = None, by_word: Search = keyword_search, by_vector: Search = vector_search) -> DataFrame:
+    """Weighted fusion of the best keyword and vector hits; one row for each question and chunk.
+
+    ``by_word`` and ``by_vector`` find the best hits of each kind: scans, or searches by an index.
+    """
+    words, near = by_word(chunks, questions, k), by_vector(vectors, questions, k)
     if sources:
         kinds = chunks.select("chunk_id", "source_type")
         words, near = source_filter(words, sources), source_filter(near.join(kinds, "chunk_id", "left"), sources)
@@ -274,14 +287,14 @@ def with_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return rows.withColumn("title", F.coalesce(F.when(F.trim("title") != "", F.col("title")), F.col("doc_id").cast("string"))) if "title" in rows.columns else rows
 
 
-def search(chunks: DataFrame, vectors: DataFrame | None, questions: list[Question], mode: str = "hybrid", k: int = 5, **options) -> DataFrame:
+def search(chunks: DataFrame, vectors: DataFrame | None, questions: list[Question], mode: str = "hybrid", k: int = 5, by_word: Search = keyword_search, by_vector: Search = vector_search, **options) -> DataFrame:
     """The best k chunks of each question by mode: keyword, vector or hybrid."""
     if mode == "keyword":
-        return keyword_search(chunks, questions, k)
+        return by_word(chunks, questions, k)
     if vectors is None:
         raise ValueError(f"{mode} search needs vectors")
     if mode == "vector":
-        return with_chunks(vector_search(vectors, questions, k), chunks)
+        return with_chunks(by_vector(vectors, questions, k), chunks)
     if mode == "hybrid":
-        return with_chunks(hybrid_search(chunks, vectors, questions, k, **options), chunks)
+        return with_chunks(hybrid_search(chunks, vectors, questions, k, by_word=by_word, by_vector=by_vector, **options), chunks)
     raise ValueError(f"unknown mode {mode}")

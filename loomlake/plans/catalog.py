@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,9 @@ from pyspark.sql import functions as F
 
 from loomlake.functions import frontmatter
 from loomlake.functions import text as tx
-from loomlake.operators import answer, audit, chunking, convert, markup, pages, retrieval, scrape, state, terminology
+from loomlake.operators import answer, audit, chunking, convert, markup, pages, postings, retrieval, scrape, state, terminology, vector_index
 from loomlake.plans import views
-from loomlake.runtime import ensure_package
+from loomlake.runtime import ensure_package, shared_dir
 from loomlake.sources import readers
 from loomlake.streaming import ingest
 
@@ -141,6 +142,26 @@ def vector_topk(spark, sf_dir):
     return hits.select("query_id", "rank", "doc_id", "chunk_id", tx.round4(c("score")).alias("score"))
 
 
+@query(f"WITH {_KEYWORD_SQL} SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, chunk_id, score FROM kw WHERE rank <= {K}")
+def keyword_topk_postings(spark, sf_dir):
+    """As ``keyword_topk``, by trigram postings of all chunks."""
+    chunks = views.whole(spark, sf_dir)
+    path = f"{shared_dir(spark)}/loomlake/postings-{uuid.uuid4().hex}"
+    postings.build(chunks).repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(path)
+    hits = postings.keyword_search(chunks, spark.read.parquet(path), views.questions(spark, sf_dir), K)
+    return hits.select("query_id", "rank", "doc_id", "chunk_id", "score")
+
+
+@query(f"WITH {_VECTOR_SQL} SELECT 1 AS query_id, CAST(rank AS INTEGER) AS rank, doc_id, chunk_id, floor(score * 1e4::DOUBLE + 0.5::DOUBLE) / 1e4::DOUBLE AS score FROM vec WHERE rank <= {K}")
+def vector_topk_cells(spark, sf_dir):
+    """As ``vector_topk``, by an index of all vectors in cells."""
+    asked = [q for q in views.questions(spark, sf_dir, vectors_too=True) if q.query_id == 1]
+    path = f"{shared_dir(spark)}/loomlake/cells-{uuid.uuid4().hex}"
+    vector_index.build(views.vectors(spark, sf_dir), path)
+    hits = vector_index.VectorIndex(spark, path).search(asked, K)
+    return hits.select("query_id", "rank", "doc_id", "chunk_id", tx.round4(c("score")).alias("score"))
+
+
 def _hybrid_sql(k: int, sources: str = "") -> str:
     keep = f"WHERE rank <= {k}" + (f" AND {sources}" if sources else "")
     keep_v = f"WHERE rank <= {k}" + (f" AND (SELECT any_value(source_type) FROM whole w WHERE w.chunk_id = vec.chunk_id) IN ('website')" if sources else "")

@@ -1,7 +1,8 @@
-"""Makes the package importable in Python workers, wherever they run."""
+"""Makes the package importable in Python workers, wherever they run, and names the folder that executors share."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -24,3 +25,14 @@ def ensure_package(spark: SparkSession) -> None:
                 z.write(p, Path(root.name) / p.relative_to(root))
         context.addPyFile(str(target))
     _shipped.add(context.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, as the session names it; a temporary one is set only in local sessions that name none."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="loomlake-")
+        spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")

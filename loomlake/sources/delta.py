@@ -157,14 +157,18 @@ class DeltaTable:
     def _bucket(self) -> F.Column:
         return F.pmod(F.hash(c(self.key)), F.lit(self.buckets)).alias("delta_bucket")
 
-    def _write(self, kind: str, number: int, rows: DataFrame) -> None:
+    def _write(self, kind: str, number: int, rows: DataFrame, order: str | None = None) -> None:
         """Rows by bucket; AQE splits what is too large for one file's task and joins small ones."""
         self.log.delete(f"{kind}/delta_version={number}")
-        rows.hint("rebalance", c("delta_bucket")).write.partitionBy("delta_bucket").parquet(f"{self.root}/{kind}/delta_version={number}")
+        rows = rows.hint("rebalance", c("delta_bucket"))
+        rows = rows.sortWithinPartitions("delta_bucket", order) if order else rows
+        rows.write.partitionBy("delta_bucket").parquet(f"{self.root}/{kind}/delta_version={number}")
 
-    def commit(self, rows: DataFrame | None = None, gone: DataFrame | None = None, write_id: str | None = None, whole: bool = False) -> int:
+    def commit(self, rows: DataFrame | None = None, gone: DataFrame | None = None, write_id: str | None = None, whole: bool = False, order: str | None = None) -> int:
         """Replaces all rows of the keys in ``rows`` by these, and removes those of the keys in ``gone``; ``whole`` replaces the table.
 
+        Files are sorted by ``order``, so that readers who filter by it skip most of their pages.
+
         Returns the number of the version, the last one's if there was nothing to do.  A commit is merged with what
         compaction it makes due.
         """
@@ -177,7 +181,7 @@ class DeltaTable:
         schema = T.StructType.fromJson(before["schema"]) if rows is None else rows.schema
         keys = None if gone is None else gone.select(self.key)
         if rows is not None:
-            self._write("rows", number, rows.select("*", self._bucket()))
+            self._write("rows", number, rows.select("*", self._bucket()), order)
             # the keys of what was written: the plan of the rows runs once
             own = T.StructType([schema[self.key]])
             written = self.spark.read.schema(own).option("recursiveFileLookup", True).parquet(f"{self.root}/rows/delta_version={number}")

@@ -68,6 +68,19 @@ def test_ingest_index_ask(spark, tmp_path, put):
         assert 0 < len(hits) <= 2 and (mode == "vector" or "cat" in hits[0].text)
     with pytest.raises(ValueError):
         e.search("x", mode="none")
+    # postings and cells give the same hits, and are left aside when they are older than what they index
+    scans = {mode: [tuple(r[n] for n in ("rank", "chunk_id", "score")) for r in e.search("cat mat", embedder, mode, 2).orderBy("rank").collect()] for mode in ("keyword", "vector", "hybrid")}
+    e.build_postings()
+    e.build_cells(2)
+    assert set(e._searches()) == {"by_word", "by_vector"}
+    for mode, want in scans.items():
+        assert [tuple(r[n] for n in ("rank", "chunk_id", "score")) for r in e.search("cat mat", embedder, mode, 2).orderBy("rank").collect()] == want
+    put("md/d.md", "# Birds\nBirds fly over the mat")
+    e.ingest(root)
+    assert set(e._searches()) == {"by_vector"} and "mat" in [r.text for r in e.search("the mat", mode="keyword", k=9).collect() if "Birds" in r.text][0]
+    e.build_postings()
+    e.build_index(embedder)
+    assert set(e._searches()) == {"by_word"} and any("Birds" in r.text for r in e.search("fly mat", mode="keyword", k=9).collect())
     prepared = e.prepare_answer("cat mat", embedder, answer.LexicalReranker())
     assert prepared["answer"] is None and "cat sits" in prepared["prompt"]
     assert e.ask("cat mat", embedder, Echo())["answer"] == "Cats sit [1]"

@@ -501,3 +501,49 @@ def test_equal_drops_go_to_the_latest_run(spark):
     runs = spark.createDataFrame([("r1", "2024-01-01 00:00:00"), ("r2", "2024-03-01 00:00:00"), ("r3", "2024-05-01 00:00:00"), ("r4", None)], "run_id string, started_at string")
     runs = runs.withColumn("started_at", F.col("started_at").cast("timestamp"))
     assert tuple(audit.largest_drop(f, "expected_dropoff", runs).first()) == ("r2", 5)
+
+
+# ---------------------------------------------------------------- indexes
+
+
+def test_postings_find_what_a_scan_finds(spark):
+    import random
+
+    from loomlake.operators import postings
+
+    rnd = random.Random(6)
+    letters = ["ab", "bc", "é", "\U0001f600", "İ", " ", "x", "Yz", "_"]
+    word = lambda: "".join(rnd.choice(letters) for _ in range(rnd.randint(1, 9)))
+    rows = [(f"d{i}", f"c{i}", word() if i % 7 else None, word(), word() if i % 3 else None, [word()] if i % 2 else None) for i in range(400)]
+    chunks = spark.createDataFrame(rows, "doc_id string, chunk_id string, text string, title string, section_header string, tags array<string>").repartition(4)
+    built = postings.build(chunks)
+    assert built.count() == built.distinct().count()
+    questions = [retrieval.Question(i, t) for i, t in enumerate(["abbc", "Yzx abab", "ab", "bcé", "\U0001f600ab", "zzzz", "", "xyz abbc x", "éab_ab"])]
+    assert {q.text for q in questions if postings.by_postings(q)} == {"abbc", "Yzx abab", "bcé", "zzzz", "éab_ab"}
+    key = lambda frame: sorted((r.query_id, r["rank"], r.chunk_id, r.score) for r in frame.collect())
+    for named in (1000, 0):
+        postings.NAMED = named
+        assert key(postings.keyword_search(chunks, built, questions, 5)) == key(retrieval.keyword_search(chunks, questions, 5))
+    postings.NAMED = 1000
+    assert postings.candidates(built, questions[5:6]).count() == 0
+
+
+def test_cells_find_what_a_scan_finds(spark, tmp_path):
+    import numpy as np
+
+    from loomlake.operators import vector_index
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 16)) * 4
+    data = [(f"d{i}", f"c{i}", (centres[i % 12] + rng.normal(size=16) * 0.5).tolist()) for i in range(1500)]
+    data += [("dup", f"e{i}", data[3][2]) for i in range(40)] + [("z", "zero", [0.0] * 16), ("s", "short", [1.0, 2.0]), ("n", "none", None), ("m", "hole", [None] * 16)]
+    vectors = spark.createDataFrame(data, "doc_id string, chunk_id string, embedding array<double>").repartition(4)
+    vector_index.build(vectors, str(tmp_path / "i"), cells=24, sample=400)
+    index = vector_index.VectorIndex(spark, str(tmp_path / "i"))
+    ask = [retrieval.Question(i, "", tuple(v)) for i, v in enumerate([data[0][2], data[3][2], rng.normal(size=16).tolist(), (-centres[2]).tolist(), [0.0] * 16, [1.0]])]
+    key = lambda frame: sorted((r.query_id, r["rank"], r.chunk_id, r.score) for r in frame.collect())
+    for k in (1, 7, 60):
+        assert key(index.search(ask, k)) == key(retrieval.vector_search(vectors.where("embedding IS NOT NULL"), ask, k))
+    assert index.share(ask[:1], 7) < 0.3 and sum(index.sizes.values()) == 1540
+    vector_index.build(vectors.limit(0), str(tmp_path / "none"))
+    assert vector_index.VectorIndex(spark, str(tmp_path / "none")).search(ask, 5).count() == 0
