@@ -22,16 +22,16 @@ from pyspark.sql import types as T
 
 from loomlake.functions import frontmatter
 from loomlake.functions import text as tx
-from loomlake.operators import answer, audit, chunking, convert, markup, pages, postings, retrieval, scrape, state, vector_index
+from loomlake.operators import answer, audit, chunking, convert, markup, pages, postings, retrieval, scrape, state, terminology, vector_index
 from loomlake.operators.audit_log import AuditLog
 from loomlake.runtime import ensure_package
-from loomlake.sources import exports, readers
+from loomlake.sources import config, exports, readers
 from loomlake.sources.delta import AppendLog, DeltaTable
 
 c = F.col
 #: The key of each table that the engine keeps.
 KEYS = {
-    "documents": "doc_id", "chunks": "doc_id", "postings": "doc_id", "postings-metadata": "name", "state": "doc_id", "vectors": "chunk_id", "index-metadata": "model", "pages": "key", "pages-state": "key", "issues": "key", "issues-state": "key",
+    "documents": "doc_id", "chunks": "doc_id", "postings": "doc_id", "postings-metadata": "name", "term-candidates": "candidate", "state": "doc_id", "vectors": "chunk_id", "index-metadata": "model", "pages": "key", "pages-state": "key", "issues": "key", "issues-state": "key",
     "documents-files": "key", "documents-files-state": "key", "scraped": "key", "mapped": "target", "site": "rel_path", "published": "rel_path",
 }
 MANIFEST = "run_id string, pipeline string, mode string, started_at timestamp, finished_at timestamp, seen long, processed long, skipped long, failed long, changed long"
@@ -59,8 +59,8 @@ class Settings:
 class Engine:
     """All entry points over one root folder that all executors share."""
 
-    def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None):
-        self.spark, self.root, self.settings = spark, root.rstrip("/"), settings or Settings()
+    def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None, glossary: config.Glossary | None = None):
+        self.spark, self.root, self.settings, self.glossary = spark, root.rstrip("/"), settings or Settings(), glossary
         self.log = AuditLog(spark, f"{self.root}/audit")
         self._manifests = AppendLog(spark, f"{self.root}/manifests", T.StructType.fromDDL(MANIFEST))
         self.steps: dict[str, int] = {}
@@ -255,6 +255,45 @@ class Engine:
         gone = None if before is None else before.select("key").join(inputs.select("key"), "key", "left_anti")
         self.delta(f"{name}-state").commit(changed.select("key", "checksum"), gone)
 
+    def _with_terms(self, run: str, kind: str, rows: DataFrame, text: str = "markdown") -> DataFrame:
+        """Rows (key, ...) with the glossary's terms annotated and listed as their source's mode says; what looks like a new term is counted.
+
+        Candidates are those of the texts before annotation; a run's counts are added once.
+        """
+        g = self.glossary
+        if g is None or not g.settings.enabled or not g.terms:
+            return rows
+        modes = self.spark.createDataFrame(list(g.modes), config.MODES)
+        rows = rows.withColumn("__source", F.lit(kind))
+        own = terminology.source_modes(self.spark.createDataFrame([(kind,)], "source string"), modes).first()
+        if own.candidates and g.settings.candidate_detection_enabled:
+            pattern = "|".join(f"(?:{p})" for p in g.settings.candidate_patterns)
+            found = terminology.candidates(rows, pattern, key="key", text=text, source="__source", exclude=list(g.exclude)).withColumnRenamed("__source", "source")
+            before = self.table("term-candidates")
+            name = F.concat_ws("|", "source", "norm").alias("candidate")
+            if before is not None:
+                found = self.stage("term-candidates", found)
+                found = terminology.merge_report(before.join(found.select(name), "candidate", "left_semi").select(found.columns), found)
+            self.delta("term-candidates").commit(found.select(name, "*"), write_id=run)
+        done = terminology.apply(rows, list(g.terms), modes, text, "__source", g.settings.block_min_terms, g.settings.show_aliases_in_block)
+        return done.drop("__source", "n_matches", "first_match", "annotations", "block_added")
+
+    def review_candidates(self) -> DataFrame:
+        """The counted candidates with what to do about each, by the glossary's terms."""
+        rows = self.table("term-candidates")
+        if rows is None:
+            raise ValueError("there are no candidates: transform pages or issues with a glossary first")
+        forms = [(f, t.term_id) for t in (self.glossary.terms if self.glossary else ()) for f in (t.canonical, *t.aliases)]
+        known = self.spark.createDataFrame(forms, "form string, term_id string").select(terminology.normalised(c("form")).alias("norm"), "term_id")
+        return terminology.review(rows.drop("candidate"), known)
+
+    def validate_terminology(self, folder: str) -> DataFrame:
+        """(severity, code, term_id, detail) of what is wrong with the terminology files of a folder."""
+        schema = "severity string, code string, term_id string, detail string"
+        if problems := config.file_problems(folder):
+            return self.spark.createDataFrame(problems, schema)
+        return terminology.validate(config.term_frame(self.spark, config.read_yaml(f"{folder}/{config.FILES['terms']}")))
+
     def transform_pages(self, root: str, spaces: list[str] | None = None, full: bool = False, source: str | None = None) -> DataFrame:
         """Wiki pages of an export as Markdown files; unchanged, ignored and short ones are left out."""
 
@@ -268,6 +307,7 @@ class Engine:
             todo = self.stage("pages-input", whole.join(status.where("status <> 'unchanged'").select("key"), "key", "left_semi"))
             rules = pages.promotion_rules()
             rendered = markup.render_pages(todo, "body", "source_url", frozenset(x for labels in rules.values() for x in labels))
+            rendered = self._with_terms(run, "confluence", rendered)
             attached = convert.attachment_sections(convert.extract_attachments(todo, "page_id", root), "page_id").select("page_id", "sections", c("warnings").alias("attachment_warnings"))
             rendered = rendered.join(attached, "page_id", "left")
             body = F.when(F.coalesce("sections", F.lit("")) != "", F.concat("markdown", F.lit("\n\n## Anhänge\n\n"), "sections")).otherwise(c("markdown"))
@@ -303,7 +343,7 @@ class Engine:
             status = self.stage("issues-status", self._changed(rows, "issues", full))
             todo = self.stage("issues-input", whole.join(status.where("status <> 'unchanged'").select("key"), "key", "left_semi"))
             attached = convert.attachment_sections(convert.extract_attachments(todo, "key", root), "key").select("key", "sections", c("warnings").alias("attachment_warnings"))
-            rendered = markup.render_pages(todo, "description", "source_url").join(attached, "key", "left")
+            rendered = self._with_terms(run, "jira", markup.render_pages(todo, "description", "source_url")).join(attached, "key", "left")
             body = F.when(F.coalesce("sections", F.lit("")) != "", F.concat("markdown", F.lit("\n\n## Anhänge\n\n"), "sections")).otherwise(c("markdown"))
             rendered = self.stage("issues-rendered", rendered.withColumns({"markdown": body, "warnings": F.concat("warnings", F.coalesce("attachment_warnings", F.array().cast("array<string>")))}))
             good = rendered.where("error IS NULL")

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
+from collections.abc import Iterable
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 from loomlake.functions import frontmatter
 from loomlake.functions.text import title_from_name
 from loomlake.operators import convert
+from loomlake.runtime import ensure_package
 from loomlake.sources.readers import pick
 
 c = F.col
@@ -19,6 +23,8 @@ c = F.col
 LISTS = ["pages", "documents", "items"]
 PATHS = ["markdown_rel_path", "relative_markdown_path", "markdown_path", "relative_path", "path", "file", "output_path"]
 UP_TO_DATE = "changed-only: existing artifacts are newer than source"
+#: Mapping rules that a plan takes at most.
+MOST_RULES = 50_000
 
 
 def page_path(item: Column) -> Column:
@@ -114,19 +120,82 @@ def transform(planned: DataFrame, contents: DataFrame, run_id: str, at: str, con
     )
 
 
+class Rules:
+    """Mapping rules for one pass over a path: the first rule all of whose set parts hold.
+
+    All parts that stand in a path are found at once by two automata, one over the path (prefixes and substrings)
+    and one over the lower-cased file name.  A rule waits under the part that the fewest other rules wait under, so only
+    rules with a part that holds are looked at, in their order.
+    """
+
+    def __init__(self, rules: Iterable[tuple]):
+        """rules: (ord, id, target_subpath, path_prefix, path_contains, file_name_contains)."""
+        self.rules = [tuple(r) for r in rules]
+        self.names: dict[tuple[str, str], int] = {}
+        self.targets: list[tuple[int, str, str, frozenset[int]]] = []
+        for ord_, id_, target, *own in sorted(self.rules, key=lambda r: r[0]):
+            kinds = zip(("prefix", "part", "name"), (own[0] or "", own[1] or "", (own[2] or "").lower()))
+            parts = frozenset(self.names.setdefault(x, len(self.names)) for x in kinds if x[1])
+            self.targets.append((len(self.targets), id_, target, parts))
+        load = Counter(p for *_, parts in self.targets for p in parts)
+        self.always = [t for t in self.targets if not t[3]]
+        self.waiting: dict[int, list] = {}
+        for t in self.targets:
+            if t[3]:
+                self.waiting.setdefault(min(t[3], key=lambda p: (load[p], p)), []).append(t)
+        self.path, self.name = ahocorasick.Automaton(), ahocorasick.Automaton()
+        held: dict[tuple[bool, str], list[tuple[str, int]]] = {}
+        for (kind, pattern), at in self.names.items():
+            held.setdefault((kind == "name", pattern), []).append((kind, at))
+        for (by_name, pattern), own in held.items():
+            (self.name if by_name else self.path).add_word(pattern, (len(pattern), own))
+        for a in (self.path, self.name):
+            if len(a):
+                a.make_automaton()
+
+    def __reduce__(self):
+        return Rules, (self.rules,)
+
+    def first(self, path: str | None) -> tuple[str, str] | None:
+        """(id, target_subpath) of the first rule that holds."""
+        if path is None:
+            return None
+        best = self.always[0] if self.always else None
+        path = path.replace("\\", "/")
+        holds: set[int] = set()
+        if len(self.path):
+            for last, (size, own) in self.path.iter(path):
+                holds.update(at for kind, at in own if kind == "part" or last + 1 == size)
+        if len(self.name):
+            for _, (_, own) in self.name.iter(path.rpartition("/")[2].lower()):
+                holds.update(at for _, at in own)
+        for part in holds:
+            for t in self.waiting.get(part, ()):
+                if best is not None and t[0] >= best[0]:
+                    break
+                if t[3] <= holds:
+                    best = t
+                    break
+        return None if best is None else best[1:3]
+
+
 def choose_rule(rows: DataFrame, rules: DataFrame, path: str = "rel_path", default: str = "external/unassigned") -> DataFrame:
     """Adds rule_id and target_subpath: the first rule (ord, id, target_subpath, path_prefix, path_contains, file_name_contains) all of whose set parts hold.
 
-    Rules are few: they are broadcast, and the best is a minimum by path.
+    One projection, without a join: rules are part of the plan, MOST_RULES at most.
     """
-    p = F.replace(c(path), F.lit("\\"), F.lit("/"))
-    name = F.lower(F.regexp_extract(p, "[^/]*$", 0))
-    unset = lambda x: F.coalesce(c(x), F.lit("")) == ""
-    hold = (unset("path_prefix") | p.startswith(c("path_prefix"))) & (unset("path_contains") | p.contains(c("path_contains"))) & (unset("file_name_contains") | name.contains(F.lower("file_name_contains")))
-    paths = rows.select(path).distinct()
-    hit = paths.join(F.broadcast(rules), hold).groupBy(path).agg(F.min_by(F.struct("id", "target_subpath"), "ord").alias("r"))
-    out = rows.join(hit, path, "left")
-    return out.withColumns({"rule_id": F.coalesce("r.id", F.lit("default")), "target_subpath": F.coalesce("r.target_subpath", F.lit(default))}).drop("r")
+    ensure_package(rows.sparkSession)
+    known = rules.select("ord", "id", "target_subpath", "path_prefix", "path_contains", "file_name_contains").limit(MOST_RULES + 1).collect()
+    if len(known) > MOST_RULES:
+        raise ValueError(f"there are more than {MOST_RULES} rules")
+    shared = rows.sparkSession.sparkContext.broadcast(Rules(map(tuple, known)))
+
+    def chosen(paths: pd.Series) -> pd.DataFrame:
+        found = [shared.value.first(p) or ("default", default) for p in paths]
+        return pd.DataFrame([(i or "default", t or default) for i, t in found], columns=["rule_id", "target_subpath"])
+
+    done = F.pandas_udf(chosen, "rule_id string, target_subpath string")(c(path))
+    return rows.withColumn("_rule", done).select("*", "_rule.rule_id", "_rule.target_subpath").drop("_rule")
 
 
 def map_to_domains(records: DataFrame, markdown: DataFrame, rules: DataFrame, at: str, existing: DataFrame | None = None, default: str = "external/unassigned") -> DataFrame:

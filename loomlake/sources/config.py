@@ -20,6 +20,8 @@ except ImportError:
 
 TERMS = "ord int, term_id string, canonical string, label string, description string, term_class string, aliases array<string>, annotate string, block string, applies_to array<string>, related array<string>, case_sensitive boolean, priority int"
 MODES = "source string, mode string, candidates_enabled boolean"
+#: The files of a terminology folder.
+FILES = {"settings": "settings.yml", "sources": "sources.yml", "terms": "terms.yml", "exclude": "candidate_exclude.yml"}
 RULES = "ord int, id string, target_subpath string, path_prefix string, path_contains string, file_name_contains string"
 
 
@@ -77,13 +79,58 @@ def settings(data: dict) -> TermSettings:
 
 def modes(spark: SparkSession, data: dict) -> DataFrame:
     """Modes by source; a boolean mode means off or annotate_and_block."""
+    return spark.createDataFrame(mode_rows(data), MODES)
+
+
+@dataclass(frozen=True)
+class Glossary:
+    """What a folder of terminology files says: terms, how each source is treated, settings, and forms that are no candidates."""
+
+    terms: tuple[Term, ...] = ()
+    modes: tuple[tuple[str, str, bool | None], ...] = ()
+    settings: TermSettings = field(default_factory=TermSettings)
+    exclude: tuple[str, ...] = ()
+
+
+def mode_rows(data: dict) -> list[tuple[str, str, bool | None]]:
     rows = []
     for name, own in (data.get("sources") or {}).items():
         if isinstance(own, dict):
             mode = own.get("mode", "off")
             mode = ("annotate_and_block" if mode else "off") if isinstance(mode, bool) else str(mode).strip()
             rows.append((name, mode, own.get("candidates_enabled")))
-    return spark.createDataFrame(rows, MODES)
+    return rows
+
+
+def glossary(folder: str) -> Glossary:
+    """The files of a terminology folder; the list of excluded candidates may be missing."""
+    read = lambda name: read_yaml(f"{folder}/{FILES[name]}")
+    out = read("exclude").get("exclude", []) if Path(folder, FILES["exclude"]).exists() else []
+    return Glossary(tuple(terms(read("terms"))), tuple(mode_rows(read("sources"))), settings(read("settings")), tuple(s for x in out if (s := str(x).strip())))
+
+
+def file_problems(folder: str) -> list[tuple[str, str, str | None, str]]:
+    """(severity, code, term_id, detail) of terminology files that are missing, are no YAML or cannot be taken as what they should hold.
+
+    Files that load as a whole are asked for only if each of them can be read.
+    """
+    out = []
+    for name in ("settings", "sources", "terms"):
+        place = Path(folder, FILES[name])
+        if not place.exists():
+            out.append(("error", "missing_file", None, str(place)))
+            continue
+        try:
+            yaml.safe_load(place.read_text(encoding="utf-8"))
+        except Exception as e:  # whatever the reader says is the finding
+            out.append(("error", "invalid_yaml", None, f"{place}: {e}"))
+    if out:
+        return out
+    try:
+        glossary(folder)
+    except Exception as e:
+        return [("error", "load_failed", None, f"{folder}: {e}")]
+    return []
 
 
 def mapping_rules(spark: SparkSession, path: str) -> tuple[DataFrame, str]:

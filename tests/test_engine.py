@@ -415,3 +415,36 @@ def test_rule_files(spark, tmp_path):
     (tmp_path / "pub.toml").write_text('[publish.confluence]\nmode = "copy"\n[publish.confluence.space_map]\nABC = "domains/core"\n')
     routes, rest = config.publish_routes(spark, str(tmp_path / "pub.toml"))
     assert [tuple(r) for r in routes.collect()] == [("ABC", "domains/core")] and rest == {"mode": "copy"}
+
+
+def test_terms_of_transformed_pages(spark, tmp_path, put):
+    from loomlake.sources import config
+
+    (tmp_path / "terms").mkdir()
+    say = lambda name, text: (tmp_path / "terms" / name).write_text(text)
+    e = Engine(spark, str(tmp_path / "data"))
+    assert {(r.code, r.detail.rpartition("/")[2]) for r in e.validate_terminology(str(tmp_path / "terms")).collect()} == {("missing_file", n) for n in ("settings.yml", "sources.yml", "terms.yml")}
+    say("settings.yml", "settings: {block_min_terms: 1}")
+    say("sources.yml", "sources:\n  confluence: {mode: annotate_and_block}\n  jira: {mode: [")
+    say("terms.yml", "terms:\n  - {id: api, canonical: API, label: interface, description: d, aliases: [Schnittstelle]}\n")
+    assert [r.code for r in e.validate_terminology(str(tmp_path / "terms")).collect()] == ["invalid_yaml"]
+    say("sources.yml", "- just\n- a list")
+    assert [r.code for r in e.validate_terminology(str(tmp_path / "terms")).collect()] == ["load_failed"]
+    say("sources.yml", "sources:\n  confluence: {mode: annotate_and_block}\n  jira: {mode: off}\n")
+    assert e.validate_terminology(str(tmp_path / "terms")).count() == 0
+    body = "<p>" + "The API of XYZ and XYZ says a lot. " * 10 + "</p>"
+    put("wiki/i/spaces/ABC/by-id/1/metadata.json", {"id": "1", "title": "T", "space": {"key": "ABC"}, "body": body})
+    root = put("wiki/i/spaces/ABC/by-id/2/metadata.json", {"id": "2", "title": "U", "space": {"key": "ABC"}, "body": body.replace("API", "AP1")})
+    e = Engine(spark, str(tmp_path / "data"), glossary=config.glossary(str(tmp_path / "terms")))
+    e.transform_pages(root)
+    texts = {r.key: r.content for r in e.table("pages").collect()}
+    assert texts["1"].count("API (interface)") == 1 and "## Terminologie\n- API: interface" in texts["1"] and "Terminologie" not in texts["2"]
+    found = {r.norm: (r.n, r.action, r.first_seen) for r in e.review_candidates().collect()}
+    assert found["xyz"] == (40, "new_term", "1") and found["api"] == (10, "add_alias", "1") and found["ap1"][2] == "2"
+    put("wiki/i/spaces/ABC/by-id/2/metadata.json", {"id": "2", "title": "V", "space": {"key": "ABC"}, "body": body})
+    e.transform_pages(root)
+    again = {r.norm: r for r in e.review_candidates().collect()}
+    assert again["xyz"].n == 60 and again["api"].n == 20 and again["ap1"].n == 10 and "The API of XYZ" in again["api"].example_context
+    put("jira/projects/by-id/1/metadata.json", {"id": "1", "key": "ABC-1", "fields": {"summary": "A", "description": body}})
+    e.transform_issues(str(tmp_path / "jira"))
+    assert "interface" not in e.table("issues").first().content and e.review_candidates().where("source = 'jira'").count() == 0

@@ -547,3 +547,31 @@ def test_cells_find_what_a_scan_finds(spark, tmp_path):
     assert index.share(ask[:1], 7) < 0.3 and sum(index.sizes.values()) == 1540
     vector_index.build(vectors.limit(0), str(tmp_path / "none"))
     assert vector_index.VectorIndex(spark, str(tmp_path / "none")).search(ask, 5).count() == 0
+
+
+def test_first_rule_of_thousands(spark):
+    import random
+
+    from loomlake.operators import scrape
+
+    rnd = random.Random(12)
+    part = lambda n: "".join(rnd.choice("ab/._A") for _ in range(rnd.randint(1, n)))
+    rules = [(k, f"r{k}", f"t{k}", *(part(n) if rnd.random() < 0.6 else rnd.choice([None, ""]) for n in (5, 4, 4))) for k in range(5000) if k % 50]
+    rules = [r for r in rules if any(r[3:])]
+    paths = [None, "", "a\\b/A.b", *(part(14) for _ in range(400))]
+
+    def loop(path, some):
+        if path is not None:
+            p = path.replace("\\", "/")
+            for _, i, t, prefix, inside, name in some:
+                if p.startswith(prefix or "") and (inside or "") in p and (name or "").lower() in p.rpartition("/")[2].lower():
+                    return i, t
+        return "default", "d"
+
+    schema = "ord int, id string, target_subpath string, path_prefix string, path_contains string, file_name_contains string"
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, rel_path string")
+    for some in (rules, rules[:40], rules[:3] + [(9999, "rest", "t", None, None, "")], []):
+        shuffled = rnd.sample(some, len(some))
+        got = scrape.choose_rule(rows, spark.createDataFrame(shuffled, schema), default="d")
+        assert "Join" not in got._jdf.queryExecution().executedPlan().toString() and "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        assert {r.i: (r.rule_id, r.target_subpath) for r in got.collect()} == {i: loop(p, some) for i, p in enumerate(paths)}
