@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +55,9 @@ class Settings:
     buckets: int = 32
     #: Up to so many changed files are named to the scan, which then opens no others; beyond, it is filtered by a join.
     named_files: int = 1000
+    #: Keys after which a transform commits what it has rendered, and the parts into which keys fall at most.
+    commit_every: int = 50_000
+    most_parts: int = 1000
 
 
 class Engine:
@@ -248,12 +252,37 @@ class Engine:
         before = self.spark.createDataFrame([], "key string, checksum string") if before is None or full else before
         return state.change_status(rows, before, outputs=None if files is None else files.select("key"))
 
-    def _finish(self, name: str, inputs: DataFrame, new: DataFrame, dropped: DataFrame, changed: DataFrame) -> None:
-        """Commits the files of a run, then what it has taken in: ``inputs`` and ``changed`` are (key, checksum) of all and of the changed ones."""
-        self.delta(name).commit(new, dropped.select("key"))
+    def _parts(self, name: str, todo: DataFrame) -> Iterator[DataFrame]:
+        """The inputs that a run renders, staged once and given out in parts of about ``commit_every`` keys.
+
+        Each part is committed before the next one is read, so that a run that is ended goes on behind its last part.
+        """
+        path = f"{self.root}/staging/{name}"
+        part = F.pmod(F.xxhash64("key"), F.lit(self.settings.most_parts)).cast("int")
+        todo.withColumn("__part", part).write.mode("overwrite").parquet(path)
+        rows = self.spark.read.schema(T.StructType([*todo.schema.fields, T.StructField("__part", T.IntegerType())])).parquet(path)
+        sizes = sorted((r["__part"], r["count"]) for r in rows.groupBy("__part").count().collect())  # most_parts rows at most
+        own, held = [], 0
+        for number, size in sizes:
+            own.append(number)
+            held += size
+            if held >= self.settings.commit_every or number == sizes[-1][0]:
+                yield rows.where(c("__part").isin(own)).drop("__part")
+                own, held = [], 0
+
+    def _finish(self, name: str, new: DataFrame, dropped: DataFrame | None, changed: DataFrame) -> None:
+        """Commits the files of a part of a run, then (key, checksum) of what it has taken in."""
+        self.delta(name).commit(new, None if dropped is None else dropped.select("key"))
+        self.delta(f"{name}-state").commit(changed.select("key", "checksum"))
+
+    def _drop(self, name: str, dropped: DataFrame) -> None:
+        self.delta(name).commit(gone=dropped.select("key"))
+
+    def _prune(self, name: str, inputs: DataFrame) -> None:
+        """Forgets the state of keys that are no inputs any more."""
         before = self.table(f"{name}-state")
-        gone = None if before is None else before.select("key").join(inputs.select("key"), "key", "left_anti")
-        self.delta(f"{name}-state").commit(changed.select("key", "checksum"), gone)
+        if before is not None:
+            self.delta(f"{name}-state").commit(gone=before.select("key").join(inputs.select("key"), "key", "left_anti"))
 
     def _with_terms(self, run: str, kind: str, rows: DataFrame, text: str = "markdown") -> DataFrame:
         """Rows (key, ...) with the glossary's terms annotated and listed as their source's mode says; what looks like a new term is counted.
@@ -304,31 +333,40 @@ class Engine:
             whole = rows.withColumns({"key": c("page_id"), "checksum": checksum, "content_hash": checksum, "verdict": pages.verdict(c("title"), c("body"), raw_minimum=self.settings.raw_minimum)})
             rows = self.stage("pages-listing", whole.select("key", "checksum", "title", "source_ref", "verdict", F.length("body").alias("chars")))
             status = self.stage("pages-status", self._changed(rows.where("verdict IS NULL"), "pages", full))
-            todo = self.stage("pages-input", whole.join(status.where("status <> 'unchanged'").select("key"), "key", "left_semi"))
+            todo = whole.join(status.where("status <> 'unchanged'").select("key"), "key", "left_semi")
             rules = pages.promotion_rules()
-            rendered = markup.render_pages(todo, "body", "source_url", frozenset(x for labels in rules.values() for x in labels))
-            rendered = self._with_terms(run, "confluence", rendered)
-            attached = convert.attachment_sections(convert.extract_attachments(todo, "page_id", root), "page_id").select("page_id", "sections", c("warnings").alias("attachment_warnings"))
-            rendered = rendered.join(attached, "page_id", "left")
-            body = F.when(F.coalesce("sections", F.lit("")) != "", F.concat("markdown", F.lit("\n\n## Anhänge\n\n"), "sections")).otherwise(c("markdown"))
-            warnings = F.concat("warnings", F.coalesce("attachment_warnings", F.array().cast("array<string>")))
-            properties = F.map_concat(F.map_filter("properties", lambda k, v: ~F.map_contains_key(c("page_properties"), k)), "page_properties")
-            rendered = rendered.withColumns({"markdown": body, "warnings": warnings, "page_properties": properties})
-            rendered = self.stage("pages-rendered", rendered.withColumn("verdict", pages.verdict(c("title"), c("body"), c("markdown"), F.size("tables") > 0, self.settings.raw_minimum, self.settings.final_minimum)))
-            good = rendered.where("verdict IS NULL AND error IS NULL").withColumn("promoted", pages.promoted(c("page_properties"), rules))
-            short = rendered.where("verdict IS NOT NULL AND error IS NULL").select("key", "title", "source_ref", "verdict")
-            out = rows.where("verdict IS NOT NULL").select("key", "title", "source_ref", "verdict").unionByName(short)
             ids = {"document_id": c("key"), "document_uri": c("source_ref"), "document_title": c("title")}
-            self._events(rows, run, "confluence", "load", source, status=F.lit("ok"), input_count=c("chars"), **ids)
-            self._events(out, run, "confluence", "filter", source, status=F.lit("skipped"), reason_code=c("verdict"), **ids)
+            ignored = rows.where("verdict IS NOT NULL").select("key", "title", "source_ref", "verdict")
             same = rows.join(status.where("status = 'unchanged'").select("key"), "key", "left_semi")
+            self._events(rows, run, "confluence", "load", source, status=F.lit("ok"), input_count=c("chars"), **ids)
+            self._events(ignored, run, "confluence", "filter", source, status=F.lit("skipped"), reason_code=c("verdict"), **ids)
             self._events(same, run, "confluence", "filter", source, status=F.lit("skipped"), reason_code=F.lit("unchanged_incremental"), **ids)
-            how = F.when(c("error").isNotNull(), "error").when(F.size("unsupported") > 0, "warning").otherwise("ok")
-            why = F.when(c("error").isNotNull(), "transform_exception").when(F.size("unsupported") > 0, "unsupported_macro")
-            self._events(rendered, run, "confluence", "transform", source, status=how, reason_code=why, message=c("error"), output_count=F.length("markdown"), extra_json=F.to_json(F.struct(F.lit(True).alias("changed_flag"), c("warnings").alias("warning_flags"))), **ids)
-            self._finish("pages", rows.where("verdict IS NULL"), pages.page_files(good), out, todo)
-            done = status.join(rendered.where("error IS NOT NULL").select("key", F.lit(True).alias("bad")), "key", "left")
-            return done.select(F.when(c("bad"), "failed").otherwise(c("status")).alias("status")).unionByName(out.select(F.lit("unchanged").alias("status")))
+            self._drop("pages", ignored)
+            done = []
+            for n, part in enumerate(self._parts("pages-input", todo)):
+                rendered = markup.render_pages(part, "body", "source_url", frozenset(x for labels in rules.values() for x in labels))
+                attached = convert.attachment_sections(convert.extract_attachments(part, "page_id", root), "page_id").select("page_id", "sections", c("warnings").alias("attachment_warnings"))
+                rendered = rendered.join(attached, "page_id", "left").withColumn("markdown", pages.with_attachments(c("markdown"), c("sections"), c("attachments")))
+                rendered = self._with_terms(f"{run}/{n}", "confluence", rendered)
+                warnings = F.concat("warnings", F.coalesce("attachment_warnings", F.array().cast("array<string>")))
+                properties = F.map_concat(F.map_filter("properties", lambda k, v: ~F.map_contains_key(c("page_properties"), k)), "page_properties")
+                rendered = rendered.withColumns({"warnings": warnings, "page_properties": properties})
+                final = pages.verdict(c("title"), c("body"), c("markdown"), F.size("tables") > 0, self.settings.raw_minimum, self.settings.final_minimum)
+                rendered = self.stage(f"pages-rendered-{n}", rendered.withColumn("verdict", final))
+                good = rendered.where("verdict IS NULL AND error IS NULL").withColumn("promoted", pages.promoted(c("page_properties"), rules))
+                short = rendered.where("verdict IS NOT NULL AND error IS NULL")
+                self._events(short, run, "confluence", "filter", source, status=F.lit("skipped"), reason_code=c("verdict"), **ids)
+                how = F.when(c("error").isNotNull(), "error").when(F.size("unsupported") > 0, "warning").otherwise("ok")
+                why = F.when(c("error").isNotNull(), "transform_exception").when(F.size("unsupported") > 0, "unsupported_macro")
+                self._events(rendered, run, "confluence", "transform", source, status=how, reason_code=why, message=c("error"), output_count=F.length("markdown"), extra_json=F.to_json(F.struct(F.lit(True).alias("changed_flag"), c("warnings").alias("warning_flags"))), **ids)
+                self._finish("pages", pages.page_files(good), short, part)
+                done.append(rendered.select("key", c("error").isNotNull().alias("bad"), (c("error").isNull() & c("verdict").isNotNull()).alias("left_out")))
+            self._prune("pages", rows.where("verdict IS NULL"))
+            ends = reduce(DataFrame.unionByName, done) if done else self.spark.createDataFrame([], "key string, bad boolean, left_out boolean")
+            # a page that is left out counts as seen twice, as unchanged and by its first status
+            statuses = status.join(ends, "key", "left")
+            out = statuses.where("left_out").select(F.lit("unchanged").alias("status")).unionByName(ignored.select(F.lit("unchanged").alias("status")))
+            return statuses.select(F.when(c("bad"), "failed").otherwise(c("status")).alias("status")).unionByName(out)
 
         return self._run("confluence", source, full, work)
 
@@ -341,19 +379,23 @@ class Engine:
             whole = rows.withColumns({"key": c("issue_key"), "checksum": checksum, "content_hash": checksum})
             rows = self.stage("issues-listing", whole.select("key", "checksum", "summary", "source_ref", F.length("description").alias("chars")))
             status = self.stage("issues-status", self._changed(rows, "issues", full))
-            todo = self.stage("issues-input", whole.join(status.where("status <> 'unchanged'").select("key"), "key", "left_semi"))
-            attached = convert.attachment_sections(convert.extract_attachments(todo, "key", root), "key").select("key", "sections", c("warnings").alias("attachment_warnings"))
-            rendered = self._with_terms(run, "jira", markup.render_pages(todo, "description", "source_url")).join(attached, "key", "left")
-            body = F.when(F.coalesce("sections", F.lit("")) != "", F.concat("markdown", F.lit("\n\n## Anhänge\n\n"), "sections")).otherwise(c("markdown"))
-            rendered = self.stage("issues-rendered", rendered.withColumns({"markdown": body, "warnings": F.concat("warnings", F.coalesce("attachment_warnings", F.array().cast("array<string>")))}))
-            good = rendered.where("error IS NULL")
+            todo = whole.join(status.where("status <> 'unchanged'").select("key"), "key", "left_semi")
             path = pages.page_file(c("project_key"), c("issue_key"), c("summary"))
             ids = {"document_id": c("key"), "document_uri": c("source_ref"), "document_title": c("summary")}
             self._events(rows, run, "jira", "load", source, status=F.lit("ok"), input_count=c("chars"), **ids)
-            self._events(rendered, run, "jira", "transform", source, status=F.when(c("error").isNotNull(), "error").otherwise("ok"), message=c("error"), output_count=F.length("markdown"), **ids)
-            self._finish("issues", rows, good.select("key", path.alias("rel_path"), pages.render(pages.issue_metadata(), c("markdown")).alias("content")), rows.limit(0), todo)
-            done = status.join(rendered.where("error IS NOT NULL").select("key", F.lit(True).alias("bad")), "key", "left")
-            return done.select(F.when(c("bad"), "failed").otherwise(c("status")).alias("status"))
+            done = []
+            for n, part in enumerate(self._parts("issues-input", todo)):
+                attached = convert.attachment_sections(convert.extract_attachments(part, "key", root), "key").select("key", "sections", c("warnings").alias("attachment_warnings"))
+                rendered = markup.render_pages(part, "description", "source_url").join(attached, "key", "left")
+                rendered = rendered.withColumns({"markdown": pages.with_attachments(c("markdown"), c("sections")), "warnings": F.concat("warnings", F.coalesce("attachment_warnings", F.array().cast("array<string>")))})
+                rendered = self.stage(f"issues-rendered-{n}", self._with_terms(f"{run}/{n}", "jira", rendered))
+                good = rendered.where("error IS NULL")
+                self._events(rendered, run, "jira", "transform", source, status=F.when(c("error").isNotNull(), "error").otherwise("ok"), message=c("error"), output_count=F.length("markdown"), **ids)
+                self._finish("issues", good.select("key", path.alias("rel_path"), pages.render(pages.issue_metadata(), c("markdown")).alias("content")), None, part)
+                done.append(rendered.select("key", c("error").isNotNull().alias("bad")))
+            self._prune("issues", rows)
+            ends = reduce(DataFrame.unionByName, done) if done else self.spark.createDataFrame([], "key string, bad boolean")
+            return status.join(ends, "key", "left").select(F.when(c("bad"), "failed").otherwise(c("status")).alias("status"))
 
         return self._run("jira", source, full, work)
 
@@ -385,7 +427,8 @@ class Engine:
             good = done.where("success").select(c("path").alias("key"), path.alias("rel_path"), F.concat("domain", F.lit("/"), path).alias("publish_path"), pages.render(pages.document_metadata(), c("markdown")).alias("content"))
             ids = {"document_id": c("document_id"), "document_uri": c("path")}
             self._events(done, run, "documents", "transform", source, status=F.when(c("success"), "ok").otherwise("error"), message=c("error"), output_count=F.length("markdown"), **ids)
-            self._finish("documents-files", kept, good, kept.limit(0), fresh)
+            self._finish("documents-files", good, None, fresh)
+            self._prune("documents-files", kept)
             bad = done.where("NOT success").select(c("path").alias("key"), F.lit(True).alias("bad"))
             return status.join(bad, "key", "left").select(F.when(c("bad"), "failed").otherwise(c("status")).alias("status"))
 

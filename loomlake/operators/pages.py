@@ -23,6 +23,7 @@ LOG_TITLE = r"(?iU)^log\s+\d{4}\b"
 BY_RULE, SHORT = "filtered_by_rule", "too_small_for_chunking"
 RAW_MINIMUM, FINAL_MINIMUM = 120, 200
 OUTSOURCED = "Diese Tabelle wurde wegen komplexer Struktur aus der Hauptseite ausgelagert."
+EXTRACTED, LISTED, NO_NAME = "## Anhang-Inhalte (extrahiert)", "## Anhänge", "Anhang"
 PUBLISH_KEYS = ["title", "source_type", "space_key", "page_id", "labels", "source_url"]
 
 #: Properties that become front matter fields, by their labels; those in LISTS are lists.
@@ -77,6 +78,15 @@ def _json(**values: Column | str) -> Column:
     return F.to_json(F.struct(*[(F.lit(v) if isinstance(v, str) else v).alias(k) for k, v in values.items()]))
 
 
+def with_attachments(markdown: Column, sections: Column, attachments: Column | None = None) -> Column:
+    """A page's text, then what was extracted from its attachments, then the list of their names."""
+    out = F.when(F.coalesce(sections, F.lit("")) != "", F.concat(markdown, F.lit(f"\n\n{EXTRACTED}\n\n"), F.trim(sections))).otherwise(markdown)
+    if attachments is None:
+        return out
+    names = F.transform(attachments, lambda a: F.concat(F.lit("- "), F.coalesce(a["name"], F.lit(NO_NAME))))
+    return F.when(F.size(attachments) > 0, F.concat(out, F.lit(f"\n{LISTED}\n\n"), F.array_join(names, "\n"), F.lit("\n"))).otherwise(out)
+
+
 def attachment_names(attachments: Column) -> Column:
     return F.array_compact(F.transform(attachments, lambda a: a["name"]))
 

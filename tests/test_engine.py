@@ -6,7 +6,7 @@ from datetime import UTC, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from loomlake.engine import Engine
+from loomlake.engine import Engine, Settings
 from loomlake.functions import frontmatter
 from loomlake.operators import answer, audit, convert, pages, retrieval, scrape
 from loomlake.operators.audit_log import AuditLog, Event
@@ -274,7 +274,8 @@ def test_pages_become_files(spark, tmp_path, put):
     assert meta["priorität"] == "high" and "Prio" not in body and "- **Owner:** Anna" in body and meta["page_properties"] == {"Prio": "high", "Owner": "Anna"}
     assert meta["title"] == "My Page" and meta["source_key"] == "abc" and meta["tags"] == ["a", "b"] and meta["attachments"] == ["x.csv", "gone.pdf", "bad.json", "t.zip"] and meta["unsupported_macros"] == ["mystery"]
     assert set(meta["source_meta"]["transform_warnings"]) >= {"attachment_missing_local_path", "attachment_transform_failed", "attachment_unsupported_extension"}
-    assert "words of the page" in body and "### x.csv\n\n| a | b |\n| --- | --- |\n| 1 | 2\\|3 |" in body
+    assert "words of the page" in body and "## Anhang-Inhalte (extrahiert)\n\n### x.csv\n\n| a | b |\n| --- | --- |\n| 1 | 2\\|3 |" in body
+    assert body.rstrip().endswith("## Anhänge\n\n- x.csv\n- gone.pdf\n- bad.json\n- t.zip")
     assert [tuple(r) for r in pages.unsupported_macros(e.table("pages")).collect()] == [("mystery", 1)] and pages.unsupported_macros(e.table("pages"), "zz").count() == 0
     assert summary(e.transform_pages(root)) == (3, 0, 3, 0, 0)
     put("wiki/i/spaces/ABC/by-id/1/metadata.json", {"id": "1", "title": "Renamed", "space": {"key": "ABC"}})
@@ -448,3 +449,28 @@ def test_terms_of_transformed_pages(spark, tmp_path, put):
     put("jira/projects/by-id/1/metadata.json", {"id": "1", "key": "ABC-1", "fields": {"summary": "A", "description": body}})
     e.transform_issues(str(tmp_path / "jira"))
     assert "interface" not in e.table("issues").first().content and e.review_candidates().where("source = 'jira'").count() == 0
+
+
+def test_a_transform_goes_on_behind_its_last_part(spark, tmp_path, put, monkeypatch):
+    """Parts of about one page; the run is ended in a later part, and the next one renders only what is left."""
+    for i in range(6):
+        root = put(f"wiki/i/spaces/ABC/by-id/{i}/metadata.json", {"id": str(i), "title": f"Page {i}", "space": {"key": "ABC"}, "body": f"<p>{f'words of page {i} ' * 20}</p>"})
+    e = Engine(spark, str(tmp_path / "data"), Settings(commit_every=1, most_parts=3))
+    own, calls = DeltaTable.commit, []
+
+    def commit(self, *a, **k):
+        if self.root.endswith("/pages-state"):
+            calls.append(1)
+            if len(calls) == 2:
+                raise OSError("ended")
+        return own(self, *a, **k)
+
+    with monkeypatch.context() as m:
+        m.setattr(DeltaTable, "commit", commit)
+        with pytest.raises(OSError):
+            e.transform_pages(root)
+    first = e.table("pages-state").count()
+    assert 0 < first < 6
+    seen = summary(e.transform_pages(root))
+    assert seen[:3] == (6, 6 - first, first) and e.table("pages").count() == 6
+    assert summary(e.transform_pages(root))[:3] == (6, 0, 6)
