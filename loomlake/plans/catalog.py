@@ -634,7 +634,8 @@ def front_matter_validate(spark, sf_dir):
     return views.table(spark, sf_dir, "documents").select("doc_id", F.array_join(frontmatter.missing_fields(meta), ",").alias("missing"))
 
 
-@query()
+@query("""SELECT doc_id, '{"source_type": ' || coalesce('"' || nullif(lang, '') || '"', 'null') || ', "tags": ["a", "b"], "title": "T"}' AS meta, sha256(ltrim(coalesce(text, ''), chr(10))) AS body_hash,
+CASE WHEN coalesce(lang, '') = '' THEN 'missing: source_type|' ELSE '' END || 'missing: source_system|missing: source_key' AS problems FROM documents""")
 def front_matter_parse(spark, sf_dir):
     ensure_package(spark)
     rows = views.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("---\ntitle: T\ntags: a, b\nsource_type: "), F.coalesce("lang", F.lit("")), F.lit("\n---\n\n"), F.coalesce("text", F.lit(""))).alias("page"))
@@ -924,3 +925,6 @@ def property_promote_requested(spark, sf_dir):
     pairs = views.table(spark, sf_dir, "documents").select(c("doc_id").alias("page"), key.alias("key"), c("lang").alias("value"), F.lit(1).alias("ord")).where("value IS NOT NULL OR doc_id IS NOT NULL")
     rules = spark.createDataFrame([("prioritaet", "prio"), ("prio", "prio"), ("modul", "modul"), ("modul oft", "modul")], "alias string, name string")
     return answer.promote(pairs, rules, requested=["modul"])
+
+
+from loomlake.plans import page_queries  # noqa: E402, F401  registers its queries

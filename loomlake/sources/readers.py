@@ -38,10 +38,10 @@ def pick(json: Column, *paths: str) -> Column:
     return F.coalesce(*[F.get_json_object(json, f"$.{p}") for p in paths])
 
 
-def chunk_files(spark: SparkSession, root: str) -> DataFrame:
+def chunk_files(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
     """Chunks from JSON lines; broken lines and chunks without ids or text are left out."""
     schema = "doc_id string, chunk_id string, title string, text string, metadata map<string,string>, _bad string"
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(f"{root.rstrip('/')}/*.jsonl")
+    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(f"{root.rstrip('/')}/{pattern}")
     ok = lambda x: F.trim(F.coalesce(x, F.lit(""))) != ""
     return rows.where(c("_bad").isNull() & ok(c("doc_id")) & ok(c("chunk_id")) & ok(c("text"))).select("doc_id", "chunk_id", F.coalesce("title", "doc_id").alias("title"), "text", "metadata")
 
