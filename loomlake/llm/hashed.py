@@ -88,6 +88,10 @@ def vectors(run: Run, space: Space) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield (np.concatenate(idx).astype(np.int32), np.concatenate(val).astype(np.float32)) if idx else (np.zeros(0, np.int32), np.zeros(0, np.float32))
 
 
+#: Label values whose shares are broadcast at most.
+BROADCAST_LABELS = 100_000
+
+
 def agreed_labels(labels: DataFrame, key: str, label: str) -> DataFrame:
     """__id and __label (0/1) of every id whose labels all say the same; null ids and null labels do not count."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull())
@@ -105,8 +109,15 @@ def bounded_sample(rows: DataFrame, label: str, key: str, most: int) -> DataFram
     """
     rows = rows.where(F.col(key).isNotNull() & F.col(label).isNotNull())
     counts = rows.groupBy(F.col(label).alias("__of")).agg(F.count("*").alias("__n"))
-    n = counts.agg(F.count("*").alias("__labels"))
-    share = counts.crossJoin(n).select("__of", F.least(F.lit(1.0), F.lit(float(most)) / F.col("__labels") / F.col("__n")).alias("__share"))
+    few = counts.limit(BROADCAST_LABELS).collect()
+    if not few:
+        return rows.limit(0)
+    if len(few) < BROADCAST_LABELS:  # a row for each label, so many at most: rows stay in their scan
+        counts = F.broadcast(rows.sparkSession.createDataFrame([tuple(r) for r in few], counts.schema))
+        labels = len(few)
+    else:
+        labels = counts.count()
+    share = counts.select("__of", F.least(F.lit(1.0), F.lit(most / labels) / F.col("__n")).alias("__share"))
     unit = F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_003)) / F.lit(1_000_003.0)
     return rows.join(share, F.col(label) == F.col("__of")).where(unit < F.col("__share")).select(rows.columns)
 
