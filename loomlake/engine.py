@@ -149,7 +149,7 @@ class Engine:
             chunks = chunking.markdown_chunks(todo, key="doc_id", body="body")
             place = F.row_number().over(W.partitionBy("doc_id").orderBy("part", "chunk_start")) - 1
             chunks = chunks.withColumn("chunk_index", place).withColumn("chunk_id", F.format_string("%s-chunk-%04d", "doc_id", "chunk_index"))
-            chunks = chunks.join(todo.select("doc_id", "title"), "doc_id")
+            chunks = chunks.join(todo.select("doc_id", "title", c("rel_path").alias("source_ref")), "doc_id")
             gone = self.stage("ingest-gone", state_before.select("doc_id").join(listing.select("doc_id"), "doc_id", "left_anti"))
             done = todo.select("doc_id")
             self.delta("documents").commit(todo, gone)

@@ -110,7 +110,7 @@ def ask(chunks: DataFrame, vectors: DataFrame, question: str, embedder: Embedder
     exact: Column = F.contains(F.lower(F.concat_ws(" ", *[n for n in ("title", "section_header") if n in names], F.substring(F.coalesce("text", F.lit("")), 1, 500))), F.lit(question.strip().lower()))
     final = retrieval.blend(scored, exact, k).withColumn("rank", F.col("blend_rank") if fallback else F.col("rerank_rank"))
     there = lambda n, other: F.col(n) if n in names else other
-    key = retrieval.dedupe_key(there("source_ref", F.col("doc_id")), there("title", F.lit("")), there("section_header", F.lit("")), F.col("text"))
+    key = retrieval.dedupe_key(there("source_ref", F.lit("")), there("title", F.lit("")), there("section_header", F.lit("")), F.col("text"))
     final = retrieval.dedupe_backfill(final.withColumn("key", key), F.col("key"), k).withColumn("rank", F.col("final_rank"))
     title = F.coalesce(F.col("title"), F.col("doc_id").cast("string")) if "title" in names else F.col("doc_id").cast("string")
     final = final.withColumn("section", retrieval.source_section(F.col("rank"), title, F.coalesce("text", F.lit("")), F.col("section_header") if "section_header" in names else None))

@@ -73,8 +73,8 @@ def test_a_failed_commit_changes_nothing(spark, tmp_path, monkeypatch, step):
     t.commit(frame(spark, [("a", 1, "x"), ("b", 2, "y")]))
     before = contents(t)
 
-    def broken(self, kind, number, rows, own=DeltaTable._write):
-        own(self, kind, number, rows)
+    def broken(self, kind, number, rows, *more, own=DeltaTable._write):
+        own(self, kind, number, rows, *more)
         if kind == step:
             raise OSError("lost")
 
