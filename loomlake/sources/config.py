@@ -105,7 +105,7 @@ def mode_rows(data: dict) -> list[tuple[str, str, bool | None]]:
 def glossary(folder: str) -> Glossary:
     """The files of a terminology folder; the list of excluded candidates may be missing."""
     read = lambda name: read_yaml(f"{folder}/{FILES[name]}")
-    out = read("exclude").get("exclude", []) if Path(folder, FILES["exclude"]).exists() else []
+    out = read("exclude").get("candidate_exclude") or [] if Path(folder, FILES["exclude"]).exists() else []
     return Glossary(tuple(terms(read("terms"))), tuple(mode_rows(read("sources"))), settings(read("settings")), tuple(s for x in out if (s := str(x).strip())))
 
 

@@ -433,6 +433,9 @@ def test_terms_of_transformed_pages(spark, tmp_path, put):
     assert [r.code for r in e.validate_terminology(str(tmp_path / "terms")).collect()] == ["load_failed"]
     say("sources.yml", "sources:\n  confluence: {mode: annotate_and_block}\n  jira: {mode: off}\n")
     assert e.validate_terminology(str(tmp_path / "terms")).count() == 0
+    say("candidate_exclude.yml", "candidate_exclude:\n  - AP1*\n")
+    assert config.glossary(str(tmp_path / "terms")).exclude == ("AP1*",)
+    (tmp_path / "terms/candidate_exclude.yml").unlink()
     body = "<p>" + "The API of XYZ and XYZ says a lot. " * 10 + "</p>"
     put("wiki/i/spaces/ABC/by-id/1/metadata.json", {"id": "1", "title": "T", "space": {"key": "ABC"}, "body": body})
     root = put("wiki/i/spaces/ABC/by-id/2/metadata.json", {"id": "2", "title": "U", "space": {"key": "ABC"}, "body": body.replace("API", "AP1")})
