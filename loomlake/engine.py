@@ -16,7 +16,7 @@ from datetime import UTC, datetime
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,8 +63,9 @@ class Settings:
 class Engine:
     """All entry points over one root folder that all executors share."""
 
-    def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None, glossary: config.Glossary | None = None):
+    def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None, glossary: config.Glossary | None = None, converters: tuple[convert.Converter, ...] = convert.CONVERTERS):
         self.spark, self.root, self.settings, self.glossary = spark, root.rstrip("/"), settings or Settings(), glossary
+        self.converters = converters
         self.log = AuditLog(spark, f"{self.root}/audit")
         self._manifests = AppendLog(spark, f"{self.root}/manifests", T.StructType.fromDDL(MANIFEST))
         self.steps: dict[str, int] = {}
@@ -237,12 +238,12 @@ class Engine:
         options = {"keyword_weight": self.settings.keyword_weight, "vector_weight": self.settings.vector_weight} if mode == "hybrid" else {}
         return retrieval.search(self.table("chunks"), self.table("vectors"), [retrieval.Question(1, question, vector)], mode, k, **self._searches(), **options)
 
-    def prepare_answer(self, question: str, embedder: answer.Embedder, reranker: answer.Reranker | None = None) -> dict:
+    def prepare_answer(self, question: str, embedder: answer.Embedder, reranker: answer.Reranker | None = None, builders: answer.Builders | None = None) -> dict:
         """Prompt and sources of a question, without generating."""
-        return answer.ask(self.table("chunks"), self.table("vectors"), question, embedder, reranker, None, self.settings.final_k)
+        return answer.ask(self.table("chunks"), self.table("vectors"), question, embedder, reranker, None, self.settings.final_k, builders)
 
-    def ask(self, question: str, embedder: answer.Embedder, generator: answer.Generator, reranker: answer.Reranker | None = None) -> dict:
-        return answer.ask(self.table("chunks"), self.table("vectors"), question, embedder, reranker, generator, self.settings.final_k)
+    def ask(self, question: str, embedder: answer.Embedder, generator: answer.Generator, reranker: answer.Reranker | None = None, builders: answer.Builders | None = None) -> dict:
+        return answer.ask(self.table("chunks"), self.table("vectors"), question, embedder, reranker, generator, self.settings.final_k, builders)
 
     # ------------------------------------------------------------ transforms
 
@@ -284,6 +285,11 @@ class Engine:
         if before is not None:
             self.delta(f"{name}-state").commit(gone=before.select("key").join(inputs.select("key"), "key", "left_anti"))
 
+    def _attached(self, part: DataFrame, key: str, root: str, parent: Column) -> DataFrame:
+        """(key, sections, attachment_warnings, references, artifacts) of the attachments of a part of a run."""
+        found = convert.attachment_sections(convert.extract_attachments(part, key, root, self.converters, parent), key)
+        return found.select(key, "sections", c("warnings").alias("attachment_warnings"), "references", "artifacts")
+
     def _with_terms(self, run: str, kind: str, rows: DataFrame, text: str = "markdown") -> DataFrame:
         """Rows (key, ...) with the glossary's terms annotated and listed as their source's mode says; what looks like a new term is counted.
 
@@ -330,7 +336,8 @@ class Engine:
             own = self.spark
             rows = exports.wiki_pages(own, root, spaces)
             checksum = F.sha2(F.concat_ws("|", "title", "body", F.coalesce("updated_at", F.lit("")), F.array_join("labels", ",")), 256)
-            whole = rows.withColumns({"key": c("page_id"), "checksum": checksum, "content_hash": checksum, "verdict": pages.verdict(c("title"), c("body"), raw_minimum=self.settings.raw_minimum)})
+            content_hash = F.sha2(F.concat_ws("|", "title", "body", F.coalesce("updated_at", F.lit("")), F.array_join("labels", ","), pages.attachment_signature(c("attachments"))), 256)
+            whole = rows.withColumns({"key": c("page_id"), "checksum": checksum, "content_hash": content_hash, "verdict": pages.verdict(c("title"), c("body"), raw_minimum=self.settings.raw_minimum)})
             rows = self.stage("pages-listing", whole.select("key", "checksum", "title", "source_ref", "verdict", F.length("body").alias("chars")))
             status = self.stage("pages-status", self._changed(rows.where("verdict IS NULL"), "pages", full))
             todo = whole.join(status.where("status <> 'unchanged'").select("key"), "key", "left_semi")
@@ -345,20 +352,24 @@ class Engine:
             done = []
             for n, part in enumerate(self._parts("pages-input", todo)):
                 rendered = markup.render_pages(part, "body", "source_url", frozenset(x for labels in rules.values() for x in labels))
-                attached = convert.attachment_sections(convert.extract_attachments(part, "page_id", root), "page_id").select("page_id", "sections", c("warnings").alias("attachment_warnings"))
-                rendered = rendered.join(attached, "page_id", "left").withColumn("markdown", pages.with_attachments(c("markdown"), c("sections"), c("attachments")))
+                name = F.regexp_extract(pages.page_file(c("space_key"), c("page_id"), c("title")), "[^/]*$", 0)
+                parent = convert.parents("confluence", c("page_id"), c("title"), c("source_ref"), c("source_url"), name, c("body"))
+                attached = self._attached(part, "page_id", root, parent)
+                rendered = rendered.withColumns({"task_fields": pages.task_fields(c("markdown")), "markdown": pages.titled(c("title"), c("markdown"))}).join(attached, "page_id", "left")
+                rendered = rendered.withColumn("markdown", pages.with_attachments(c("markdown"), c("sections"), c("attachments"), c("references"), linked=True))
                 rendered = self._with_terms(f"{run}/{n}", "confluence", rendered)
                 warnings = F.concat("warnings", F.coalesce("attachment_warnings", F.array().cast("array<string>")))
                 properties = F.map_concat(F.map_filter("properties", lambda k, v: ~F.map_contains_key(c("page_properties"), k)), "page_properties")
                 rendered = rendered.withColumns({"warnings": warnings, "page_properties": properties})
                 final = pages.verdict(c("title"), c("body"), c("markdown"), F.size("tables") > 0, self.settings.raw_minimum, self.settings.final_minimum)
                 rendered = self.stage(f"pages-rendered-{n}", rendered.withColumn("verdict", final))
-                good = rendered.where("verdict IS NULL AND error IS NULL").withColumn("promoted", pages.promoted(c("page_properties"), rules))
+                good = rendered.where("verdict IS NULL AND error IS NULL").withColumn("promoted", pages.promoted(c("page_properties"), rules)).withColumn("promoted", F.struct("promoted.*", "task_fields.*"))
                 short = rendered.where("verdict IS NOT NULL AND error IS NULL")
                 self._events(short, run, "confluence", "filter", source, status=F.lit("skipped"), reason_code=c("verdict"), **ids)
                 how = F.when(c("error").isNotNull(), "error").when(F.size("unsupported") > 0, "warning").otherwise("ok")
                 why = F.when(c("error").isNotNull(), "transform_exception").when(F.size("unsupported") > 0, "unsupported_macro")
-                self._events(rendered, run, "confluence", "transform", source, status=how, reason_code=why, message=c("error"), output_count=F.length("markdown"), extra_json=F.to_json(F.struct(F.lit(True).alias("changed_flag"), c("warnings").alias("warning_flags"))), **ids)
+                self._events(rendered, run, "confluence", "transform", source, status=how, reason_code=why, message=c("error"), input_count=F.length("body"), output_count=F.length("markdown"), extra_json=F.to_json(F.struct(F.lit(True).alias("changed_flag"), F.array_sort(F.array_distinct("warnings")).alias("warning_flags"), c("unsupported").alias("unsupported_macros"))), **ids)
+                self._events(good, run, "confluence", "chunk", source, status=F.lit("ok"), input_count=F.length("markdown"), output_count=F.lit(1), chunk_count=F.lit(1), **ids)
                 self._finish("pages", pages.page_files(good), short, part)
                 done.append(rendered.select("key", c("error").isNotNull().alias("bad"), (c("error").isNull() & c("verdict").isNotNull()).alias("left_out")))
             self._prune("pages", rows.where("verdict IS NULL"))
@@ -375,8 +386,10 @@ class Engine:
 
         def work(run: str) -> DataFrame:
             rows = exports.issues(self.spark, root, projects).where("issue_key IS NOT NULL")
-            checksum = F.sha2(F.concat_ws("|", "summary", "description", F.coalesce("updated_at", F.lit("")), F.array_join("labels", ",")), 256)
-            whole = rows.withColumns({"key": c("issue_key"), "checksum": checksum, "content_hash": checksum})
+            parts = ["issue_key", "summary", "description", F.coalesce("updated_at", F.lit("")), F.array_join("labels", ",")]
+            checksum = F.sha2(F.concat_ws("|", *parts, F.array_join(F.array_sort("attachment_paths"), ",")), 256)  # an issue changes with its attachments
+            content_hash = F.sha2(F.concat_ws("|", *parts, pages.attachment_signature(c("attachments"))), 256)
+            whole = rows.withColumns({"key": c("issue_key"), "checksum": checksum, "content_hash": content_hash})
             rows = self.stage("issues-listing", whole.select("key", "checksum", "summary", "source_ref", F.length("description").alias("chars")))
             status = self.stage("issues-status", self._changed(rows, "issues", full))
             todo = whole.join(status.where("status <> 'unchanged'").select("key"), "key", "left_semi")
@@ -385,13 +398,17 @@ class Engine:
             self._events(rows, run, "jira", "load", source, status=F.lit("ok"), input_count=c("chars"), **ids)
             done = []
             for n, part in enumerate(self._parts("issues-input", todo)):
-                attached = convert.attachment_sections(convert.extract_attachments(part, "key", root), "key").select("key", "sections", c("warnings").alias("attachment_warnings"))
+                name = F.regexp_extract(path, "[^/]*$", 0)
+                attached = self._attached(part, "key", root, convert.parents("jira", c("key"), c("summary"), c("source_ref"), c("source_url"), name, c("description")))
                 rendered = markup.render_pages(part, "description", "source_url").join(attached, "key", "left")
-                rendered = rendered.withColumns({"markdown": pages.with_attachments(c("markdown"), c("sections")), "warnings": F.concat("warnings", F.coalesce("attachment_warnings", F.array().cast("array<string>")))})
+                text = pages.with_attachments(pages.issue_body(c("markdown")), c("sections"), c("attachments"), c("references"), linked=True, gap="\n\n\n")
+                rendered = rendered.withColumns({"markdown": F.when(c("error").isNull(), text), "warnings": F.concat("warnings", F.coalesce("attachment_warnings", F.array().cast("array<string>")))})
                 rendered = self.stage(f"issues-rendered-{n}", self._with_terms(f"{run}/{n}", "jira", rendered))
                 good = rendered.where("error IS NULL")
-                self._events(rendered, run, "jira", "transform", source, status=F.when(c("error").isNotNull(), "error").otherwise("ok"), message=c("error"), output_count=F.length("markdown"), **ids)
-                self._finish("issues", good.select("key", path.alias("rel_path"), pages.render(pages.issue_metadata(), c("markdown")).alias("content")), None, part)
+                self._events(rendered, run, "jira", "transform", source, status=F.when(c("error").isNotNull(), "error").otherwise("ok"), message=c("error"), input_count=F.length("description"), output_count=F.length("markdown"), extra_json=F.to_json(F.struct(F.lit(True).alias("changed_flag"))), **ids)
+                self._events(good, run, "jira", "chunk", source, status=F.lit("ok"), input_count=F.length("markdown"), output_count=F.lit(1), chunk_count=F.lit(1), **ids)
+                files = good.select("key", path.alias("rel_path"), pages.render(pages.issue_metadata(c("references")), c("markdown")).alias("content"))
+                self._finish("issues", files.unionByName(pages.artifact_files(good, "key", c("project_key"))), None, part)
                 done.append(rendered.select("key", c("error").isNotNull().alias("bad")))
             self._prune("issues", rows)
             ends = reduce(DataFrame.unionByName, done) if done else self.spark.createDataFrame([], "key string, bad boolean")
@@ -419,7 +436,7 @@ class Engine:
             todo = fresh.select(c("key").alias("path"))
             own = convert.union_of_roots(self.spark, roots, self._named(todo, "path")).withColumns({"document_id": F.sha2(F.lower("rel_path"), 256), "extension": convert.extension(c("path"))})
             files = own.join(todo, "path", "left_semi").select("path", "content", "rel_path", "size", "modified", "origin", "document_id", "extension")
-            done = scrape.choose_rule(convert.convert(files), rules).withColumnRenamed("target_subpath", "domain")
+            done = scrape.choose_rule(convert.convert(files, self.converters), rules).withColumnRenamed("target_subpath", "domain")
             done = done.join(alias, done["path"] == alias["kept_key"], "left").drop("kept_key")
             done = done.withColumns({"title": tx.title_from_name(F.regexp_extract("rel_path", "[^/]*$", 0)), "aliases": F.coalesce("aliases", F.array().cast("array<string>"))})
             done = self.stage("documents-converted", done)
@@ -440,10 +457,10 @@ class Engine:
         def work(run: str) -> DataFrame:
             old = self.table("scraped")
             existing = None if old is None or not changed_only else old.select(c("markdown_path").alias("rel_path"), "modified").unionByName(old.select(c("metadata_path").alias("rel_path"), "modified"))
-            planned = scrape.plan(readers.files(self.spark, root), existing, limit)
+            planned = scrape.plan(readers.files(self.spark, root), existing, limit, self.converters)
             planned = self.stage("scraped-plan", planned)
             few = self._named(planned.where("status = 'convert'"), "path")
-            done = scrape.transform(planned, convert.contents(self.spark, root, only=few).select("path", "content"), run, datetime.now(UTC).isoformat())
+            done = scrape.transform(planned, convert.contents(self.spark, root, only=few).select("path", "content"), run, datetime.now(UTC).isoformat(), self.converters)
             self.delta("scraped").commit(done.withColumns({"modified": F.current_timestamp(), "key": c("rel_path")}))
             return planned.join(self.table("scraped").select("path", c("status").alias("how")), "path", "left").select(F.when(c("status") == "skipped", "unchanged").when(c("how") == "failed", "failed").otherwise("new").alias("status"))
 
@@ -472,7 +489,7 @@ class Engine:
         Returns what became of each page (status published, unmapped, error or skipped). Pages with errors are tried again
         next time; what was published of pages that are not asked for now stays.
         """
-        staged = self.table("pages").select("rel_path", "content", F.sha2("content", 256).alias("checksum"))
+        staged = self.table("pages").where(c("rel_path").endswith(".md")).select("rel_path", "content", F.sha2("content", 256).alias("checksum"))
         staged = staged.where(F.concat(F.lit("/"), "rel_path").contains(f"/{space}/")) if space else staged
         before = None if full else self.table("published")
         same = self.spark.createDataFrame([], "rel_path string, checksum string, target string") if before is None else before.where("status <> 'error' AND target IS NOT NULL").select("rel_path", "checksum", "target")

@@ -7,6 +7,7 @@ the few rows of a question; generation runs on the driver for one prompt.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -90,12 +91,29 @@ def promote(pairs: DataFrame, rules: DataFrame, existing: DataFrame | None = Non
     return hits if existing is None else hits.join(existing.select("page", "name"), ["page", "name"], "left_anti").unionByName(existing.select("page", "name", "value"))
 
 
-def ask(chunks: DataFrame, vectors: DataFrame, question: str, embedder: Embedder, reranker: Reranker | None = None, generator: Generator | None = None, k: int = retrieval.FINAL) -> dict:
+@dataclass(frozen=True)
+class Builders:
+    """How an answer's parts are made; replace what should differ.
+
+    ``section`` makes a source's text (number, title, text, section header), ``context`` keeps the sections
+    (query_id, rank, section) that fit, ``prompt`` puts question and context together (question, context,
+    whether there are results), ``sources`` makes what is shown of each source.
+    """
+
+    section: Callable[..., Column] = retrieval.source_section
+    context: Callable[[DataFrame], DataFrame] = retrieval.within_budget
+    prompt: Callable[[Column, Column, Column], Column] = retrieval.prompt
+    sources: Callable[[DataFrame], DataFrame] = source_objects
+
+
+def ask(
+    chunks: DataFrame, vectors: DataFrame, question: str, embedder: Embedder, reranker: Reranker | None = None, generator: Generator | None = None, k: int = retrieval.FINAL, builders: Builders | None = None,
+) -> dict:
     """Answers one question: hybrid search, rerank, guardrail, dedupe, context, prompt, and the answer if there is a generator.
 
     At most CANDIDATES rows of one question reach the driver. Without hits no generator is called.
     """
-    spark = chunks.sparkSession
+    spark, build = chunks.sparkSession, builders or Builders()
     q = retrieval.Question(1, question, tuple(embedder.embed([question])[0]))
     hits = retrieval.with_chunks(retrieval.hybrid_search(chunks, vectors, [q]).drop("total"), chunks)
     rows = [r.asDict() for r in hits.orderBy("rank").collect()]
@@ -113,10 +131,10 @@ def ask(chunks: DataFrame, vectors: DataFrame, question: str, embedder: Embedder
     key = retrieval.dedupe_key(there("source_ref", F.lit("")), there("title", F.lit("")), there("section_header", F.lit("")), F.col("text"))
     final = retrieval.dedupe_backfill(final.withColumn("key", key), F.col("key"), k).withColumn("rank", F.col("final_rank"))
     title = F.coalesce(F.col("title"), F.col("doc_id").cast("string")) if "title" in names else F.col("doc_id").cast("string")
-    final = final.withColumn("section", retrieval.source_section(F.col("rank"), title, F.coalesce("text", F.lit("")), F.col("section_header") if "section_header" in names else None))
-    context = retrieval.within_budget(final).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "section"))).alias("s"))
-    prompt = context.select(retrieval.prompt(F.lit(question), F.array_join(F.transform("s", lambda x: x["section"]), "\n\n"), F.lit(True)).alias("p")).first()
-    sources = [r.asDict() for r in source_objects(final).orderBy("source_number").collect()]
+    final = final.withColumn("section", build.section(F.col("rank"), title, F.coalesce("text", F.lit("")), F.col("section_header") if "section_header" in names else None))
+    context = build.context(final).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "section"))).alias("s"))
+    prompt = context.select(build.prompt(F.lit(question), F.array_join(F.transform("s", lambda x: x["section"]), "\n\n"), F.lit(True)).alias("p")).first()
+    sources = [r.asDict() for r in build.sources(final).orderBy("source_number").collect()]
     prompt = prompt.p if prompt else None
     answer = None
     if generator and prompt:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlake.functions import frontmatter
-from loomlake.functions.text import collapse, property_key, property_list, slug
+from loomlake.functions.text import collapse, property_key, property_list, slug, strip
 from loomlake.operators import markup, state
 from loomlake.runtime import ensure_package
 
@@ -23,7 +23,9 @@ LOG_TITLE = r"(?iU)^log\s+\d{4}\b"
 BY_RULE, SHORT = "filtered_by_rule", "too_small_for_chunking"
 RAW_MINIMUM, FINAL_MINIMUM = 120, 200
 OUTSOURCED = "Diese Tabelle wurde wegen komplexer Struktur aus der Hauptseite ausgelagert."
-EXTRACTED, LISTED, NO_NAME = "## Anhang-Inhalte (extrahiert)", "## Anhänge", "Anhang"
+EXTRACTED, ANALYSED, LISTED, NO_NAME, NO_IMAGE = "## Anhang-Inhalte (extrahiert)", "## Abgeleitete Bildanalysen", "## Anhänge", "Anhang", "Bildanalyse"
+ISSUE_LABELS = {"status": "Status", "issue_type": "Typ", "priority": "Priorität", "assignee": "Assignee", "reporter": "Reporter"}
+DESCRIPTION, NO_DESCRIPTION = "## Beschreibung", "_Keine Beschreibung im Export gefunden._"
 PUBLISH_KEYS = ["title", "source_type", "space_key", "page_id", "labels", "source_url"]
 
 #: Properties that become front matter fields, by their labels; those in LISTS are lists.
@@ -78,37 +80,81 @@ def _json(**values: Column | str) -> Column:
     return F.to_json(F.struct(*[(F.lit(v) if isinstance(v, str) else v).alias(k) for k, v in values.items()]))
 
 
-def with_attachments(markdown: Column, sections: Column, attachments: Column | None = None) -> Column:
-    """A page's text, then what was extracted from its attachments, then the list of their names."""
-    out = F.when(F.coalesce(sections, F.lit("")) != "", F.concat(markdown, F.lit(f"\n\n{EXTRACTED}\n\n"), F.trim(sections))).otherwise(markdown)
+def task_fields(text: Column) -> Column:
+    """A struct of the tasks of a rendered text: their number by status and who is mentioned there, null without any."""
+    out = []
+    for title, name in (("Open Tasks", "open"), ("Completed Tasks", "completed")):
+        n, people = task_counts(text, title)
+        out += [F.when(n > 0, n).alias(f"{name}_task_count"), F.when(n > 0, people).alias(f"{name}_task_mentions")]
+    return F.struct(*out)
+
+
+def titled(title: Column, text: Column) -> Column:
+    """A page's text below its title."""
+    return F.concat(F.lit("# "), title, F.lit("\n\n"), strip(text))
+
+
+def issue_body(text: Column) -> Column:
+    """An issue's text below its title and what is known of it: status, type, priority, people."""
+    known = lambda name: F.when(c(name) != "", F.concat(F.lit("- "), F.lit(ISSUE_LABELS[name] + ": "), c(name)))
+    facts = F.array_compact(F.array(*[known(name) for name in ISSUE_LABELS]))
+    said = F.when(F.coalesce(text, F.lit("")) != "", text).otherwise(NO_DESCRIPTION)
+    lead = F.when(F.size(facts) > 0, F.concat(F.array_join(facts, "\n"), F.lit(f"\n\n{DESCRIPTION}\n\n"))).otherwise("")
+    return F.concat(F.lit("# "), "issue_key", F.lit(": "), "summary", F.lit("\n\n"), lead, said)
+
+
+def with_attachments(markdown: Column, sections: Column, attachments: Column | None = None, references: Column | None = None, linked: bool = False, gap: str = "\n\n") -> Column:
+    """A page's text, then what was extracted from its attachments, links to what was found in images, and the list of the attachments.
+
+    ``references`` are JSON; ``linked`` says that attachments have a url; ``gap`` stands between extracted texts and links.
+    """
+    some = F.coalesce(sections, F.lit("")) != ""
+    out = F.when(some, F.concat(markdown, F.lit(f"\n\n{EXTRACTED}\n\n"), strip(sections))).otherwise(markdown)
+    if references is not None:
+        at = lambda r, field: F.get_json_object(r, f"$.{field}")
+        filed = F.filter(references, lambda r: F.coalesce(at(r, "derived_md_file"), F.lit("")) != "")
+        links = F.transform(filed, lambda r: F.concat(F.lit("- ["), F.coalesce(at(r, "attachment_name"), F.lit(NO_IMAGE)), F.lit("]("), at(r, "derived_md_file"), F.lit(")")))
+        out = F.when(F.size(filed) > 0, F.concat(out, F.when(some, gap).otherwise("\n\n"), F.lit(f"{ANALYSED}\n\n"), F.array_join(links, "\n"))).otherwise(out)
     if attachments is None:
         return out
-    names = F.transform(attachments, lambda a: F.concat(F.lit("- "), F.coalesce(a["name"], F.lit(NO_NAME))))
-    return F.when(F.size(attachments) > 0, F.concat(out, F.lit(f"\n{LISTED}\n\n"), F.array_join(names, "\n"), F.lit("\n"))).otherwise(out)
+    name = lambda a: F.coalesce(a["name"], F.lit(NO_NAME))
+    line = lambda a: F.when(F.coalesce(a["url"], F.lit("")) != "", F.concat(F.lit("- ["), name(a), F.lit("]("), a["url"], F.lit(")"))).otherwise(F.concat(F.lit("- "), name(a))) if linked else F.concat(F.lit("- "), name(a))
+    return F.when(F.size(attachments) > 0, F.concat(out, F.lit(f"\n{LISTED}\n\n"), F.array_join(F.transform(attachments, line), "\n"), F.lit("\n"))).otherwise(out)
+
+
+def attachment_signature(attachments: Column) -> Column:
+    """Names and places of attachments, in order: part of a content's hash."""
+    return F.array_join(F.array_sort(F.transform(attachments, lambda a: F.concat(F.coalesce(a["name"], F.lit("")), F.lit("|"), F.coalesce(a["local_path"], F.lit(""))))), ",")
 
 
 def attachment_names(attachments: Column) -> Column:
     return F.array_compact(F.transform(attachments, lambda a: a["name"]))
 
 
-def page_metadata(space_key: Column) -> Column:
+def _images(references: Column | None) -> dict[str, Column]:
+    """What the front matter says of analysed images; ``render`` puts the references where they belong."""
+    given = F.array().cast("array<string>") if references is None else F.coalesce(references, F.array().cast("array<string>"))
+    return {"image_analysis_status": F.when(F.size(given) > 0, "complete").otherwise("not_applicable"), "image_attachment_count": F.size(given), "references": given}
+
+
+def page_metadata(space_key: Column, references: Column | None = None) -> Column:
     """Front matter of a page, as JSON, from the columns of a transformed page."""
     meta = F.struct(space_key.alias("space_key"), c("page_id"), c("warnings").alias("transform_warnings"))
     author = F.array_compact(F.array("author"))
     return _json(
         title=c("title"), source_type="confluence", source_system="confluence_export", source_key=F.lower(space_key), source_url=c("source_url"), original_id=c("page_id"), original_path=c("source_ref"), created_at=c("created_at"),
-        updated_at=c("updated_at"), tags=c("labels"), authors=author, content_hash=c("content_hash"), attachments=attachment_names(c("attachments")), image_analysis_status="not_applicable", parent_title=c("parent_title"),
+        updated_at=c("updated_at"), tags=c("labels"), authors=author, content_hash=c("content_hash"), attachments=attachment_names(c("attachments")), **_images(references), parent_title=c("parent_title"),
         ancestors=c("ancestors"), page_properties=c("page_properties"), unsupported_macros=c("unsupported"), doc_type="confluence_page", promoted=c("promoted"), source_meta=meta,
     )
 
 
-def issue_metadata() -> Column:
+def issue_metadata(references: Column | None = None) -> Column:
     """Front matter of an issue, as JSON."""
     meta = F.struct(c("issue_key").alias("jira_key"), "issue_type", "status", "priority", "components", "fix_versions", c("warnings").alias("transform_warnings"))
     return _json(
         title=F.concat("issue_key", F.lit(": "), "summary"), source_type="jira", source_system="jira_export", source_key=F.lower("project_key"), source_url=c("source_url"), original_id=c("issue_id"), original_path=c("source_ref"),
         created_at=c("created_at"), updated_at=c("updated_at"), tags=c("labels"), authors=F.array_compact(F.array("reporter", "assignee")), content_hash=c("content_hash"), attachments=attachment_names(c("attachments")),
-        image_analysis_status="not_applicable", source_meta=meta,
+        **_images(references), source_meta=meta,
     )
 
 
@@ -129,6 +175,8 @@ def render(metadata: Column, body: Column) -> Column:
         for meta, text in zip(metas, bodies):
             data = json.loads(meta)
             promoted = data.pop("promoted", None) or {}
+            if found := [json.loads(r) for r in data.pop("references", None) or []]:
+                data |= {"image_analysis": found, "source_meta": {**data.get("source_meta", {}), "image_analysis_refs": found}}
             out.append(frontmatter.render({**data, **promoted}, text or ""))
         return pd.Series(out)
 
@@ -159,9 +207,10 @@ def document_file(rel_path: Column, document_id: Column, title: Column) -> Colum
 
 
 def page_files(rows: DataFrame) -> DataFrame:
-    """(key, rel_path, content) of rendered pages with ``tables``: the page, and a file for each complex table."""
+    """(key, rel_path, content) of rendered pages with ``tables``: the page, a file for each complex table, and those that converters made (``artifacts``)."""
     ensure_package(rows.sparkSession)
-    main = rows.select(c("page_id").alias("key"), page_file(c("space_key"), c("page_id"), c("title")).alias("rel_path"), render(page_metadata(c("space_key")), c("markdown")).alias("content"))
+    references = c("references") if "references" in rows.columns else None
+    main = rows.select(c("page_id").alias("key"), page_file(c("space_key"), c("page_id"), c("title")).alias("rel_path"), render(page_metadata(c("space_key"), references), c("markdown")).alias("content"))
     extra = rows.select(c("page_id").alias("key"), "space_key", "title", "parent_title", "source_url", "labels", "content_hash", F.posexplode("tables").alias("n", "body"))
     name = F.concat(F.lower("space_key"), F.lit("/"), "key", F.lit("__table-"), (c("n") + 1).cast("string"), F.lit(".md"))
     said = lambda x: F.regexp_replace(F.to_json(F.array(F.coalesce(x, F.lit("")))), r"^\[|\]$", "")
@@ -171,7 +220,14 @@ def page_files(rows: DataFrame) -> DataFrame:
         F.lit("labels"), F.to_json("labels"), F.lit("content_hash"), said(c("content_hash")), F.lit("transform_warnings"), F.lit('["complex_table"]'),
     )
     body = F.concat(F.lit("# Tabelle aus: "), "title", F.lit("\n\n"), F.lit(OUTSOURCED), F.lit("\n\n## Inhalt (konservativ abgeflacht)\n\n"), "body")
-    return main.unionByName(extra.select("key", name.alias("rel_path"), json_lines(head, body).alias("content")))
+    out = main.unionByName(extra.select("key", name.alias("rel_path"), json_lines(head, body).alias("content")))
+    return out.unionByName(artifact_files(rows, "page_id", c("space_key"))) if "artifacts" in rows.columns else out
+
+
+def artifact_files(rows: DataFrame, key: str, space: Column) -> DataFrame:
+    """(key, rel_path, content) of the files that converters made of a page's attachments, beside the page; other folders than its own are cut off their names."""
+    each = rows.select(c(key).alias("key"), F.lower(space).alias("space"), F.explode("artifacts").alias("a"))
+    return each.select("key", F.concat("space", F.lit("/"), F.regexp_extract("a.name", r"[^/\\]*$", 0)).alias("rel_path"), c("a.content").alias("content"))
 
 
 def replace(existing: DataFrame, new: DataFrame, key: str = "key") -> DataFrame:

@@ -18,7 +18,7 @@ NO_TITLE, UNKNOWN = "Ohne Titel", "unknown"
 #: Fields of an attachment that name it, and those that give its place.
 NAMES = ["name", "title", "filename", "fileName"]
 PLACES = ["local_path", "localPath", "path", "file_path", "filePath", "filepath", "export_path", "absolute_path"]
-ATTACHMENT = "array<struct<name:string,local_path:string,media_type:string>>"
+ATTACHMENT = "array<struct<name:string,local_path:string,media_type:string,url:string>>"
 
 
 def texts(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -54,16 +54,16 @@ def attachments(rows: DataFrame, listing: DataFrame, items: Column, folders: Col
     name = F.coalesce(*[present(F.get_json_object("item", f"$.{x}")) for x in NAMES], F.when(~c("item").startswith("{"), present(c("item"))))
     given = F.array_compact(F.array(*[present(F.get_json_object("item", f"$.{x}")) for x in (PLACES if check else PLACES[:1])]))
     each = rows.select("folder", folders.alias("folders"), F.posexplode(items).alias("pos", "item"))
-    each = each.select("folder", "folders", "pos", name.alias("name"), given.alias("given"), pick(c("item"), "media_type", "mediaType", "metadata.mediaType").alias("media_type"))
+    each = each.select("folder", "folders", "pos", name.alias("name"), given.alias("given"), pick(c("item"), "media_type", "mediaType", "metadata.mediaType").alias("media_type"), present(pick(c("item"), "url", "downloadUrl")).alias("url"))
     base = F.regexp_extract("name", "[^/]*$", 0)
     absolute = F.transform("given", lambda p: F.when(p.startswith("/") | p.contains(":/"), p).otherwise(F.concat("folder", F.lit("/"), p)))
     places = F.concat(absolute, F.when(base != "", F.transform("folders", lambda f: F.concat(f, F.lit("/"), base))).otherwise(F.array().cast("array<string>")))
     plain = lambda p: F.regexp_replace(p, "^file:/*", "/")
-    tries = each.select("folder", "pos", "name", "media_type", F.try_element_at("given", F.lit(1)).alias("own") if not check else F.lit(None).cast("string").alias("own"), F.posexplode_outer(places).alias("order", "place"))
+    tries = each.select("folder", "pos", "name", "media_type", "url", F.try_element_at("given", F.lit(1)).alias("own") if not check else F.lit(None).cast("string").alias("own"), F.posexplode_outer(places).alias("order", "place"))
     there = listing.select(plain(c("path")).alias("place"), F.lit(True).alias("there")).distinct()
     found = tries.withColumn("place", plain(c("place"))).join(there, "place", "left")
-    best = found.groupBy("folder", "pos").agg(F.first("name").alias("name"), F.first("media_type").alias("media_type"), F.first("own").alias("own"), F.min_by("place", F.when(c("there"), c("order"))).alias("place"))
-    best = best.select("folder", "pos", F.struct("name", F.coalesce("own", "place").alias("local_path"), "media_type").alias("a"))
+    best = found.groupBy("folder", "pos").agg(F.first("name").alias("name"), F.first("media_type").alias("media_type"), F.first("url").alias("url"), F.first("own").alias("own"), F.min_by("place", F.when(c("there"), c("order"))).alias("place"))
+    best = best.select("folder", "pos", F.struct("name", F.coalesce("own", "place").alias("local_path"), "media_type", "url").alias("a"))
     lists = best.groupBy("folder").agg(F.sort_array(F.collect_list(F.struct("pos", "a"))).alias("s"))
     lists = lists.select("folder", F.transform("s", lambda x: x["a"]).cast(ATTACHMENT).alias("attachments"))
     empty = F.array().cast(ATTACHMENT)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomlake.engine import Engine, Settings
 from loomlake.functions import frontmatter
-from loomlake.operators import answer, audit, convert, pages, retrieval, scrape
+from loomlake.operators import answer, audit, convert, images, pages, retrieval, scrape
 from loomlake.operators.audit_log import AuditLog, Event
 from loomlake.sources import exports
 from loomlake.sources.delta import DeltaTable
@@ -84,6 +84,9 @@ def test_ingest_index_ask(spark, tmp_path, put):
     prepared = e.prepare_answer("cat mat", embedder, answer.LexicalReranker())
     assert prepared["answer"] is None and "cat sits" in prepared["prompt"]
     assert e.ask("cat mat", embedder, Echo())["answer"] == "Cats sit [1]"
+    own = answer.Builders(section=lambda number, title, text, header=None: F.concat(F.lit("#"), number.cast("string"), F.lit(" "), title), prompt=lambda q, context, there: F.concat_ws("|", q, context), sources=lambda rows: answer.source_objects(rows).select("source_number"))
+    built = e.prepare_answer("cat mat", embedder, builders=own)
+    assert built["prompt"].startswith("cat mat|#1 ") and built["sources"][0] == {"source_number": 1}
     report = audit.render(e.report())
     assert "filesystem" in report and "unchanged_incremental" in report and "Chunk-Quote" in report
     assert "| run_id |" in audit.render(e.report(), markdown=True)
@@ -308,7 +311,77 @@ def test_issues_become_files(spark, tmp_path, put):
     assert summary(e.transform_issues(root)) == (1, 1, 0, 0, 0) and summary(e.transform_issues(root)) == (1, 0, 1, 0, 0)
     file = e.table("issues").first()
     meta, body = frontmatter.parse(file.content)
-    assert file.rel_path == "abc/ABC-1__a-b.md" and meta["title"] == "ABC-1: A b!" and meta["authors"] == ["R"] and body.strip() == "said"
+    assert file.rel_path == "abc/ABC-1__a-b.md" and meta["title"] == "ABC-1: A b!" and meta["authors"] == ["R"] and body.strip() == "# ABC-1: A b!\n\n- Reporter: R\n\n## Beschreibung\n\nsaid"
+    assert meta["image_analysis_status"] == "not_applicable" and meta["image_attachment_count"] == 0
+    put("jira/projects/attachments/ABC-1/late.csv", "a\n1\n")  # an issue changes with its attachments, a page does not
+    assert summary(e.transform_issues(root))[4] == 1 and "### late.csv" in e.table("issues").first().content
+    put("jira/projects/by-id/2/metadata.json", {"id": "2", "key": "ABC-2", "summary": "Bare"})
+    e.transform_issues(root)
+    bare = e.table("issues").where("key = 'ABC-2'").first().content
+    assert frontmatter.parse(bare)[1].strip() == "# ABC-2: Bare\n\n_Keine Beschreibung im Export gefunden._"
+    assert {(r.document_id, r.chunk_count) for r in e.log.events().where("stage = 'chunk'").collect()} == {("ABC-1", 1), ("ABC-2", 1)}
+
+
+def test_images_of_pages_and_issues(spark, tmp_path, put):
+    """One image on two pages is analysed for each; its files, links, front matter and warnings; the files go with the image."""
+
+    def looked_at(data, parent):
+        if data == b"bad":
+            raise ValueError("no image")
+        return images.Analysis("" if data == b"blank" else f"{data.decode()} of {parent.title}", "screenshot", "words" if data == b"shot" else "", ("gui",), warnings=("low resolution",) if data == b"shot" else ())
+
+    said = "<p>" + "words of the page " * 20 + "</p><ac:task-list><ac:task><ac:task-status>incomplete</ac:task-status><ac:task-body>write to <ri:user ri:display-name=\"Anna\"/> about the report by 2024-05-01</ac:task-body></ac:task></ac:task-list>"
+    shared = str(tmp_path / "wiki/shared/attachments/Screen One.png")
+    put("wiki/shared/attachments/Screen One.png", "shot")
+    for n in (1, 2):
+        items = [{"name": "Screen One.png", "local_path": shared}, {"name": "x.csv", "url": "http://h/x.csv"}, "bad.png", "blank.png"]
+        put(f"wiki/by-id/{n}/metadata.json", {"id": str(n), "title": f"P{n}", "space_key": "ABC", "body": said, "attachments": items})
+        put(f"wiki/by-id/{n}/attachments/x.csv", "a,b\n1,2\n")
+        put(f"wiki/by-id/{n}/attachments/bad.png", "bad")
+        root = put(f"wiki/by-id/{n}/attachments/blank.png", "blank")
+    e = Engine(spark, str(tmp_path / "data"), converters=(images.converter(looked_at), *convert.CONVERTERS))
+    assert summary(e.transform_pages(root)) == (2, 2, 0, 0, 0)
+    files = {r.rel_path: r.content for r in e.table("pages").collect()}
+    assert sorted(files) == [f"abc/{n}__{x}" for n in (1, 2) for x in ("image__screen-one.json", "image__screen-one.md", f"p{n}.md")]
+    for n in (1, 2):
+        meta, body = frontmatter.parse(files[f"abc/{n}__p{n}.md"])
+        assert body.startswith(f"# P{n}\n\nwords of the page")
+        image = f"### Screen One.png\n\n## Kurzbeschreibung\n\nshot of P{n}\n\n## Erkannter Text\n\nwords\n\n### x.csv\n\n| a | b |\n| --- | --- |\n| 1 | 2 |"
+        links = f"## Abgeleitete Bildanalysen\n\n- [Screen One.png]({n}__image__screen-one.md)\n## Anhänge\n\n- Screen One.png\n- [x.csv](http://h/x.csv)\n- bad.png\n- blank.png"
+        assert f"## Anhang-Inhalte (extrahiert)\n\n{image}\n\n{links}" in body
+        assert (meta["image_analysis_status"], meta["image_attachment_count"], meta["open_task_count"], meta["open_task_mentions"]) == ("complete", 1, 1, ["Anna"]) and "completed_task_count" not in meta
+        ref = meta["image_analysis"][0]
+        assert meta["source_meta"]["image_analysis_refs"] == [ref] and "references" not in meta and ref["summary"] == f"shot of P{n}" and ref["mime_type"] == "image/png" and ref["signals"] == ["gui"]
+        assert [w for w in meta["source_meta"]["transform_warnings"] if w.startswith("attachment")] == [convert.WARNED, convert.FAILED, convert.EMPTY]
+        assert json.loads(files[f"abc/{n}__image__screen-one.json"])["parent_id"] == str(n)
+    # the analyses are no pages: publishing takes Markdown only, and says what their front matter lacks
+    routes = spark.createDataFrame([("ABC", "core")], "space string, domain_path string")
+    assert {r.rel_path: r.status for r in e.publish(routes).collect()} == {f"abc/{n}__{x}": s for n in (1, 2) for x, s in ((f"p{n}.md", "published"), ("image__screen-one.md", "error"))}
+    put("wiki/by-id/2/metadata.json", {"id": "2", "title": "P2", "space_key": "ABC", "body": said})
+    assert summary(e.transform_pages(root))[4] == 0, "a page does not change with its attachments"
+    put("wiki/by-id/2/metadata.json", {"id": "2", "title": "New", "space_key": "ABC", "body": said})
+    e.transform_pages(root)
+    assert sorted(r.rel_path for r in e.table("pages").where("key = '2'").collect()) == ["abc/2__new.md"]
+    put("jira/projects/by-id/1/metadata.json", {"id": "1", "key": "ABC-125", "summary": "Image", "description": "<p>D.</p>", "attachments": [{"name": "screen.png"}]})
+    e.transform_issues(put("jira/projects/attachments/ABC-125/screen.png", "shot"))
+    files = {r.rel_path: r.content for r in e.table("issues").collect()}
+    assert sorted(files) == ["abc/ABC-125__image.md", "abc/ABC-125__image__screen.json", "abc/ABC-125__image__screen.md"]
+    meta, body = frontmatter.parse(files["abc/ABC-125__image.md"])
+    assert meta["image_analysis_status"] == "complete" and "words\n\n\n## Abgeleitete Bildanalysen\n\n- [screen.png](ABC-125__image__screen.md)\n## Anhänge\n\n- screen.png" in body
+
+
+def test_sections_keep_the_last_file_of_a_name(spark):
+    file = lambda n, t: {"name": n, "media_type": "text/plain", "content": t}
+    rows = spark.createDataFrame(
+        [("k", 1, "b", "B", None, None, ["w1", "w2"], '{"attachment_name": "b"}', [file("f", "second")]), ("k", 0, "a", "A", None, None, [], None, [file("f", "first"), file("g", "G")]), ("k", 2, "c", None, convert.EMPTY, "empty", [], None, []), ("n", 0, "a", None, convert.FAILED, "no", [], None, [])],
+        "key string, pos int, name string, markdown string, code string, message string, notes array<string>, reference string, artifacts array<struct<name:string,media_type:string,content:string>>",
+    )
+    got = {r.key: r for r in convert.attachment_sections(rows, "key").collect()}
+    k = got["k"]
+    assert k.sections == "### a\n\nA\n\n### b\n\nB\n" and k.warnings == [convert.WARNED, convert.WARNED, convert.EMPTY] and k.messages == ["Anhang 'b': w1", "Anhang 'b': w2", "empty"]
+    assert {(a.name, a.content) for a in k.artifacts} == {("f", "second"), ("g", "G")} and k.references == ['{"attachment_name": "b"}']
+    assert (got["n"].sections, got["n"].references, got["n"].artifacts) == ("", [], [])
+    assert convert.attachment_sections(rows.limit(0), "key").count() == 0
 
 
 def test_attachment_stats(spark, put):
