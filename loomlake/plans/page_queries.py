@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomlake.functions import frontmatter
 from loomlake.functions import text as tx
-from loomlake.operators import answer, convert, pages, retrieval, scrape, terminology
+from loomlake.operators import answer, convert, images, pages, retrieval, scrape, terminology
 from loomlake.operators.audit_log import AuditLog
 from loomlake.plans import views
 from loomlake.plans.catalog import _RERANK, _STRIP, _hybrid_sql, _reranked, _word, query
@@ -160,6 +161,65 @@ def attachment_texts(spark, sf_dir):
     return rows.select("page_id", pages.with_attachments(c("url"), F.when(c("page_id") % 2 == 0, "### x"), F.when(c("page_id") % 3 > 0, names).otherwise(F.slice(names, 1, 0))).alias("body"))
 
 
+@query("""SELECT doc_id, md5('# ABC-' || doc_id || ': S' || chr(10) || chr(10) || CASE WHEN doc_id % 4 = 0 THEN '' ELSE array_to_string(list_filter([CASE WHEN coalesce(lang, '') <> '' THEN '- Status: ' || lang END, CASE WHEN coalesce(source, '') <> '' THEN '- Typ: ' || source END, CASE WHEN doc_id % 3 = 0 THEN '- Reporter: R' END], lambda x: x IS NOT NULL), chr(10)) || CASE WHEN coalesce(lang, '') <> '' OR coalesce(source, '') <> '' OR doc_id % 3 = 0 THEN chr(10) || chr(10) || '## Beschreibung' || chr(10) || chr(10) ELSE '' END END || CASE WHEN coalesce(text, '') = '' THEN '_Keine Beschreibung im Export gefunden._' ELSE text END) AS body FROM documents""")
+def issue_bodies(spark, sf_dir):
+    """All documents as descriptions of issues, below titles and what is known of each; a quarter with nothing known."""
+    known = lambda x: F.when(c("doc_id") % 4 > 0, x)
+    rows = views.table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.concat(F.lit("ABC-"), c("doc_id").cast("string")).alias("issue_key"), F.lit("S").alias("summary"), known(c("lang")).alias("status"), known(c("source")).alias("issue_type"),
+        F.lit("").alias("priority"), F.lit(None).cast("string").alias("assignee"), known(F.when(c("doc_id") % 3 == 0, "R")).alias("reporter"),
+    )
+    return rows.select("doc_id", F.md5(pages.issue_body(c("text")).cast("binary")).alias("body"))
+
+
+@query("""WITH a AS (SELECT conv_id, turn, role, coalesce(text, '') AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, coalesce(text, '')) - 1 AS pos FROM conversations)
+SELECT conv_id, md5(coalesce(string_agg('### ' || role || chr(10) || chr(10) || t || chr(10), chr(10) ORDER BY pos) FILTER (turn % 3 > 0), '')) AS sections,
+  coalesce(string_agg(CASE WHEN turn % 3 = 0 THEN 'attachment_transform_failed' ELSE 'attachment_transform_warning' END, ',' ORDER BY pos) FILTER (turn % 3 < 2), '') AS warnings,
+  md5(coalesce(string_agg(CASE WHEN turn % 3 = 0 THEN 'no' ELSE 'Anhang ''' || role || ''': ' || t END, '|' ORDER BY pos) FILTER (turn % 3 < 2), '')) AS messages,
+  count(*) FILTER (turn % 3 = 2) AS n_references, count(DISTINCT role) FILTER (turn % 3 > 0) AS n_artifacts, md5(coalesce(max_by(t, pos) FILTER (turn % 3 > 0 AND role = 'user'), '')) AS last_user FROM a GROUP BY conv_id""")
+def attachment_blocks(spark, sf_dir):
+    """Turns as attachments of their conversations: a third failed, a third with notes of the converter, a third with references; each kept one writes a file named by its role."""
+    rows = views.table(spark, sf_dir, "conversations").withColumn("t", F.coalesce("text", F.lit("")))
+    pos = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "t")) - 1
+    bad, k = c("turn") % 3 == 0, c("turn") % 3
+    strings = "array<string>"
+    one = F.array(F.struct(c("role").alias("name"), F.lit("text/plain").alias("media_type"), c("t").alias("content")))
+    given = rows.select(
+        "conv_id", pos.alias("pos"), c("role").alias("name"), F.when(~bad, c("t")).alias("markdown"), F.when(bad, convert.FAILED).alias("code"), F.when(bad, "no").alias("message"),
+        F.when(k == 1, F.array("t")).otherwise(F.array().cast(strings)).alias("notes"), F.when(k == 2, F.lit("{}")).alias("reference"), F.when(~bad, one).otherwise(F.slice(one, 1, 0)).alias("artifacts"),
+    )
+    done = convert.attachment_sections(given, "conv_id")
+    hashed = lambda x: F.md5(x.cast("binary"))
+    return done.select(
+        "conv_id", hashed(c("sections")).alias("sections"), F.array_join("warnings", ",").alias("warnings"), hashed(F.array_join("messages", "|")).alias("messages"),
+        F.size("references").cast("long").alias("n_references"), F.size("artifacts").cast("long").alias("n_artifacts"), hashed(F.coalesce(F.get(F.transform(F.filter("artifacts", lambda a: a["name"] == "user"), lambda a: a["content"]), 0), F.lit(""))).alias("last_user"),
+    )
+
+
+@query("""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'image' WHEN 1 THEN 'csv' END AS transformer, page_id % 3 < 2 AND page_id % 5 > 0 AS success, CASE WHEN page_id % 3 = 0 AND page_id % 5 > 0 THEN 'Page ' || page_id || ': ' || length(url) END AS said,
+  CASE WHEN page_id % 3 = 0 AND page_id % 5 > 0 THEN page_id || '__image__scan.md' END AS file, CASE WHEN page_id % 3 = 0 AND page_id % 5 > 0 THEN 2 ELSE 0 END AS n_artifacts, CASE WHEN page_id % 3 = 0 AND page_id % 5 = 0 THEN 'image conversion failed: empty' WHEN page_id % 3 = 1 AND page_id % 5 = 0 THEN 'csv conversion failed: empty' END AS error FROM pages""")
+def files_in_context(spark, sf_dir):
+    """All pages' addresses as attached files of three kinds: images that are told their page, tables and unknown ones; a fifth is broken."""
+
+    def looked_at(data, parent):
+        if not data:
+            raise ValueError("empty")
+        return images.Analysis(f"{parent.title}: {len(data)}")
+
+    def listed(data):
+        if not data:
+            raise ValueError("empty")
+        return data.decode()
+
+    k, text = c("page_id"), c("page_id").cast("string")
+    none = F.lit("")
+    parent = convert.parents("wiki", text, F.concat(F.lit("Page "), text), none, c("url"), none, none).withField("name", F.lit("scan.png"))
+    rows = views.table(spark, sf_dir, "pages").select(k, F.concat(F.lit("scan"), F.when(k % 3 == 0, ".png").when(k % 3 == 1, ".csv").otherwise(".exe")).alias("path"), F.when(k % 5 == 0, "").otherwise(c("url")).cast("binary").alias("content"), parent.alias("parent"))
+    done = convert.convert(rows, (images.converter(looked_at), convert.Converter("csv", ("csv",), listed)), "parent")
+    at = lambda field: F.get_json_object("reference", f"$.{field}")
+    return done.select("page_id", "transformer", "success", at("summary").alias("said"), at("derived_md_file").alias("file"), F.size("artifacts").alias("n_artifacts"), "error")
+
+
 @query("SELECT suffix, count(*) AS total, count(*) FILTER (code IS NULL) AS extracted, count(*) FILTER (code IS NOT NULL) AS failed FROM (SELECT coalesce(nullif(lower(regexp_extract(url, '[^/.](\\.[^./]*)$', 1)), ''), '<noext>') AS suffix, CASE WHEN page_id % 4 = 0 THEN 'bad' END AS code FROM pages) GROUP BY suffix")
 def attachment_totals(spark, sf_dir):
     rows = views.table(spark, sf_dir, "pages").select(convert.suffix(c("url"), F.lit(None).cast("string")).alias("suffix"), F.when(c("page_id") % 4 == 0, "bad").alias("code"))
