@@ -286,9 +286,9 @@ class Engine:
             self.delta(f"{name}-state").commit(gone=before.select("key").join(inputs.select("key"), "key", "left_anti"))
 
     def _attached(self, part: DataFrame, key: str, root: str, parent: Column) -> DataFrame:
-        """(key, sections, attachment_warnings, references, artifacts) of the attachments of a part of a run."""
+        """(key, sections, attachment_warnings, attachment_messages, references, artifacts) of the attachments of a part of a run."""
         found = convert.attachment_sections(convert.extract_attachments(part, key, root, self.converters, parent), key)
-        return found.select(key, "sections", c("warnings").alias("attachment_warnings"), "references", "artifacts")
+        return found.select(key, "sections", c("warnings").alias("attachment_warnings"), c("messages").alias("attachment_messages"), "references", "artifacts")
 
     def _with_terms(self, run: str, kind: str, rows: DataFrame, text: str = "markdown") -> DataFrame:
         """Rows (key, ...) with the glossary's terms annotated and listed as their source's mode says; what looks like a new term is counted.
@@ -351,8 +351,8 @@ class Engine:
             self._drop("pages", ignored)
             done = []
             for n, part in enumerate(self._parts("pages-input", todo)):
-                rendered = markup.render_pages(part, "body", "source_url", frozenset(x for labels in rules.values() for x in labels))
                 name = F.regexp_extract(pages.page_file(c("space_key"), c("page_id"), c("title")), "[^/]*$", 0)
+                rendered = markup.render_pages(part, "body", "source_url", frozenset(x for labels in rules.values() for x in labels), F.regexp_replace(name, r"\.md$", ""))
                 parent = convert.parents("confluence", c("page_id"), c("title"), c("source_ref"), c("source_url"), name, c("body"))
                 attached = self._attached(part, "page_id", root, parent)
                 rendered = rendered.withColumns({"task_fields": pages.task_fields(c("markdown")), "markdown": pages.titled(c("title"), c("markdown"))}).join(attached, "page_id", "left")
@@ -360,7 +360,8 @@ class Engine:
                 rendered = self._with_terms(f"{run}/{n}", "confluence", rendered)
                 warnings = F.concat("warnings", F.coalesce("attachment_warnings", F.array().cast("array<string>")))
                 properties = F.map_concat(F.map_filter("properties", lambda k, v: ~F.map_contains_key(c("page_properties"), k)), "page_properties")
-                rendered = rendered.withColumns({"warnings": warnings, "page_properties": properties})
+                messages = F.concat("messages", F.coalesce("attachment_messages", F.array().cast("array<string>")))
+                rendered = rendered.withColumns({"warnings": warnings, "messages": messages, "page_properties": properties})
                 final = pages.verdict(c("title"), c("body"), c("markdown"), F.size("tables") > 0, self.settings.raw_minimum, self.settings.final_minimum)
                 rendered = self.stage(f"pages-rendered-{n}", rendered.withColumn("verdict", final))
                 good = rendered.where("verdict IS NULL AND error IS NULL").withColumn("promoted", pages.promoted(c("page_properties"), rules)).withColumn("promoted", F.struct("promoted.*", "task_fields.*"))
@@ -402,12 +403,12 @@ class Engine:
                 attached = self._attached(part, "key", root, convert.parents("jira", c("key"), c("summary"), c("source_ref"), c("source_url"), name, c("description")))
                 rendered = markup.render_pages(part, "description", "source_url").join(attached, "key", "left")
                 text = pages.with_attachments(pages.issue_body(c("markdown")), c("sections"), c("attachments"), c("references"), linked=True, gap="\n\n\n")
-                rendered = rendered.withColumns({"markdown": F.when(c("error").isNull(), text), "warnings": F.concat("warnings", F.coalesce("attachment_warnings", F.array().cast("array<string>")))})
+                rendered = rendered.withColumns({"markdown": F.when(c("error").isNull(), text), "warnings": F.concat("warnings", F.coalesce("attachment_warnings", F.array().cast("array<string>"))), "messages": F.concat("messages", F.coalesce("attachment_messages", F.array().cast("array<string>")))})
                 rendered = self.stage(f"issues-rendered-{n}", self._with_terms(f"{run}/{n}", "jira", rendered))
                 good = rendered.where("error IS NULL")
                 self._events(rendered, run, "jira", "transform", source, status=F.when(c("error").isNotNull(), "error").otherwise("ok"), message=c("error"), input_count=F.length("description"), output_count=F.length("markdown"), extra_json=F.to_json(F.struct(F.lit(True).alias("changed_flag"))), **ids)
                 self._events(good, run, "jira", "chunk", source, status=F.lit("ok"), input_count=F.length("markdown"), output_count=F.lit(1), chunk_count=F.lit(1), **ids)
-                files = good.select("key", path.alias("rel_path"), pages.render(pages.issue_metadata(c("references")), c("markdown")).alias("content"))
+                files = good.select("key", path.alias("rel_path"), pages.render(pages.issue_metadata(c("references"), c("messages")), c("markdown")).alias("content"))
                 self._finish("issues", files.unionByName(pages.artifact_files(good, "key", c("project_key"))), None, part)
                 done.append(rendered.select("key", c("error").isNotNull().alias("bad")))
             self._prune("issues", rows)

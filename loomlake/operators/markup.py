@@ -15,7 +15,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -147,15 +147,31 @@ def property_name(key: str) -> str:
 
 
 class Renderer:
-    """``hidden``: names of properties that are not repeated in the text where they have a value."""
+    """``hidden``: names of properties that are not repeated in the text where they have a value; ``stem``: how the page's file names begin.
 
-    def __init__(self, url: str | None = None, hidden: frozenset[str] = frozenset()):
-        self.url, self.hidden = url, hidden
+    Warnings are codes, messages say the same in words. Tables that are too complex for the text are
+    (shape, rows) of documents of their own, named in the text.
+    """
+
+    def __init__(self, url: str | None = None, hidden: frozenset[str] = frozenset(), stem: str = "page"):
+        self.url, self.hidden, self.stem = url, hidden, stem
         self.warnings: list[str] = []
+        self.messages: list[str] = []
         self.unsupported: list[str] = []
         self.tasks: list[Task] = []
         self.properties: dict[str, str] = {}
-        self.tables: list[str] = []
+        self.tables: list[tuple[str, str]] = []
+
+    def warn(self, code: str, message: str) -> None:
+        self.warnings.append(code)
+        self.messages.append(message)
+
+    def degraded(self, message: str) -> None:
+        self.warn("degraded_macro_rendering", message)
+
+    def not_supported(self, name: str) -> None:
+        self.unsupported.append(name)
+        self.warn("unsupported_macro", f"Nicht unterstütztes Makro erkannt: {name}")
 
     def all(self, node: Node) -> str:
         return "".join(re.sub(r"[ \t\r\n]+", " ", x) if isinstance(x, str) else self.one(x) for x in node.children)
@@ -210,8 +226,8 @@ class Renderer:
         params = {p.attrs.get("ac:name", ""): p.text().strip() for p in n.children if isinstance(p, Node) and p.tag == "ac:parameter"}
         body = next((x for x in n.children if isinstance(x, Node) and x.tag in ("ac:rich-text-body", "ac:plain-text-body")), None)
         if not MACRO_NAME.match(given):
-            self.warnings.append("invalid_macro_name")
-            self.unsupported.append("unknown_macro")
+            self.warn("macro_name_parse_error", f"Ungültiger Makroname erkannt und auf unknown_macro gesetzt: {given[:80]}" if given else "Makro ohne auslesbaren Namen erkannt.")
+            self.not_supported("unknown_macro")
             return self.all(body) if body else ""
         if name in DROPPED:
             return ""
@@ -222,7 +238,7 @@ class Renderer:
             return f"\n## {params.get('title') or 'Details'}\n\n{self.all(body).strip() if body else ''}\n"
         if name in ("plantuml", "plantumlrender"):
             if body is None:
-                self.warnings.append("degraded_macro_rendering")
+                self.degraded("PlantUML-Makro ohne lesbaren CDATA-Body erkannt.")
                 return "\n[PLANTUML_BLOCK]\n"
             return f"\n```plantuml\n{body.text().strip()}\n```\n"
         if name == "status":
@@ -234,12 +250,11 @@ class Renderer:
             link = n.first("ri:url")
             url = (params.get("server") if name == "jira" else None) or (link.attrs.get("ri:value") if link else None)
             if not key and not url:
-                self.warnings.append("degraded_macro_rendering")
+                self.degraded("Jira-Makro ohne verwertbare Details erkannt." if name == "jira" else "view-file-Makro ohne Dateidetails erkannt.")
                 return f"\n[{'JIRA' if name == 'jira' else 'FILE'}_BLOCK]\n"
             return f"\n**{label}:** {f'[{key}]({url})' if key and url else key or url}\n"
         if name not in UNWRAPPED:
-            self.warnings.append("unsupported_macro")
-            self.unsupported.append(given)
+            self.not_supported(given)
         if body is None:
             return ""
         return body.text() if body.tag == "ac:plain-text-body" else self.all(body)
@@ -270,10 +285,8 @@ class Renderer:
             return "\n" + "\n".join(shown) + "\n" if shown else ""
         width = max(map(len, said))
         if nested or spans or len(rows) > MOST_ROWS or width > MOST_COLUMNS:
-            flat = "\n".join("; ".join(x for x in r if x) for r in said)
-            self.tables.append(flat)
-            self.warnings.append("complex_table")
-            return f"\n[TABLE {len(self.tables)}]\n"
+            self.tables.append((f"Zeilen={len(rows)}, Spalten={width}, nested_table={nested}, spans={spans}", flattened(rows, said)))
+            return f"\n[Komplexe Tabelle ausgelagert: {table_file(self.stem, len(self.tables))}]\nHinweis: rows={len(rows)}, cols={width}, nested={nested}, spans={spans}.\n"
         cells = [[x.replace("|", "\\|") for x in r] + [""] * (width - len(r)) for r in said]
         head = cells[0] if any(c.tag == "th" for c in rows[0]) else [""] * width
         body = cells[1:] if head is cells[0] else cells
@@ -298,6 +311,28 @@ def key_values(rows: list[list[Node]], said: list[list[str]]) -> list[tuple[str,
     return pairs if sum(label_like(k) for k, _ in pairs) >= 0.8 * n and sum(bool(v) for _, v in pairs) >= 0.6 * n else None
 
 
+def table_file(stem: str, number: int) -> str:
+    return f"{stem}__table_{number:02d}.md"
+
+
+def flattened(rows: list[list[Node]], said: list[list[str]]) -> str:
+    """A line for each row of a complex table, each cell by its column's header where the first row is one, with the cells' spans."""
+
+    def value(cell: Node, text: str) -> str:
+        across, down = (int(n) if (n := cell.attrs.get(a, "1").strip()).isdigit() else 1 for a in ("colspan", "rowspan"))
+        return (text or "(leer)") + (f" [span c{across}/r{down}]" if across > 1 or down > 1 else "")
+
+    headed = len(rows) > 1 and all(cell.tag == "th" for cell in rows[0])
+    names = [text or f"Spalte {i}" for i, text in enumerate(said[0], 1)] if headed else []
+    label = (lambda i: names[i - 1] if i <= len(names) else f"Spalte {i}") if headed else (lambda i: f"Zelle {i}")
+    kind, first = ("Zeile", 1) if headed else ("Originalzeile", 0)
+    lines = []
+    for number, (cells, texts) in enumerate(zip(rows[first:], said[first:]), 1):
+        pairs = (f"{label(i)}={value(cell, text)}" for i, (cell, text) in enumerate(zip(cells, texts), 1))
+        lines.append(f"- {kind} {number}: {' | '.join(pairs)}")
+    return "\n".join(lines)
+
+
 def drop_empty_headings(text: str) -> str:
     """Removes headings without any line before the next heading of the same or a higher level, deepest first."""
     lines = text.split("\n")
@@ -319,8 +354,8 @@ def clean(text: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", text).strip()
 
 
-def to_markdown(markup: str, url: str | None = None, hidden: frozenset[str] = frozenset()) -> tuple[str, Renderer]:
-    r = Renderer(url, hidden)
+def to_markdown(markup: str, url: str | None = None, hidden: frozenset[str] = frozenset(), stem: str = "page") -> tuple[str, Renderer]:
+    r = Renderer(url, hidden, stem)
     text = r.all(read(markup))
     for title, status in (("Open Tasks", "open"), ("Completed Tasks", "completed")):
         own = [t for t in r.tasks if t.status == status and not t.drop]
@@ -334,13 +369,13 @@ def to_markdown(markup: str, url: str | None = None, hidden: frozenset[str] = fr
 
 
 RENDERED = T.StructType([
-    T.StructField("markdown", T.StringType()), T.StructField("warnings", T.ArrayType(T.StringType())), T.StructField("unsupported", T.ArrayType(T.StringType())),
-    T.StructField("properties", T.MapType(T.StringType(), T.StringType())), T.StructField("tables", T.ArrayType(T.StringType())), T.StructField("n_tasks", T.IntegerType()), T.StructField("error", T.StringType()),
+    T.StructField("markdown", T.StringType()), T.StructField("warnings", T.ArrayType(T.StringType())), T.StructField("messages", T.ArrayType(T.StringType())), T.StructField("unsupported", T.ArrayType(T.StringType())),
+    T.StructField("properties", T.MapType(T.StringType(), T.StringType())), T.StructField("tables", T.ArrayType(T.StructType([T.StructField("shape", T.StringType()), T.StructField("rows", T.StringType())]))), T.StructField("n_tasks", T.IntegerType()), T.StructField("error", T.StringType()),
 ])
 
 
-def render_pages(pages: DataFrame, body: str, url: str | None = None, hidden: frozenset[str] = frozenset()) -> DataFrame:
-    """All columns of ``pages`` with the rendered columns; a page that cannot be read has an error and a null text."""
+def render_pages(pages: DataFrame, body: str, url: str | None = None, hidden: frozenset[str] = frozenset(), stem: Column | None = None) -> DataFrame:
+    """All columns of ``pages`` with the rendered columns; ``stem``: how the names of a page's files begin. A page that cannot be read has an error and a null text."""
     ensure_package(pages.sparkSession)
     schema = T.StructType([*[f for f in pages.schema.fields if f.name not in RENDERED.names], *RENDERED.fields])
     kept = schema.names[: -len(RENDERED.names)]
@@ -348,15 +383,15 @@ def render_pages(pages: DataFrame, body: str, url: str | None = None, hidden: fr
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for markup, at in zip(batch["__body"], batch["__url"]):
+            for markup, at, stem in zip(batch["__body"], batch["__url"], batch["__stem"]):
                 try:
-                    text, r = to_markdown(markup or "", at, hidden)
-                    out.append((text, sorted(set(r.warnings)), sorted(set(r.unsupported)), r.properties, r.tables, len(r.tasks), None))
+                    text, r = to_markdown(markup or "", at, hidden, stem or "page")
+                    out.append((text, sorted(set(r.warnings)), r.messages, sorted(set(r.unsupported)), r.properties, r.tables, len(r.tasks), None))
                 except Exception as e:  # one page must not end the run; its row says why
-                    out.append((None, [], [], {}, [], 0, str(e)))
+                    out.append((None, [], [], [], {}, [], 0, str(e)))
             yield pd.concat([batch[kept].reset_index(drop=True), pd.DataFrame(out, columns=RENDERED.names)], axis=1)
 
-    frame = pages.select(*kept, F.col(body).alias("__body"), (F.col(url) if url else F.lit(None).cast("string")).alias("__url"))
+    frame = pages.select(*kept, F.col(body).alias("__body"), (F.col(url) if url else F.lit(None).cast("string")).alias("__url"), (F.lit("page") if stem is None else stem).alias("__stem"))
     return frame.mapInPandas(run, schema)
 
 

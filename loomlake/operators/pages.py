@@ -137,9 +137,9 @@ def _images(references: Column | None) -> dict[str, Column]:
     return {"image_analysis_status": F.when(F.size(given) > 0, "complete").otherwise("not_applicable"), "image_attachment_count": F.size(given), "references": given}
 
 
-def page_metadata(space_key: Column, references: Column | None = None) -> Column:
+def page_metadata(space_key: Column, references: Column | None = None, warnings: Column | None = None) -> Column:
     """Front matter of a page, as JSON, from the columns of a transformed page."""
-    meta = F.struct(space_key.alias("space_key"), c("page_id"), c("warnings").alias("transform_warnings"))
+    meta = F.struct(space_key.alias("space_key"), c("page_id"), (c("warnings") if warnings is None else warnings).alias("transform_warnings"))
     author = F.array_compact(F.array("author"))
     return _json(
         title=c("title"), source_type="confluence", source_system="confluence_export", source_key=F.lower(space_key), source_url=c("source_url"), original_id=c("page_id"), original_path=c("source_ref"), created_at=c("created_at"),
@@ -148,9 +148,9 @@ def page_metadata(space_key: Column, references: Column | None = None) -> Column
     )
 
 
-def issue_metadata(references: Column | None = None) -> Column:
+def issue_metadata(references: Column | None = None, warnings: Column | None = None) -> Column:
     """Front matter of an issue, as JSON."""
-    meta = F.struct(c("issue_key").alias("jira_key"), "issue_type", "status", "priority", "components", "fix_versions", c("warnings").alias("transform_warnings"))
+    meta = F.struct(c("issue_key").alias("jira_key"), "issue_type", "status", "priority", "components", "fix_versions", (c("warnings") if warnings is None else warnings).alias("transform_warnings"))
     return _json(
         title=F.concat("issue_key", F.lit(": "), "summary"), source_type="jira", source_system="jira_export", source_key=F.lower("project_key"), source_url=c("source_url"), original_id=c("issue_id"), original_path=c("source_ref"),
         created_at=c("created_at"), updated_at=c("updated_at"), tags=c("labels"), authors=F.array_compact(F.array("reporter", "assignee")), content_hash=c("content_hash"), attachments=attachment_names(c("attachments")),
@@ -209,17 +209,18 @@ def document_file(rel_path: Column, document_id: Column, title: Column) -> Colum
 def page_files(rows: DataFrame) -> DataFrame:
     """(key, rel_path, content) of rendered pages with ``tables``: the page, a file for each complex table, and those that converters made (``artifacts``)."""
     ensure_package(rows.sparkSession)
-    references = c("references") if "references" in rows.columns else None
-    main = rows.select(c("page_id").alias("key"), page_file(c("space_key"), c("page_id"), c("title")).alias("rel_path"), render(page_metadata(c("space_key"), references), c("markdown")).alias("content"))
-    extra = rows.select(c("page_id").alias("key"), "space_key", "title", "parent_title", "source_url", "labels", "content_hash", F.posexplode("tables").alias("n", "body"))
-    name = F.concat(F.lower("space_key"), F.lit("/"), "key", F.lit("__table-"), (c("n") + 1).cast("string"), F.lit(".md"))
+    references, messages = (c(n) if n in rows.columns else None for n in ("references", "messages"))
+    main = rows.select(c("page_id").alias("key"), page_file(c("space_key"), c("page_id"), c("title")).alias("rel_path"), render(page_metadata(c("space_key"), references, messages), c("markdown")).alias("content"))
+    extra = rows.select(c("page_id").alias("key"), "space_key", "title", "parent_title", "source_url", "labels", "content_hash", F.posexplode("tables").alias("n", "table"))
+    stem = F.regexp_replace(page_file(c("space_key"), c("key"), c("title")), r"\.md$", "")
+    name = F.concat(stem, F.format_string("__table_%02d.md", c("n") + 1))
     said = lambda x: F.regexp_replace(F.to_json(F.array(F.coalesce(x, F.lit("")))), r"^\[|\]$", "")
     head = F.create_map(
         F.lit("title"), said(F.format_string("Tabelle %02d aus %s", c("n") + 1, "title")), F.lit("source_type"), F.lit('"confluence"'), F.lit("space_key"), said(c("space_key")), F.lit("doc_type"), F.lit('"confluence_table"'),
         F.lit("page_id"), said(c("key")), F.lit("parent_title"), said(c("parent_title")), F.lit("table_index"), (c("n") + 1).cast("string"), F.lit("table_complexity"), F.lit("true"), F.lit("source_url"), said(c("source_url")),
         F.lit("labels"), F.to_json("labels"), F.lit("content_hash"), said(c("content_hash")), F.lit("transform_warnings"), F.lit('["complex_table"]'),
     )
-    body = F.concat(F.lit("# Tabelle aus: "), "title", F.lit("\n\n"), F.lit(OUTSOURCED), F.lit("\n\n## Inhalt (konservativ abgeflacht)\n\n"), "body")
+    body = F.concat(F.lit("# Tabelle aus: "), "title", F.lit("\n\n"), F.lit(OUTSOURCED), F.lit("\nErkannte Struktur: "), "table.shape", F.lit(".\n\n## Inhalt (konservativ abgeflacht)\n\n"), "table.rows")
     out = main.unionByName(extra.select("key", name.alias("rel_path"), json_lines(head, body).alias("content")))
     return out.unionByName(artifact_files(rows, "page_id", c("space_key"))) if "artifacts" in rows.columns else out
 

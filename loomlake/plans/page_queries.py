@@ -131,7 +131,7 @@ def _page_rows(spark, sf_dir):
         k.cast("string").alias("page_id"), F.when(k % 2 == 0, "ABC").otherwise("Xy").alias("space_key"), F.concat(F.lit("Page "), k.cast("string")).alias("title"), F.md5(F.coalesce("html", F.lit("")).cast("binary")).alias("markdown"),
         c("url").alias("source_url"), c("url").alias("source_ref"), F.lit(None).cast("string").alias("created_at"), F.lit("2024").alias("updated_at"), F.when(k % 3 == 1, "A").alias("author"), strings("l1", "l2").alias("labels"), F.lit("Top").alias("parent_title"),
         strings("Top").alias("ancestors"), strings().alias("warnings"), F.when(k % 5 == 0, strings("m1", "m2")).otherwise(strings()).alias("unsupported"), F.lit("h").alias("content_hash"),
-        F.array(F.struct(F.lit("a.csv").alias("name"), F.lit(None).cast("string").alias("local_path"))).alias("attachments"), properties.alias("page_properties"), F.when(k % 3 == 0, F.array(F.concat(F.lit("row "), k.cast("string")))).otherwise(strings()).alias("tables"),
+        F.array(F.struct(F.lit("a.csv").alias("name"), F.lit(None).cast("string").alias("local_path"))).alias("attachments"), properties.alias("page_properties"), F.when(k % 3 == 0, F.array(F.struct(F.lit("Zeilen=1").alias("shape"), F.concat(F.lit("row "), k.cast("string")).alias("rows")))).otherwise(F.array().cast("array<struct<shape:string,rows:string>>")).alias("tables"),
     )
     return rows.withColumn("promoted", pages.promoted(c("page_properties"), pages.promotion_rules()))
 
@@ -141,7 +141,7 @@ def _parsed_files(spark, sf_dir):
 
 
 @query(f"""WITH {_PAGES_SQL} SELECT id AS key, lower(space) || '/' || id || '__page-' || id || '.md' AS rel_path, title, 'confluence_page' AS kind, lower(space) AS source_key, '["l1", "l2"]' AS tags, CASE WHEN page_id % 4 = 0 THEN 'hoch' END AS priority, md5(coalesce(html, '')) AS body FROM p
-UNION ALL SELECT id, lower(space) || '/' || id || '__table-1.md', 'Tabelle 01 aus ' || title, 'confluence_table', NULL, NULL, NULL, '# Tabelle aus: ' || title || chr(10) || chr(10) || '{pages.OUTSOURCED}' || chr(10) || chr(10) || '## Inhalt (konservativ abgeflacht)' || chr(10) || chr(10) || 'row ' || id FROM p WHERE page_id % 3 = 0""")
+UNION ALL SELECT id, lower(space) || '/' || id || '__page-' || id || '__table_01.md', 'Tabelle 01 aus ' || title, 'confluence_table', NULL, NULL, NULL, '# Tabelle aus: ' || title || chr(10) || chr(10) || '{pages.OUTSOURCED}' || chr(10) || 'Erkannte Struktur: Zeilen=1.' || chr(10) || chr(10) || '## Inhalt (konservativ abgeflacht)' || chr(10) || chr(10) || 'row ' || id FROM p WHERE page_id % 3 = 0""")
 def page_files(spark, sf_dir):
     """The files of all pages, read back: front matter fields, promoted property and body."""
     at = lambda path: F.get_json_object("p.meta", path)

@@ -270,20 +270,22 @@ def test_pages_become_files(spark, tmp_path, put):
     assert summary(e.transform_pages(root)) == (3, 1, 2, 0, 0)
     files = e.table("pages").collect()
     files.sort(key=lambda f: f.rel_path)
-    assert [f.rel_path for f in files] == ["abc/1__my-page.md", "abc/1__table-1.md"]
+    assert [f.rel_path for f in files] == ["abc/1__my-page.md", "abc/1__my-page__table_01.md"]
     extra, table = frontmatter.parse(files[1].content)
-    assert extra["title"] == "Tabelle 01 aus My Page" and extra["labels"] == ["a", "b"] and not set(pages.PUBLISH_KEYS) - set(extra) and "1; 2; 3" in table
+    assert extra["title"] == "Tabelle 01 aus My Page" and extra["labels"] == ["a", "b"] and not set(pages.PUBLISH_KEYS) - set(extra) and table.startswith("# Tabelle aus: My Page\n\nDiese Tabelle wurde wegen komplexer Struktur aus der Hauptseite ausgelagert.\nErkannte Struktur: Zeilen=16, Spalten=3, nested_table=False, spans=False.\n\n## Inhalt (konservativ abgeflacht)\n\n- Originalzeile 1: Zelle 1=1 | Zelle 2=2 | Zelle 3=3\n") and "[Komplexe Tabelle ausgelagert: 1__my-page__table_01.md]\nHinweis: rows=16," in files[0].content
     meta, body = frontmatter.parse(files[0].content)
     assert meta["priorität"] == "high" and "Prio" not in body and "- **Owner:** Anna" in body and meta["page_properties"] == {"Prio": "high", "Owner": "Anna"}
     assert meta["title"] == "My Page" and meta["source_key"] == "abc" and meta["tags"] == ["a", "b"] and meta["attachments"] == ["x.csv", "gone.pdf", "bad.json", "t.zip"] and meta["unsupported_macros"] == ["mystery"]
-    assert set(meta["source_meta"]["transform_warnings"]) >= {"attachment_missing_local_path", "attachment_transform_failed", "attachment_unsupported_extension"}
+    assert set(meta["source_meta"]["transform_warnings"]) >= {"Nicht unterstütztes Makro erkannt: mystery", "Anhang 'gone.pdf' hat keinen auflösbaren lokalen Pfad.", "Anhang 't.zip' hat nicht unterstützte Endung '.zip'."}
+    flags = json.loads(e.log.events().where("stage = 'transform'").first().extra_json)["warning_flags"]
+    assert flags == sorted({"attachment_missing_local_path", "attachment_transform_failed", "attachment_unsupported_extension", "unsupported_macro"})
     assert "words of the page" in body and "## Anhang-Inhalte (extrahiert)\n\n### x.csv\n\n| a | b |\n| --- | --- |\n| 1 | 2\\|3 |" in body
     assert body.rstrip().endswith("## Anhänge\n\n- x.csv\n- gone.pdf\n- bad.json\n- t.zip")
     assert [tuple(r) for r in pages.unsupported_macros(e.table("pages")).collect()] == [("mystery", 1)] and pages.unsupported_macros(e.table("pages"), "zz").count() == 0
     assert summary(e.transform_pages(root)) == (3, 0, 3, 0, 0)
     put("wiki/i/spaces/ABC/by-id/1/metadata.json", {"id": "1", "title": "Renamed", "space": {"key": "ABC"}})
     assert summary(e.transform_pages(root))[4] == 1
-    assert sorted(f.rel_path for f in e.table("pages").collect()) == ["abc/1__renamed.md", "abc/1__table-1.md"]
+    assert sorted(f.rel_path for f in e.table("pages").collect()) == ["abc/1__renamed.md", "abc/1__renamed__table_01.md"]
     reasons = {r.reason_code for r in e.log.events().collect()}
     assert {"filtered_by_rule", "too_small_for_chunking", "unchanged_incremental", "unsupported_macro"} <= reasons
     routes = spark.createDataFrame([("ABC", "domains/core")], "space string, domain_path string")
@@ -352,7 +354,7 @@ def test_images_of_pages_and_issues(spark, tmp_path, put):
         assert (meta["image_analysis_status"], meta["image_attachment_count"], meta["open_task_count"], meta["open_task_mentions"]) == ("complete", 1, 1, ["Anna"]) and "completed_task_count" not in meta
         ref = meta["image_analysis"][0]
         assert meta["source_meta"]["image_analysis_refs"] == [ref] and "references" not in meta and ref["summary"] == f"shot of P{n}" and ref["mime_type"] == "image/png" and ref["signals"] == ["gui"]
-        assert [w for w in meta["source_meta"]["transform_warnings"] if w.startswith("attachment")] == [convert.WARNED, convert.FAILED, convert.EMPTY]
+        assert meta["source_meta"]["transform_warnings"] == ["Anhang 'Screen One.png': low resolution", "Anhang 'bad.png' konnte nicht transformiert werden: image conversion failed: no image", "Anhang 'blank.png' lieferte leeres Markdown."]
         assert json.loads(files[f"abc/{n}__image__screen-one.json"])["parent_id"] == str(n)
     # the analyses are no pages: publishing takes Markdown only, and says what their front matter lacks
     routes = spark.createDataFrame([("ABC", "core")], "space string, domain_path string")

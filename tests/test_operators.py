@@ -260,7 +260,21 @@ def test_tables():
     text, r = markup.to_markdown("<table><tr><th>A</th><th>B</th><th>C</th></tr><tr><td>1|2</td><td>2</td><td>3</td></tr></table>")
     assert "| A | B | C |" in text and "1\\|2" in text
     text, r = markup.to_markdown("<table>" + "<tr><td>1</td><td>2</td><td>3</td></tr>" * 16 + "</table>")
-    assert r.warnings == ["complex_table"] and len(r.tables) == 1
+    assert r.warnings == [] and r.tables == [("Zeilen=16, Spalten=3, nested_table=False, spans=False", "\n".join(f"- Originalzeile {i}: Zelle 1=1 | Zelle 2=2 | Zelle 3=3" for i in range(1, 17)))]
+    assert text == "[Komplexe Tabelle ausgelagert: page__table_01.md]\nHinweis: rows=16, cols=3, nested=False, spans=False."
+    wide = "<table><tr><th>A</th><th></th></tr><tr><td colspan='2'>x</td></tr><tr><td>1</td><td></td><td>3</td></tr></table>"
+    text, r = markup.to_markdown(wide * 2, stem="7__p")
+    assert "7__p__table_01.md]\nHinweis: rows=3, cols=3, nested=False, spans=True." in text and "7__p__table_02.md]" in text
+    assert r.tables[1] == ("Zeilen=3, Spalten=3, nested_table=False, spans=True", "- Zeile 1: A=x [span c2/r1]\n- Zeile 2: A=1 | Spalte 2=(leer) | Spalte 3=3")
+
+
+def test_warnings_have_codes_and_words():
+    text, r = markup.to_markdown(MACRO.format("mystery", "") + MACRO.format("a b!", "<ac:rich-text-body>in</ac:rich-text-body>") + MACRO.format("plantuml", "") + MACRO.format("jira", "") + MACRO.format("view-file", ""))
+    assert list(zip(r.warnings, r.messages)) == [
+        ("unsupported_macro", "Nicht unterstütztes Makro erkannt: mystery"), ("macro_name_parse_error", "Ungültiger Makroname erkannt und auf unknown_macro gesetzt: a b!"), ("unsupported_macro", "Nicht unterstütztes Makro erkannt: unknown_macro"),
+        ("degraded_macro_rendering", "PlantUML-Makro ohne lesbaren CDATA-Body erkannt."), ("degraded_macro_rendering", "Jira-Makro ohne verwertbare Details erkannt."), ("degraded_macro_rendering", "view-file-Makro ohne Dateidetails erkannt."),
+    ]
+    assert r.unsupported == ["mystery", "unknown_macro"] and "in" in text
 
 
 def test_tasks():
@@ -484,7 +498,7 @@ def test_rows_of_nested_tables():
 
     row = "<tr><td>a</td><td>b</td><td>c</td></tr>"
     text, r = markup.to_markdown(f"<table>{row}<tr><td><table>{row}</table></td><td>x</td><td>y</td></tr></table>")
-    assert r.tables[-1].startswith("a; b; c\n") and "[TABLE" in text
+    assert r.tables[-1][1].startswith("- Originalzeile 1: Zelle 1=a | Zelle 2=b | Zelle 3=c\n") and "[Komplexe Tabelle ausgelagert: page__table_" in text
 
     def seconds(n):
         html = "<table>" + "<tr><td><table><tr><td>1</td></tr></table></td></tr>" * n + "</table>"
