@@ -352,7 +352,7 @@ class Engine:
             done = []
             for n, part in enumerate(self._parts("pages-input", todo)):
                 name = F.regexp_extract(pages.page_file(c("space_key"), c("page_id"), c("title")), "[^/]*$", 0)
-                rendered = markup.render_pages(part, "body", "source_url", frozenset(x for labels in rules.values() for x in labels), F.regexp_replace(name, r"\.md$", ""))
+                rendered = markup.render_pages(part, "body", "source_url", frozenset(x for labels in rules.values() for x in labels), F.regexp_replace(name, r"\.md$", ""), tx.property_key(c("title")).contains(pages.ABOUT_PROPERTIES))
                 parent = convert.parents("confluence", c("page_id"), c("title"), c("source_ref"), c("source_url"), name, c("body"))
                 attached = self._attached(part, "page_id", root, parent)
                 rendered = rendered.withColumns({"task_fields": pages.task_fields(c("markdown")), "markdown": pages.titled(c("title"), c("markdown"))}).join(attached, "page_id", "left")

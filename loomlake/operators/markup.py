@@ -147,14 +147,15 @@ def property_name(key: str) -> str:
 
 
 class Renderer:
-    """``hidden``: names of properties that are not repeated in the text where they have a value; ``stem``: how the page's file names begin.
+    """``hidden``: names of properties that are not repeated in the text where they have a value; ``stem``: how the page's file names begin;
+    ``properties``: the page is about properties, so that complex tables of labels keep labels and first values only.
 
     Warnings are codes, messages say the same in words. Tables that are too complex for the text are
     (shape, rows) of documents of their own, named in the text.
     """
 
-    def __init__(self, url: str | None = None, hidden: frozenset[str] = frozenset(), stem: str = "page"):
-        self.url, self.hidden, self.stem = url, hidden, stem
+    def __init__(self, url: str | None = None, hidden: frozenset[str] = frozenset(), stem: str = "page", properties: bool = False):
+        self.url, self.hidden, self.stem, self.properties_only = url, hidden, stem, properties
         self.warnings: list[str] = []
         self.messages: list[str] = []
         self.unsupported: list[str] = []
@@ -285,6 +286,8 @@ class Renderer:
             return "\n" + "\n".join(shown) + "\n" if shown else ""
         width = max(map(len, said))
         if nested or spans or len(rows) > MOST_ROWS or width > MOST_COLUMNS:
+            if self.properties_only and all(len(r) == 2 for r in rows) | all(len(r) > 1 and r[0].tag == "th" for r in rows):
+                rows, said = [r[:2] for r in rows], [r[:2] for r in said]
             self.tables.append((f"Zeilen={len(rows)}, Spalten={width}, nested_table={nested}, spans={spans}", flattened(rows, said)))
             return f"\n[Komplexe Tabelle ausgelagert: {table_file(self.stem, len(self.tables))}]\nHinweis: rows={len(rows)}, cols={width}, nested={nested}, spans={spans}.\n"
         cells = [[x.replace("|", "\\|") for x in r] + [""] * (width - len(r)) for r in said]
@@ -354,8 +357,8 @@ def clean(text: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", text).strip()
 
 
-def to_markdown(markup: str, url: str | None = None, hidden: frozenset[str] = frozenset(), stem: str = "page") -> tuple[str, Renderer]:
-    r = Renderer(url, hidden, stem)
+def to_markdown(markup: str, url: str | None = None, hidden: frozenset[str] = frozenset(), stem: str = "page", properties: bool = False) -> tuple[str, Renderer]:
+    r = Renderer(url, hidden, stem, properties)
     text = r.all(read(markup))
     for title, status in (("Open Tasks", "open"), ("Completed Tasks", "completed")):
         own = [t for t in r.tasks if t.status == status and not t.drop]
@@ -374,8 +377,8 @@ RENDERED = T.StructType([
 ])
 
 
-def render_pages(pages: DataFrame, body: str, url: str | None = None, hidden: frozenset[str] = frozenset(), stem: Column | None = None) -> DataFrame:
-    """All columns of ``pages`` with the rendered columns; ``stem``: how the names of a page's files begin. A page that cannot be read has an error and a null text."""
+def render_pages(pages: DataFrame, body: str, url: str | None = None, hidden: frozenset[str] = frozenset(), stem: Column | None = None, properties: Column | None = None) -> DataFrame:
+    """All columns of ``pages`` with the rendered columns; ``stem``: how the names of a page's files begin, ``properties``: whether it is about properties. A page that cannot be read has an error and a null text."""
     ensure_package(pages.sparkSession)
     schema = T.StructType([*[f for f in pages.schema.fields if f.name not in RENDERED.names], *RENDERED.fields])
     kept = schema.names[: -len(RENDERED.names)]
@@ -383,15 +386,15 @@ def render_pages(pages: DataFrame, body: str, url: str | None = None, hidden: fr
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for markup, at, stem in zip(batch["__body"], batch["__url"], batch["__stem"]):
+            for markup, at, stem, own in zip(batch["__body"], batch["__url"], batch["__stem"], batch["__properties"]):
                 try:
-                    text, r = to_markdown(markup or "", at, hidden, stem or "page")
+                    text, r = to_markdown(markup or "", at, hidden, stem or "page", bool(own))
                     out.append((text, sorted(set(r.warnings)), r.messages, sorted(set(r.unsupported)), r.properties, r.tables, len(r.tasks), None))
                 except Exception as e:  # one page must not end the run; its row says why
                     out.append((None, [], [], [], {}, [], 0, str(e)))
             yield pd.concat([batch[kept].reset_index(drop=True), pd.DataFrame(out, columns=RENDERED.names)], axis=1)
 
-    frame = pages.select(*kept, F.col(body).alias("__body"), (F.col(url) if url else F.lit(None).cast("string")).alias("__url"), (F.lit("page") if stem is None else stem).alias("__stem"))
+    frame = pages.select(*kept, F.col(body).alias("__body"), (F.col(url) if url else F.lit(None).cast("string")).alias("__url"), (F.lit("page") if stem is None else stem).alias("__stem"), F.coalesce(F.lit(False) if properties is None else properties, F.lit(False)).alias("__properties"))
     return frame.mapInPandas(run, schema)
 
 

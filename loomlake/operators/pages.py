@@ -26,6 +26,7 @@ OUTSOURCED = "Diese Tabelle wurde wegen komplexer Struktur aus der Hauptseite au
 EXTRACTED, ANALYSED, LISTED, NO_NAME, NO_IMAGE = "## Anhang-Inhalte (extrahiert)", "## Abgeleitete Bildanalysen", "## Anhänge", "Anhang", "Bildanalyse"
 ISSUE_LABELS = {"status": "Status", "issue_type": "Typ", "priority": "Priorität", "assignee": "Assignee", "reporter": "Reporter"}
 DESCRIPTION, NO_DESCRIPTION = "## Beschreibung", "_Keine Beschreibung im Export gefunden._"
+ABOUT_PROPERTIES = "seiteneigenschaft"
 PUBLISH_KEYS = ["title", "source_type", "space_key", "page_id", "labels", "source_url"]
 
 #: Properties that become front matter fields, by their labels; those in LISTS are lists.

@@ -267,6 +267,11 @@ def test_tables():
     assert "7__p__table_01.md]\nHinweis: rows=3, cols=3, nested=False, spans=True." in text and "7__p__table_02.md]" in text
     assert r.tables[1] == ("Zeilen=3, Spalten=3, nested_table=False, spans=True", "- Zeile 1: A=x [span c2/r1]\n- Zeile 2: A=1 | Spalte 2=(leer) | Spalte 3=3")
 
+    many = "<table>" + "<tr><th>K</th><td>v</td><td>more</td></tr>" * 16 + "</table>"
+    for own, want in ((False, "Zelle 1=K | Zelle 2=v | Zelle 3=more"), (True, "Zelle 1=K | Zelle 2=v")):
+        text, r = markup.to_markdown(many.replace("<td>more", "<td rowspan='2'>more"), properties=own)
+        assert r.tables[0][0].startswith("Zeilen=16, Spalten=3") and r.tables[0][1].split("\n")[0].split(" [")[0] == f"- Originalzeile 1: {want}"
+
 
 def test_warnings_have_codes_and_words():
     text, r = markup.to_markdown(MACRO.format("mystery", "") + MACRO.format("a b!", "<ac:rich-text-body>in</ac:rich-text-body>") + MACRO.format("plantuml", "") + MACRO.format("jira", "") + MACRO.format("view-file", ""))
