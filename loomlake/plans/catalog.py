@@ -645,7 +645,7 @@ def front_matter_parse(spark, sf_dir):
 @query("SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS category, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT DISTINCT url, length(html) AS size FROM pages WHERE starts_with(url, 'https://')) GROUP BY 1")
 def reset_plan(spark, sf_dir):
     rows = views.table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("category"), c("url").alias("path"), F.length("html").alias("size"))
-    return state.deletion_plan(rows.distinct(), ["https:/"])
+    return state.deletion_plan(rows, ["https:/"])
 
 
 @query("SELECT extension, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes, min(rel_path) AS example FROM (SELECT url AS rel_path, lower(regexp_extract(url, '\\.([^./]*)$', 1)) AS extension, length(html) AS size FROM pages) GROUP BY extension")
