@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomlake.functions.text import collapse, glob_to_regex
-from loomlake.runtime import ensure_package
+from loomlake.runtime import ensure_package, pieces
 
 c = F.col
 #: Classes and policies of terms, source types and their modes, ambiguous short forms, and the count from which a candidate is a new term.
@@ -367,18 +367,19 @@ def apply(docs: DataFrame, terms: list[Term], modes: DataFrame, text: str = "tex
         raise ValueError(f"the terms' forms have more than {MOST_CHARS} characters")
     shared = docs.sparkSession.sparkContext.broadcast(Forms(terms))
 
-    def processed(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for given, src, mode in zip(rows["text"], rows["source"], rows["mode"]):
-            said = given or ""
-            hits = [] if mode == "off" else shared.value.match(said, src)
-            added = block(hits, shared.value.names, least, aliases) if mode in MODES[1:] else ""
-            done, n = annotate(said, hits) if mode == MODES[1] else (said, 0)
-            done = f"{done.rstrip()}\n{added}" if added else done
-            out.append((len(hits), min((h[0] for h in hits), default=-1), n, bool(added), given if given is None else done))
-        return pd.DataFrame(out, columns=["n_matches", "first_match", "annotations", "block_added", "text"])
+    def processed(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for piece in pieces(pa.RecordBatch.from_arrays(list(x), names=["text", "source", "mode"]) for x in batches):
+            out = []
+            for given, src, mode in zip(*(x.to_pylist() for x in piece.columns)):
+                said = given or ""
+                hits = [] if mode == "off" else shared.value.match(said, src)
+                added = block(hits, shared.value.names, least, aliases) if mode in MODES[1:] else ""
+                done, n = annotate(said, hits) if mode == MODES[1] else (said, 0)
+                done = f"{done.rstrip()}\n{added}" if added else done
+                out.append((len(hits), min((h[0] for h in hits), default=-1), n, bool(added), given if given is None else done))
+            columns = [pa.array(v, t) for v, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.string()))]
+            yield pa.StructArray.from_arrays(columns, names=["n_matches", "first_match", "annotations", "block_added", "text"])
 
     rows = source_modes(docs, modes, source)
-    given = F.struct(c(text).alias("text"), F.coalesce(source, F.lit("")).alias("source"), "mode")
-    done = F.pandas_udf(processed, "n_matches int, first_match int, annotations int, block_added boolean, text string")(given)
+    done = F.arrow_udf(processed, "n_matches int, first_match int, annotations int, block_added boolean, text string")(c(text), F.coalesce(source, F.lit("")), c("mode"))
     return rows.withColumn("_done", done).select(*[x for x in docs.columns if x != text], "_done.*").withColumnRenamed("text", text)
