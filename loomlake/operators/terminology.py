@@ -54,15 +54,15 @@ def spans(docs: DataFrame, pattern: str, key: str = "doc_id", text: str = "text"
     kinds = [f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in (source, key)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for piece in pieces(batches):
             row, found = [], []
-            for i, t in enumerate(batch.column(2).to_pylist()):
+            for i, t in enumerate(piece.column(2).to_pylist()):
                 for n, m in enumerate(re.finditer(pattern, t or "")):
                     row.append(i)
                     found.append((n, m.start(), m.end(), m.group(), " ".join(t[max(0, m.start() - CONTEXT) : m.end() + CONTEXT].split())))
             own = list(zip(*found)) or [()] * 5
             at = pa.array(row, pa.int64())
-            columns = [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(v, pa.int32()) for v in own[:3]), *(pa.array(v, pa.string()) for v in own[3:])]
+            columns = [piece.column(0).take(at), piece.column(1).take(at), *(pa.array(v, pa.int32()) for v in own[:3]), *(pa.array(v, pa.string()) for v in own[3:])]
             yield pa.RecordBatch.from_arrays(columns, names=[source, key, "pos", "begin", "end", "term", "context"])
 
     return docs.select(source, key, text).mapInArrow(run, f"{', '.join(kinds)}, pos int, begin int, end int, term string, context string")
