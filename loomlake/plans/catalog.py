@@ -144,10 +144,10 @@ def vector_topk(spark, sf_dir):
 
 @query(f"WITH {_KEYWORD_SQL} SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, chunk_id, score FROM kw WHERE rank <= {K}")
 def keyword_topk_postings(spark, sf_dir):
-    """As ``keyword_topk``, by trigram postings of all chunks."""
+    """As ``keyword_topk``, by trigram postings of all chunks, which each task sorts and writes by itself."""
     chunks = views.whole(spark, sf_dir)
     path = f"{shared_dir(spark)}/loomlake/postings-{uuid.uuid4().hex}"
-    postings.build(chunks).repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(path)
+    postings.build(chunks).sortWithinPartitions("gram").write.parquet(path)
     hits = postings.keyword_search(chunks, spark.read.parquet(path), views.questions(spark, sf_dir), K)
     return hits.select("query_id", "rank", "doc_id", "chunk_id", "score")
 
