@@ -46,6 +46,8 @@ COMMON_SEEDS = 4
 LEAK_AT = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_BYTES = 4 << 20
+#: Bytes of documents that meet a block each time it is loaded, where there are several.
+GATHER_BYTES = 32 << 20
 
 MATCHES = T.ArrayType(T.StructType([
     T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType()),
@@ -262,7 +264,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only = shared[0].value if len(shared) == 1 else None
-        for batch in batches:
+        for batch in batches if len(shared) == 1 else gathered(batches):
             texts = TextBatch(batch.column(batch.num_columns - 1))
             found: list[list] = [[] for _ in range(len(texts))]
             for handle in shared:
@@ -278,6 +280,18 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     return map_batches(frame, run, schema)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int = GATHER_BYTES) -> Iterator[pa.RecordBatch]:
+    """All rows in order, in batches of about ``most`` bytes: every batch loads all blocks."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """One row for each document and item that it leaks: key, item_id, similarity, first_word, last_word."""
     marked = scan(docs, benchmark, **options)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomlake.llm.common import Run, SPACE, TextBatch, map_batches, mix
-from loomlake.llm.hashed import Space, agreed_labels, bounded_sample, collect_vectors, fit_linear, linear_scores, one_text, platt, sigmoid
+from loomlake.llm.hashed import RUN_BYTES, Space, agreed_labels, bounded_sample, collect_vectors, fit_linear, linear_scores, one_text, platt, sigmoid
 
 #: Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
@@ -134,7 +134,7 @@ def apply(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            parts = [base_measures(r) | {"p": model.probability(r)} for r in TextBatch(batch.column(batch.num_columns - 1)).runs()]
+            parts = [base_measures(r) | {"p": model.probability(r)} for r in TextBatch(batch.column(batch.num_columns - 1)).runs(RUN_BYTES)]
             col = {m: np.concatenate([p[m] for p in parts]) if parts else np.zeros(0) for m in [*MEASURES, "p"]}
             failed = (col["n_words"] < LEAST_WORDS) | (100 * col["n_repeat_words"] > MOST_REPEATED_PERCENT * col["n_words"])
             arrays = [batch.column(k) for k in range(batch.num_columns - 1)]

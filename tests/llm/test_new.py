@@ -11,10 +11,11 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomlake.llm import fim, jaccard, langid, merge_replay, queries, resample
+from loomlake.llm import decontaminate, fim, hashed, jaccard, langid, merge_replay, queries, resample
 
 SF = os.environ.get("TEST_LLM_DIR", "/root/testdata/sf0.01")
 need_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -304,3 +305,24 @@ def test_classes_do_not_depend_on_the_order_of_ids(spark, seed):
         least[root(i)] = min(least.get(root(i), 1 << 60), ids[i])
     got = {r.doc_id: r.component_id for r in jaccard.classes(spark.createDataFrame(list(zip(ids, rows)), "doc_id long, text string")).collect()}
     assert got == {ids[i]: least[root(i)] for i in range(len(rows))}
+
+
+def test_label_shares_need_no_python_worker(spark):
+    """pipeline: the shares went through an RDD, for which each executor kept a second daemon and its workers."""
+    rows = spark.range(1000).selectExpr("id AS __id", "IF(id % 10 = 0, 'few', 'many') AS __label")
+    sample = hashed.bounded_sample(rows, "__label", "__id", 400)
+    plan = sample._jdf.queryExecution().toString()
+    assert "LocalRelation" in plan and "ExistingRDD" not in plan
+    n = {r["__label"]: r["count"] for r in sample.groupBy("__label").count().collect()}
+    assert n["few"] == 100 and 150 <= n["many"] <= 250 and sample.columns == ["__id", "__label"]
+    for kind in ("int", "double", "boolean", "date"):
+        same = rows.selectExpr("__id", f"CAST({'__id % 2' if kind != 'date' else 'date_from_unix_date(int(__id % 2))'} AS {kind}) AS __label")
+        assert hashed.bounded_sample(same, "__label", "__id", 2000).count() == 1000
+    assert hashed.bounded_sample(rows.limit(0), "__label", "__id", 400).count() == 0
+
+
+def test_batches_are_gathered_where_blocks_are_loaded_anew():
+    batches = [pa.record_batch({"k": [i, None], "t": ["x" * 1000, None]}) for i in range(10)]
+    out = list(decontaminate.gathered(iter(batches), 3000))
+    assert len(out) == 4 and [k for b in out for k in b["k"].to_pylist()] == [k for i in range(10) for k in (i, None)]
+    assert list(decontaminate.gathered(iter([]))) == []
